@@ -55,7 +55,7 @@ def positions(
 def _range_positions(df: DataFrame, keys: list[str], order: list[Column], position: str, size: str) -> DataFrame:
     """Positions by range partitioning: no group is ever in one task.
 
-    The range-partitioned rows are checkpointed so that counts and rows see the
+    The range-partitioned rows are written once so that counts and rows see the
     same cut even after an executor is lost. Ranges follow the full order, so a
     large run of equal values is split by the later order columns.
     """

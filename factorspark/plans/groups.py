@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import market_calendar
 from ..operators.cross_section import information_coefficients, quintile_groups
+from ..session import durable
 from .adjustment import back_adjusted_close
-from .features import index_price
 from .index import month_end_as_of
 from .portfolio import portfolio_nav, with_marks
 from .rules import IntradaySelectionRules, SelectionRules
@@ -72,10 +72,11 @@ def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries:
     Pool ``all_a`` holds every symbol quoted on the date with a full lookback; pool
     ``dividend_pool`` the dividend universe without yield ranking.
     """
-    features = selection_features(price, dividends, shares, rules, factors)
     at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
+    # Both pools read the as-of rows only, so these are written once.
+    features = durable(selection_features(price, dividends, shares, rules, factors).join(at, "date"), "features")
     columns = ["date", "symbol", F.col("volatility_240d").alias("factor")]
-    everything = features.join(at, "date").select(F.lit("all_a").alias("pool"), *columns)
+    everything = features.select(F.lit("all_a").alias("pool"), *columns)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
         features=features, rows_bound=rows_bound, validate=validate,
@@ -88,9 +89,9 @@ def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_q
                               rows_bound: int | None = None, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Group values and coefficients of the volatility factor in both pools."""
     as_of = month_end_as_of(price, start, end)
-    grouped = traditional_groups(
+    grouped = durable(traditional_groups(
         price, dividends, dividend_queries, shares, as_of, rules, factors, rows_bound=rows_bound, validate=validate
-    )
+    ), "groups")
     prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
@@ -118,9 +119,9 @@ def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_quer
                            validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Group values and coefficients of the intraday factor inside the candidates."""
     as_of = month_end_as_of(price, start, end)
-    grouped = intraday_groups(
+    grouped = durable(intraday_groups(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
-    )
+    ), "groups")
     prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )

@@ -10,11 +10,12 @@ from ..functions.calendar import annual_schedule, distinct_dates, period_end_dat
 from ..functions.values import DIVIDEND_AFTER_TAX_RATIO
 from ..operators.asof import asof_join
 from ..operators.intervals import missing_years
+from ..session import durable
 from .adjustment import back_adjusted_close
 from .features import check_price, index_price
 from .portfolio import portfolio_nav
 from .rules import IntradaySelectionRules, SelectionRules
-from .selection import select_constituents, select_intraday_constituents, selection_features
+from .selection import select_constituents, select_intraday_constituents
 
 
 def cash_events(dividends: DataFrame, date_column: str, symbols: DataFrame | None = None, *,
@@ -145,9 +146,9 @@ def annual_rebalanced_index(price: DataFrame, dividends: DataFrame, dividend_que
                             validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Index rebalanced each December and its constituents by effective date."""
     schedule = annual_schedule(distinct_dates(index_price(price)), start, end)
-    constituents = select_constituents(
+    constituents = durable(select_constituents(
         price, dividends, dividend_queries, shares, schedule.select("as_of_date"), rules, rows_bound=rows_bound, validate=validate
-    )
+    ), "constituents")
     held = constituents.join(F.broadcast(schedule), "as_of_date")
     order = Window.orderBy("effective_date")
     ends = held.select("effective_date").distinct().select(
@@ -185,9 +186,9 @@ def monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: Data
                   validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly low-volatility dividend portfolio and its constituents."""
     as_of = month_end_as_of(price, start, end)
-    constituents = select_constituents(
+    constituents = durable(select_constituents(
         price, dividends, dividend_queries, shares, as_of, rules, factors=factors, rows_bound=rows_bound, validate=validate
-    )
+    ), "constituents")
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 
@@ -198,9 +199,9 @@ def intraday_monthly_index(price: DataFrame, dividends: DataFrame, dividend_quer
                            validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly portfolio selected by the intraday-volatility factor, and its constituents."""
     as_of = month_end_as_of(price, start, end)
-    constituents = select_intraday_constituents(
+    constituents = durable(select_intraday_constituents(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
-    )
+    ), "constituents")
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 
@@ -211,5 +212,5 @@ def monthly_index_with_selector(price: DataFrame, selector, as_of: DataFrame, co
 
     ``selector(as_of)`` is called once for all dates and returns (as_of_date, symbol, weight, ...).
     """
-    constituents = selector(as_of)
+    constituents = durable(selector(as_of), "constituents")
     return monthly_portfolio(price, constituents, cost_rate, factors, coverage, validate=validate), constituents

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import quality
 from ..functions.calendar import market_calendar
 from ..operators.asof import asof_join
+from ..session import durable
 
 
 def holdings_by_date(weights: DataFrame, dates: DataFrame) -> DataFrame:
@@ -30,9 +31,9 @@ def holdings_by_date(weights: DataFrame, dates: DataFrame) -> DataFrame:
     )
     sets = weights.select("portfolio", "date").distinct().join(F.broadcast(numbered), "date")
     upcoming = F.lead("market_index").over(Window.partitionBy("portfolio").orderBy("market_index"))
-    spans = sets.select(
-        "portfolio", F.col("date").alias("set_date"),
-        F.explode(F.sequence(F.col("market_index"), F.coalesce(upcoming - 1, F.col("_last")))).alias("market_index"),
+    until = sets.withColumn("_until", F.coalesce(upcoming - 1, F.col("_last")))
+    spans = until.select(
+        "portfolio", F.col("date").alias("set_date"), F.explode(F.sequence("market_index", "_until")).alias("market_index")
     ).join(F.broadcast(numbered.select("date", "market_index", "next_date")), "market_index").drop("market_index")
     held = weights.filter(F.col("weight") > 0).select("portfolio", F.col("date").alias("set_date"), "symbol", "weight")
     return held.join(spans, ["portfolio", "set_date"]).drop("set_date")
@@ -44,7 +45,9 @@ def with_marks(holdings: DataFrame, prices: DataFrame, column: str = "close") ->
     Each wanted (symbol, date) is looked up once, whatever the number of portfolios.
     """
     wanted = holdings.select("symbol", F.explode(F.array("date", "next_date")).alias("at")).filter("at IS NOT NULL").distinct()
-    known = prices.filter(F.col(column).isNotNull()).select("symbol", F.col("date").alias("_d"), F.col(column).cast("double").alias("_price"))
+    # Series of symbols never held are dropped before the shuffle where the held set is small.
+    held = prices.join(wanted.select("symbol").distinct(), "symbol", "left_semi")
+    known = held.filter(F.col(column).isNotNull()).select("symbol", F.col("date").alias("_d"), F.col(column).cast("double").alias("_price"))
     marks = asof_join(wanted, known, by=["symbol"], left_on="at", right_on="_d", values=["_price"])
     now = marks.select("symbol", F.col("at").alias("date"), F.col("_price").alias("price"))
     after = marks.select("symbol", F.col("at").alias("next_date"), F.col("_price").alias("next_price"))
@@ -95,13 +98,14 @@ def portfolio_nav(
         off = weights.select("date").distinct().join(valuation, "date", "left_anti")
         quality.require_empty(off, "target weight dates must be valuation dates")
 
-    holdings = holdings_by_date(weights, valuation)
+    holdings = durable(holdings_by_date(weights, valuation), "holdings")
     if execution_price is None:
         marked = with_marks(holdings, prices).withColumn("_close_ratio", F.lit(1.0))
     else:
         marked = with_marks(holdings, execution_price, "price")
         closes = with_marks(holdings, prices).select("portfolio", "date", "symbol", F.col("price").alias("_close"))
         marked = marked.join(closes, ["portfolio", "date", "symbol"]).withColumn("_close_ratio", F.col("_close") / F.col("price"))
+    marked = durable(marked, "marked")
     if validate:
         quality.require_rules(marked, {"price is missing while held": F.col("price").isNull()}, "portfolio")
     grown = F.when(F.col("next_date").isNotNull(), F.col("weight") * F.col("next_price") / F.col("price"))

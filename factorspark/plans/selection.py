@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..operators import cross_section, intraday
-from .features import quote_features
+from ..operators.asof import asof_shares
+from ..session import durable
+from .features import quote_features, valid_price
 from .rules import IntradaySelectionRules, SelectionRules
 from .universe import dividend_universe
 
@@ -94,15 +96,18 @@ def select_intraday_candidates(price: DataFrame, dividends: DataFrame, dividend_
                                features: DataFrame | None = None, rows_bound: int | None = None,
                                validate: bool = True) -> DataFrame:
     """Candidates joined one to one with their neutralized intraday factor."""
-    features = selection_features(price, dividends, shares, rules) if features is None else features
-    candidates = select_candidates(
+    candidates = durable(select_candidates(
         price, dividends, dividend_queries, shares, as_of, rules, features=features, rows_bound=rows_bound, validate=validate
+    ), "candidates")
+    members = candidates.select("as_of_date", "symbol")
+    # Only the candidates' own series are needed from here on.
+    quotes = valid_price(price).select("symbol", "date", "close").join(members.select("symbol").distinct(), "symbol", "left_semi")
+    caps = asof_shares(quotes, shares.join(members.select("symbol").distinct(), "symbol", "left_semi")).select(
+        "symbol", F.col("date").alias("trade_date"), "total_market_cap"
     )
-    caps = features.select("symbol", F.col("date").alias("trade_date"), "total_market_cap")
-    factor = intraday.volatility_factor(
-        daily_volatility, caps, as_of, lookback=rules.lookback_trading_days, min_valid=rules.min_valid_days,
-        members=candidates.select("as_of_date", "symbol"),
-    )
+    factor = durable(intraday.volatility_factor(
+        daily_volatility, caps, as_of, lookback=rules.lookback_trading_days, min_valid=rules.min_valid_days, members=members,
+    ), "intraday-factor")
     joined = candidates.join(factor, ["as_of_date", "symbol"])
     enough = joined.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rules.final_n)
     return joined.join(F.broadcast(enough.select("as_of_date")), "as_of_date")

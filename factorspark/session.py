@@ -51,10 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint that survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it back.
+
+    Used where a reduced table feeds several branches: the costly part runs once,
+    survives lost executors, and the files' sizes let the optimizer choose joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,12 +6,14 @@ whole numbers (cents, quantities) so both engines get the same doubles.
 
 from __future__ import annotations
 
+from functools import cache, cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.calendar import market_calendar, period_end_dates
 from factorspark.plans.rules import IntradaySelectionRules, SelectionRules, TimingRules, UniverseRules
-from factorspark.sources.views import sized_dimension
+from factorspark.sources.views import BROADCAST_ROWS
 
 UNIVERSE = UniverseRules(lookback_days=26)
 SELECTION = SelectionRules(dividend_yield_lookback_days=52, dividend_top_n=15, final_n=8, volatility_lookback_days=12, universe=UNIVERSE)
@@ -27,14 +29,19 @@ class Market:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @property
+    @cached_property
     def securities_count(self) -> int:
         """Number of securities: an upper bound on any date's cross-section (file metadata only)."""
         return self.table("supplier").count()
 
+    def small(self, dim: DataFrame) -> DataFrame:
+        """The security dimension, hinted for broadcast only below the row limit."""
+        return F.broadcast(dim) if self.securities_count <= BROADCAST_ROWS else dim
+
     def securities(self) -> DataFrame:
         return self.table("supplier").select(
             F.col("s_suppkey").alias("security_id"), symbol_of(F.col("s_suppkey")).alias("symbol"), "s_acctbal"
@@ -57,7 +64,7 @@ class Market:
         )
 
     def price(self) -> DataFrame:
-        joined = self.weekly().join(sized_dimension(self.securities()), "security_id")
+        joined = self.weekly().join(self.small(self.securities()), "security_id")
         return joined.select(
             "date", "symbol", (F.col("cents").cast("double") / F.col("qty").cast("double") / 100.0).alias("close"),
             (F.col("cents").cast("double") / 100.0).alias("amount"), F.col("qty").alias("volume"),
@@ -169,7 +176,8 @@ def shown(df: DataFrame, **digits: int) -> DataFrame:
         elif kind in ("int", "smallint", "tinyint"):
             column = column.cast("long")
         elif name in digits:
-            column = F.round(column.cast("double"), digits[name]) + F.lit(0.0)
+            # A small shift keeps exact halves from being rounded differently by the two engines.
+            column = F.round(column.cast("double") + F.lit(10.0 ** -(digits[name] + 3)), digits[name]) + F.lit(0.0)
         elif kind == "float":
             column = column.cast("double")
         columns.append(column.alias(name))

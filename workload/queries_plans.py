@@ -153,9 +153,9 @@ def low_volatility_metrics(m):
     return shown(out, annual_return=6, annual_vol=6, sharpe=6, max_drawdown=6, win_rate=6)
 
 
-@query("portfolio_nav", parts("SELECT CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(nav, 6) + 0.0 AS total_return_index FROM nav", _LOWVOL_PARTS))
+@query("portfolio_nav", parts("SELECT CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(ln(nav), 8) + 0.0 AS log_index FROM nav", _LOWVOL_PARTS))
 def portfolio_nav(m):
-    return shown(low_volatility_portfolio(m).select("date", "total_return", "total_return_index"), total_return=8, total_return_index=6)
+    return shown(_logged(low_volatility_portfolio(m).select("date", "total_return", "total_return_index")), **_NAV_ROUND)
 
 
 _COST_PARTS = {**_LOWVOL_PARTS, "flows": """
@@ -276,20 +276,26 @@ def annual_rebalanced_index(m):
 
 
 _MONTHLY = nav_parts("SELECT 'm' AS portfolio, date, symbol, weight FROM chosen")
-_NAV_SQL = "SELECT CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(nav, 6) + 0.0 AS total_return_index FROM nav"
-_NAV_ROUND = dict(total_return=8, total_return_index=6)
+_NAV_SQL = "SELECT CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(ln(nav), 8) + 0.0 AS log_index FROM nav"
+_NAV_ROUND = dict(total_return=8, log_index=8)
+
+
+def _logged(df, column="total_return_index", name="log_index"):
+    """Index values in logs: returns of the derived prices are large."""
+    return df.withColumn(name, F.ln(column)).drop(column)
+
 
 
 @query("monthly_index", parts(_NAV_SQL, _MONTHLY))
 def monthly_index(m):
     nav, _ = index.monthly_index(*_inputs(m), START, END, SELECTION, m.factors(), m.factor_coverage(), **_kw(m))
-    return shown(nav, **_NAV_ROUND)
+    return shown(_logged(nav), **_NAV_ROUND)
 
 
 @query("hf_monthly_index", parts(_NAV_SQL, nav_parts("SELECT 'm' AS portfolio, date, symbol, weight FROM hf_chosen")))
 def hf_monthly_index(m):
     nav, _ = index.intraday_monthly_index(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage(), **_kw(m))
-    return shown(nav, **_NAV_ROUND)
+    return shown(_logged(nav), **_NAV_ROUND)
 
 
 def _group_parts(rows: str) -> dict[str, str]:
@@ -324,7 +330,7 @@ _TRADITIONAL = _group_parts("""
     SELECT 'all_a' AS pool, date, symbol, volatility_240d AS factor FROM vols WHERE date IN (SELECT as_of_date FROM as_of)
     UNION ALL SELECT 'dividend_pool', date, symbol, volatility_240d FROM universe""")
 _HF = _group_parts("SELECT 'candidates' AS pool, date, symbol, minute_return_volatility AS factor FROM hf_candidates")
-_GROUP_SQL = 'SELECT pool, g AS "group", CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(nav, 6) + 0.0 AS nav FROM gnav'
+_GROUP_SQL = 'SELECT pool, g AS "group", CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(ln(nav), 8) + 0.0 AS log_nav FROM gnav WHERE g > 0'
 _GIC_SQL = "SELECT pool, CAST(date AS VARCHAR) AS date, round(ic, 8) + 0.0 AS ic, round(rank_ic, 8) + 0.0 AS rank_ic FROM gic"
 
 
@@ -338,7 +344,8 @@ def _intraday_groups(m):
 
 @query("traditional_group_indices", parts(_GROUP_SQL, _TRADITIONAL))
 def traditional_group_indices(m):
-    return shown(_traditional(m)[0], total_return=8, nav=6)
+    navs = _traditional(m)[0].filter(F.col("group") > 0)
+    return shown(_logged(navs, "nav", "log_nav"), total_return=8, log_nav=8)
 
 
 @query("traditional_group_ic", parts(_GIC_SQL, _TRADITIONAL))
@@ -348,7 +355,8 @@ def traditional_group_ic(m):
 
 @query("hf_group_indices", parts(_GROUP_SQL, _HF))
 def hf_group_indices(m):
-    return shown(_intraday_groups(m)[0], total_return=8, nav=6)
+    navs = _intraday_groups(m)[0].filter(F.col("group") > 0)
+    return shown(_logged(navs, "nav", "log_nav"), total_return=8, log_nav=8)
 
 
 @query("hf_group_ic", parts(_GIC_SQL, _HF))
@@ -356,9 +364,10 @@ def hf_group_ic(m):
     return shown(_intraday_groups(m)[1], ic=8, rank_ic=8)
 
 
-@query("group_long_short", parts("SELECT pool, CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return FROM gall WHERE g = 0", _TRADITIONAL))
+@query("group_long_short", parts("SELECT pool, CAST(date AS VARCHAR) AS date, round(r, 8) + 0.0 AS total_return, round(ln(abs(nav)), 8) + 0.0 AS log_nav FROM gnav WHERE g = 0", _TRADITIONAL))
 def group_long_short(m):
-    return shown(_traditional(m)[0].filter(F.col("group") == 0).select("pool", "date", "total_return"), total_return=8)
+    spread = _traditional(m)[0].filter(F.col("group") == 0)
+    return shown(spread.select("pool", "date", "total_return", F.ln(F.abs("nav")).alias("log_nav")), total_return=8, log_nav=8)
 
 
 # ---- timing ----------------------------------------------------------------------

@@ -126,7 +126,7 @@ def view_index_daily(m):
 
 
 def _keyed(m, df):
-    return df.join(views.sized_dimension(m.securities().select("security_id", "symbol")), "symbol").drop("symbol")
+    return df.join(m.small(m.securities().select("security_id", "symbol")), "symbol").drop("symbol")
 
 
 @query("view_adjust_factor", parts("""
