@@ -91,14 +91,16 @@ def portfolio_nav(
         raise ValueError("fees must not be negative")
     if "portfolio" not in weights.columns:
         weights = weights.withColumn("portfolio", F.lit("portfolio"))
+    # Both feed several branches below.
+    weights = durable(weights, "weights")
+    valuation = durable(market_calendar(prices if dates is None else dates), "dates")
     if validate:
         check_weights(weights, prices)
-    valuation = market_calendar(prices if dates is None else dates)
     if validate:
         off = weights.select("date").distinct().join(valuation, "date", "left_anti")
         quality.require_empty(off, "target weight dates must be valuation dates")
 
-    holdings = durable(holdings_by_date(weights, valuation), "holdings")
+    holdings = holdings_by_date(weights, valuation)
     if execution_price is None:
         marked = with_marks(holdings, prices).withColumn("_close_ratio", F.lit(1.0))
     else:
