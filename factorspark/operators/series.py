@@ -20,6 +20,25 @@ def pct_change(value: Column | str, window: WindowSpec) -> Column:
     return F.try_divide(column, F.lag(column).over(window)) - F.lit(1.0)
 
 
+def trailing(function, value: Column, order: WindowSpec, back: int, *, by_range: bool = False) -> Column:
+    """``sum`` or ``count`` of the last ``back`` rows (or order units) as a difference.
+
+    Both frames start at the first row, so each row is added once to each of them; a
+    frame that slides would be summed anew for every row, ``back`` times the work.
+    """
+    start = Window.unboundedPreceding
+    now = order.rangeBetween(start, 0) if by_range else order.rowsBetween(start, 0)
+    gone = order.rangeBetween(start, -back) if by_range else order.rowsBetween(start, -back)
+    return F.coalesce(function(value).over(now), F.lit(0)) - F.coalesce(function(value).over(gone), F.lit(0))
+
+
+def trailing_avg(value: Column, order: WindowSpec, back: int, *, by_range: bool = False) -> Column:
+    """Mean of the non-null values of the last ``back`` rows (or order units)."""
+    return F.try_divide(
+        trailing(F.sum, value, order, back, by_range=by_range), trailing(F.count, value, order, back, by_range=by_range)
+    )
+
+
 def rolling_volatility(df: DataFrame, lookback: int, value: str = "close", keys: list[str] | None = None,
                        date: str = "date", name: str = "volatility") -> DataFrame:
     """Sample deviation of the ``lookback - 1`` returns between the last positive values."""

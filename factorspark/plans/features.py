@@ -15,6 +15,7 @@ from ..functions import quality
 from ..functions.calendar import market_calendar
 from ..functions.values import DIVIDEND_AFTER_TAX_RATIO
 from ..operators.asof import valid_shares
+from ..operators.series import trailing, trailing_avg
 
 
 def valid_price(price: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def quote_features(
 
     # Order matters for the plan: the first sort also serves the trailing-year range.
     seen = Window.partitionBy("symbol").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    trailing = Window.partitionBy("symbol").orderBy("day").rangeBetween(-364, 0)
+    by_day = Window.partitionBy("symbol").orderBy("day")
     this_year = Window.partitionBy("symbol", "year").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
     years = Window.partitionBy("symbol").orderBy("year")
     tax = F.lit(DIVIDEND_AFTER_TAX_RATIO)
@@ -99,7 +100,13 @@ def quote_features(
         "*",
         F.last(F.when(F.col("kind") == 0, published), ignorenulls=True).over(seen).alias("_shares"),
         F.coalesce(F.last("factor", ignorenulls=True).over(seen), F.lit(1.0)).alias("_factor"),
-    ).withColumn("_ttm", F.sum("cash").over(trailing))
+    )
+    # A year without any payment is exactly zero, whatever the rounding of the sums.
+    known = known.withColumn(
+        "_ttm",
+        F.when(trailing(F.count, F.col("cash"), by_day, 365, by_range=True) > 0, trailing(F.sum, F.col("cash"), by_day, 365, by_range=True))
+        .otherwise(0.0),
+    )
     known = known.withColumn("cash_year_0", F.coalesce(F.sum("cash").over(this_year), F.lit(0.0)) * tax)
     for back in range(1, dividend_years + 1):
         frame = years.rangeBetween(-back, -back)
@@ -110,21 +117,19 @@ def quote_features(
         F.col("_shares.publish_date").alias("publish_date"), F.col("_shares.total_shares").alias("total_shares"),
         (F.col("close") * F.col("_shares.total_shares")).alias("total_market_cap"),
         (F.col("close") * F.col("_factor")).alias("adjusted_close"),
-        (F.coalesce(F.col("_ttm"), F.lit(0.0)) * tax).alias("dividend_cash_ttm"),
+        (F.col("_ttm") * tax).alias("dividend_cash_ttm"),
         *[f"cash_year_{back}" for back in range(dividend_years + 1)],
     ).withColumn("dividend_yield_ttm", F.col("dividend_cash_ttm") / F.col("close"))
 
     # All quote windows share the order (symbol, market date).
     order = Window.partitionBy("symbol").orderBy("market_index")
-    markets = order.rangeBetween(-(cap_lookback - 1), 0)
-    quotes_back = order.rowsBetween(-(yield_lookback - 1), 0)
     out = rows.select(
         "*",
         F.row_number().over(order).alias("observation_count"),
-        F.avg("total_market_cap").over(markets).alias("avg_market_cap_240d"),
-        F.avg("amount").over(markets).alias("avg_amount_240d"),
-        F.avg("dividend_yield_ttm").over(quotes_back).alias("_yield"),
-        F.try_divide(F.col("adjusted_close"), F.lag("adjusted_close").over(order)).alias("_growth"),
+        trailing_avg(F.col("total_market_cap"), order, cap_lookback, by_range=True).alias("avg_market_cap_240d"),
+        trailing_avg(F.col("amount"), order, cap_lookback, by_range=True).alias("avg_amount_240d"),
+        trailing_avg(F.col("dividend_yield_ttm"), order, yield_lookback).alias("_yield"),
+        (F.try_divide(F.col("adjusted_close"), F.lag("adjusted_close").over(order)) - 1.0).alias("_return"),
     )
     out = out.withColumn(
         "avg_dividend_yield_3y", F.when(F.col("observation_count") >= yield_lookback, F.col("_yield"))
@@ -133,11 +138,9 @@ def quote_features(
         last_returns = order.rowsBetween(-(volatility_lookback - 2), 0)
         out = out.withColumn(
             "volatility_240d",
-            F.when(
-                F.col("observation_count") >= volatility_lookback, F.stddev_samp(F.col("_growth") - 1.0).over(last_returns)
-            ),
+            F.when(F.col("observation_count") >= volatility_lookback, F.stddev_samp("_return").over(last_returns)),
         )
-    return out.drop("_yield", "_growth")
+    return out.drop("_yield", "_return")
 
 
 def shifted_year(date: Column) -> Column:

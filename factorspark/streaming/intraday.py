@@ -14,10 +14,11 @@ def stream_daily_volatility(bars: DataFrame, *, delay: str = "1 hour", min_bars:
     Repeated minutes are dropped within the watermark; a day is emitted when the
     watermark passes its end, later bars are dropped and counted by Spark. The
     state of a day holds at most its minutes; returns are formed in time order from
-    the day's sorted bars and never cross a day.
+    the day's sorted bars and never cross a day. Naive times are read in the session
+    time zone, as watermarks need instants; the days are those of the same zone.
     """
     once = (
-        bars.select("symbol", "datetime", F.col("close").cast("double").alias("close"))
+        bars.select("symbol", F.col("datetime").cast("timestamp").alias("datetime"), F.col("close").cast("double").alias("close"))
         .withWatermark("datetime", delay)
         .dropDuplicatesWithinWatermark(["symbol", "datetime"])
     )
