@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 
 def merge_intervals(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Merge overlapping or adjacent (next day) ranges of each key."""
@@ -58,14 +60,16 @@ def ranges_cover(requests: DataFrame, completed: DataFrame, keys: list[str],
                  start: str = "start", end: str = "end") -> DataFrame:
     """Whether completed ranges contain each requested range without a hole.
 
-    After merging, a request is covered exactly when one merged range holds it.
+    After merging, a request is covered exactly when the merged range that starts
+    last on or before it also reaches its end, so one as-of match per request decides.
     """
     islands = merge_intervals(completed, keys, start, end).select(
         *keys, F.col(start).alias("_s"), F.col(end).alias("_e")
     )
-    joined = requests.select(*keys, start, end).distinct().join(islands, keys, "left")
-    holds = (F.col("_s") <= F.col(start)) & (F.col("_e") >= F.col(end))
-    return joined.groupBy(*keys, start, end).agg(F.max(F.coalesce(holds, F.lit(False))).alias("covered"))
+    matched = asof_join(
+        requests.select(*keys, start, end).distinct(), islands, by=keys, left_on=start, right_on="_s", values=["_e"]
+    )
+    return matched.select(*keys, start, end, F.coalesce(F.col("_e") >= F.col(end), F.lit(False)).alias("covered"))
 
 
 def split_range_months(ranges: DataFrame, months: int, start: str = "start", end: str = "end") -> DataFrame:

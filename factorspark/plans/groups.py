@@ -17,7 +17,7 @@ from .universe import dividend_universe
 
 
 def equal_weights(members: DataFrame) -> DataFrame:
-    """Equal weights within each (portfolio, date)."""
+    """Equal weights within each (portfolio, date); the sizes are one row per group and date."""
     sizes = members.groupBy("portfolio", "date").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
     return members.select("portfolio", "date", "symbol").join(F.broadcast(sizes), ["portfolio", "date"])
 

@@ -72,15 +72,15 @@ def index_segments(price: DataFrame, dividends: DataFrame, members: DataFrame, *
     )
     if validate:
         quality.require_rules(held, {"no price on or before the effective date": F.col("_p0").isNull()}, "constituents")
-    quantities = held.select("segment", "symbol", (F.col("weight") / F.col("_p0")).alias("_q"))
+    quantities = held.select("segment", "symbol", "effective_date", "end_date", (F.col("weight") / F.col("_p0")).alias("_q"))
 
+    # Price changes are already partitioned by symbol, so this join moves only the members.
     order = Window.partitionBy("symbol").orderBy("date")
     changes = prices.select("symbol", "date", (F.col("close") - F.lag("close").over(order)).alias("_change"))
-    later = segment_dates.filter(F.col("date") > F.col("effective_date")).select("segment", "date")
-    moved = (
-        changes.join(F.broadcast(later), "date").join(quantities, ["segment", "symbol"])
-        .groupBy("segment", "date").agg(F.sum(F.col("_q") * F.col("_change")).alias("_move"))
+    inside = (
+        (changes["symbol"] == quantities["symbol"]) & (changes["date"] > quantities["effective_date"]) & (changes["date"] <= quantities["end_date"])
     )
+    moved = changes.join(quantities, inside).groupBy("segment", "date").agg(F.sum(F.col("_q") * F.col("_change")).alias("_move"))
 
     pay_days = asof_join(
         days.filter(F.col("day") > F.col("effective_date")).select("segment", "day"),
@@ -88,11 +88,14 @@ def index_segments(price: DataFrame, dividends: DataFrame, members: DataFrame, *
         right_on="_credit", values=["_credit"], direction="forward",
     ).filter(F.col("_credit").isNotNull())
     events = cash_events(dividends, "payment_date")
+    due = (
+        (events["symbol"] == quantities["symbol"]) & (events["date"] > quantities["effective_date"]) & (events["date"] <= quantities["end_date"])
+    )
     credited = (
-        events.join(F.broadcast(pay_days), events["date"] == pay_days["day"])
-        .select("segment", "symbol", F.col("_credit").alias("date"), "cash_per_share")
-        .join(quantities, ["segment", "symbol"])
-        .groupBy("segment", "date").agg(F.sum(F.col("_q") * F.col("cash_per_share")).alias("dividend_cash"))
+        events.join(quantities, due)
+        .groupBy("segment", F.col("date").alias("day")).agg(F.sum(F.col("_q") * F.col("cash_per_share")).alias("_paid"))
+        .join(pay_days, ["segment", "day"])
+        .groupBy("segment", F.col("_credit").alias("date")).agg(F.sum("_paid").alias("dividend_cash"))
     )
     base = members.groupBy("segment").agg(F.sum("weight").alias("_base"))
     by_segment = Window.partitionBy("segment").orderBy("date")
@@ -132,7 +135,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
         (F.row_number().over(order) == 1).alias("_first"),
     )
     return (
-        segments.join(F.broadcast(bases), "segment")
+        segments.join(bases, "segment")
         .filter(F.col("_first") | (F.col("date") > F.col("effective_date")))
         .select(
             "date", "price_return", "total_return", "dividend_cash", (F.col("price_index") * F.col("_pb")).alias("price_index"),
@@ -141,14 +144,19 @@ def chain_segments(segments: DataFrame) -> DataFrame:
     )
 
 
+def _once(constituents: DataFrame, written: bool) -> DataFrame:
+    """Constituents feed several branches; a validated selection is already written."""
+    return constituents if written else durable(constituents, "constituents")
+
+
 def annual_rebalanced_index(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                             start, end, rules: SelectionRules, *, rows_bound: int | None = None,
                             validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Index rebalanced each December and its constituents by effective date."""
     schedule = annual_schedule(distinct_dates(index_price(price)), start, end)
-    constituents = durable(select_constituents(
+    constituents = _once(select_constituents(
         price, dividends, dividend_queries, shares, schedule.select("as_of_date"), rules, rows_bound=rows_bound, validate=validate
-    ), "constituents")
+    ), validate)
     held = constituents.join(F.broadcast(schedule), "as_of_date")
     order = Window.orderBy("effective_date")
     ends = held.select("effective_date").distinct().select(
@@ -186,9 +194,9 @@ def monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: Data
                   validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly low-volatility dividend portfolio and its constituents."""
     as_of = month_end_as_of(price, start, end)
-    constituents = durable(select_constituents(
+    constituents = _once(select_constituents(
         price, dividends, dividend_queries, shares, as_of, rules, factors=factors, rows_bound=rows_bound, validate=validate
-    ), "constituents")
+    ), validate)
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 
@@ -199,9 +207,9 @@ def intraday_monthly_index(price: DataFrame, dividends: DataFrame, dividend_quer
                            validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly portfolio selected by the intraday-volatility factor, and its constituents."""
     as_of = month_end_as_of(price, start, end)
-    constituents = durable(select_intraday_constituents(
+    constituents = _once(select_intraday_constituents(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
-    ), "constituents")
+    ), validate)
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 

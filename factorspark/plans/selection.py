@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
@@ -65,10 +65,12 @@ def weigh(candidates: DataFrame, metric: str, final_n: int) -> DataFrame:
         candidates.filter(F.col(metric).isNotNull()), ["as_of_date"], [F.col(metric).asc(), F.col("symbol").asc()],
         final_n, "volatility_rank",
     )
-    totals = picked.groupBy("as_of_date").agg(
-        F.sum("avg_dividend_yield_3y").alias("_total"), F.count(F.lit(1)).alias("_picked")
-    ).filter((F.col("_picked") == final_n) & (F.col("_total") > 0))
-    return picked.join(F.broadcast(totals), "as_of_date").withColumn(
+    # After the cut a date holds at most final_n rows, still partitioned by date.
+    date = Window.partitionBy("as_of_date")
+    summed = picked.withColumns({
+        "_total": F.sum("avg_dividend_yield_3y").over(date), "_picked": F.count(F.lit(1)).over(date)
+    })
+    return summed.filter((F.col("_picked") == final_n) & (F.col("_total") > 0)).withColumn(
         "weight", F.col("avg_dividend_yield_3y") / F.col("_total")
     ).drop("_total", "_picked")
 
@@ -87,6 +89,7 @@ def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries
     )
     chosen = weigh(candidates, "volatility_240d", rules.final_n).select(*CONSTITUENT_COLUMNS)
     if validate:
+        chosen = durable(chosen, "constituents")
         require_filled(chosen, as_of, rules.final_n)
     return chosen
 
@@ -124,6 +127,7 @@ def select_intraday_constituents(price: DataFrame, dividends: DataFrame, dividen
     )
     chosen = weigh(candidates, "minute_return_volatility", rules.final_n).select(*INTRADAY_CONSTITUENT_COLUMNS)
     if validate:
+        chosen = durable(chosen, "constituents")
         require_filled(chosen, as_of, rules.final_n)
     return chosen
 

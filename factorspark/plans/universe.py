@@ -9,6 +9,7 @@ from ..functions import quality
 from ..operators import cross_section
 from ..operators.asof import calendar_date_on_or_after
 from ..operators.intervals import missing_years
+from ..session import durable
 from .features import check_price, quote_features, shifted_year, with_dividend_quality
 from .rules import UniverseRules
 
@@ -123,6 +124,8 @@ def dividend_universe(
         )
     passed = market_filter(features, as_of, rules, history, rows_bound=rows_bound)
     if validate:
+        # The check and the rest read the as-of rows; the features run once.
+        passed = durable(passed, "market-filter")
         quality.require_empty(
             coverage_gaps(passed, dividend_queries, rules.dividend_years), "Dividend query coverage missing for symbol-years"
         )

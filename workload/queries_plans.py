@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import calendar as cal
 from factorspark.operators import cross_section, intraday, series
+from factorspark.session import scratch_path
 from factorspark.plans import adjustment, features, groups, index, performance, portfolio, selection, timing, universe
 from factorspark.streaming.intraday import stream_daily_volatility
 
@@ -494,3 +495,20 @@ def rebase_curves(m):
     a = m.index_close().filter("month(date) <> 3").select(F.lit("a").alias("series_id"), "date", F.col("close").alias("value"))
     b = m.index_close().filter("month(date) <> 1").select(F.lit("b").alias("series_id"), "date", F.sqrt("close").alias("value"))
     return shown(performance.rebase_curves(a.unionByName(b)), value=6)
+
+
+@query("stream_intraday_vol", """
+    SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, round(stddev_samp(r), 4) + 0.0 AS volatility, count(*) AS bar_count,
+           count(r) AS return_count, CASE WHEN stddev_samp(r) IS NULL THEN 3 ELSE 1 END::BIGINT AS status
+    FROM (SELECT *, value / lag(value) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) - 1.0 AS r FROM events WHERE value > 0)
+    WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events WHERE value > 0) - INTERVAL 1 HOUR GROUP BY 1, 2""".replace("1, 2", "event_type, CAST(ts AS DATE)"))
+def stream_intraday_vol(m):
+    """Finished days of the events read as a stream; the last days stay in the state."""
+    out = scratch_path(m.spark, "stream")
+    events = m.table("events").schema
+    bars = m.spark.readStream.schema(events).parquet(f"{m.folder}/events*.parquet").filter("value > 0").select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"))
+    running = stream_daily_volatility(bars, delay="1 hour").writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    running.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start().awaitTermination()
+    days = m.spark.read.schema("symbol string, trade_date date, volatility double, bar_count int, return_count int, status int").parquet(f"{out}/rows")
+    return shown(days, volatility=4)
