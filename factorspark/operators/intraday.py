@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from ..functions.calendar import market_calendar
 from .asof import asof_join
 from .cross_section import neutralize
@@ -36,11 +37,34 @@ def conflicting_minutes(bars: DataFrame) -> DataFrame:
     )
 
 
-def normalize_minute_bars(bars: DataFrame) -> DataFrame:
+def check_minute_bars(bars: DataFrame, start=None, end=None) -> None:
+    """Raise for missing times, times outside the range, bad closes and conflicting minutes."""
+    time, close = F.col("datetime"), F.col("close").try_cast("double")
+    rules = {
+        "datetime is missing": time.isNull(),
+        "close is not positive": close.isNull() | F.isnan(close) | (close <= 0),
+    }
+    if start is not None:
+        rules["datetime is before the range"] = time.cast("date") < F.to_date(F.lit(str(start)))
+    if end is not None:
+        rules["datetime is after the range"] = time.cast("date") > F.to_date(F.lit(str(end)))
+    quality.require_rules(bars, rules, "minute bars")
+    quality.require_empty(conflicting_minutes(bars), "Minute bars contain conflicting duplicate timestamps")
+
+
+def days_off_calendar(bars: DataFrame, expected: DataFrame) -> DataFrame:
+    """(symbol, day) of bars that were not asked for."""
+    days = bars.select("symbol", F.col("datetime").cast("date").alias("trade_date")).distinct()
+    return days.join(expected.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+
+
+def normalize_minute_bars(bars: DataFrame, start=None, end=None, *, validate: bool = False) -> DataFrame:
     """Typed bars with equal duplicates collapsed by a combined aggregation.
 
-    Check ``conflicting_minutes`` first: minutes with different values are an error.
+    Minutes with different values are an error, found with ``validate``.
     """
+    if validate:
+        check_minute_bars(bars, start, end)
     typed = bars.select(
         "symbol", "datetime", *[F.col(c).try_cast("double").alias(c) for c in MINUTE_VALUES if c in bars.columns]
     )
@@ -70,6 +94,7 @@ def daily_volatility(bars: DataFrame, expected: DataFrame | None = None, *, min_
         F.count("_r").alias("return_count"),
     )
     if expected is not None:
+        # Bars of other days are dropped here; ``days_off_calendar`` lists them.
         daily = expected.select("symbol", "trade_date").distinct().join(daily, ["symbol", "trade_date"], "left")
     daily = daily.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("bar_count", "return_count")}

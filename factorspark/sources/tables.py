@@ -120,8 +120,10 @@ def record_ranges(target: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
 
 
 def intraday_writes(bars: DataFrame, expected: DataFrame, *, min_bars: int | None = None,
-                    retain_raw: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                    retain_raw: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw bars to keep, features of valid days, and the status of every day."""
+    if validate:
+        quality.require_empty(intraday.days_off_calendar(bars, expected), "Minute bars contain dates outside the trading calendar")
     daily = intraday.daily_volatility(bars, expected, min_bars=min_bars)
     features = daily.filter(F.col("status") == intraday.VALID).select(
         "symbol", "trade_date", F.col("volatility").cast("float").alias("volatility")

@@ -258,6 +258,12 @@ def test_equal_minutes_collapse_and_conflicts_are_listed(spark):
     bars = minutes(spark, [("A", "2024-01-02 09:31:00", 10.0), ("A", "2024-01-02 09:31:00", 10.0), ("B", "2024-01-02 09:31:00", 1.0), ("B", "2024-01-02 09:31:00", 2.0)])
     assert intraday.normalize_minute_bars(bars.filter("symbol = 'A'")).count() == 1
     assert rows(intraday.conflicting_minutes(bars).select("symbol", "row_count")) == [("B", 2)]
+    with pytest.raises(quality.DataQualityError, match="conflicting"):
+        intraday.normalize_minute_bars(bars, "2024-01-02", "2024-01-02", validate=True)
+    with pytest.raises(quality.DataQualityError, match="before the range"):
+        intraday.normalize_minute_bars(bars.filter("symbol = 'A'"), "2024-01-03", validate=True)
+    asked = spark.createDataFrame([("A", day("2024-01-02"))], "symbol string, trade_date date")
+    assert [r["symbol"] for r in intraday.days_off_calendar(bars, asked).collect()] == ["B"]
 
 
 def test_intraday_factor_is_orthogonal_to_size_and_needs_all_days(spark):
