@@ -46,7 +46,7 @@ def period_end_dates(df: DataFrame, date: str = "date", frequency: str = "M") ->
     )
 
 
-def second_friday_of_december(year) -> "F.Column":
+def second_friday_of_december(year) :
     """Second Friday of December of a year column."""
     november_end = F.make_date(year, F.lit(11), F.lit(30))
     return F.date_add(F.next_day(november_end, "FRI"), 7)

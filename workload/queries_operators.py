@@ -1,4 +1,8 @@
-"""Queries of the join, aggregation, window, top-k, set and interval operators."""
+"""Queries of the join, aggregation, window, top-k, set and interval operators.
+
+Conditions such as ``volume % 5`` or ``month(date) <> 3`` put invalid, missing or
+unmatched rows into the inputs; every query runs over the whole tables.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +20,6 @@ from .frames import START, shown, symbol_of
 from .registry import query
 from .sqlframes import parts
 
-D = "CAST({} AS VARCHAR) AS {}".format
-
 # ---- joins -----------------------------------------------------------------------
 
 

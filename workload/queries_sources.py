@@ -1,4 +1,8 @@
-"""Queries of the scan, view, cleaning and table-maintenance operators."""
+"""Queries of the scan, view, cleaning and table-maintenance operators.
+
+Conditions such as ``volume % 5`` put invalid or missing values into the whole
+table, or part it into an old and a new version; every query runs over all rows.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from factorspark.functions import values
 from factorspark.operators import intraday
 from factorspark.session import scratch_path
 from factorspark.sources import csv_sink, extracts, loading, tables, views
-from factorspark.sources.schemas import PB_FACTORS, dataset
+from factorspark.sources.schemas import PB_FACTORS, Dataset, dataset, struct
 
-from .frames import shown, symbol_of
+from .frames import shown
 from .registry import query
 from .sqlframes import parts
 
@@ -54,15 +58,9 @@ def canonicalize(m):
         F.when(F.col("l_linenumber") == 3, F.lit("bad")).otherwise(F.col("l_extendedprice").cast("string")).alias("close"),
         F.lit("1").alias("amount"), F.lit("1").alias("pe_ttm"), "l_orderkey", "l_linenumber",
     )
-    spec = dataset("stock_daily")
-    typed = loading.canonicalize(raw, spec)
-    # The declared columns drop the line key, so it is carried through as an extra projection.
-    keyed = raw.select("l_orderkey", "l_linenumber", *[
-        c for c in (
-            values.day("date").alias("date"), F.col("symbol"), F.col("close").try_cast(typed.schema["close"].dataType).alias("close"),
-        )
-    ])
-    return shown(keyed)
+    columns = "date date, symbol text, close float, amount double, pe_ttm float, l_orderkey long, l_linenumber long"
+    spec = Dataset("lines", struct(columns), ("l_orderkey", "l_linenumber"), ("date", "symbol", "close"))
+    return shown(loading.canonicalize(raw, spec).drop("amount", "pe_ttm"))
 
 
 @query("standardize_price", """
@@ -476,10 +474,7 @@ def _rows(sql: str) -> str:
     SELECT symbol, CAST((SELECT count(*) FROM supplier_symbols WHERE k % 2 = 0) + row_number() OVER (ORDER BY symbol) AS BIGINT)
     FROM supplier_symbols WHERE k % 2 = 1""", {"supplier_symbols": "SELECT s_suppkey AS k, printf('%06d.SH', s_suppkey) AS symbol FROM supplier"}))
 def assign_ids(m):
-    from pyspark.sql import Window
-
-    known = m.securities().filter("security_id % 2 = 0").select(
-        F.row_number().over(Window.orderBy("symbol")).cast("long").alias("id"), "symbol")
+    known = m.securities().filter("security_id % 2 = 0").select((F.col("security_id") / 2 + 1).cast("long").alias("id"), "symbol")
     return tables.assign_ids(known, m.price().select("symbol"), "symbol", "id")
 
 
