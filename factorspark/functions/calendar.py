@@ -7,7 +7,7 @@ numbered in one task or broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Period codes and the truncation units they stand for.
@@ -46,7 +46,7 @@ def period_end_dates(df: DataFrame, date: str = "date", frequency: str = "M") ->
     )
 
 
-def second_friday_of_december(year) :
+def second_friday_of_december(year: Column) -> Column:
     """Second Friday of December of a year column."""
     november_end = F.make_date(year, F.lit(11), F.lit(30))
     return F.date_add(F.next_day(november_end, "FRI"), 7)
