@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules
+from . import bpe, dedup, packing, quality_rules
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.components(read_table(spark, folder, "documents"))
