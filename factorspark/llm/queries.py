@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, quality_rules
+from . import bpe, byte_cnn, dedup, packing, quality_rules
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+@query
+def op3_byte_cnn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_cnn.judged(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
