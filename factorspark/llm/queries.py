@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, dedup, packing, quality_rules
+from . import bpe, byte_cnn, dedup, packing, quality_rules, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,35 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.components(read_table(spark, folder, "documents"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    return url_filter.judged(pages, url_filter.listed_of(pages))
+
+
+def _op10_sql() -> str:
+    """The exact answer without the Bloom filter: rules, then membership in the list of canonical URLs."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    name = verdict = "NULL"
+    for rule in sorted(url_filter.RULES, key=lambda r: (len(r.name), r.name)):
+        fits = f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{rule.name}' ELSE {name} END", f"CASE WHEN {fits} THEN '{rule.verdict}' ELSE {verdict} END"
+    words, parameters = "|".join(url_filter.LISTED_WORDS), "|".join(url_filter.LISTED_PARAMETERS)
+    return f"""
+    WITH rest AS (
+      SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+    hosts AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
+    parts AS (SELECT page_id, url, {lower.format('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+    keyed AS (
+      SELECT page_id, url, host, path, {name} AS rule, {verdict} AS ruled,
+             regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '([.]html|/)+$', '') AS canonical FROM parts),
+    listed AS (SELECT DISTINCT canonical FROM keyed
+               WHERE host <> '' AND (regexp_matches(host, '(^|[.-])({words})([.-]|$)') OR regexp_matches(url, '[?&]({parameters})=')))
+    SELECT k.page_id, k.host, k.path, k.rule, l.canonical IS NOT NULL AS listed,
+           COALESCE(k.ruled, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+    FROM keyed k LEFT JOIN listed l ON k.canonical = l.canonical AND k.ruled IS NULL AND k.host <> ''"""
+
+
+SQL["op10_url_filter"] = _op10_sql()
