@@ -217,6 +217,19 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     return arrow_map(rows, run, f"doc_id {kind}, score double")
 
 
+def filtered(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns, in one pass over the texts."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=2 << 20):
+            keep = scores(net, text_bytes(batch)) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
+
+    kept = arrow_map(rows, run, f"row {rows.schema['row'].dataType.simpleString()}")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def held_out() -> Column:
     """The third of the ids that is never learned from."""
     return F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))

@@ -294,3 +294,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = named.select("doc_id", "node", "n_shingles").join(classes, "node").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows without an id are kept."""
+    gone = components(docs, id_col, text_col, miss).where("doc_id is not null and not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -100,6 +100,18 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
+def _with_measures(docs: DataFrame, text_col: str) -> DataFrame:
+    """Whole rows as a struct ``row``, so that no name can clash, with their measurements."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            values = np.array([measure(t) for t in text_bytes(batch)], np.int64).reshape(batch.num_rows, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, i]) for i in range(len(MEASURES)))], ["row", *MEASURES])
+
+    return arrow_map(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
+
+
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         values = np.array([measure(t) for t in text_bytes(batch)], np.int64).reshape(batch.num_rows, len(MEASURES))
@@ -113,6 +125,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(rows, _measure_batches, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+def filtered(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns, in one pass over the texts."""
+    rows = _with_measures(docs, text_col)
+    return ledger(rows).where(~_base() & passes(policy)).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def ledger(measures: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The measurements with ``fail_bits``: bit ``rule.bit`` is set where the rule fails."""
     bits = F.lit(0).cast("long")
@@ -131,6 +149,10 @@ def passes(policy: str, policies: Mapping[str, Sequence[str]] = POLICIES, rules:
     return F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policies[policy], rules)).cast("long")) == 0
 
 
+def _base() -> Column:
+    return ~passes("base")
+
+
 def ablations(rows: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES, rules: Sequence[Rule] = RULES) -> DataFrame:
     """For each policy and each of its rules: rows failing it, rejected by it alone, and kept if it were dropped.
 
@@ -157,5 +179,4 @@ def ablations(rows: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES,
 def judged(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ledger of ``docs`` with ``base_failed`` and the policy's ``kept``."""
     rows = ledger(measured(docs, id_col, text_col))
-    base = ~passes("base")
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & passes(policy))
+    return rows.withColumn("base_failed", _base()).withColumn("kept", ~_base() & passes(policy))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, byte_cnn, dedup, packing, quality_rules, url_filter
-from .common import read_table
+from . import secrets as secret_scan
+from .common import durable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +27,14 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = durable(secret_scan.candidates(read_table(spark, folder, "documents")), "secret-candidates")
+    dictionary = secret_scan.dictionary_of(read_table(spark, folder, "benchmark"))
+    forest = secret_scan.trained(secret_scan.labelled(found), dictionary)
+    return secret_scan.judged(found, forest).select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, folder, "documents")).select(
