@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, dedup, neighbours, packing, quality_rules, url_filter
+from . import bpe, byte_cnn, dedup, neighbours, ngram_lm, packing, quality_rules, url_filter
 from . import secrets as secret_scan
 from .common import durable, read_table
 
@@ -61,6 +61,11 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.components(read_table(spark, folder, "documents"))
 
 
+@query
+def op7_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.judged(read_table(spark, folder, "documents"))
+
+
 @query
 def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, folder, "embeddings"))
