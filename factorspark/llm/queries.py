@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, dedup, neighbours, ngram_lm, packing, quality_rules, url_filter
+from . import bpe, byte_cnn, dedup, neighbours, ngram_lm, packing, quality_rules, quotation, url_filter
 from . import secrets as secret_scan
 from .common import durable, read_table
 
@@ -66,6 +66,45 @@ def op7_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.judged(read_table(spark, folder, "documents"))
 
 
+@query
+def op8_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return quotation.conversations(read_table(spark, folder, "conversations"))
+
+
+def _op8_sql() -> str:
+    levels, attribution = quotation.LEVELS, quotation.ATTRIBUTION
+    own = f"list_filter(string_split(text, chr(10)), x -> NOT regexp_matches(x, '{levels}') AND NOT regexp_matches(x, '{attribution}'))"
+    return f"""
+    WITH RECURSIVE lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    cut AS (
+      SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '{levels}', 1), '[^>]', '', 'g')) AS level,
+             trim(regexp_replace(lower(regexp_replace(line, '{levels}', '')), '[ \t\r\f\v]+', ' ', 'g')) AS passage FROM lines),
+    passages AS (SELECT * FROM cut WHERE length(passage) >= {quotation.LEAST}),
+    said AS (SELECT conv_id, passage, min(turn) AS source FROM passages WHERE level = 0 GROUP BY 1, 2),
+    votes AS (
+      SELECT q.conv_id, q.turn, q.level, s.source, sum(length(q.passage)) AS votes
+      FROM passages q JOIN said s ON q.conv_id = s.conv_id AND q.passage = s.passage WHERE q.level > 0 AND s.source < q.turn GROUP BY 1, 2, 3, 4),
+    linked AS (
+      SELECT conv_id, turn, source AS parent_turn
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, source DESC) AS place FROM votes) WHERE place = 1),
+    walk(conv_id, turn, parent_turn, root_turn, depth) AS (
+      SELECT conv_id, turn, parent_turn, parent_turn, 1 FROM linked
+      UNION ALL
+      SELECT w.conv_id, w.turn, w.parent_turn, l.parent_turn, w.depth + 1 FROM walk w JOIN linked l ON l.conv_id = w.conv_id AND l.turn = w.root_turn),
+    threads AS (SELECT conv_id, turn, min(parent_turn) AS parent_turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM walk GROUP BY 1, 2),
+    own AS (
+      SELECT c.conv_id, c.turn, c.role, t.parent_turn, COALESCE(t.root_turn, c.turn) AS root_turn, CAST(COALESCE(t.depth, 0) AS INTEGER) AS depth,
+             CASE WHEN regexp_matches(text, '(?m){levels}') THEN trim(array_to_string({own}, chr(10)), chr(10)) ELSE text END AS text
+      FROM conversations c LEFT JOIN threads t ON c.conv_id = t.conv_id AND c.turn = t.turn)
+    SELECT conv_id, turn, role, text, parent_turn, root_turn, depth,
+           row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+           '<|' || COALESCE(role, 'unknown') || '|>' || chr(10) || COALESCE(text, '') || chr(10) || '<|end|>' AS chat
+    FROM own"""
+
+
+SQL["op8_quotation_linking"] = _op8_sql()
+
+
 @query
 def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, folder, "embeddings"))
