@@ -73,7 +73,7 @@ def op8_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
 
 def _op8_sql() -> str:
     levels, attribution = quotation.LEVELS, quotation.ATTRIBUTION
-    own = f"list_filter(string_split(text, chr(10)), x -> NOT regexp_matches(x, '{levels}') AND NOT regexp_matches(x, '{attribution}'))"
+    own = f"list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{levels}') AND NOT regexp_matches(x, '{attribution}'))"
     return f"""
     WITH RECURSIVE lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     cut AS (
