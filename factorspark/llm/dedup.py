@@ -6,8 +6,8 @@
 3. A pair's signatures are compared batch by batch; it is given up as soon as the posterior probability of reaching the
    threshold is below the chosen miss probability. Survivors are verified on their full shingle sets.
 4. What is left are buckets whose nodes lie in different components. There, and only there, the nodes of
-   different components are compared with each other, in blocks of bounded size spread over tasks; only survivors leave
-   a block, and they are verified exactly too. Pairs inside one component need no comparison.
+   different components are compared with each other, in blocks of bounded size spread over tasks, each pair in the first band
+   it shares; survivors are verified exactly within the block. Pairs inside one component need no comparison.
 
 So no bucket is capped and no pair of a bucket is left out: each is linked, in one component already, or compared.
 
@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
 #: Nodes of a block in the comparison across components.
-BLOCK = 256
+BLOCK = 1024
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -163,6 +163,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "items"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    at = np.searchsorted(a, b)
+    shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return THRESHOLD[1] * shared >= THRESHOLD[0] * (len(a) + len(b) - shared)
+
+
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, items``: the full sets of the wanted nodes, taken anew from one whole text of each."""
+    keys = nodes.join(wanted, "node", "left_semi").select("text_key").distinct()
+    # Copies of a text meet within their task first.
+    once = docs.select("text", F.xxhash64("text").alias("text_key")).groupBy("text_key").agg(F.first("text").alias("text"))
+    return durable(arrow_map(once.join(keys, "text_key", "left_semi").select("text"), _sets, "node binary, items binary").dropDuplicates(["node"]), "near-sets")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (a, salt) with a's own set first; each further row is checked against it."""
     own, own_name = np.empty(0, np.uint64), None
@@ -176,9 +191,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if own_name != x:
                 raise RuntimeError("a pair came before its first set")
-            at = np.searchsorted(own, other)
-            shared = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-            if THRESHOLD[1] * shared >= THRESHOLD[0] * (len(own) + len(other) - shared):
+            if similar(own, other):
                 left.append(x), right.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
@@ -190,10 +203,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     pairs = durable(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = nodes.join(wanted, "node", "left_semi").select("text_key").distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi")
-    once = texts.groupBy("text_key").agg(F.first("text").alias("text")).select("text")
-    sets = durable(arrow_map(once, _sets, "node binary, items binary").dropDuplicates(["node"]), "near-sets")
+    sets = full_sets(wanted, nodes, docs)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)))
     first = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), "items", "salt")
     others = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "items", "salt")
@@ -224,42 +234,91 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, miss: float = MISS) -> DataFrame:
-    """Promising pairs of one bucket whose nodes lie in different components."""
-    needed = needed_matches(miss)
+BLOCK_ROW = "key long, i long, j long, own long, node binary, root binary, n_shingles long, sketch binary, bands array<long>"
+
+
+def _block_pairs(group: pa.RecordBatch, needed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of a block pair that are promising, in different components, and have no earlier band in common."""
     least, most = THRESHOLD
+    i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+    own = group.column(3).to_numpy()
+    number: dict[bytes, int] = {}
+    root = np.array([number.setdefault(r, len(number)) for r in group.column(5).to_pylist()])
+    size = group.column(6).to_numpy()
+    if i == j:
+        x, y = np.triu_indices(group.num_rows, 1)
+    else:
+        x, y = (v.ravel() for v in np.meshgrid(np.flatnonzero(own == i), np.flatnonzero(own == j), indexing="ij"))
+    keep = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * most >= np.maximum(size[x], size[y]) * least)
+    x, y = x[keep], y[keep]
+    if not len(x):
+        return x, y
+    alive = _promising_pairs(_matrix(group.column(7), HASHES), x, y, needed)
+    x, y = x[alive], y[alive]
+    bands = group.column(8).flatten().to_numpy().reshape(group.num_rows, BANDS)
+    first = np.empty(len(x), bool)
+    for at in range(0, len(x), 16384):
+        equal = bands[x[at:at + 16384]] == bands[y[at:at + 16384]]
+        first[at:at + 16384] = bands[x[at:at + 16384], equal.argmax(1)] == group.column(0)[0].as_py()
+    return x[first], y[first]
+
+
+def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """Links between nodes of one bucket that lie in different components.
+
+    Blocks of a bucket are compared by signatures first; nodes with a promising partner come back to their block with
+    their full sets and are verified there. A block returns at most one link for each of its nodes: links that join
+    nothing new are left out, so a large group never turns into its pairs.
+    """
+    needed = needed_matches(miss)
     rooted = durable(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.join(nodes.select("node", "n_shingles", "sketch", "bands"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "sketch")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "sketch", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            own = group.column(3).to_numpy()
-            name = group.column(4).to_pylist()
-            number: dict[bytes, int] = {}
-            root = np.array([number.setdefault(r, len(number)) for r in group.column(5).to_pylist()])
-            size = group.column(6).to_numpy()
-            sketch = _matrix(group.column(7), HASHES)
-            if i == j:
-                x, y = np.triu_indices(group.num_rows, 1)
-            else:
-                x, y = (v.ravel() for v in np.meshgrid(np.flatnonzero(own == i), np.flatnonzero(own == j), indexing="ij"))
-            keep = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * most >= np.maximum(size[x], size[y]) * least)
-            x, y = x[keep], y[keep]
-            out = _promising_pairs(sketch, x, y, needed)
-            if len(out):
-                ends = [(min(name[p], name[q]), max(name[p], name[q])) for p, q in zip(x[out].tolist(), y[out].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+            if group.num_rows > 1:
+                x, y = _block_pairs(group, needed)
+                if len(x):
+                    yield group.take(pa.array(np.union1d(x, y)))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            if group.num_rows > 1:
+                yield _block_links(group, *_block_pairs(group, needed))
 
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return arrow_map(rows, compare, "a binary, b binary").distinct()
+    hopeful = durable(arrow_map(rows, compare, BLOCK_ROW), "near-hopeful")
+    sets = full_sets(hopeful.select("node").distinct(), nodes, docs)
+    rows = hopeful.join(sets, "node").select(*hopeful.columns, "items").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return arrow_map(rows, verify, "a binary, b binary")
+
+
+def _block_links(group: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """The verified links among the pairs that join what no earlier one of the block joins."""
+    items = [np.frombuffer(raw, np.uint64) for raw in group.column(9).to_pylist()]
+    name = group.column(4).to_pylist()
+    number: dict[bytes, int] = {}
+    part = [number.setdefault(r, len(number)) for r in group.column(5).to_pylist()]
+    up = list(range(len(number)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    left, right = [], []
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = top(part[p]), top(part[q])
+        if a != b and similar(items[p], items[q]):
+            up[a] = b
+            left.append(name[p]), right.append(name[q])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
 def _promising_pairs(sketch: np.ndarray, x: np.ndarray, y: np.ndarray, needed: list[int], step: int = 16384) -> np.ndarray:
@@ -281,7 +340,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = durable(verified(promising(stars, nodes, miss), nodes, docs), "near-links")
     roots = connected(links)
-    more = durable(verified(across(members, nodes, roots, miss), nodes, docs), "near-links")
+    more = durable(across(members, nodes, roots, docs, miss), "near-links")
     # Old components shrink to their roots; the further links join the roots.
     by_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     by_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
