@@ -25,6 +25,11 @@ def finite(value: Column | str) -> Column:
     )
 
 
+def is_finite(value: Column | str) -> Column:
+    """True for a number that is neither null, NaN nor infinite; never null."""
+    return finite(value).isNotNull()
+
+
 def number(value: Column | str) -> Column:
     """Coerce to double; what cannot be read, and NaN, become null."""
     parsed = as_column(value).try_cast("double")

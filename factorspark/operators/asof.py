@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import finite
+
 
 def asof_join(
     left: DataFrame,
@@ -87,7 +89,7 @@ def latest_per_key_date(df: DataFrame, keys: list[str], order: list[Column]) ->
 
 def valid_shares(shares: DataFrame) -> DataFrame:
     """Positive share counts, one per (symbol, publish date), last by report date."""
-    kept = shares.filter(F.col("publish_date").isNotNull() & (F.col("total_shares") > 0))
+    kept = shares.filter(F.col("publish_date").isNotNull() & (finite("total_shares") > 0))
     order = [F.coalesce(F.col("report_date"), F.lit("9999-12-31").cast("date"))] if "report_date" in shares.columns else []
     return latest_per_key_date(kept, ["symbol", "publish_date"], [*order, F.col("total_shares")])
 

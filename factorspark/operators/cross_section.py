@@ -1,16 +1,15 @@
 """Per-date cross-sections: positions, top-k, groups, trimming, factors.
 
 A date's cross-section grows with the number of securities, so it must not be
-assumed to fit one task. Three rules hold here:
+assumed to fit one task. Three rules hold here, at every size:
 
 * statistics per date (means, deviations, regression sums, counts) are grouped
   aggregations, combined before the shuffle, and joined back from one row per date;
 * top-N with a fixed N filters on ``row_number() <= N``, which Spark limits on the
   map side before the shuffle;
-* exact positions of every row (ratios, quintiles, trims, ranks, medians) use one
-  window per date only while the largest date is known to be below
-  ``ROWS_PER_TASK``; above it the rows are range-partitioned over the whole cluster
-  and local positions are shifted by the counts of the earlier ranges.
+* exact positions of every row (ratios, quintiles, trims, ranks, medians) come from
+  one range partitioning of all rows over the whole cluster; positions within a
+  range are shifted by the counts of the earlier ranges.
 """
 
 from __future__ import annotations
@@ -18,97 +17,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import is_finite
 from ..session import durable
 
-ROWS_PER_TASK = 4_000_000
 
+def _offsets(cut: DataFrame, keys: list[str], rows: Column) -> DataFrame:
+    """Per (group, range): rows of the group in earlier ranges and in all of them.
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group, from one combined aggregation."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-
-
-def positions(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    *,
-    rows_bound: int | None = None,
-    position: str = "position",
-    size: str = "group_size",
-) -> DataFrame:
-    """Exact 1-based position of every row in its group and the group's size.
-
-    ``rows_bound`` is a known upper bound on the rows of one group, for example the
-    number of listed securities for a date; without it the largest group is counted.
-    """
-    bound = rows_bound if rows_bound is not None else largest_group(df, keys)
-    if bound <= ROWS_PER_TASK:
-        group = Window.partitionBy(*keys)
-        return df.withColumn(position, F.row_number().over(group.orderBy(*order))).withColumn(
-            size, F.count(F.lit(1)).over(group)
-        )
-    return _range_positions(df, keys, order, position, size)
-
-
-def _range_positions(df: DataFrame, keys: list[str], order: list[Column], position: str, size: str) -> DataFrame:
-    """Positions by range partitioning: no group is ever in one task.
-
-    The range-partitioned rows are written once so that counts and rows see the
-    same cut even after an executor is lost. Ranges follow the full order, so a
-    large run of equal values is split by the later order columns.
+    One row for each range of a group. Ranges are consecutive, so there are at
+    most ranges + groups of them.
     """
-    cut = durable(
-        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id())
-    )
-    counts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut.groupBy(*keys, "_range").agg(rows.alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    return counts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_range").alias("_o"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias(size),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    # One row per (range, group in that range): ranges are consecutive, so their
-    # number is at most ranges + groups. Left to the optimizer to broadcast by size.
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+
+
+def _with_offsets(cut: DataFrame, keys: list[str], rows: Column) -> DataFrame:
+    """``cut`` with ``_before`` and ``_total``; null keys are groups of their own."""
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = cut.withColumn("_local", local).join(offsets, [*same, F.col("_range") == F.col("_o")])
-    return joined.withColumn(position, (F.col("_before") + F.col("_local")).cast("int")).select(
-        *df.columns, position, size
+    return cut.join(_offsets(cut, keys, rows), [*same, F.col("_range") == F.col("_o")])
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows range-partitioned by group and order, with their range, written once.
+
+    Counts and rows see the same cut even after an executor is lost. Ranges follow
+    the full order, so a run of equal values is split by the later order columns.
+    """
+    return durable(
+        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
 
 
-def topk_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, *, symbol: str = "symbol",
-               rows_bound: int | None = None) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[Column], *, position: str = "position", size: str = "group_size") -> DataFrame:
+    """Exact 1-based position of every row in its group and the group's size (both long)."""
+    cut = _ranged(df, keys, order)
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    placed = _with_offsets(cut.withColumn("_local", local), keys, F.count(F.lit(1)))
+    return placed.withColumn(position, F.col("_before") + F.col("_local")).withColumn(size, F.col("_total")).select(*df.columns, position, size)
+
+
+def topk_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, *, symbol: str = "symbol") -> DataFrame:
     """Top ``floor(n * ratio)`` by metric descending, n counting non-null metrics only."""
-    ranked = positions(
-        df.filter(F.col(metric).isNotNull()), keys, [F.col(metric).desc(), F.col(symbol).asc()],
-        rows_bound=rows_bound, position="_p", size="_n",
-    )
+    ranked = positions(df.filter(F.col(metric).isNotNull()), keys, [F.col(metric).desc(), F.col(symbol).asc()], position="_p", size="_n")
     return ranked.filter(F.col("_p") <= F.floor(F.col("_n") * F.lit(float(ratio)))).drop("_p", "_n")
 
 
 def flag_top_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, name: str, *,
-                   symbol: str = "symbol", rows_bound: int | None = None) -> DataFrame:
+                   symbol: str = "symbol") -> DataFrame:
     """All rows, with whether each is in the top ratio of its non-null metrics.
 
     Null metrics sort after all others in descending order and are not counted, so
     the positions of the rest are unaffected.
     """
     counted = F.col(metric).isNotNull()
-    bound = rows_bound if rows_bound is not None else largest_group(df, keys)
-    if bound <= ROWS_PER_TASK:
-        group = Window.partitionBy(*keys)
-        place = F.row_number().over(group.orderBy(F.col(metric).desc_nulls_last(), F.col(symbol).asc()))
-        keep = F.floor(F.count(metric).over(group) * F.lit(float(ratio)))
-        return df.withColumn("_p", place).withColumn("_k", keep).withColumn(
-            name, counted & (F.col("_p") <= F.col("_k"))
-        ).drop("_p", "_k")
-    ranked = _range_positions(
-        df.withColumn("_null", ~counted), [*keys, "_null"],
-        [F.col(metric).desc_nulls_last(), F.col(symbol).asc()], "_p", "_n",
+    ranked = positions(
+        df.withColumn("_null", ~counted), [*keys, "_null"], [F.col(metric).desc_nulls_last(), F.col(symbol).asc()],
+        position="_p", size="_n",
     )
     return ranked.withColumn(
         name, counted & (F.col("_p") <= F.floor(F.col("_n") * F.lit(float(ratio))))
@@ -121,31 +91,30 @@ def topk_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: st
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int = 5, symbol: str = "symbol",
-                    minimum: int = 5, rows_bound: int | None = None) -> DataFrame:
+def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int = 5, symbol: str = "symbol") -> DataFrame:
     """Balanced groups ``floor(i * groups / n) + 1`` by ascending (factor, symbol).
 
-    Rows without a finite factor are left out, and so are groups with fewer than
-    ``minimum`` names.
+    Rows without a finite factor are left out. Dates with fewer names than groups
+    are kept, with some groups empty; ``too_small`` lists them.
     """
-    usable = df.filter(
-        F.col(factor).isNotNull() & ~F.isnan(factor) & (F.abs(F.col(factor)) < F.lit(float("inf")))
-    )
-    ranked = positions(
-        usable, keys, [F.col(factor).asc(), F.col(symbol).asc()], rows_bound=rows_bound, position="_p", size="_n"
-    ).filter(F.col("_n") >= minimum)
+    ranked = positions(df.filter(is_finite(factor)), keys, [F.col(factor).asc(), F.col(symbol).asc()], position="_p", size="_n")
     return ranked.withColumn(
         "group", (F.floor((F.col("_p") - 1) * groups / F.col("_n")) + 1).cast("int")
     ).drop("_p", "_n")
 
 
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, ratio: float, *, symbol: str = "symbol",
-                 rows_bound: int | None = None) -> DataFrame:
+def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = None) -> DataFrame:
+    """Groups with fewer than ``least`` rows (with a finite ``value``, if given), with their counts."""
+    usable = F.count(F.lit(1)) if value is None else F.count_if(is_finite(value))
+    return df.groupBy(*keys).agg(usable.alias("names")).filter(F.col("names") < least)
+
+
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, ratio: float, *, symbol: str = "symbol") -> DataFrame:
     """Mean after dropping ``floor(n * ratio)`` rows on each side, with both counts."""
     if not 0 <= ratio < 0.5:
         raise ValueError("ratio must be in [0, 0.5)")
     ranked = positions(
-        df, keys, [F.col(value).asc(), F.col(symbol).asc()], rows_bound=rows_bound, position="_p", size="_n"
+        df, keys, [F.col(value).asc(), F.col(symbol).asc()], position="_p", size="_n"
     ).withColumn("_t", F.floor(F.col("_n") * F.lit(float(ratio))))
     inside = (F.col("_p") > F.col("_t")) & (F.col("_p") <= F.col("_n") - F.col("_t"))
     return ranked.groupBy(*keys).agg(
@@ -155,38 +124,27 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, ratio: float, *, sy
     )
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str, *, rows_bound: int | None = None) -> DataFrame:
-    """Average rank of every row, equal values sharing the mean of their positions."""
-    bound = rows_bound if rows_bound is not None else largest_group(df, keys)
-    if bound <= ROWS_PER_TASK:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-        return df.withColumn(name, first + (ties - 1) / 2)
-    # Equal values are counted before ranking, so a value held by many rows is one row.
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Average rank of every row, equal values sharing the mean of their positions.
+
+    Equal values are counted before ranking, so a value held by many rows is one
+    row there. Null values rank first, null keys are groups, and no row is lost.
+    """
     distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cut = durable(
-        distinct.repartitionByRange(*[F.col(k).asc() for k in keys], F.col(value).asc())
-        .withColumn("_range", F.spark_partition_id())
-    )
-    totals = cut.groupBy(*keys, "_range").agg(F.sum("_c").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    cut = _ranged(distinct, keys, [F.col(value).asc()])
     local = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
-        cut.withColumn("_local", F.coalesce(F.sum("_c").over(local), F.lit(0)))
-        .join(offsets, [*keys, "_range"])
-        .select(*keys, value, (F.col("_before") + F.col("_local") + (F.col("_c") + 1) / 2).alias(name))
+    placed = _with_offsets(cut.withColumn("_local", F.coalesce(F.sum("_c").over(local), F.lit(0))), keys, F.sum("_c"))
+    ranks = placed.select(
+        *[F.col(k).alias(f"_g{i}") for i, k in enumerate([*keys, value])],
+        (F.col("_before") + F.col("_local") + (F.col("_c") + 1) / 2).alias(name),
     )
-    return df.join(ranks, [*keys, value])
+    same = [df[k].eqNullSafe(ranks[f"_g{i}"]) for i, k in enumerate([*keys, value])]
+    return df.join(ranks, same).select(*[df[c] for c in df.columns], name)
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str, *, rows_bound: int | None = None) -> DataFrame:
+def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median of non-null values, one row per group."""
-    kept = df.filter(F.col(value).isNotNull())
-    bound = rows_bound if rows_bound is not None else largest_group(kept, keys)
-    if bound <= ROWS_PER_TASK:
-        return kept.groupBy(*keys).agg(F.median(value).alias(name))
-    ranked = positions(kept, keys, [F.col(value).asc()], rows_bound=bound, position="_p", size="_n")
+    ranked = positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value).asc()], position="_p", size="_n")
     middle = ranked.filter(
         (F.col("_p") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_p") == F.ceil((F.col("_n") + 1) / 2))
     )
@@ -194,7 +152,7 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str, *, rows_
 
 
 def winsor_zscore(df: DataFrame, value: str = "factor", keys: list[str] | None = None, *, winsor_n: float | None = 3.0,
-                  zscore: bool = True, rows_bound: int | None = None) -> DataFrame:
+                  zscore: bool = True) -> DataFrame:
     """Clip to median +- n * MAD per date, then standardize with population deviation.
 
     A zero MAD leaves values unclipped; a zero deviation gives zero scores.
@@ -202,20 +160,19 @@ def winsor_zscore(df: DataFrame, value: str = "factor", keys: list[str] | None =
     keys = keys or ["date"]
     out = df
     if winsor_n is not None:
-        bound = rows_bound if rows_bound is not None else largest_group(df, keys)
-        medians = group_median(df, keys, value, "_median", rows_bound=bound)
-        centred = out.join(F.broadcast(medians), keys, "left").withColumn(
+        medians = group_median(df, keys, value, "_median")
+        centred = out.join(medians, keys, "left").withColumn(
             "_deviation", F.abs(F.col(value) - F.col("_median"))
         )
-        mads = group_median(centred, keys, "_deviation", "_mad", rows_bound=bound)
+        mads = group_median(centred, keys, "_deviation", "_mad")
         reach = F.lit(float(winsor_n)) * F.col("_mad")
         clipped = F.greatest(F.least(F.col(value), F.col("_median") + reach), F.col("_median") - reach)
-        out = centred.join(F.broadcast(mads), keys, "left").withColumn(
+        out = centred.join(mads, keys, "left").withColumn(
             value, F.when(F.col(value).isNotNull() & (F.col("_mad") > 0), clipped).otherwise(F.col(value))
         ).drop("_median", "_deviation", "_mad")
     if zscore:
         stats = out.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-        out = out.join(F.broadcast(stats), keys, "left").withColumn(
+        out = out.join(stats, keys, "left").withColumn(
             value,
             F.when(F.col("_std") > 0, F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))).otherwise(
                 F.col(value) * 0.0
@@ -224,17 +181,17 @@ def winsor_zscore(df: DataFrame, value: str = "factor", keys: list[str] | None =
     return out
 
 
-def neutralize(df: DataFrame, keys: list[str], y: str, x: str, name: str, minimum: int = 1) -> DataFrame:
-    """Residual of ``y`` on a constant and ``x`` per group of at least ``minimum`` rows.
+def neutralize(df: DataFrame, keys: list[str], y: str, x: str, name: str) -> DataFrame:
+    """Residual of ``y`` on a constant and ``x`` per group.
 
-    With a constant ``x`` the fit is the mean. One row per date is broadcast back.
+    With a constant ``x``, or a single row, the fit is the mean; ``too_small`` lists
+    the groups that a caller holds too small.
     """
     fit = df.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("_slope"), F.avg(y).alias("_my"), F.avg(x).alias("_mx"),
-        F.count(F.lit(1)).alias("_rows"),
-    ).filter(F.col("_rows") >= minimum)
+    )
     fitted = F.col("_my") + F.coalesce(F.col("_slope"), F.lit(0.0)) * (F.col(x) - F.col("_mx"))
-    return df.join(F.broadcast(fit), keys).withColumn(name, F.col(y) - fitted).drop("_slope", "_my", "_mx", "_rows")
+    return df.join(fit, keys).withColumn(name, F.col(y) - fitted).drop("_slope", "_my", "_mx")
 
 
 def safe_correlation(left: str, right: str) -> Column:
@@ -247,15 +204,13 @@ def safe_correlation(left: str, right: str) -> Column:
 
 
 def information_coefficients(pairs: DataFrame, keys: list[str], factor: str = "factor",
-                             forward: str = "forward_return", *, rows_bound: int | None = None) -> DataFrame:
+                             forward: str = "forward_return") -> DataFrame:
     """Pearson and rank correlation of factor and next-period return per group.
 
     Groups that keep no complete pair still get a row with null correlations.
     """
     complete = pairs.filter(F.col(factor).isNotNull() & F.col(forward).isNotNull())
-    bound = rows_bound if rows_bound is not None else largest_group(complete, keys)
-    ranked = average_rank(complete, keys, factor, "_rf", rows_bound=bound)
-    ranked = average_rank(ranked, keys, forward, "_rr", rows_bound=bound)
+    ranked = average_rank(average_rank(complete, keys, factor, "_rf"), keys, forward, "_rr")
     values = ranked.groupBy(*keys).agg(
         safe_correlation(factor, forward).alias("ic"), safe_correlation("_rf", "_rr").alias("rank_ic")
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quality
+
 from .asof import asof_join
 
 
@@ -33,27 +35,33 @@ def merge_intervals(ranges: DataFrame, keys: list[str], start: str = "start", en
 
 def missing_ranges(requests: DataFrame, completed: DataFrame, keys: list[str],
                    start: str = "start", end: str = "end") -> DataFrame:
-    """Parts of each requested range that no completed range covers."""
+    """Parts of each requested range that no completed range covers.
+
+    The gaps of a key are what lies between its merged ranges, one before each and
+    one after the last. Requests and gaps are cut into calendar years, so they meet on
+    (key, year) only where both reach; a year holds at most 183 gaps of a key.
+    """
     wanted = requests.filter(F.col(start) <= F.col(end)).select(
         *keys, F.col(start).alias("request_start"), F.col(end).alias("request_end")
     ).distinct()
-    islands = merge_intervals(completed, keys, start, end).select(
-        *keys, F.col(start).alias("_s"), F.col(end).alias("_e")
-    )
-    inside = wanted.join(islands, keys).filter(
-        (F.col("_e") >= F.col("request_start")) & (F.col("_s") <= F.col("request_end"))
-    )
-    # A closing row just past the request turns the tail into one more gap before a range.
-    closing = wanted.withColumn("_s", F.date_add("request_end", 1)).withColumn("_e", F.lit(None).cast("date"))
-    walk = Window.partitionBy(*keys, "request_start", "request_end").orderBy("_s")
-    gaps = inside.unionByName(closing).select(
+    islands = merge_intervals(completed, keys, start, end).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    # Gaps are bounded by the requests of their key.
+    spans = wanted.groupBy(*keys).agg(F.min("request_start").alias("_low"), F.max("request_end").alias("_high"))
+    edges = islands.join(spans, keys).filter((F.col("_e") >= F.col("_low")) & (F.col("_s") <= F.col("_high"))).select(*keys, "_s", "_e")
+    closing = spans.select(*keys, F.date_add("_high", 1).alias("_s"), F.lit(None).cast("date").alias("_e"))
+    walk = Window.partitionBy(*keys).orderBy("_s")
+    gaps = edges.unionByName(closing).join(spans.select(*keys, "_low"), keys).select(
         *keys,
-        "request_start",
-        "request_end",
-        F.coalesce(F.date_add(F.lag("_e").over(walk), 1), F.col("request_start")).alias("missing_start"),
-        F.date_sub("_s", 1).alias("missing_end"),
-    )
-    return gaps.filter(F.col("missing_start") <= F.col("missing_end"))
+        F.coalesce(F.date_add(F.lag("_e").over(walk), 1), F.col("_low")).alias("_from"),
+        F.date_sub("_s", 1).alias("_to"),
+    ).filter(F.col("_from") <= F.col("_to"))
+    by_year = gaps.withColumn("_year", F.explode(F.sequence(F.year("_from"), F.year("_to"))))
+    asked = wanted.withColumn("_year", F.explode(F.sequence(F.year("request_start"), F.year("request_end"))))
+    met = asked.join(by_year, [*keys, "_year"]).filter((F.col("_from") <= F.col("request_end")) & (F.col("_to") >= F.col("request_start")))
+    return met.select(
+        *keys, "request_start", "request_end",
+        F.greatest("_from", "request_start").alias("missing_start"), F.least("_to", "request_end").alias("missing_end"),
+    ).distinct()
 
 
 def ranges_cover(requests: DataFrame, completed: DataFrame, keys: list[str],
@@ -156,14 +164,17 @@ def plan_minute_days(requests: DataFrame, calendar: DataFrame, completed: DataFr
 
 
 def lookback_requests(ranked: DataFrame, calendar: DataFrame, *, lookback: int = 20, max_candidates: int = 150,
-                      retain_raw: bool = True) -> DataFrame:
+                      retain_raw: bool = True, validate: bool = True) -> DataFrame:
     """One request per first ``max_candidates`` distinct ranked symbols of each signal date.
 
     The request spans the last ``lookback`` calendar dates up to the signal date.
-    Signal dates off the calendar, or too early for the lookback, yield nothing.
+    Signal dates off the calendar, or too early for the lookback, raise; without
+    ``validate`` they yield nothing.
     """
     if lookback <= 0 or max_candidates <= 0:
         raise ValueError("lookback and max_candidates must be positive")
+    if validate:
+        quality.require_empty(unfit_signal_dates(ranked, calendar, lookback), "signal dates without a full lookback")
     first_seen = ranked.groupBy("signal_date", "symbol").agg(F.min("position").alias("position"))
     order = Window.partitionBy("signal_date").orderBy("position", "symbol")
     capped = first_seen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_candidates)
@@ -173,3 +184,13 @@ def lookback_requests(ranked: DataFrame, calendar: DataFrame, *, lookback: int =
     return capped.join(F.broadcast(windows), "signal_date").select(
         "symbol", "start_date", F.col("signal_date").alias("end_date"), F.lit(retain_raw).alias("retain_raw")
     )
+
+
+def unfit_signal_dates(ranked: DataFrame, calendar: DataFrame, lookback: int) -> DataFrame:
+    """``(signal_date, reason)`` of signal dates off the calendar or before its first full lookback."""
+    days = calendar.select(F.col("date").alias("signal_date"), "market_index")
+    reason = F.when(F.col("market_index").isNull(), F.lit("not a market date")).when(F.col("market_index") < lookback, F.lit("lookback is not full"))
+    return (
+        ranked.select("signal_date").distinct().join(days, "signal_date", "left")
+        .select("signal_date", reason.alias("reason")).filter("reason IS NOT NULL")
+    )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.calendar import market_calendar
+from ..functions.values import is_finite
+from ..session import durable
 from .asof import asof_join
 from .cross_section import neutralize
 
@@ -49,7 +51,7 @@ def check_minute_bars(bars: DataFrame, start=None, end=None) -> None:
     if end is not None:
         rules["datetime is after the range"] = time.cast("date") > F.to_date(F.lit(str(end)))
     quality.require_rules(bars, rules, "minute bars")
-    quality.require_empty(conflicting_minutes(bars), "Minute bars contain conflicting duplicate timestamps")
+    quality.require_empty(conflicting_minutes(bars), "minutes held with different values")
 
 
 def days_off_calendar(bars: DataFrame, expected: DataFrame) -> DataFrame:
@@ -58,10 +60,11 @@ def days_off_calendar(bars: DataFrame, expected: DataFrame) -> DataFrame:
     return days.join(expected.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
 
 
-def normalize_minute_bars(bars: DataFrame, start=None, end=None, *, validate: bool = False) -> DataFrame:
+def normalize_minute_bars(bars: DataFrame, start=None, end=None, *, validate: bool = True) -> DataFrame:
     """Typed bars with equal duplicates collapsed by a combined aggregation.
 
-    Minutes with different values are an error, found with ``validate``.
+    Minutes with different values raise. With ``validate=False`` for bars that were
+    checked before, they must not occur.
     """
     if validate:
         check_minute_bars(bars, start, end)
@@ -75,14 +78,17 @@ def normalize_minute_bars(bars: DataFrame, start=None, end=None, *, validate: bo
     return once.withColumns({c: F.col(c).cast("float") for c in floats})
 
 
-def daily_volatility(bars: DataFrame, expected: DataFrame | None = None, *, min_bars: int | None = None) -> DataFrame:
+def daily_volatility(bars: DataFrame, expected: DataFrame | None = None, *, min_bars: int | None = None, validate: bool = True) -> DataFrame:
     """Sample deviation of within-day minute returns and the status of each day.
 
     ``expected`` lists the (symbol, trade_date) pairs that were asked for; those
-    without bars appear with the no-data status. Returns never cross a day.
+    without bars appear with the no-data status, and bars of other days raise.
+    Returns never cross a day.
     """
     if min_bars is not None and min_bars <= 0:
         raise ValueError("min_bars must be positive")
+    if expected is not None and validate:
+        quality.require_empty(days_off_calendar(bars, expected), "minute bars on days that were not asked for")
     dated = bars.select(
         "symbol", F.col("datetime").cast("date").alias("trade_date"), "datetime", F.col("close").cast("double").alias("close")
     )
@@ -94,7 +100,6 @@ def daily_volatility(bars: DataFrame, expected: DataFrame | None = None, *, min_
         F.count("_r").alias("return_count"),
     )
     if expected is not None:
-        # Bars of other days are dropped here; ``days_off_calendar`` lists them.
         daily = expected.select("symbol", "trade_date").distinct().join(daily, ["symbol", "trade_date"], "left")
     daily = daily.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("bar_count", "return_count")}
@@ -116,7 +121,7 @@ def day_status(min_bars: int | None = None):
 def market_windows(calendar: DataFrame, as_of: DataFrame, lookback: int) -> DataFrame:
     """``(as_of_date, trade_date)``: the last ``lookback`` market dates of each as-of date.
 
-    As-of dates with a shorter history get no window. The result has ``lookback``
+    As-of dates with a shorter history get no window; ``unfit_factor`` lists them. The result has ``lookback``
     rows per as-of date, so it is bounded by the calendar.
     """
     ends = calendar.select(F.col("date").alias("as_of_date"), F.col("market_index").alias("_end"))
@@ -166,7 +171,7 @@ def volatility_cv(daily: DataFrame, windows: DataFrame, *, min_valid: int = 20,
     """
     if min_valid < 2:
         raise ValueError("min_valid must be at least 2")
-    usable = daily.filter((F.col("volatility") > 0) & ~F.isnan("volatility")).select("symbol", "trade_date", "volatility")
+    usable = daily.filter((F.col("volatility") > 0) & is_finite("volatility")).select("symbol", "trade_date", "volatility")
     if members is None:
         placed = usable.join(F.broadcast(windows), "trade_date")
     else:
@@ -184,12 +189,13 @@ def volatility_cv(daily: DataFrame, windows: DataFrame, *, min_valid: int = 20,
 
 
 def volatility_factor(daily: DataFrame, market_cap: DataFrame, as_of: DataFrame, *, lookback: int = 20,
-                      min_valid: int = 20, members: DataFrame | None = None) -> DataFrame:
+                      min_valid: int = 20, members: DataFrame | None = None, validate: bool = True) -> DataFrame:
     """Volatility variation neutralized for log market cap, for all as-of dates.
 
     ``members`` restricts each as-of date to its own symbols; the trading dates are
     then those of the members. The market cap is the last positive one on or before
-    the as-of date. As-of dates with fewer than two symbols are left out.
+    the as-of date. With ``validate``, as-of dates without a full window or with fewer
+    than two symbols raise.
     """
     if not 2 <= min_valid <= lookback:
         raise ValueError("min_valid must be at least 2 and no larger than lookback")
@@ -205,6 +211,19 @@ def volatility_factor(daily: DataFrame, market_cap: DataFrame, as_of: DataFrame,
     factor = neutralize(
         sized.withColumn("log_market_cap", F.ln("total_market_cap")),
         ["as_of_date"], "intraday_volatility_cv", "log_market_cap", "minute_return_volatility",
-        minimum=2,
+    ).drop("total_market_cap")
+    if validate:
+        factor = durable(factor, "volatility-factor")
+        quality.require_empty(unfit_factor(factor, windows, as_of), "as-of dates without a volatility factor")
+    return factor
+
+
+def unfit_factor(factor: DataFrame, windows: DataFrame, as_of: DataFrame) -> DataFrame:
+    """``(as_of_date, reason)`` of as-of dates without a full window or with fewer than two symbols."""
+    sized = factor.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("_n"))
+    full = windows.select("as_of_date").distinct().withColumn("_full", F.lit(True))
+    reason = F.when(F.col("_full").isNull(), F.lit("window is not full")).when(F.coalesce("_n", F.lit(0)) < 2, F.lit("fewer than two symbols"))
+    return (
+        as_of.select("as_of_date").distinct().join(full, "as_of_date", "left").join(sized, "as_of_date", "left")
+        .select("as_of_date", reason.alias("reason")).filter("reason IS NOT NULL")
     )
-    return factor.drop("total_market_cap")

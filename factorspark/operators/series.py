@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.values import finite
+
 
 def by_date(keys: list[str], date: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(date)
@@ -20,23 +22,22 @@ def pct_change(value: Column | str, window: WindowSpec) -> Column:
     return F.try_divide(column, F.lag(column).over(window)) - F.lit(1.0)
 
 
-def trailing(function, value: Column, order: WindowSpec, back: int, *, by_range: bool = False) -> Column:
-    """``sum`` or ``count`` of the last ``back`` rows (or order units) as a difference.
+def _last(order: WindowSpec, back: int, by_range: bool) -> WindowSpec:
+    return order.rangeBetween(-(back - 1), 0) if by_range else order.rowsBetween(-(back - 1), 0)
+
+
+def trailing_sum(value: Column, order: WindowSpec, back: int, *, by_range: bool = False) -> Column:
+    """Sum of the last ``back`` rows (or order units), zero without values.
 
-    Both frames start at the first row, so each row is added once to each of them; a
-    frame that slides would be summed anew for every row, ``back`` times the work.
+    Each frame adds its own values. A difference of two running sums would be cheaper
+    but keep the rounding, or the NaN, of values that have left the frame.
     """
-    start = Window.unboundedPreceding
-    now = order.rangeBetween(start, 0) if by_range else order.rowsBetween(start, 0)
-    gone = order.rangeBetween(start, -back) if by_range else order.rowsBetween(start, -back)
-    return F.coalesce(function(value).over(now), F.lit(0)) - F.coalesce(function(value).over(gone), F.lit(0))
+    return F.coalesce(F.sum(value).over(_last(order, back, by_range)), F.lit(0.0))
 
 
 def trailing_avg(value: Column, order: WindowSpec, back: int, *, by_range: bool = False) -> Column:
     """Mean of the non-null values of the last ``back`` rows (or order units)."""
-    return F.try_divide(
-        trailing(F.sum, value, order, back, by_range=by_range), trailing(F.count, value, order, back, by_range=by_range)
-    )
+    return F.avg(value).over(_last(order, back, by_range))
 
 
 def rolling_volatility(df: DataFrame, lookback: int, value: str = "close", keys: list[str] | None = None,
@@ -46,7 +47,7 @@ def rolling_volatility(df: DataFrame, lookback: int, value: str = "close", keys:
         raise ValueError("lookback must be at least 2")
     window = by_date(keys or ["symbol"], date)
     frame = window.rowsBetween(-(lookback - 2), 0)
-    returns = df.filter(F.col(value) > 0).withColumn("_r", pct_change(value, window))
+    returns = df.filter(finite(value) > 0).withColumn("_r", pct_change(value, window))
     full = F.count("_r").over(frame) == lookback - 1
     return returns.withColumn(name, F.when(full, F.stddev_samp("_r").over(frame))).drop("_r")
 
@@ -104,7 +105,7 @@ def last_in_month(df: DataFrame, date: str = "date", key: str = "symbol") -> Dat
 
 def latest_per_symbol(df: DataFrame, as_of, value: str, date: str = "date", key: str = "symbol") -> DataFrame:
     """Last positive value of each key on or before one date."""
-    kept = df.filter((F.col(date) <= F.to_date(F.lit(str(as_of)))) & (F.col(value) > 0))
+    kept = df.filter((F.col(date) <= F.to_date(F.lit(str(as_of)))) & (finite(value) > 0))
     return kept.groupBy(key).agg(F.max_by(value, date).alias(value), F.max(date).alias(date))
 
 
@@ -130,3 +131,11 @@ def lower_band(df: DataFrame, value: str, window_rows: int, multiplier: float, d
     return df.withColumn("lower_band", band).withColumn(
         "bearish_signal", F.coalesce(F.col(value) < F.col("lower_band"), F.lit(False))
     )
+
+
+def last_quotes(df: DataFrame, count: int, keys: list[str] | None = None, date: str = "date") -> DataFrame:
+    """The last ``count`` rows of each key; Spark limits within the map tasks first."""
+    if count <= 0:
+        raise ValueError("count must be positive")
+    window = Window.partitionBy(*(keys or ["symbol"])).orderBy(F.col(date).desc())
+    return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= count).drop("_n")

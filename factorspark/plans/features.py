@@ -13,23 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.calendar import market_calendar
-from ..functions.values import DIVIDEND_AFTER_TAX_RATIO
+from ..functions.values import DIVIDEND_AFTER_TAX_RATIO, finite, is_finite
 from ..operators.asof import valid_shares
-from ..operators.series import trailing, trailing_avg
+from ..operators.series import trailing_avg, trailing_sum
 
 
 def valid_price(price: DataFrame) -> DataFrame:
-    """Rows with a positive close; negative amounts become null."""
-    return price.filter(F.col("close") > 0).select(
-        "date", "symbol", F.col("close").cast("double").alias("close"),
-        F.when(F.col("amount") >= 0, F.col("amount").cast("double")).alias("amount"),
-        F.col("pe_ttm").cast("double").alias("pe_ttm"),
+    """Rows with a finite positive close; amounts and ratios that are not finite, and negative amounts, become null."""
+    amount = finite("amount")
+    return price.filter(finite("close") > 0).select(
+        "date", "symbol", F.col("close").cast("double").alias("close"), F.when(amount >= 0, amount).alias("amount"),
+        finite("pe_ttm").alias("pe_ttm"),
     )
 
 
 def index_price(price: DataFrame) -> DataFrame:
-    """Rows with a close."""
-    return price.filter(F.col("close").isNotNull()).select("date", "symbol", F.col("close").cast("double").alias("close"))
+    """Rows with a finite close."""
+    return price.filter(is_finite("close")).select("date", "symbol", F.col("close").cast("double").alias("close"))
 
 
 def check_price(price: DataFrame) -> None:
@@ -38,7 +38,7 @@ def check_price(price: DataFrame) -> None:
 
 def daily_cash(dividends: DataFrame) -> DataFrame:
     """Before-tax cash per (symbol, announcement date), combined before the shuffle."""
-    known = dividends.filter(F.col("announce_date").isNotNull() & F.col("cash_dividend_before_tax").isNotNull())
+    known = dividends.filter(F.col("announce_date").isNotNull() & is_finite("cash_dividend_before_tax"))
     return known.groupBy("symbol", "announce_date").agg(F.sum(F.col("cash_dividend_before_tax").cast("double")).alias("cash"))
 
 
@@ -101,12 +101,7 @@ def quote_features(
         F.last(F.when(F.col("kind") == 0, published), ignorenulls=True).over(seen).alias("_shares"),
         F.coalesce(F.last("factor", ignorenulls=True).over(seen), F.lit(1.0)).alias("_factor"),
     )
-    # A year without any payment is exactly zero, whatever the rounding of the sums.
-    known = known.withColumn(
-        "_ttm",
-        F.when(trailing(F.count, F.col("cash"), by_day, 365, by_range=True) > 0, trailing(F.sum, F.col("cash"), by_day, 365, by_range=True))
-        .otherwise(0.0),
-    )
+    known = known.withColumn("_ttm", trailing_sum(F.col("cash"), by_day, 365, by_range=True))
     known = known.withColumn("cash_year_0", F.coalesce(F.sum("cash").over(this_year), F.lit(0.0)) * tax)
     for back in range(1, dividend_years + 1):
         frame = years.rangeBetween(-back, -back)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import market_calendar
-from ..operators.cross_section import information_coefficients, quintile_groups
+from ..functions import quality
+from ..operators.cross_section import information_coefficients, quintile_groups, too_small
 from ..session import durable
 from .adjustment import back_adjusted_close
 from .index import month_end_as_of
@@ -52,7 +53,7 @@ def long_short(returns: DataFrame, groups: int = 5) -> DataFrame:
     )
 
 
-def factor_ic(prices: DataFrame, grouped: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
+def factor_ic(prices: DataFrame, grouped: DataFrame) -> DataFrame:
     """``(pool, date, ic, rank_ic)`` of the factor against the return to the next date.
 
     The last date has no next return and is left out.
@@ -61,12 +62,11 @@ def factor_ic(prices: DataFrame, grouped: DataFrame, *, rows_bound: int | None =
     held = grouped.select("pool", "date", "symbol", "factor").join(F.broadcast(dates.select("date", "next_date")), "date")
     marked = with_marks(held.filter("next_date IS NOT NULL"), prices)
     pairs = marked.select("pool", "date", "factor", (F.col("next_price") / F.col("price") - 1.0).alias("forward_return"))
-    return information_coefficients(pairs, ["pool", "date"], rows_bound=rows_bound)
+    return information_coefficients(pairs, ["pool", "date"])
 
 
 def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, as_of: DataFrame,
-                       rules: SelectionRules, factors: DataFrame, *, rows_bound: int | None = None,
-                       validate: bool = True) -> DataFrame:
+                       rules: SelectionRules, factors: DataFrame, *, validate: bool = True) -> DataFrame:
     """``(pool, date, symbol, factor, group)`` by trailing return volatility.
 
     Pool ``all_a`` holds every symbol quoted on the date with a full lookback; pool
@@ -79,50 +79,62 @@ def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries:
     everything = features.select(F.lit("all_a").alias("pool"), *columns)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        features=features, rows_bound=rows_bound, validate=validate,
+        features=features, validate=validate,
     ).select(F.lit("dividend_pool").alias("pool"), *columns)
-    return quintile_groups(everything.unionByName(universe), ["pool", "date"], "factor", rows_bound=rows_bound)
+    return _grouped(everything.unionByName(universe), as_of, ["all_a", "dividend_pool"], validate)
+
+
+def unfit_pools(rows: DataFrame, as_of: DataFrame, pools: list[str], groups: int = 5) -> DataFrame:
+    """``(pool, date, names)`` of the dates on which a pool has fewer finite factors than groups, or no row."""
+    wanted = as_of.select(F.col("as_of_date").alias("date")).distinct().withColumn("pool", F.explode(F.array(*map(F.lit, pools))))
+    counted = wanted.join(rows.select("pool", "date", "factor"), ["pool", "date"], "left")
+    return too_small(counted, ["pool", "date"], groups, "factor")
+
+
+def _grouped(rows: DataFrame, as_of: DataFrame, pools: list[str], validate: bool) -> DataFrame:
+    if validate:
+        rows = durable(rows, "pools")
+        quality.require_empty(unfit_pools(rows, as_of, pools), "pools with fewer names than groups")
+    return quintile_groups(rows, ["pool", "date"], "factor")
 
 
 def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
                               rules: SelectionRules, factors: DataFrame, coverage: DataFrame, *,
-                              rows_bound: int | None = None, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                              validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Group values and coefficients of the volatility factor in both pools."""
     as_of = month_end_as_of(price, start, end)
     grouped = durable(traditional_groups(
-        price, dividends, dividend_queries, shares, as_of, rules, factors, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, factors, validate=validate
     ), "groups")
     prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
-    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped, rows_bound=rows_bound)
+    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)
 
 
 def intraday_groups(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                     daily_volatility: DataFrame, as_of: DataFrame, rules: IntradaySelectionRules, *,
-                    rows_bound: int | None = None, validate: bool = True) -> DataFrame:
+                    validate: bool = True) -> DataFrame:
     """``(pool, date, symbol, factor, group)`` by the neutralized intraday factor of the candidates."""
     candidates = select_intraday_candidates(
-        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     )
     rows = candidates.select(
         F.lit("candidates").alias("pool"), F.col("as_of_date").alias("date"), "symbol",
         F.col("minute_return_volatility").alias("factor"),
     )
-    # At most dividend_top_n candidates per date.
-    return quintile_groups(rows, ["pool", "date"], "factor", rows_bound=rules.dividend_top_n)
+    return _grouped(rows, as_of, ["candidates"], validate)
 
 
 def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                            daily_volatility: DataFrame, start, end, rules: IntradaySelectionRules, factors: DataFrame,
-                           coverage: DataFrame, *, rows_bound: int | None = None,
-                           validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                           coverage: DataFrame, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Group values and coefficients of the intraday factor inside the candidates."""
     as_of = month_end_as_of(price, start, end)
     grouped = durable(intraday_groups(
-        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     ), "groups")
     prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
-    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped, rows_bound=rules.dividend_top_n)
+    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)

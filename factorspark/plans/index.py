@@ -150,12 +150,11 @@ def _once(constituents: DataFrame, written: bool) -> DataFrame:
 
 
 def annual_rebalanced_index(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
-                            start, end, rules: SelectionRules, *, rows_bound: int | None = None,
-                            validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                            start, end, rules: SelectionRules, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Index rebalanced each December and its constituents by effective date."""
     schedule = annual_schedule(distinct_dates(index_price(price)), start, end)
     constituents = _once(select_constituents(
-        price, dividends, dividend_queries, shares, schedule.select("as_of_date"), rules, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, schedule.select("as_of_date"), rules, validate=validate
     ), validate)
     held = constituents.join(F.broadcast(schedule), "as_of_date")
     order = Window.orderBy("effective_date")
@@ -190,12 +189,11 @@ def monthly_portfolio(price: DataFrame, constituents: DataFrame, cost_rate: floa
 
 
 def monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
-                  rules: SelectionRules, factors: DataFrame, coverage: DataFrame, *, rows_bound: int | None = None,
-                  validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                  rules: SelectionRules, factors: DataFrame, coverage: DataFrame, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly low-volatility dividend portfolio and its constituents."""
     as_of = month_end_as_of(price, start, end)
     constituents = _once(select_constituents(
-        price, dividends, dividend_queries, shares, as_of, rules, factors=factors, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, factors=factors, validate=validate
     ), validate)
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
@@ -203,12 +201,11 @@ def monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: Data
 
 def intraday_monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                            daily_volatility: DataFrame, start, end, rules: IntradaySelectionRules, factors: DataFrame,
-                           coverage: DataFrame, *, rows_bound: int | None = None,
-                           validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                           coverage: DataFrame, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Monthly portfolio selected by the intraday-volatility factor, and its constituents."""
     as_of = month_end_as_of(price, start, end)
     constituents = _once(select_intraday_constituents(
-        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     ), validate)
     nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))

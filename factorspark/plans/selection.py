@@ -49,12 +49,12 @@ def rank_candidates(universe: DataFrame, rules: SelectionRules | IntradaySelecti
 
 def select_candidates(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                       as_of: DataFrame, rules: SelectionRules | IntradaySelectionRules, *, features: DataFrame | None = None,
-                      rows_bound: int | None = None, validate: bool = True) -> DataFrame:
+                      validate: bool = True) -> DataFrame:
     """Dividend-ranked candidates of every as-of date, with every feature column."""
     features = selection_features(price, dividends, shares, rules) if features is None else features
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        features=features, rows_bound=rows_bound, validate=validate,
+        features=features, validate=validate,
     )
     return rank_candidates(universe, rules)
 
@@ -77,7 +77,7 @@ def weigh(candidates: DataFrame, metric: str, final_n: int) -> DataFrame:
 
 def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                         as_of: DataFrame, rules: SelectionRules, *, factors: DataFrame | None = None,
-                        features: DataFrame | None = None, rows_bound: int | None = None, validate: bool = True) -> DataFrame:
+                        features: DataFrame | None = None, validate: bool = True) -> DataFrame:
     """Lowest-volatility candidates with yield weights, for every as-of date.
 
     With ``validate``, as-of dates that cannot be filled raise; otherwise they are
@@ -85,7 +85,7 @@ def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries
     """
     features = selection_features(price, dividends, shares, rules, factors) if features is None else features
     candidates = select_candidates(
-        price, dividends, dividend_queries, shares, as_of, rules, features=features, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, features=features, validate=validate
     )
     chosen = weigh(candidates, "volatility_240d", rules.final_n).select(*CONSTITUENT_COLUMNS)
     if validate:
@@ -96,11 +96,13 @@ def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries
 
 def select_intraday_candidates(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                                daily_volatility: DataFrame, as_of: DataFrame, rules: IntradaySelectionRules, *,
-                               features: DataFrame | None = None, rows_bound: int | None = None,
-                               validate: bool = True) -> DataFrame:
-    """Candidates joined one to one with their neutralized intraday factor."""
+                               features: DataFrame | None = None, validate: bool = True) -> DataFrame:
+    """Candidates joined one to one with their neutralized intraday factor.
+
+    With ``validate``, as-of dates with fewer than ``final_n`` of them raise.
+    """
     candidates = durable(select_candidates(
-        price, dividends, dividend_queries, shares, as_of, rules, features=features, rows_bound=rows_bound, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, features=features, validate=validate
     ), "candidates")
     members = candidates.select("as_of_date", "symbol")
     # Only the candidates' own series are needed from here on.
@@ -110,20 +112,20 @@ def select_intraday_candidates(price: DataFrame, dividends: DataFrame, dividend_
     )
     factor = durable(intraday.volatility_factor(
         daily_volatility, caps, as_of, lookback=rules.lookback_trading_days, min_valid=rules.min_valid_days, members=members,
+        validate=validate,
     ), "intraday-factor")
     joined = candidates.join(factor, ["as_of_date", "symbol"])
-    enough = joined.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rules.final_n)
-    return joined.join(F.broadcast(enough.select("as_of_date")), "as_of_date")
+    if validate:
+        require_filled(joined, as_of, rules.final_n)
+    return joined
 
 
 def select_intraday_constituents(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                                  daily_volatility: DataFrame, as_of: DataFrame, rules: IntradaySelectionRules, *,
-                                 features: DataFrame | None = None, rows_bound: int | None = None,
-                                 validate: bool = True) -> DataFrame:
+                                 features: DataFrame | None = None, validate: bool = True) -> DataFrame:
     """Candidates with the lowest neutralized intraday factor and yield weights."""
     candidates = select_intraday_candidates(
-        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, features=features,
-        rows_bound=rows_bound, validate=validate,
+        price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, features=features, validate=validate,
     )
     chosen = weigh(candidates, "minute_return_volatility", rules.final_n).select(*INTRADAY_CONSTITUENT_COLUMNS)
     if validate:

@@ -50,8 +50,7 @@ def check_spread_inputs(price: DataFrame, constituents: DataFrame, rules: Timing
         raise quality.DataQualityError(f"No constituent snapshot is available at {early}")
 
 
-def bp_spread(price: DataFrame, constituents: DataFrame, rules: TimingRules, *, rows_bound: int | None = None,
-              validate: bool = True) -> DataFrame:
+def bp_spread(price: DataFrame, constituents: DataFrame, rules: TimingRules, *, validate: bool = True) -> DataFrame:
     """Monthly trimmed mean of members minus non-members, its lower band and signal.
 
     Months in which one side is empty raise with ``validate`` and are absent without.
@@ -60,7 +59,7 @@ def bp_spread(price: DataFrame, constituents: DataFrame, rules: TimingRules, *,
         check_spread_inputs(price, constituents, rules)
     cells = month_end_members(price, constituents, rules)
     sides = cross_section.trimmed_mean(
-        cells, ["date", "effective_date", "is_member"], "bp", rules.trim_ratio, rows_bound=rows_bound
+        cells, ["date", "effective_date", "is_member"], "bp", rules.trim_ratio
     )
     member = F.col("is_member")
     wide = sides.groupBy("date", "effective_date").agg(

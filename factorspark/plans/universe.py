@@ -55,24 +55,32 @@ def history_counts(price: DataFrame, as_of: DataFrame, minimum: int) -> DataFram
     return spread.join(F.broadcast(dates), "_i").select("as_of_date", "symbol")
 
 
-def market_filter(features: DataFrame, as_of: DataFrame, rules: UniverseRules, history: int, *,
-                  rows_bound: int | None = None) -> DataFrame:
+def market_filter(features: DataFrame, as_of: DataFrame, rules: UniverseRules, history: int) -> DataFrame:
     """Quotes on as-of dates in the top cap and amount shares with enough history.
 
-    As-of dates before the full market window are left out.
+    As-of dates before the full market window yield nothing; ``unfit_as_of`` lists them.
     """
     at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
     snapshot = features.join(at, "date").filter(F.col("market_index") >= rules.lookback_days)
-    bound = rows_bound if rows_bound is not None else cross_section.largest_group(snapshot.select("date"), ["date"])
     flagged = cross_section.flag_top_ratio(
-        snapshot, ["date"], "avg_market_cap_240d", rules.market_cap_keep_ratio, "_cap", rows_bound=bound
+        snapshot, ["date"], "avg_market_cap_240d", rules.market_cap_keep_ratio, "_cap"
     )
     flagged = cross_section.flag_top_ratio(
-        flagged, ["date"], "avg_amount_240d", rules.amount_keep_ratio, "_amount", rows_bound=bound
+        flagged, ["date"], "avg_amount_240d", rules.amount_keep_ratio, "_amount"
     )
     return flagged.filter(F.col("_cap") & F.col("_amount") & (F.col("observation_count") >= history)).drop("_cap", "_amount")
 
 
+def unfit_as_of(features: DataFrame, as_of: DataFrame, rules: UniverseRules) -> DataFrame:
+    """``(as_of_date, reason)`` of the as-of dates that no universe can be built for."""
+    quoted = features.groupBy(F.col("date").alias("as_of_date")).agg(F.max("market_index").alias("_i"))
+    reason = F.when(F.col("_i").isNull(), F.lit("no quotes")).when(F.col("_i") < rules.lookback_days, F.lit("market window is not full"))
+    return (
+        as_of.select("as_of_date").distinct().join(quoted, "as_of_date", "left")
+        .select("as_of_date", reason.alias("reason")).filter("reason IS NOT NULL")
+    )
+
+
 def required_years(passed: DataFrame, dividend_years: int) -> DataFrame:
     """Distinct (symbol, year) pairs whose dividend queries the filters rely on."""
     last = F.year("date") - 1 + shifted_year(F.col("date"))
@@ -83,14 +91,14 @@ def coverage_gaps(passed: DataFrame, dividend_queries: DataFrame, dividend_years
     return missing_years(required_years(passed, dividend_years), dividend_queries)
 
 
-def dividend_filter(passed: DataFrame, rules: UniverseRules, *, rows_bound: int | None = None) -> DataFrame:
+def dividend_filter(passed: DataFrame, rules: UniverseRules) -> DataFrame:
     """Continuous payers without the highest payouts, negative payout or falling cash.
 
     The payout cut is taken over the continuous payers with a known payout.
     """
     continuous = with_dividend_quality(passed, rules.dividend_years).filter("consecutive_dividends")
     cut = cross_section.flag_top_ratio(
-        continuous, ["date"], "payout_ratio", rules.payout_exclude_ratio, "_high", rows_bound=rows_bound
+        continuous, ["date"], "payout_ratio", rules.payout_exclude_ratio, "_high"
     )
     return cut.filter(
         (F.col("payout_ratio") >= 0) & (F.col("dividend_growth_slope") >= 0) & ~F.col("_high")
@@ -107,13 +115,12 @@ def dividend_universe(
     history: int,
     *,
     features: DataFrame | None = None,
-    rows_bound: int | None = None,
     validate: bool = True,
 ) -> DataFrame:
     """Universe rows of every as-of date.
 
     ``features`` may be passed when already computed (``quote_features``). With
-    ``validate``, duplicate prices and missing dividend coverage raise.
+    ``validate``, duplicate prices, unfit as-of dates and missing dividend coverage raise.
     """
     if validate:
         check_price(price)
@@ -122,11 +129,13 @@ def dividend_universe(
             price, dividends, shares, cap_lookback=rules.lookback_days, dividend_years=rules.dividend_years,
             yield_lookback=history,
         )
-    passed = market_filter(features, as_of, rules, history, rows_bound=rows_bound)
+    if validate:
+        quality.require_empty(unfit_as_of(features, as_of, rules), "no universe on some as-of dates")
+    passed = market_filter(features, as_of, rules, history)
     if validate:
         # The check and the rest read the as-of rows; the features run once.
         passed = durable(passed, "market-filter")
         quality.require_empty(
-            coverage_gaps(passed, dividend_queries, rules.dividend_years), "Dividend query coverage missing for symbol-years"
+            coverage_gaps(passed, dividend_queries, rules.dividend_years), "years without a dividend query"
         )
-    return dividend_filter(passed, rules, rows_bound=rows_bound)
+    return dividend_filter(passed, rules)

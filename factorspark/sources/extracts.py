@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, values
-from .schemas import PB_FACTORS
+from .schemas import PB_FACTORS, dataset
 
 # Field names of the outside extracts.
 DAILY_RENAMES = {"peTTM": "pe_ttm", "psTTM": "ps_ttm", "pcfNcfTTM": "pcf_ncf_ttm", "isST": "is_st"}
@@ -216,7 +216,10 @@ def prepare_daily_columns(df: DataFrame) -> DataFrame:
     """The stored daily columns in order, absent ones as null."""
     out = df.withColumnsRenamed(DAILY_RENAMES)
     keys = [c for c in ("symbol", "index_code") if c in out.columns]
-    return out.select(*keys, *[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in DAILY_COLUMNS])
+    kinds = {f.name: f.dataType for f in dataset("stock_daily").schema.fields}
+    kinds |= {c: kinds["date"] for c in ("trade_date",)}
+    absent = {c: F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in DAILY_COLUMNS if c not in out.columns}
+    return out.select(*keys, *[absent[c] if c in absent else F.col(c) for c in DAILY_COLUMNS])
 
 
 def prepare_adjust_factors(df: DataFrame, *, validate: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ overwritten while it is read.
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
@@ -23,8 +24,8 @@ from ..operators.intervals import merge_intervals
 def assign_ids(existing: DataFrame, incoming: DataFrame, value: str, id_column: str, *, id_limit: int | None = None) -> DataFrame:
     """Existing ids plus ``max + n`` for unseen values in sorted order.
 
-    New values beyond one task's size are numbered by range: each range of the
-    sorted values gets the count of the earlier ranges as its offset.
+    New values are numbered by range: each range of the sorted values gets the
+    count of the earlier ranges as its offset.
     """
     from ..operators.cross_section import positions
 
@@ -47,13 +48,16 @@ def _append(kept: DataFrame, incoming: DataFrame, target: DataFrame) -> DataFram
     return kept.select(*target.columns).unionByName(typed)
 
 
-def replace_by_dates(target: DataFrame, incoming: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """Rows of the incoming (key, date) pairs replaced; one incoming row kept per pair."""
-    rest = [c for c in incoming.columns if c not in keys]
-    by = F.struct(*order) if order else F.struct(*rest)
-    once = incoming.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_r")).select(
-        *keys, *[F.col("_r")[c].alias(c) for c in rest]
-    )
+def conflicting_rows(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that come in with different rows, with how many; equal rows are one."""
+    return incoming.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
+
+
+def replace_by_dates(target: DataFrame, incoming: DataFrame, keys: list[str], *, validate: bool = True) -> DataFrame:
+    """Rows of the incoming (key, date) pairs replaced; pairs with different incoming rows raise."""
+    if validate:
+        quality.require_empty(conflicting_rows(incoming, keys), f"incoming rows differ for {keys}")
+    once = incoming.distinct()
     return _append(target.join(once.select(*keys), keys, "left_anti"), once, target)
 
 
@@ -76,19 +80,30 @@ def replace_by_key(target: DataFrame, incoming: DataFrame, key: str, unique: lis
     return _append(target.join(gone, key, "left_anti"), incoming.dropDuplicates(unique), target)
 
 
-def upsert_close(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Matched rows get the incoming close; unmatched come in with the close alone."""
-    source = incoming.groupBy(*keys).agg(F.min("close").alias("_close"))
+def upsert_close(target: DataFrame, incoming: DataFrame, keys: list[str], *, validate: bool = True) -> DataFrame:
+    """Matched rows get the incoming close; unmatched come in with the close alone.
+
+    Keys with different incoming closes raise, as do missing closes.
+    """
+    closes = incoming.select(*keys, "close")
+    if validate:
+        quality.require_rules(closes, {"close is missing": F.col("close").isNull()}, "incoming closes")
+        quality.require_empty(conflicting_rows(closes, keys), f"incoming closes differ for {keys}")
+    source = closes.distinct().withColumnRenamed("close", "_close")
     joined = target.join(source, keys, "full_outer")
     return joined.withColumn("close", F.coalesce(F.col("_close"), F.col("close"))).select(*target.columns)
 
 
-def insert_absent(target: DataFrame, incoming: DataFrame, keys: list[str], *, value: str | None = None) -> DataFrame:
+def insert_absent(target: DataFrame, incoming: DataFrame, keys: list[str], *, value: str | None = None, validate: bool = True) -> DataFrame:
     """Distinct incoming rows without an equal row (nulls equal) in the target.
 
-    Rows whose ``value`` is null are skipped; a negative value is an error checked
-    by ``negative_values``.
+    Rows whose ``value`` is null are skipped; negative values, which ``negative_values``
+    lists, raise and never go in.
     """
+    if value is not None:
+        if validate:
+            quality.require_empty(negative_values(incoming, value).select(*keys), f"negative {value}")
+        incoming = incoming.filter(F.col(value).isNull() | (F.col(value) >= 0))
     typed = incoming.select(*[F.col(k).cast(target.schema[k].dataType).alias(k) for k in keys])
     if value is not None:
         typed = typed.filter(F.col(value).isNotNull())
@@ -108,8 +123,10 @@ def replace_quarter(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def record_points(target: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Point coverage: insert or ignore."""
-    return target.unionByName(incoming.select(*target.columns)).distinct()
+    """Point coverage: insert or ignore. The stored table is not made distinct anew."""
+    fresh = incoming.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]).distinct()
+    same = reduce(lambda a, b: a & b, [fresh[c].eqNullSafe(target[c]) for c in target.columns])
+    return target.unionByName(fresh.join(target, same, "left_anti"))
 
 
 def record_ranges(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,8 +140,8 @@ def intraday_writes(bars: DataFrame, expected: DataFrame, *, min_bars: int | Non
                     retain_raw: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw bars to keep, features of valid days, and the status of every day."""
     if validate:
-        quality.require_empty(intraday.days_off_calendar(bars, expected), "Minute bars contain dates outside the trading calendar")
-    daily = intraday.daily_volatility(bars, expected, min_bars=min_bars)
+        quality.require_empty(intraday.days_off_calendar(bars, expected), "minute bars on days that were not asked for")
+    daily = intraday.daily_volatility(bars, expected, min_bars=min_bars, validate=False)
     features = daily.filter(F.col("status") == intraday.VALID).select(
         "symbol", "trade_date", F.col("volatility").cast("float").alias("volatility")
     )
@@ -135,8 +152,42 @@ def intraday_writes(bars: DataFrame, expected: DataFrame, *, min_bars: int | Non
     return (bars if retain_raw else bars.limit(0)), features, status
 
 
+def replace_intraday(
+    stored_bars: DataFrame, stored_features: DataFrame, stored_status: DataFrame, bars: DataFrame, requests: DataFrame, calendar: DataFrame,
+    *, min_bars: int | None = None, validate: bool = True,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of raw bars, features and day status after a minute write.
+
+    ``requests`` has ``symbol, start_date, end_date, retain_raw``. Inside them the
+    features are replaced, also by nothing; raw bars are replaced where a request
+    retains them and stay as they are elsewhere; the status of every requested market
+    day is replaced. Bars outside the requests raise.
+    """
+    days = requests.select("symbol", "retain_raw", F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
+    days = days.join(F.broadcast(calendar.select(F.col("date").alias("trade_date"))), "trade_date")
+    expected = days.groupBy("symbol", "trade_date").agg(F.bool_or("retain_raw").alias("retain_raw"))
+    _, features, status = intraday_writes(bars, expected, min_bars=min_bars, validate=validate)
+    key = ["symbol", "trade_date"]
+    kept = expected.filter("retain_raw").select(*key)
+    dated = stored_bars.withColumn("trade_date", F.col("datetime").cast("date"))
+    fresh = bars.withColumn("trade_date", F.col("datetime").cast("date")).join(kept, key, "left_semi").drop("trade_date")
+    status = status.drop("raw_saved").join(expected.withColumnRenamed("retain_raw", "raw_saved"), key)
+    return (
+        _append(dated.join(kept, key, "left_anti").drop("trade_date"), fresh, stored_bars),
+        _append(stored_features.join(expected, key, "left_anti"), features, stored_features),
+        _append(stored_status.join(expected, key, "left_anti"), status, stored_status),
+    )
+
+
+MANIFEST = "version long, folder string"
+
+
 def write_snapshot(df: DataFrame, table: str, *, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> str:
-    """Write to a new folder below ``table`` and then point the table at it."""
+    """Write to a new folder below ``table`` and then add it to the table's manifest.
+
+    The manifest is only ever added to, and one committed file names one version, so a
+    reader finds the earlier or the new version whole at any time.
+    """
     folder = f"{table.rstrip('/')}/run-{uuid.uuid4().hex}"
     out = df
     if partition_by:
@@ -145,29 +196,15 @@ def write_snapshot(df: DataFrame, table: str, *, partition_by: list[str] | None
         out = out.sortWithinPartitions(*[*(partition_by or []), *sort_by])
     writer = out.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-    _point(df.sparkSession, table, folder)
+    row = df.sparkSession.createDataFrame([(time.time_ns(), folder)], MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{table.rstrip('/')}/manifest")
     return folder
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _point(spark: SparkSession, table: str, folder: str) -> None:
-    staged, filesystem = _filesystem(spark, f"{table.rstrip('/')}/NEXT-{uuid.uuid4().hex}")
-    stream = filesystem.create(staged, True)
-    stream.write(bytearray(folder.encode("utf-8")))
-    stream.close()
-    current, _ = _filesystem(spark, f"{table.rstrip('/')}/CURRENT")
-    if filesystem.exists(current):
-        filesystem.delete(current, False)
-    filesystem.rename(staged, current)
-
-
 def current_snapshot(spark: SparkSession, table: str) -> str:
-    """Folder the table points at."""
-    return spark.read.text(f"{table.rstrip('/')}/CURRENT").first()[0]
+    """Folder of the table's highest version."""
+    versions = spark.read.schema(MANIFEST).parquet(f"{table.rstrip('/')}/manifest")
+    return versions.agg(F.max_by("folder", F.struct("version", "folder")).alias("folder")).first()["folder"]
 
 
 def read_snapshot(spark: SparkSession, table: str, schema=None) -> DataFrame:

@@ -1,8 +1,7 @@
 """Read views: narrow fact tables joined to their dimensions.
 
-Dimensions map ids to symbols or index codes. They are hinted for broadcast only
-below ``BROADCAST_ROWS``, checked by counting the dimension (a metadata read for
-parquet); a larger one is joined by shuffle.
+Dimensions map ids to symbols or index codes. How they are joined is left to
+adaptive execution, which knows their size in bytes.
 """
 
 from __future__ import annotations
@@ -13,18 +12,11 @@ from pyspark.sql import functions as F
 from ..operators.asof import asof_join
 from .schemas import PB_FACTORS
 
-BROADCAST_ROWS = 1_000_000
-
-
-def sized_dimension(dim: DataFrame) -> DataFrame:
-    """The dimension, hinted for broadcast only when its row count is small."""
-    return F.broadcast(dim) if dim.count() <= BROADCAST_ROWS else dim
-
 
 def stock_daily(facts: DataFrame, securities: DataFrame) -> DataFrame:
     """Daily bars with symbols and the percent change (times one hundred)."""
     change = 100.0 * (F.try_divide(F.col("close").cast("double"), F.col("preclose").cast("double")) - 1.0)
-    return facts.join(sized_dimension(securities), "security_id").withColumn("pct_chg", change).select(
+    return facts.join(securities, "security_id").withColumn("pct_chg", change).select(
         "symbol", F.col("trade_date").alias("date"), "open", "high", "low", "close", "preclose", "volume", "amount",
         "turn", "pct_chg", "pe_ttm", "ps_ttm", "pcf_ncf_ttm", "is_st",
     )
@@ -33,14 +25,14 @@ def stock_daily(facts: DataFrame, securities: DataFrame) -> DataFrame:
 def index_daily(facts: DataFrame, indices: DataFrame) -> DataFrame:
     """Index bars; unlike stocks, the change is a plain ratio."""
     change = F.try_divide(F.col("close").cast("double"), F.col("preclose").cast("double")) - 1.0
-    return facts.join(sized_dimension(indices), "index_id").withColumn("pct_chg", change).select(
+    return facts.join(indices, "index_id").withColumn("pct_chg", change).select(
         F.col("trade_date").alias("date"), F.col("index_code").alias("symbol"), "open", "high", "low", "close",
         "preclose", "volume", "amount", "turn", "pct_chg", "pe_ttm", "ps_ttm", "pcf_ncf_ttm", "is_st",
     )
 
 
 def _by_security(facts: DataFrame, securities: DataFrame, *columns) -> DataFrame:
-    return facts.join(sized_dimension(securities), "security_id").select("symbol", *columns)
+    return facts.join(securities, "security_id").select("symbol", *columns)
 
 
 def adjust_factors(facts: DataFrame, securities: DataFrame) -> DataFrame:
@@ -75,8 +67,8 @@ def intraday_volatility(features: DataFrame, status: DataFrame, securities: Data
 
 def index_constituents(facts: DataFrame, indices: DataFrame, securities: DataFrame) -> DataFrame:
     return (
-        facts.join(sized_dimension(indices), "index_id")
-        .join(sized_dimension(securities), "security_id")
+        facts.join(indices, "index_id")
+        .join(securities, "security_id")
         .select("effective_date", "index_code", "symbol")
     )
 

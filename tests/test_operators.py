@@ -7,11 +7,13 @@ import statistics
 
 import pytest
 from conftest import business_days, day
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorspark.functions import calendar as cal
 from factorspark.functions import quality, values
 from factorspark.operators import asof, cross_section, intervals, intraday, series
+from factorspark.plans.features import index_price, valid_price
 
 
 def rows(df, *order):
@@ -123,26 +125,49 @@ def test_query_years_from_ranges_and_missing_pairs(spark):
     assert rows(intervals.missing_years(need, df)) == [("A", 2021)]
 
 
-def test_positions_by_range_equal_positions_by_window(spark):
+def test_positions_do_not_depend_on_partitions(spark):
     rng = random.Random(5)
     # A third of all rows share one value in one group.
     data = [(rng.choice("xxxy"), 0.0 if rng.random() < 0.4 else rng.random(), f"{i:05d}") for i in range(3000)]
     df = spark.createDataFrame(data, "g string, v double, s string")
-    order = [F.col("v").desc(), F.col("s").asc()]
-    a = cross_section.positions(df, ["g"], order, rows_bound=10)
-    b = cross_section._range_positions(df.repartition(5), ["g"], order, "position", "group_size")
-    assert rows(a, "g", "position") == rows(b, "g", "position")
+    got = cross_section.positions(df.repartition(5), ["g"], [F.col("v").desc(), F.col("s").asc()])
+    place = {(r["g"], r["s"]): r["position"] for r in got.collect()}
+    for g in "xy":
+        ordered = sorted(((v, s) for k, v, s in data if k == g), key=lambda x: (-x[0], x[1]))
+        assert [place[g, s] for _, s in ordered] == list(range(1, len(ordered) + 1))
 
 
-@pytest.mark.parametrize("bound", [10, 10**9])
-def test_large_group_paths_give_the_same_results(spark, bound):
+def test_average_rank_keeps_rows_with_nulls(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", None), ("a", 1.0), (None, 3.0), ("b", None)], "g string, v double")
+    got = sorted(map(tuple, cross_section.average_rank(df, ["g"], "v", "r").collect()), key=str)
+    assert got == sorted([("a", 1.0, 3.5), ("a", 1.0, 3.5), ("a", None, 1.5), ("a", None, 1.5), (None, 3.0, 1.0), ("b", None, 1.0)], key=str)
+
+
+def test_trailing_frames_forget_what_has_left_them(spark):
+    values = [1e17, 1.0, 1.0, None, 1.0, 1.0, 1.0]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(values)], "s string, i int, v double")
+    order = Window.partitionBy("s").orderBy("i")
+    got = df.select("i", series.trailing_avg(F.col("v"), order, 3).alias("m"), series.trailing_sum(F.col("v"), order, 2, by_range=True).alias("t")).orderBy("i").collect()
+    assert [r["m"] for r in got][3:] == [1.0, 1.0, 1.0, 1.0]
+    assert [r["t"] for r in got][2:] == [2.0, 1.0, 1.0, 2.0, 2.0]
+
+
+def test_nan_prices_do_not_pass(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("A", day("2024-01-01"), nan, 1.0, 1.0), ("A", day("2024-01-02"), 2.0, nan, nan), ("A", day("2024-01-03"), float("inf"), 1.0, 1.0)],
+                               "symbol string, date date, close double, amount double, pe_ttm double")
+    assert [tuple(r)[2:] for r in valid_price(df).collect()] == [(2.0, None, None)]
+    assert index_price(df).count() == 1
+
+
+def test_cross_sections_equal_plain_python(spark):
     rng = random.Random(11)
     data = [(f"D{i % 2}", f"{i:04d}", None if rng.random() < 0.1 else float(rng.randrange(25))) for i in range(400)]
     df = spark.createDataFrame(data, "date string, symbol string, v double")
     kept = df.filter("v IS NOT NULL")
-    flags = {(r["date"], r["symbol"]) for r in cross_section.flag_top_ratio(df, ["date"], "v", 0.3, "top", rows_bound=bound).filter("top").collect()}
-    ranks = {(r["date"], r["symbol"]): r["r"] for r in cross_section.average_rank(kept, ["date"], "v", "r", rows_bound=bound).collect()}
-    medians = {r["date"]: r["m"] for r in cross_section.group_median(df, ["date"], "v", "m", rows_bound=bound).collect()}
+    flags = {(r["date"], r["symbol"]) for r in cross_section.flag_top_ratio(df, ["date"], "v", 0.3, "top").filter("top").collect()}
+    ranks = {(r["date"], r["symbol"]): r["r"] for r in cross_section.average_rank(kept, ["date"], "v", "r").collect()}
+    medians = {r["date"]: r["m"] for r in cross_section.group_median(df, ["date"], "v", "m").collect()}
     for name in ("D0", "D1"):
         group = sorted([(v, s) for d, s, v in data if d == name and v is not None], key=lambda x: (-x[0], x[1]))
         assert {s for d, s in flags if d == name} == {s for _, s in group[: math.floor(len(group) * 0.3)]}
@@ -154,15 +179,17 @@ def test_large_group_paths_give_the_same_results(spark, bound):
 
 def test_quintiles_are_balanced_like_floor_not_ntile(spark):
     df = spark.createDataFrame([("d", f"S{i:02d}", float(i)) for i in range(12)] + [("e", "A", 1.0)], "date string, symbol string, f double")
-    got = cross_section.quintile_groups(df, ["date"], "f", rows_bound=12)
-    sizes = [r["count"] for r in got.groupBy("group").count().orderBy("group").collect()]
+    got = cross_section.quintile_groups(df, ["date"], "f")
+    sizes = [r["count"] for r in got.filter("date = 'd'").groupBy("group").count().orderBy("group").collect()]
     assert sizes == [3, 2, 3, 2, 2]
-    assert got.filter("date = 'e'").count() == 0
+    # A date with fewer names than groups stays, and is listed.
+    assert rows(got.filter("date = 'e'").select("symbol", "group")) == [("A", 1)]
+    assert rows(cross_section.too_small(df, ["date"], 5, "f")) == [("e", 1)]
 
 
 def test_trimmed_mean_and_ties(spark):
     df = spark.createDataFrame([("d", s, v) for s, v in zip("ABCDE", [5.0, 1.0, 1.0, 2.0, 100.0])], "date string, symbol string, v double")
-    got = cross_section.trimmed_mean(df, ["date"], "v", 0.2, rows_bound=5).first()
+    got = cross_section.trimmed_mean(df, ["date"], "v", 0.2).first()
     assert (got["trimmed_mean"], got["trimmed_count"], got["row_count"]) == (pytest.approx(8 / 3), 3, 5)
 
 
@@ -258,7 +285,7 @@ def test_equal_minutes_collapse_and_conflicts_are_listed(spark):
     bars = minutes(spark, [("A", "2024-01-02 09:31:00", 10.0), ("A", "2024-01-02 09:31:00", 10.0), ("B", "2024-01-02 09:31:00", 1.0), ("B", "2024-01-02 09:31:00", 2.0)])
     assert intraday.normalize_minute_bars(bars.filter("symbol = 'A'")).count() == 1
     assert rows(intraday.conflicting_minutes(bars).select("symbol", "row_count")) == [("B", 2)]
-    with pytest.raises(quality.DataQualityError, match="conflicting"):
+    with pytest.raises(quality.DataQualityError, match="different values"):
         intraday.normalize_minute_bars(bars, "2024-01-02", "2024-01-02", validate=True)
     with pytest.raises(quality.DataQualityError, match="before the range"):
         intraday.normalize_minute_bars(bars.filter("symbol = 'A'"), "2024-01-03", validate=True)
@@ -296,3 +323,48 @@ def test_quality_reports_all_broken_rules_at_once(spark):
         quality.require_rules(df, {"v is negative": F.col("v") < 0, "v is missing": F.col("v").isNull(), "fine": F.lit(False)}, "t")
     with pytest.raises(quality.DataQualityError, match="duplicate keys"):
         quality.require_unique(df, ["symbol"], "t")
+
+
+def test_missing_ranges_equal_day_sets(spark):
+    rng = random.Random(17)
+    start = day("2022-11-01")
+
+    def ranges(n, longest):
+        return [(rng.choice("AB"), start + dt.timedelta(days=(a := rng.randrange(600))), start + dt.timedelta(days=a + rng.randrange(longest))) for _ in range(n)]
+
+    asked, done = ranges(25, 500), ranges(40, 20)
+    schema = "symbol string, start date, end date"
+    got = intervals.missing_ranges(spark.createDataFrame(asked, schema), spark.createDataFrame(done, schema), ["symbol"]).collect()
+    held = {(s, a + dt.timedelta(days=k)) for s, a, b in done for k in range((b - a).days + 1)}
+    found = {}
+    for r in got:
+        key = r["symbol"], r["request_start"], r["request_end"]
+        days = {r["missing_start"] + dt.timedelta(days=k) for k in range((r["missing_end"] - r["missing_start"]).days + 1)}
+        assert days and not days & found.get(key, set())
+        assert (r["symbol"], r["missing_start"] - dt.timedelta(days=1)) in held or r["missing_start"] == r["request_start"]
+        found[key] = found.get(key, set()) | days
+    for s, a, b in set(asked):
+        assert found.get((s, a, b), set()) == {a + dt.timedelta(days=k) for k in range((b - a).days + 1) if (s, a + dt.timedelta(days=k)) not in held}
+
+
+def test_signal_dates_without_a_lookback_are_listed_and_raise(spark):
+    days = business_days("2024-01-01", 5)
+    calendar = cal.market_calendar(spark.createDataFrame([(d,) for d in days], "date date"))
+    ranked = spark.createDataFrame([(days[0], "A", 1), (days[4], "A", 1), (day("2024-01-06"), "A", 1)], "signal_date date, symbol string, position int")
+    assert rows(intervals.unfit_signal_dates(ranked, calendar, 3), "signal_date") == [(days[0], "lookback is not full"), (day("2024-01-06"), "not a market date")]
+    with pytest.raises(quality.DataQualityError, match="full lookback"):
+        intervals.lookback_requests(ranked, calendar, lookback=3)
+    assert intervals.lookback_requests(ranked, calendar, lookback=3, validate=False).count() == 1
+
+
+def test_bars_of_other_days_raise(spark):
+    bars = minutes(spark, [("A", "2024-01-02 09:31:00", 10.0), ("A", "2024-01-03 09:31:00", 10.0)])
+    asked = spark.createDataFrame([("A", day("2024-01-02"))], "symbol string, trade_date date")
+    with pytest.raises(quality.DataQualityError, match="not asked for"):
+        intraday.daily_volatility(bars, asked)
+    assert intraday.daily_volatility(bars, asked, validate=False).count() == 1
+
+
+def test_last_quotes(spark):
+    df = spark.createDataFrame([(s, day(f"2024-01-0{i}")) for s in "AB" for i in range(1, 6)], "symbol string, date date")
+    assert rows(series.last_quotes(df, 2), "symbol", "date") == [(s, day(f"2024-01-0{i}")) for s in "AB" for i in (4, 5)]

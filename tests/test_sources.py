@@ -36,7 +36,7 @@ def test_load_dataset_filters_and_rejects(spark, tmp_path):
         loading.load_dataset(spark, "stock_daily", data_root=str(tmp_path))
     with pytest.raises(ValueError, match="must not be after"):
         loading.load_dataset(spark, "stock_daily", start="2024-02-01", end="2024-01-01", data_root=str(tmp_path))
-    with pytest.raises(ValueError, match="does not support"):
+    with pytest.raises(ValueError, match="only, not"):
         loading.load_dataset(spark, "csindex_daily", start="2024-01-01", end="2024-01-02", symbols=["000300"], data_root=str(tmp_path))
     bars(spark, items[:1]).write.mode("append").parquet(f"{tmp_path}/stock_daily")
     with pytest.raises(DataQualityError, match="duplicate keys"):
@@ -202,3 +202,54 @@ def test_stream_emits_finished_days_once(spark, tmp_path):
     assert set(got) == {"A", "B"}
     assert got["A"]["volatility"] == pytest.approx(statistics.stdev([0.1, -1 / 11])) and got["A"]["bar_count"] == 3
     assert got["A"]["status"] == 1 and got["B"]["status"] == 3 and got["B"]["volatility"] is None
+
+
+def test_allowed_symbols_hold_for_frames_and_columns_are_required(spark, tmp_path):
+    rows_ = [(day("2024-01-02"), s, 1.0) for s in ("H30269", "H20269", "H00001")]
+    spark.createDataFrame(rows_, "date date, symbol string, close double").write.parquet(f"{tmp_path}/{dataset('csindex_daily').folder}")
+    read = dict(start="2024-01-01", end="2024-01-03", data_root=str(tmp_path))
+    asked = spark.createDataFrame([("H30269",)], "symbol string")
+    assert [r["symbol"] for r in loading.load_dataset(spark, "csindex_daily", symbols=asked, **read).collect()] == ["H30269"]
+    with pytest.raises(DataQualityError, match="does not hold"):
+        loading.load_dataset(spark, "csindex_daily", symbols=spark.createDataFrame([("H00001",)], "symbol string"), **read)
+    spark.createDataFrame([(day("2024-01-02"), "600000.SH")], "date date, symbol string").write.parquet(f"{tmp_path}/short/stock_daily")
+    with pytest.raises(DataQualityError, match="missing required columns"):
+        loading.load_dataset(spark, "stock_daily", start="2024-01-01", end="2024-01-03", data_root=f"{tmp_path}/short")
+
+
+def test_absent_daily_columns_are_typed(spark):
+    out = extracts.prepare_daily_columns(spark.createDataFrame([("A", day("2024-01-02"), 1.0)], "symbol string, date date, close double"))
+    assert not [c for c, kind in out.dtypes if kind == "void"]
+
+
+def test_conflicting_and_negative_writes_raise(spark):
+    schema = "symbol string, date date, close double"
+    d = day("2024-01-02")
+    old, twice = spark.createDataFrame([("A", d, 1.0)], schema), spark.createDataFrame([("A", d, 2.0), ("A", d, 3.0)], schema)
+    for write in (tables.replace_by_dates, tables.upsert_close):
+        with pytest.raises(DataQualityError, match="differ"):
+            write(old, twice, ["symbol", "date"])
+        assert [r["close"] for r in write(old, twice.filter("close = 2").union(twice.filter("close = 2")), ["symbol", "date"]).collect()] == [2.0]
+    cash = spark.createDataFrame([("A", d, -1.0), ("B", d, 1.0), ("C", d, None)], schema)
+    with pytest.raises(DataQualityError, match="negative"):
+        tables.insert_absent(old, cash, ["symbol", "date", "close"], value="close")
+    assert tables.insert_absent(old, cash, ["symbol", "date", "close"], value="close", validate=False).count() == 2
+    assert tables.record_points(old, twice.union(old)).count() == 3
+
+
+def test_minute_write_replaces_per_request(spark):
+    bar = "symbol string, datetime timestamp_ntz, open float, high float, low float, close float, volume double, total_turnover double"
+
+    def bars_of(items):
+        return spark.createDataFrame([(s, dt.datetime(2024, 1, d, 9, m), p, p, p, p, 1.0, p) for s, d, m, p in items], bar)
+
+    calendar = spark.createDataFrame([(day(f"2024-01-0{i}"), i) for i in range(2, 6)], "date date, market_index int")
+    stored = bars_of([("A", 2, 31, 9.0), ("A", 4, 31, 9.0), ("B", 2, 31, 9.0)])
+    features = spark.createDataFrame([("A", day("2024-01-03"), 0.5), ("A", day("2024-01-05"), 0.5), ("B", day("2024-01-02"), 0.5)], "symbol string, trade_date date, volatility float")
+    status = spark.createDataFrame([("A", day("2024-01-03"), 1, 3, 2, True, True)], "symbol string, trade_date date, status int, bar_count int, return_count int, raw_saved boolean, feature_saved boolean")
+    requests = spark.createDataFrame([("A", day("2024-01-02"), day("2024-01-03"), True), ("B", day("2024-01-02"), day("2024-01-02"), False)], "symbol string, start_date date, end_date date, retain_raw boolean")
+    new = bars_of([("A", 2, 31, 10.0), ("A", 2, 32, 11.0), ("A", 2, 33, 10.5), ("B", 2, 31, 1.0), ("B", 2, 32, 1.5), ("B", 2, 33, 1.0)])
+    raw, found, days = tables.replace_intraday(stored, features, status, new, requests, calendar)
+    assert sorted((r["symbol"], r["datetime"].day, r["close"]) for r in raw.collect()) == [("A", 2, 10.0), ("A", 2, 10.5), ("A", 2, 11.0), ("A", 4, 9.0), ("B", 2, 9.0)]
+    assert sorted((r["symbol"], r["trade_date"].day) for r in found.collect()) == [("A", 2), ("A", 5), ("B", 2)]
+    assert sorted((r["symbol"], r["trade_date"].day, r["status"], r["raw_saved"]) for r in days.collect()) == [("A", 2, 1, True), ("A", 3, 2, True), ("B", 2, 1, False)]

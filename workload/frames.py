@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from factorspark.functions.calendar import market_calendar, period_end_dates
 from factorspark.plans.rules import IntradaySelectionRules, SelectionRules, TimingRules, UniverseRules
-from factorspark.sources.views import BROADCAST_ROWS
 
 UNIVERSE = UniverseRules(lookback_days=26)
 SELECTION = SelectionRules(dividend_yield_lookback_days=52, dividend_top_n=15, final_n=8, volatility_lookback_days=12, universe=UNIVERSE)
@@ -38,10 +37,6 @@ class Market:
         """Number of securities: an upper bound on any date's cross-section (file metadata only)."""
         return self.table("supplier").count()
 
-    def small(self, dim: DataFrame) -> DataFrame:
-        """The security dimension, hinted for broadcast only below the row limit."""
-        return F.broadcast(dim) if self.securities_count <= BROADCAST_ROWS else dim
-
     def securities(self) -> DataFrame:
         return self.table("supplier").select(
             F.col("s_suppkey").alias("security_id"), symbol_of(F.col("s_suppkey")).alias("symbol"), "s_acctbal"
@@ -64,7 +59,7 @@ class Market:
         )
 
     def price(self) -> DataFrame:
-        joined = self.weekly().join(self.small(self.securities()), "security_id")
+        joined = self.weekly().join(self.securities(), "security_id")
         return joined.select(
             "date", "symbol", (F.col("cents").cast("double") / F.col("qty").cast("double") / 100.0).alias("close"),
             (F.col("cents").cast("double") / 100.0).alias("amount"), F.col("qty").alias("volume"),

@@ -14,7 +14,6 @@ from factorspark.functions import quality, values
 from factorspark.operators import asof, cross_section, intervals, intraday, series
 from factorspark.plans import features, index, universe
 from factorspark.plans.performance import align_inner
-from factorspark.sources import views
 
 from .frames import START, shown, symbol_of
 from .registry import query
@@ -27,7 +26,7 @@ from .sqlframes import parts
     SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0""")
 def join_equi_inner(m):
     dim = m.table("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    out = m.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(views.sized_dimension(dim), "l_suppkey")
+    out = m.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(dim, "l_suppkey")
     return shown(out.drop("l_suppkey"))
 
 
@@ -297,13 +296,13 @@ _TRIM_SQL = parts("""
 
 @query("trimmed_mean", _TRIM_SQL)
 def trimmed_mean(m):
-    return shown(cross_section.trimmed_mean(m.pb(), ["date"], "pb_ratio_lf", 0.1, rows_bound=m.securities_count), trimmed_mean=8)
+    return shown(cross_section.trimmed_mean(m.pb(), ["date"], "pb_ratio_lf", 0.1), trimmed_mean=8)
 
 
 @query("trimmed_mean_by_range", _TRIM_SQL)
 def trimmed_mean_by_range(m):
-    """The same trim with positions from range partitioning, the path of very large dates."""
-    ranked = cross_section._range_positions(m.pb(), ["date"], [F.col("pb_ratio_lf").asc(), F.col("symbol").asc()], "_p", "_n")
+    """The same trim written out over positions."""
+    ranked = cross_section.positions(m.pb(), ["date"], [F.col("pb_ratio_lf").asc(), F.col("symbol").asc()], position="_p", size="_n")
     cut = F.floor(F.col("_n") * F.lit(0.1))
     inside = (F.col("_p") > cut) & (F.col("_p") <= F.col("_n") - cut)
     out = ranked.groupBy("date").agg(
@@ -349,12 +348,12 @@ def _pairs(m):
 @query("ic", _IC_SQL)
 def ic(m):
     pairs = _pairs(m).filter("forward_return IS NOT NULL")
-    return shown(cross_section.information_coefficients(pairs, ["date"], rows_bound=m.securities_count), ic=8, rank_ic=8)
+    return shown(cross_section.information_coefficients(pairs, ["date"]), ic=8, rank_ic=8)
 
 
 @query("average_rank", parts("SELECT CAST(date AS VARCHAR) AS date, symbol, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS r FROM price"))
 def average_rank(m):
-    out = cross_section.average_rank(m.price().select("date", "symbol", "volume"), ["date"], "volume", "r", rows_bound=m.securities_count)
+    out = cross_section.average_rank(m.price().select("date", "symbol", "volume"), ["date"], "volume", "r")
     return shown(out.select("date", "symbol", F.col("r").cast("double").alias("r")))
 
 
@@ -365,7 +364,7 @@ def average_rank(m):
 def icir(m):
     at = m.as_of().select(F.col("as_of_date").alias("date"))
     pairs = _pairs(m).filter("forward_return IS NOT NULL").join(F.broadcast(at), "date")
-    out = cross_section.information_coefficients(pairs, ["date"], rows_bound=m.securities_count)
+    out = cross_section.information_coefficients(pairs, ["date"])
     return shown(out.agg(cross_section.annual_icir("ic").alias("icir"), cross_section.annual_icir("rank_ic").alias("rank_icir")), icir=6, rank_icir=6)
 
 
@@ -481,14 +480,14 @@ _RANK_SQL = parts("SELECT CAST(date AS VARCHAR) AS date, symbol, row_number() OV
 
 @query("rank_ordinal", _RANK_SQL)
 def rank_ordinal(m):
-    out = cross_section.positions(m.price().select("date", "symbol", "volume"), ["date"], [F.col("volume").asc(), F.col("symbol").asc()], rows_bound=m.securities_count)
+    out = cross_section.positions(m.price().select("date", "symbol", "volume"), ["date"], [F.col("volume").asc(), F.col("symbol").asc()])
     return shown(out.drop("volume"))
 
 
 @query("rank_ordinal_by_range", _RANK_SQL)
 def rank_ordinal_by_range(m):
-    """The same positions from range partitioning, the path of very large dates."""
-    out = cross_section._range_positions(m.price().select("date", "symbol", "volume"), ["date"], [F.col("volume").asc(), F.col("symbol").asc()], "position", "group_size")
+    """The same positions from another partitioning of the input."""
+    out = cross_section.positions(m.price().select("date", "symbol", "volume").repartition(13, "symbol"), ["date"], [F.col("volume").asc(), F.col("symbol").asc()])
     return shown(out.drop("volume"))
 
 
@@ -496,7 +495,7 @@ def rank_ordinal_by_range(m):
     SELECT CAST(date AS VARCHAR) AS date, symbol, CAST(floor((n - 1) * 5 / c) + 1 AS BIGINT) AS "group" FROM (
       SELECT *, row_number() OVER (PARTITION BY date ORDER BY close, symbol) AS n, count(*) OVER (PARTITION BY date) AS c FROM price) WHERE c >= 5"""))
 def quintile_groups(m):
-    out = cross_section.quintile_groups(m.price().select("date", "symbol", "close"), ["date"], "close", rows_bound=m.securities_count)
+    out = cross_section.quintile_groups(m.price().select("date", "symbol", "close"), ["date"], "close")
     return shown(out.drop("close"))
 
 
@@ -507,16 +506,16 @@ def quintile_groups(m):
           SELECT *, median(abs(close - med)) OVER (PARTITION BY date) AS mad FROM (SELECT *, median(close) OVER (PARTITION BY date) AS med FROM price))))"""))
 def winsor_zscore(m):
     rows = m.price().select("date", "symbol", F.col("close").alias("factor"))
-    return shown(cross_section.winsor_zscore(rows, rows_bound=m.securities_count), factor=6)
+    return shown(cross_section.winsor_zscore(rows), factor=6)
 
 
 @query("neutralize_ols", parts("""
     SELECT CAST(date AS VARCHAR) AS date, symbol, round(close - (my + coalesce(b, 0.0) * (x - mx)), 6) + 0.0 AS residual FROM (
       SELECT *, ln(amount) AS x, regr_slope(close, ln(amount)) OVER (PARTITION BY date) AS b, avg(close) OVER (PARTITION BY date) AS my, avg(ln(amount)) OVER (PARTITION BY date) AS mx
-      FROM price) WHERE date IN (SELECT date FROM price GROUP BY date HAVING count(*) >= 3)"""))
+      FROM price)"""))
 def neutralize_ols(m):
     rows = m.price().select("date", "symbol", "close", F.ln("amount").alias("x"))
-    return shown(cross_section.neutralize(rows, ["date"], "close", "x", "residual", minimum=3).select("date", "symbol", "residual"), residual=6)
+    return shown(cross_section.neutralize(rows, ["date"], "close", "x", "residual").select("date", "symbol", "residual"), residual=6)
 
 
 # ---- top-k and sets --------------------------------------------------------------
@@ -528,7 +527,7 @@ def neutralize_ols(m):
       FROM (SELECT date, symbol, CASE WHEN volume % 4 <> 0 THEN volume END AS x FROM price)) WHERE x IS NOT NULL AND n <= floor(c * CAST(0.8 AS DOUBLE))"""))
 def topk_ratio(m):
     rows = m.price().select("date", "symbol", F.when(F.col("volume") % 4 != 0, F.col("volume")).alias("x"))
-    return shown(cross_section.topk_ratio(rows, ["date"], "x", 0.8, rows_bound=m.securities_count).drop("x"))
+    return shown(cross_section.topk_ratio(rows, ["date"], "x", 0.8).drop("x"))
 
 
 @query("topk_n", parts("SELECT CAST(date AS VARCHAR) AS date, symbol, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS n FROM price) WHERE n <= 10"))

@@ -27,10 +27,6 @@ def _scaled(df):
     return df.withColumn("avg_market_cap_240d", F.col("avg_market_cap_240d") / 1e6)
 
 
-def _kw(m):
-    return dict(rows_bound=m.securities_count, validate=False)
-
-
 def _inputs(m):
     return m.price(), m.dividends(), m.dividend_queries(), m.shares()
 
@@ -52,12 +48,12 @@ def prepare_inputs(m):
 @query("market_filter", parts(f"SELECT CAST(date AS VARCHAR) AS date, symbol FROM market_pass"))
 def market_filter(m):
     rows = features.quote_features(m.price(), m.dividends(), m.shares(), cap_lookback=26, dividend_years=3, yield_lookback=52)
-    return shown(universe.market_filter(rows, m.as_of(), UNIVERSE, 52, rows_bound=m.securities_count).select("date", "symbol"))
+    return shown(universe.market_filter(rows, m.as_of(), UNIVERSE, 52).select("date", "symbol"))
 
 
 @query("dividend_universe", parts(f"SELECT {_BASE} FROM universe"))
 def dividend_universe(m):
-    out = universe.dividend_universe(*_inputs(m), m.as_of(), UNIVERSE, 52, **_kw(m))
+    out = universe.dividend_universe(*_inputs(m), m.as_of(), UNIVERSE, 52)
     return shown(_scaled(out).select(
         F.col("date").alias("as_of_date"), "symbol", "avg_market_cap_240d", "avg_amount_240d", "dividend_yield_ttm", "payout_ratio",
         "dividend_growth_slope", "avg_dividend_yield_3y"), **SEL)
@@ -65,7 +61,7 @@ def dividend_universe(m):
 
 @query("select_candidates", parts(f"SELECT {_BASE}, CAST(date AS VARCHAR) AS price_date, dividend_yield_rank FROM candidates"))
 def select_candidates(m):
-    out = selection.select_candidates(*_inputs(m), m.as_of(), SELECTION, **_kw(m))
+    out = selection.select_candidates(*_inputs(m), m.as_of(), SELECTION)
     return shown(_scaled(out).select(*selection.CANDIDATE_COLUMNS), **SEL)
 
 
@@ -73,14 +69,14 @@ def select_candidates(m):
     SELECT {_BASE}, CAST(date AS VARCHAR) AS price_date, round(volatility_240d, 8) + 0.0 AS volatility_240d, dividend_yield_rank, volatility_rank,
            round(weight, 8) + 0.0 AS weight FROM chosen"""))
 def select_constituents(m):
-    out = selection.select_constituents(*_inputs(m), m.as_of(), SELECTION, factors=m.factors(), **_kw(m))
+    out = selection.select_constituents(*_inputs(m), m.as_of(), SELECTION, factors=m.factors())
     return shown(_scaled(out), **SEL)
 
 
 @query("selection_shortfalls", parts("""
     SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, count(symbol) AS selected FROM as_of LEFT JOIN chosen ON chosen.date = as_of_date GROUP BY 1 HAVING count(symbol) < 8"""))
 def selection_shortfalls(m):
-    out = selection.select_constituents(*_inputs(m), m.as_of(), SELECTION, factors=m.factors(), **_kw(m))
+    out = selection.select_constituents(*_inputs(m), m.as_of(), SELECTION, factors=m.factors())
     return shown(selection.shortfalls(out, m.as_of(), SELECTION.final_n))
 
 
@@ -106,7 +102,7 @@ def hf_factor(m):
 
 @query("hf_candidate_factor", parts(f"SELECT {_FACTOR_COLUMNS.replace('as_of_date AS VARCHAR', 'date AS VARCHAR')} FROM hf_candidates"))
 def hf_candidate_factor(m):
-    out = selection.select_intraday_candidates(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY, **_kw(m))
+    out = selection.select_intraday_candidates(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY)
     return shown(out.select("as_of_date", "symbol", "intraday_volatility_cv", "log_market_cap", "minute_return_volatility"), **SEL)
 
 
@@ -115,7 +111,7 @@ def hf_candidate_factor(m):
            round(log_market_cap, 8) + 0.0 AS log_market_cap, round(minute_return_volatility, 8) + 0.0 AS minute_return_volatility, volatility_rank,
            round(weight, 8) + 0.0 AS weight FROM hf_chosen"""))
 def select_hf_constituents(m):
-    out = selection.select_intraday_constituents(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY, **_kw(m))
+    out = selection.select_intraday_constituents(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY)
     return shown(_scaled(out), **SEL)
 
 
@@ -137,7 +133,7 @@ def low_volatility_portfolio(m):
     vols = series.rolling_volatility(prices.select("symbol", "date", "close"), 12).join(F.broadcast(at), "date")
     picked = cross_section.topk_n(vols.filter("volatility IS NOT NULL"), ["date"], [F.col("volatility").asc(), F.col("symbol").asc()], 5)
     weights = groups.equal_weights(picked.select(F.lit("low").alias("portfolio"), "date", "symbol"))
-    return portfolio.portfolio_nav(prices, weights, dates=weights.select("date").distinct(), validate=False)
+    return portfolio.portfolio_nav(prices, weights, dates=weights.select("date").distinct())
 
 
 _LOWVOL_PARTS = nav_parts(_LOWVOL_SQL, "price", "close")
@@ -150,7 +146,7 @@ _LOWVOL_PARTS = nav_parts(_LOWVOL_SQL, "price", "close")
           FROM (SELECT *, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1.0 AS d FROM nav))""", _LOWVOL_PARTS))
 def low_volatility_metrics(m):
     nav = low_volatility_portfolio(m)
-    out = performance.calc_metrics(nav.select(F.col("portfolio").alias("series_id"), "date", F.col("total_return").alias("r")), periods_per_year=12, validate=False)
+    out = performance.calc_metrics(nav.select(F.col("portfolio").alias("series_id"), "date", F.col("total_return").alias("r")), periods_per_year=12)
     return shown(out, annual_return=6, annual_vol=6, sharpe=6, max_drawdown=6, win_rate=6)
 
 
@@ -176,7 +172,7 @@ def portfolio_nav_with_costs(m):
     vols = series.rolling_volatility(prices.select("symbol", "date", "close"), 12).join(F.broadcast(at), "date")
     picked = cross_section.topk_n(vols.filter("volatility IS NOT NULL"), ["date"], [F.col("volatility").asc(), F.col("symbol").asc()], 5)
     weights = groups.equal_weights(picked.select(F.lit("low").alias("portfolio"), "date", "symbol"))
-    nav = portfolio.portfolio_nav(prices, weights, dates=weights.select("date").distinct(), fees=0.001, slippage=0.002, validate=False)
+    nav = portfolio.portfolio_nav(prices, weights, dates=weights.select("date").distinct(), fees=0.001, slippage=0.002)
     first = nav.agg(F.min("date").alias("d"))
     later = nav.join(F.broadcast(first), nav["date"] == first["d"], "left_anti")
     return shown(later.select("date", "total_return"), total_return=8)
@@ -220,7 +216,7 @@ _INDEX_COLUMNS = ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c, n in _INDEX_RO
 
 @query("index_segment", parts(f"SELECT segment, CAST(date AS VARCHAR) AS date, {_INDEX_COLUMNS} FROM idx2", _SEGMENTS))
 def index_segment(m):
-    out = index.index_segments(m.price(), m.dividends(), _members(m), validate=False)
+    out = index.index_segments(m.price(), m.dividends(), _members(m))
     return shown(out.drop("effective_date"), **_INDEX_ROUND)
 
 
@@ -232,7 +228,7 @@ def index_segment(m):
                     FROM (SELECT segment, arg_max(price_index, date) AS pe, arg_max(total_return_index, date) AS te FROM idx2 GROUP BY 1)) b USING (segment)
     WHERE head OR date > effective_date""", _SEGMENTS))
 def chained_index(m):
-    return shown(index.chain_segments(index.index_segments(m.price(), m.dividends(), _members(m), validate=False)), **_INDEX_ROUND)
+    return shown(index.chain_segments(index.index_segments(m.price(), m.dividends(), _members(m))), **_INDEX_ROUND)
 
 
 @query("annual_schedule", parts("""
@@ -272,7 +268,7 @@ _FRIDAY = {
                     FROM (SELECT segment, arg_max(price_index, date) AS pe, arg_max(total_return_index, date) AS te FROM idx2 GROUP BY 1)) b USING (segment)
     WHERE head OR date > effective_date""", {**_SEGMENTS, **_FRIDAY}))
 def annual_rebalanced_index(m):
-    out, _ = index.annual_rebalanced_index(_on_fridays(m), m.dividends(), m.dividend_queries(), m.shares(), START, END, SELECTION, **_kw(m))
+    out, _ = index.annual_rebalanced_index(_on_fridays(m), m.dividends(), m.dividend_queries(), m.shares(), START, END, SELECTION)
     return shown(out, **_INDEX_ROUND)
 
 
@@ -289,13 +285,13 @@ def _logged(df, column="total_return_index", name="log_index"):
 
 @query("monthly_index", parts(_NAV_SQL, _MONTHLY))
 def monthly_index(m):
-    nav, _ = index.monthly_index(*_inputs(m), START, END, SELECTION, m.factors(), m.factor_coverage(), **_kw(m))
+    nav, _ = index.monthly_index(*_inputs(m), START, END, SELECTION, m.factors(), m.factor_coverage())
     return shown(_logged(nav), **_NAV_ROUND)
 
 
 @query("hf_monthly_index", parts(_NAV_SQL, nav_parts("SELECT 'm' AS portfolio, date, symbol, weight FROM hf_chosen")))
 def hf_monthly_index(m):
-    nav, _ = index.intraday_monthly_index(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage(), **_kw(m))
+    nav, _ = index.intraday_monthly_index(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
     return shown(_logged(nav), **_NAV_ROUND)
 
 
@@ -336,11 +332,11 @@ _GIC_SQL = "SELECT pool, CAST(date AS VARCHAR) AS date, round(ic, 8) + 0.0 AS ic
 
 
 def _traditional(m):
-    return groups.traditional_group_indices(*_inputs(m), START, END, SELECTION, m.factors(), m.factor_coverage(), **_kw(m))
+    return groups.traditional_group_indices(*_inputs(m), START, END, SELECTION, m.factors(), m.factor_coverage())
 
 
 def _intraday_groups(m):
-    return groups.intraday_group_indices(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage(), **_kw(m))
+    return groups.intraday_group_indices(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
 
 
 @query("traditional_group_indices", parts(_GROUP_SQL, _TRADITIONAL))
@@ -412,11 +408,11 @@ _TIMING = {
 
 
 def _spread(m):
-    return timing.bp_spread(m.pb(), m.constituents(), TIMING, **_kw(m))
+    return timing.bp_spread(m.pb(), m.constituents(), TIMING)
 
 
 def _timed(m):
-    return timing.timing_backtest(_spread(m).select("date", "bearish_signal"), m.index_close(), validate=False)
+    return timing.timing_backtest(_spread(m).select("date", "bearish_signal"), m.index_close())
 
 
 @query("bp_group_counts", parts("SELECT CAST(date AS VARCHAR) AS date, constituent_count, non_constituent_count, constituent_trimmed_count, non_constituent_trimmed_count FROM spread", _TIMING))
@@ -458,7 +454,7 @@ def _timing_returns(m):
 def calc_metrics(m):
     returns = _timing_returns(m)
     bench = returns.filter("series_id = 'benchmark'").select("date", "r")
-    out = performance.calc_metrics(returns, bench, 12, validate=False)
+    out = performance.calc_metrics(returns, bench, 12)
     return shown(out, annual_return=6, annual_vol=6, sharpe=5, max_drawdown=6, win_rate=6, excess_return=6, tracking_error=6)
 
 

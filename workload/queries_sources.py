@@ -124,7 +124,7 @@ def view_index_daily(m):
 
 
 def _keyed(m, df):
-    return df.join(m.small(m.securities().select("security_id", "symbol")), "symbol").drop("symbol")
+    return df.join(m.securities().select("security_id", "symbol"), "symbol").drop("symbol")
 
 
 @query("view_adjust_factor", parts("""
@@ -149,7 +149,7 @@ def _event_securities(m):
 @query("view_minute", parts("SELECT symbol, CAST(datetime AS VARCHAR) AS datetime, close, volume FROM minute"))
 def view_minute(m):
     ids = _event_securities(m)
-    facts = m.minute().join(views.sized_dimension(ids), "symbol").drop("symbol")
+    facts = m.minute().join(ids, "symbol").drop("symbol")
     return shown(views.minute_bars(facts, ids).select("symbol", "datetime", "close", "volume"))
 
 
