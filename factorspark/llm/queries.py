@@ -93,7 +93,7 @@ def _op8_sql() -> str:
       SELECT w.conv_id, w.turn, w.parent_turn, l.parent_turn, w.depth + 1 FROM walk w JOIN linked l ON l.conv_id = w.conv_id AND l.turn = w.root_turn),
     threads AS (SELECT conv_id, turn, min(parent_turn) AS parent_turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM walk GROUP BY 1, 2),
     own AS (
-      SELECT c.conv_id, c.turn, c.role, t.parent_turn, COALESCE(t.root_turn, c.turn) AS root_turn, CAST(COALESCE(t.depth, 0) AS INTEGER) AS depth,
+      SELECT c.conv_id, c.turn, c.role, t.parent_turn, COALESCE(t.root_turn, c.turn) AS root_turn, CAST(COALESCE(t.depth, 0) AS BIGINT) AS depth,
              CASE WHEN regexp_matches(text, '(?m){levels}') THEN trim(array_to_string({own}, chr(10)), chr(10)) ELSE text END AS text
       FROM conversations c LEFT JOIN threads t ON c.conv_id = t.conv_id AND c.turn = t.turn)
     SELECT conv_id, turn, role, text, parent_turn, root_turn, depth,

@@ -76,7 +76,7 @@ def links(messages: DataFrame) -> DataFrame:
 
 def threads(linked: DataFrame) -> DataFrame:
     """``conv_id, turn, parent_turn, root_turn, depth``: each doubling joins every turn's ancestor to that one's ancestor."""
-    state = durable(linked.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), F.lit(True).alias("open")), "threads")
+    state = durable(linked.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open")), "threads")
     for _ in range(DOUBLINGS):
         if state.where("open").isEmpty():
             return state.drop("open")
@@ -106,6 +106,6 @@ def conversations(messages: DataFrame) -> DataFrame:
     found = threads(links(rows))
     # One row for each linked turn; turns that repeat take the same one.
     out = rows.join(found, ["conv_id", "turn"], "left")
-    out = out.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    out = out.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
     out = placed(out, "conv_id", ["root_turn", "depth", "turn", "role", "text"])
     return out.withColumn("chat", formatted(F.col("role"), F.col("text")))
