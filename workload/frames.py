@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import cache, cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.calendar import market_calendar, period_end_dates
 from factorspark.plans.rules import IntradaySelectionRules, SelectionRules, TimingRules, UniverseRules
+from factorspark.session import scratch_path
 
 UNIVERSE = UniverseRules(lookback_days=26)
 SELECTION = SelectionRules(dividend_yield_lookback_days=52, dividend_top_n=15, final_n=8, volatility_lookback_days=12, universe=UNIVERSE)
@@ -22,6 +24,10 @@ TIMING = TimingRules(index_code="H30269", pb_factor="pb_ratio_lf")
 START, END = "1998-01-01", "2001-06-30"
 
 
+#: Where derived frames were written, by application, folder and name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Market:
     """Lazily derived frames of one scale-factor folder."""
 
@@ -49,7 +55,25 @@ class Market:
             "o_totalprice", "o_orderpriority", "o_orderstatus",
         )
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A frame that many queries start from, written once for each folder and application to the shared folder."""
+        key = self.spark.sparkContext.applicationId, self.folder, name
+        if key in _WRITTEN:
+            try:
+                return self.spark.read.parquet(_WRITTEN[key])
+            except AnalysisException:  # the scratch folder has been cleared meanwhile
+                del _WRITTEN[key]
+        path = scratch_path(self.spark, name)
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+        return self.spark.read.parquet(path)
+
+    @cache
     def weekly(self) -> DataFrame:
+        """Line items summed per supplier and week."""
+        return self.derived("weekly", self._weekly)
+
+    def _weekly(self) -> DataFrame:
         week = F.date_trunc("WEEK", F.col("l_shipdate")).cast("date")
         return self.table("lineitem").groupBy(F.col("l_suppkey").alias("security_id"), week.alias("date")).agg(
             F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
@@ -79,25 +103,27 @@ class Market:
         )
 
     def dividends(self) -> DataFrame:
-        first = self.order_symbols().groupBy("symbol", F.year("day").alias("year")).agg(
-            F.min_by(F.struct("day", "o_totalprice"), F.struct("day", "o_orderkey")).alias("r")
+        """The mean of all orders of a symbol and year is one payment, announced on the day of the first."""
+        yearly = self.order_symbols().groupBy("symbol", F.year("day").alias("year")).agg(
+            F.min("day").alias("day"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("orders")
         )
-        return first.select(
-            "symbol", "year", F.col("r.day").alias("announce_date"), F.col("r.day").alias("record_date"),
-            F.date_add("r.day", 1).alias("operate_date"), F.date_add("r.day", 20).alias("payment_date"),
-            (F.col("r.o_totalprice") / 1000.0).alias("cash_dividend_before_tax"),
+        return yearly.select(
+            "symbol", "year", F.col("day").alias("announce_date"), F.col("day").alias("record_date"),
+            F.date_add("day", 1).alias("operate_date"), F.date_add("day", 20).alias("payment_date"),
+            (F.col("cents").cast("double") / F.col("orders").cast("double") / 100000.0).alias("cash_dividend_before_tax"),
         )
 
     def shares(self) -> DataFrame:
-        urgent = self.order_symbols().filter(F.col("o_orderpriority") == "1-URGENT")
-        return urgent.groupBy("symbol", F.col("day").alias("publish_date")).agg(
+        """The largest order of every symbol and day."""
+        return self.order_symbols().groupBy("symbol", F.col("day").alias("publish_date")).agg(
             F.max(F.round(F.col("o_totalprice") * 1000).cast("long")).alias("total_shares")
         ).withColumn("report_date", F.date_sub("publish_date", 30))
 
     def factors(self) -> DataFrame:
-        days = self.order_symbols().filter(F.col("o_orderstatus") == "P").select("symbol", F.col("day").alias("operate_date")).distinct()
+        """Every day with an order is an adjustment."""
+        days = self.order_symbols().select("symbol", F.col("day").alias("operate_date")).distinct()
         number = F.row_number().over(Window.partitionBy("symbol").orderBy("operate_date"))
-        return days.withColumn("back_adjust_factor", 1.0 + number / 100.0)
+        return days.withColumn("back_adjust_factor", 1.0 + number / 1000.0)
 
     def factor_coverage(self) -> DataFrame:
         spans = self.weekly().groupBy("security_id").agg(F.year(F.min("date")).alias("a"), F.year(F.max("date")).alias("b"))
@@ -111,17 +137,18 @@ class Market:
         return self.securities().select("symbol", years.alias("year"))
 
     def minute_raw(self) -> DataFrame:
-        return self.table("events").filter("value > 0").select(
+        return self.table("events").select(
             F.col("event_type").alias("symbol"), F.date_trunc("MINUTE", F.col("ts")).cast("timestamp_ntz").alias("datetime"), "event_id",
             *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"),
             F.col("value").alias("total_turnover"),
         )
 
     def minute(self) -> DataFrame:
-        """The first event of each (symbol, minute)."""
-        kept = ["open", "high", "low", "close", "volume", "total_turnover"]
-        first = self.minute_raw().groupBy("symbol", "datetime").agg(F.min_by(F.struct(*kept), F.col("event_id")).alias("r"))
-        return first.select("symbol", "datetime", *[F.col("r")[c].alias(c) for c in kept])
+        """Bars of each (symbol, minute) from all of its events."""
+        return self.minute_raw().groupBy("symbol", "datetime").agg(
+            F.min_by("open", "event_id").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "event_id").alias("close"),
+            F.count(F.lit(1)).cast("double").alias("volume"), (F.sum(F.round(F.col("close") * 100).cast("long")) / 100.0).alias("total_turnover"),
+        )
 
     def minute_days(self) -> DataFrame:
         """Every symbol with its days, and two days on each side so that days without bars occur."""
@@ -149,8 +176,9 @@ class Market:
             (F.sum("cents").cast("double") / F.sum("qty").cast("double") / 100.0).alias("close")
         )
 
+    @cache
     def calendar(self) -> DataFrame:
-        return market_calendar(self.weekly())
+        return self.derived("calendar", lambda: market_calendar(self.weekly()))
 
     def as_of(self) -> DataFrame:
         inside = self.weekly().select("date").filter(F.col("date").between(F.lit(START).cast("date"), F.lit(END).cast("date")))

@@ -694,9 +694,11 @@ def completed_minute_days(m):
     return shown(intervals.completed_minute_days(status))
 
 
-@query("require_coverage", parts("SELECT DISTINCT p.symbol, CAST(year(p.date) AS BIGINT) AS year FROM price p WHERE NOT EXISTS (SELECT 1 FROM dividends d WHERE d.symbol = p.symbol AND d.year = year(p.date))"))
+@query("require_coverage", parts("SELECT DISTINCT p.symbol, CAST(year(p.date) AS BIGINT) AS year FROM price p WHERE NOT EXISTS (SELECT 1 FROM ord o WHERE o.symbol = p.symbol AND year(o.day) = year(p.date) AND o.o_orderstatus = 'P')"))
 def require_coverage(m):
-    return shown(intervals.missing_years(m.price().select("symbol", F.year("date").alias("year")), m.dividends().select("symbol", "year")))
+    """Quoted years of symbols that no pending order covers."""
+    held = m.order_symbols().filter("o_orderstatus = 'P'").select("symbol", F.year("day").alias("year")).distinct()
+    return shown(intervals.missing_years(m.price().select("symbol", F.year("date").alias("year")), held))
 
 
 # ---- quality ---------------------------------------------------------------------

@@ -74,10 +74,21 @@ def select_constituents(m):
 
 
 @query("selection_shortfalls", parts("""
-    SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, count(symbol) AS selected FROM as_of LEFT JOIN chosen ON chosen.date = as_of_date GROUP BY 1 HAVING count(symbol) < 8"""))
+    SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, count(symbol) AS selected FROM as_of LEFT JOIN universe ON universe.date = as_of_date GROUP BY 1 HAVING count(symbol) < 30"""))
 def selection_shortfalls(m):
-    out = selection.select_constituents(*_inputs(m), m.as_of(), SELECTION, factors=m.factors())
-    return shown(selection.shortfalls(out, m.as_of(), SELECTION.final_n))
+    """As-of dates whose universe holds fewer than 30 names."""
+    out = universe.dividend_universe(*_inputs(m), m.as_of(), UNIVERSE, 52)
+    return shown(selection.shortfalls(out.withColumnRenamed("date", "as_of_date"), m.as_of(), 30))
+
+
+@query("unfit_dates", parts("""
+    SELECT CAST(d AS VARCHAR) AS as_of_date, CASE WHEN market_index IS NULL THEN 'no quotes' ELSE 'market window is not full' END AS reason
+    FROM (SELECT day AS d FROM ord WHERE month(day) = 1 GROUP BY 1) LEFT JOIN calendar ON date = d WHERE market_index IS NULL OR market_index < 26"""))
+def unfit_dates(m):
+    """Order days of January as as-of dates that no universe can be built for."""
+    rows = features.quote_features(m.price(), m.dividends(), m.shares(), cap_lookback=26, dividend_years=3, yield_lookback=52)
+    asked = m.order_symbols().filter("month(day) = 1").select(F.col("day").alias("as_of_date"))
+    return shown(universe.unfit_as_of(rows, asked, UNIVERSE))
 
 
 _FACTOR_COLUMNS = """CAST(as_of_date AS VARCHAR) AS as_of_date, symbol, round(intraday_volatility_cv, 8) + 0.0 AS intraday_volatility_cv,

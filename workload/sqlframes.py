@@ -23,15 +23,16 @@ PARTS: dict[str, str] = {
         SELECT printf('%06d.SH', o_custkey % (SELECT count(*) FROM supplier)) AS symbol, o_custkey % (SELECT count(*) FROM supplier) AS security_id,
                CAST(o_orderdate AS DATE) AS day, o_orderkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders""",
     "dividends": """
-        SELECT symbol, CAST(year(day) AS INTEGER) AS year, day AS announce_date, day AS record_date, day + 1 AS operate_date, day + 20 AS payment_date,
-               o_totalprice / 1000.0 AS cash_dividend_before_tax
-        FROM (SELECT *, row_number() OVER (PARTITION BY symbol, year(day) ORDER BY day, o_orderkey) AS n FROM ord) WHERE n = 1""",
+        SELECT symbol, year, day AS announce_date, day AS record_date, day + 1 AS operate_date, day + 20 AS payment_date,
+               cents / CAST(orders AS DOUBLE) / 100000.0 AS cash_dividend_before_tax
+        FROM (SELECT symbol, CAST(year(day) AS INTEGER) AS year, min(day) AS day, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS cents, count(*) AS orders
+              FROM ord GROUP BY 1, 2)""",
     "shares": """
         SELECT symbol, day AS publish_date, max(CAST(round(o_totalprice * 1000) AS BIGINT)) AS total_shares, day - 30 AS report_date
-        FROM ord WHERE o_orderpriority = '1-URGENT' GROUP BY symbol, day""",
+        FROM ord GROUP BY symbol, day""",
     "factors": """
-        SELECT symbol, operate_date, 1.0::DOUBLE + CAST(row_number() OVER (PARTITION BY symbol ORDER BY operate_date) AS DOUBLE) / 100.0 AS back_adjust_factor
-        FROM (SELECT DISTINCT symbol, day AS operate_date FROM ord WHERE o_orderstatus = 'P')""",
+        SELECT symbol, operate_date, 1.0::DOUBLE + CAST(row_number() OVER (PARTITION BY symbol ORDER BY operate_date) AS DOUBLE) / 1000.0 AS back_adjust_factor
+        FROM (SELECT DISTINCT symbol, day AS operate_date FROM ord)""",
     "fcoverage": """
         SELECT printf('%06d.SH', security_id) AS symbol, make_date(y, 1, 1) AS start, make_date(y, 12, 31) AS "end"
         FROM (SELECT security_id, unnest(generate_series(CAST(year(min(date)) AS BIGINT), CAST(year(max(date)) AS BIGINT))) AS y
@@ -40,9 +41,11 @@ PARTS: dict[str, str] = {
         SELECT printf('%06d.SH', s_suppkey) AS symbol, CAST(unnest(generate_series(1992, 2002)) AS INTEGER) AS year FROM supplier""",
     "minute_raw": """
         SELECT event_type AS symbol, date_trunc('minute', ts) AS datetime, event_id, value AS close, value AS open, value AS high, value AS low,
-               1.0::DOUBLE AS volume, value AS total_turnover FROM events WHERE value > 0""",
+               1.0::DOUBLE AS volume, value AS total_turnover FROM events""",
     "minute": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, datetime ORDER BY event_id) AS n FROM minute_raw) WHERE n = 1""",
+        SELECT symbol, datetime, arg_min(open, event_id) AS open, max(high) AS high, min(low) AS low, arg_max(close, event_id) AS close,
+               CAST(count(*) AS DOUBLE) AS volume, CAST(sum(CAST(round(close * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS total_turnover
+        FROM minute_raw GROUP BY symbol, datetime""",
     "minute_days": """
         SELECT symbol, CAST(unnest(generate_series(CAST(a AS TIMESTAMP) - INTERVAL 2 DAY, CAST(b AS TIMESTAMP) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE) AS trade_date
         FROM (SELECT symbol, CAST(min(datetime) AS DATE) AS a, CAST(max(datetime) AS DATE) AS b FROM minute_raw GROUP BY symbol)""",
