@@ -12,11 +12,8 @@ from urllib.parse import urlparse
 import numpy as np
 
 _U = np.uint64
-_ALL = _U(0xFFFFFFFFFFFFFFFF)
 _ONES = _U(0x0101010101010101)
 _TOPS = _U(0x8080808080808080)
-#: Every 16th one and zero of the upper part has its position stored.
-_SAMPLE = 4
 #: Position of the r-th one in a byte.
 _IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
 
@@ -31,26 +28,14 @@ def _in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
     return shift + _IN_BYTE[(((w >> shift) & _U(255)) * _U(8) + r - before).astype(np.intp)]
 
 
-def _select(words: np.ndarray, samples: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
-    """Bit position of the i-th one, or zero if ``flip``."""
-    i = i.astype(_U)
-    at = samples[(i >> _U(_SAMPLE)).astype(np.intp)].astype(_U)
-    r = i & _U((1 << _SAMPLE) - 1)
-    word = (at >> _U(6)).astype(np.intp)
+def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
+    """Bit position of the i-th one, or zero if ``flip``; ``before`` counts those before each word.
+
+    The word is found by bisection, so a long run of the other bit costs no steps.
+    """
+    word = np.searchsorted(before, i.astype(before.dtype), side="right") - 1
     w = words[word]
-    if flip:
-        w = ~w
-    w = w & (_ALL << (at & _U(63)))
-    c = np.bitwise_count(w).astype(_U)
-    over = np.flatnonzero(r >= c)
-    while len(over):
-        r[over] -= c[over]
-        word[over] += 1
-        v = words[word[over]]
-        w[over] = ~v if flip else v
-        c[over] = np.bitwise_count(w[over])
-        over = over[r[over] >= c[over]]
-    return word.astype(_U) * _U(64) + _in_word(w, r)
+    return word.astype(_U) * _U(64) + _in_word(~w if flip else w, i.astype(_U) - before[word].astype(_U))
 
 
 class EliasFano:
@@ -78,8 +63,8 @@ class EliasFano:
         flags = np.zeros(-(-total // 64) * 64 + 64, np.uint8)
         flags[((values >> _U(bits)) + np.arange(n, dtype=_U)).astype(np.intp)] = 1
         high = np.packbits(flags, bitorder="little").view("<u8").astype(_U)
-        step = 1 << _SAMPLE
-        return cls(n, bits, low, high, np.flatnonzero(flags)[::step].astype(np.uint32), np.flatnonzero(flags == 0)[::step].astype(np.uint32))
+        ones = np.cumsum(np.bitwise_count(high), dtype=np.uint32) - np.bitwise_count(high)
+        return cls(n, bits, low, high, ones, np.arange(len(high), dtype=np.uint32) * np.uint32(64) - ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:

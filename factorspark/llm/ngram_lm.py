@@ -51,8 +51,11 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-np.log10(np.maximum(p, 1e-15)) * STEP), 65535).astype(np.uint16)
 
 
+_PROBABILITY = 10.0 ** (np.arange(65536) / -STEP)
+
+
 def probability(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q / -STEP)
+    return _PROBABILITY[q]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
