@@ -29,7 +29,9 @@ END = 0
 #: Parts in which the documents of one length are counted.
 SALTS = 256
 #: Cached words of one Python worker; the cache is emptied beyond.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+#: Words encoded in one call.
+ENCODED = 4096
 
 _TOKENIZERS: dict[str, WordIds] = {}
 _TAILS = b".,!?:;"
@@ -52,9 +54,12 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, found, strict=True):
-            self.words[word] = np.array(encoding.ids, "<u4").tobytes()
+        # In slices: the library's encodings are far larger than the ids kept of them.
+        for at in range(0, len(words), ENCODED):
+            part = words[at:at + ENCODED]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for word, encoding in zip(part, found, strict=True):
+                self.words[word] = np.array(encoding.ids, "<u4").tobytes()
 
     def add(self, words: set[bytes]) -> None:
         known, cut, plain = self.words, [], set()
