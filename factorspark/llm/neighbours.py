@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable
 
 #: Neighbours of a node, sampled reverse neighbours, rounds at most, and the share of changed neighbours that ends them.
-K, REVERSE, ROUNDS, SETTLED = 16, 12, 6, 0.01
+K, REVERSE, ROUNDS, SETTLED = 24, 12, 4, 0.01
 #: Random-projection codes for the start, bits of each, and vectors of a block.
-CODES, BITS, BLOCK = 4, 16, 192
+CODES, BITS, BLOCK = 16, 16, 4096
+#: Rows of a block compared at once.
+SLAB = 256
 #: Nodes of a query's beam.
-BEAM = 40
+BEAM = 48
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -71,33 +73,45 @@ def _best(edges: DataFrame, k: int, key: str = "node") -> DataFrame:
     return edges.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every vector once for each code: ``draw`` numbers the code, ``code`` has its bits."""
+    for batch in batches:
+        if batch.num_rows:
+            x = _rows(batch.column(1))
+            for draw in range(CODES):
+                planes = np.random.default_rng(draw).normal(size=(x.shape[1], BITS))
+                code = ((x @ planes) > 0) @ (1 << np.arange(BITS))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(np.full(len(x), draw), pa.int32()), pa.array(code, pa.int64())], ["node", "unit", "draw", "code"])
+
+
 def _first_graph(units: DataFrame, k: int) -> DataFrame:
-    """Neighbours within blocks of like codes, the best over all codes."""
-    drawn = None
-    for code in range(CODES):
-        def coded(batches: Iterator[pa.RecordBatch], seed: int = code) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = _rows(batch.column(1))
-                    planes = np.random.default_rng(seed).normal(size=(x.shape[1], BITS))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x @ planes) > 0) @ (1 << np.arange(BITS)), pa.int64())], ["node", "unit", "code"])
-
-        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
+    """Neighbours within blocks of like codes, the best over all codes; one shuffle serves all codes."""
+    parts = max(1, units.count() * CODES // BLOCK)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            draw = batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(draw)) + 1).tolist(), len(draw)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                for at in range(start, end, BLOCK):
+                    part = batch.slice(at, min(BLOCK, end - at))
                     if part.num_rows < 2:
                         continue
                     ids, x = part.column(0).to_numpy(), _rows(part.column(1))
-                    s = x @ x.T
-                    np.fill_diagonal(s, -2)
-                    top = np.argpartition(-s, min(k, len(ids) - 1) - 1, axis=1)[:, :min(k, len(ids) - 1)]
-                    yield _edges(np.repeat(ids, top.shape[1]), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel())
-
-        # Rows of like codes are neighbours in the order; blocks cut it at fixed lengths.
-        ordered = arrow_map(units, coded, "node long, unit binary, code long").repartitionByRange("code", F.xxhash64("node")).sortWithinPartitions("code", F.xxhash64("node"))
-        edges = arrow_map(ordered.select("node", "unit"), blocks, EDGE)
-        drawn = edges if drawn is None else drawn.unionByName(edges)
+                    most = min(k, len(ids) - 1)
+                    for lo in range(0, len(ids), SLAB):
+                        s = x[lo:lo + SLAB] @ x.T
+                        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
+                        top = np.argpartition(s, -most, axis=1)[:, -most:]
+                        yield _edges(np.repeat(ids[lo:lo + SLAB], most), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel())
+
+    # Rows of like codes are neighbours in the order; blocks cut it at fixed lengths.
+    order = ["draw", "code", F.xxhash64("node")]
+    ordered = arrow_map(units, _coded, "node long, unit binary, draw int, code long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    drawn = arrow_map(ordered.select("node", "unit", "draw"), blocks, EDGE)
     return _best(drawn.groupBy("node", "other").agg(F.max("closeness").alias("closeness")), k)
 
 
