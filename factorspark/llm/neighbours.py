@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cosine: a neighbour graph from NN-descent, searched greedily.
 
 * Equal vectors are one node, so a vector that fills any share of the rows costs one node.
-* The graph starts from blocks of vectors with like random-projection codes (fixed block length, a few codes).
+* The graph starts from small blocks of vectors with like random-projection codes (a few codes, each with an order of its own), so a
+  vector is compared with at most CODES * BLOCK others, a vanishing share of a large table.
 * NN-descent: every node's neighbours, and a sample of the nodes whose neighbour it is, meet at the node (a join); among
   each other they are neighbours of neighbours, and pairs closer than a node's worst neighbour are proposed. Proposals are
-  joined to the lists and the best are kept. Rounds end when few lists change.
+  joined to the lists and the best are kept. Rounds end when few neighbours change.
 * Search: a beam for each query starts at its own place in the graph (or at random nodes, if it has none) and is extended by
   the neighbours of its nodes, round by round, until none of its best is new.
+* Both go on until they settle; where they do not within many rounds, they raise.
 
 All steps are joins and grouped limits over tables in the shared folder; no task holds the vectors of more than a block.
 
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, durable
 
-#: Neighbours of a node, sampled reverse neighbours, rounds at most, and the share of changed neighbours that ends them.
-K, REVERSE, ROUNDS, SETTLED = 24, 12, 4, 0.01
-#: Random-projection codes for the start, bits of each, and vectors of a block.
-CODES, BITS, BLOCK = 16, 16, 4096
-#: Rows of a block compared at once.
-SLAB = 256
+#: Neighbours of a node, sampled reverse neighbours, and the share of changed neighbours that ends the rounds.
+K, REVERSE, SETTLED = 24, 12, 0.01
+#: Random-projection codes for the start, bits of each, vectors of a block, and of a task.
+CODES, BITS, BLOCK, TASK = 4, 16, 128, 1 << 14
 #: Nodes of a query's beam.
-BEAM = 48
+BEAM = 192
+#: Rounds after which a graph or a search that has not settled raises.
+ROUNDS = 60
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -87,7 +89,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _first_graph(units: DataFrame, k: int) -> DataFrame:
     """Neighbours within blocks of like codes, the best over all codes; one shuffle serves all codes."""
-    parts = max(1, units.count() * CODES // BLOCK)
+    parts = max(1, units.count() * CODES // TASK)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +104,13 @@ def _first_graph(units: DataFrame, k: int) -> DataFrame:
                         continue
                     ids, x = part.column(0).to_numpy(), _rows(part.column(1))
                     most = min(k, len(ids) - 1)
-                    for lo in range(0, len(ids), SLAB):
-                        s = x[lo:lo + SLAB] @ x.T
-                        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-                        top = np.argpartition(s, -most, axis=1)[:, -most:]
-                        yield _edges(np.repeat(ids[lo:lo + SLAB], most), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel())
-
-    # Rows of like codes are neighbours in the order; blocks cut it at fixed lengths.
-    order = ["draw", "code", F.xxhash64("node")]
+                    s = x @ x.T
+                    np.fill_diagonal(s, -2)
+                    top = np.argpartition(s, -most, axis=1)[:, -most:]
+                    yield _edges(np.repeat(ids, most), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel())
+
+    # Rows of like codes are neighbours in the order; blocks cut it at fixed lengths. Within a code each draw has another order.
+    order = ["draw", "code", F.xxhash64("node", "draw")]
     ordered = arrow_map(units, _coded, "node long, unit binary, draw int, code long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     drawn = arrow_map(ordered.select("node", "unit", "draw"), blocks, EDGE)
     return _best(drawn.groupBy("node", "other").agg(F.max("closeness").alias("closeness")), k)
@@ -162,7 +163,7 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def graph(units: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """``node, other, closeness``: the ``k`` neighbours of each node that NN-descent finds."""
+    """``node, other, closeness``: the ``k`` neighbours of each node that NN-descent finds; raises if it has not settled after ``rounds``."""
     edges = durable(_first_graph(units, k), "graph")
     size = edges.count()
     for turn in range(rounds):
@@ -183,8 +184,8 @@ def graph(units: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
         counted = after.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(1 - F.col("old")), F.lit(0)).alias("new")).first()
         edges, before, size = after.drop("old"), size, counted["n"]
         if counted["new"] <= SETTLED * max(size, before):
-            break
-    return edges
+            return edges
+    raise RuntimeError(f"the neighbour graph has not settled after {rounds} rounds: {counted['new']} of {size} neighbours are new")
 
 
 def _closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +195,11 @@ def _closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(batch.column(0).to_numpy(), batch.column(1).to_numpy(), s)
 
 
-def search(edges: DataFrame, units: DataFrame, starts: DataFrame, asked: DataFrame, beam: int = BEAM, rounds: int = 12) -> DataFrame:
+def search(edges: DataFrame, units: DataFrame, starts: DataFrame, asked: DataFrame, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """``node, other, closeness``: the beam of each query.
 
     ``asked`` has ``node, unit`` of the queries, ``starts`` the first ``node, other`` of each. A round extends every beam by
-    the neighbours of those of its nodes that are new, until no beam gains one.
+    the neighbours of those of its nodes that are new, until no beam gains one; raises if some still do after ``rounds``.
     """
     ways = edges.select(F.col("node").alias("other"), F.col("other").alias("next"))
 
@@ -213,8 +214,8 @@ def search(edges: DataFrame, units: DataFrame, starts: DataFrame, asked: DataFra
         gained = valued(reached).withColumn("new", F.lit(True))
         beams = durable(_best(beams.withColumn("new", F.lit(False)).unionByName(gained), beam), "beams")
         if beams.where("new").isEmpty():
-            break
-    return beams.drop("new")
+            return beams.drop("new")
+    raise RuntimeError(f"the search has not settled after {rounds} rounds")
 
 
 def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

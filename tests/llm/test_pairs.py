@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorspark.llm import dedup, elias_fano, neighbours, ngram_lm
 from factorspark.llm.components import connected
@@ -126,6 +127,28 @@ def test_nearest(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_by_descent_from_small_blocks(spark, monkeypatch):
+    """The blocks see 16 of 2400 vectors, half of them in one tight group: the rest is up to NN-descent and search, which settle or raise."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2400, 12))
+    x[1200:] = x[0] + x[1200:] * 1e-2
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(table).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = [len(found[q] & set(np.argsort(np.where(np.arange(len(x)) == q, 9, -(unit @ unit[q])))[:5].tolist())) for q in range(0, len(x), 50)]
+    assert neighbours.CODES * neighbours.BLOCK * 100 < len(x) and sum(hits) >= 0.95 * 5 * len(hits)
+    units = neighbours.arrow_map(table.select("vec_id", "embedding"), neighbours._unit, "node long, unit binary").localCheckpoint()
+    with pytest.raises(RuntimeError, match="not settled"):
+        neighbours.graph(units, rounds=1)
+    line = spark.createDataFrame([(i, i + 1, 0.5) for i in range(2399)], neighbours.EDGE)
+    asked = units.where("node = 0")
+    with pytest.raises(RuntimeError, match="not settled"):
+        neighbours.search(line, units, asked.select("node", F.col("node").alias("other")), asked, rounds=2)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
     for n, universe in ((0, 10), (1, 1), (5, 7), (3, 2**45), (1000, 50), (3000, 10**9), (20_000, 20_000)):
