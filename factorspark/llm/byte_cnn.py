@@ -186,8 +186,10 @@ def _gradients(net: Network, offset: np.ndarray, batch: list[tuple[np.ndarray, n
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = SAMPLE_PER_CLASS) -> Network:
     """The network trained on at most ``per_class`` labelled texts of each class among the ids where ``learn`` holds.
 
-    The sample is taken by the order of a hash of the id, so it does not depend on partitions. Labels are counted in full.
+    The sample is taken by the order of a hash of the id, so it does not depend on partitions. Labels are counted in full, those
+    of the ids of ``docs``: documents that are gone neither fill the sample nor move the share.
     """
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     known = labels.where("doc_id is not null and quality in (0, 1)").where(F.lit(True) if learn is None else learn)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality")
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -101,6 +101,16 @@ def test_classifier_learns_and_covers_the_whole_text(spark):
     assert byte_cnn.filtered(docs, net).columns == docs.columns and byte_cnn.scored(docs.limit(0), net).count() == 0
 
 
+def test_classifier_learns_from_its_own_documents(spark, monkeypatch):
+    """Labels of documents that an earlier stage removed neither fill the sample nor count in the share."""
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, labels, share: seen.append((sorted(labels), share)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20 and i % 2)) for i in range(600)], "doc_id long, quality int")
+    byte_cnn.fitted(docs, labels, per_class=10)
+    assert seen == [([0] * 10 + [1] * 10, 0.5)]
+
+
 def test_classifier_gradients():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 110, n).tolist()) for n in (700, 90, 1500)]
