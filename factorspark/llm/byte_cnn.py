@@ -24,14 +24,12 @@ from .common import arrow_map, chunks, remainder, text_bytes
 
 #: Labelled texts of each class used for training: the bound of the sample, whatever the number of labels.
 SAMPLE_PER_CLASS = 1500
-#: Bytes of a training text that are read, as evenly spaced chunks; scoring always reads every byte.
-TRAINING_CHUNKS = 24
 EMBEDDING, FILTERS, WIDTH, STRIDE = 8, 32, 8, 4
 #: Bytes of half a chunk: a chunk is two neighbouring halves.
 HALF = 256
 _STEPS = HALF // STRIDE
-#: Halves convolved at once.
-SLICE = 2048
+#: Halves convolved at once in scoring, and in training, whose windows are larger.
+SLICE, TRAINING_SLICE = 2048, 256
 
 
 @dataclass
@@ -106,7 +104,7 @@ def scores(net: Network, texts: Sequence[bytes | None]) -> np.ndarray:
 
 
 def train(texts: Sequence[bytes | None], labels: Sequence[int], share: float, epochs: int = 12, rate: float = 0.004, seed: int = 7) -> Network:
-    """Fit by Adam on balanced batches of texts; ``share`` is the share of label 1 among all labels."""
+    """Fit by Adam on balanced batches of whole texts; ``share`` is the share of label 1 among all labels."""
     y = np.asarray(labels, np.float64)
     rng = np.random.default_rng(seed)
     size = STRIDE * EMBEDDING
@@ -116,12 +114,6 @@ def train(texts: Sequence[bytes | None], labels: Sequence[int], share: float, ep
         net.constant = float(share) if len(y) else 0.5
         return net
     net.embed[0] = 0
-    data = []
-    for t in texts:
-        codes = halves(t)
-        following = _following(codes)
-        pick = np.unique(np.linspace(0, len(codes) - 1, TRAINING_CHUNKS).astype(int)) if len(codes) > TRAINING_CHUNKS else np.arange(len(codes))
-        data.append((codes[pick], following[pick]))
     params = [net.embed, net.kernel, net.bias, net.combine, np.zeros(1)]
     moments = [(np.zeros_like(p, np.float64), np.zeros_like(p, np.float64)) for p in params]
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
@@ -130,7 +122,8 @@ def train(texts: Sequence[bytes | None], labels: Sequence[int], share: float, ep
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             chosen = order[lo:lo + batch]
-            grads = _gradients(net, params[4], [data[i] for i in chosen], y[chosen], weight[chosen])
+            data = [(codes := halves(texts[i]), _following(codes)) for i in chosen]
+            grads = _gradients(net, params[4], data, y[chosen], weight[chosen])
             step += 1
             pace = rate * (1 - epoch / epochs) + rate * 0.05
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
@@ -145,12 +138,15 @@ def train(texts: Sequence[bytes | None], labels: Sequence[int], share: float, ep
 
 
 def _gradients(net: Network, offset: np.ndarray, batch: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    codes = np.concatenate([b[0] for b in batch])
-    x = _windows(net, codes, np.concatenate([b[1] for b in batch]))
-    joined = np.concatenate([x[:, :-1], x[:, 1:]], axis=2)  # halves, steps, 2 * stride * embedding
-    response = joined @ net.kernel
-    peak = response.argmax(1)
-    pooled = np.maximum(np.take_along_axis(response, peak[:, None], 1)[:, 0] + net.bias, 0)
+    """Gradients over every half of the batch's texts; windows are held for a slice at a time."""
+    codes, following = (np.concatenate(parts) for parts in zip(*batch, strict=True))
+    peak, pooled = np.empty((len(codes), FILTERS), np.int64), np.empty((len(codes), FILTERS), np.float32)
+    for lo in range(0, len(codes), TRAINING_SLICE):
+        part = slice(lo, lo + TRAINING_SLICE)
+        x = _windows(net, codes[part], following[part])
+        response = np.concatenate([x[:, :-1], x[:, 1:]], axis=2) @ net.kernel
+        peak[part] = response.argmax(1)
+        pooled[part] = np.maximum(np.take_along_axis(response, peak[part][:, None], 1)[:, 0] + net.bias, 0)
     d_pooled = np.zeros(pooled.shape)
     d_combine, d_offset, at = np.zeros_like(net.combine), 0.0, 0
     for (c, _), label, w in zip(batch, y, weight, strict=True):
@@ -170,16 +166,18 @@ def _gradients(net: Network, offset: np.ndarray, batch: list[tuple[np.ndarray, n
             d_pooled[at + 1:at + len(own)] += d_features - first
         at += len(c)
     d_pooled *= pooled > 0
-    h, f = np.nonzero(d_pooled)
-    slope = d_pooled[h, f].astype(np.float32)
-    windows = joined[h, peak[h, f]]
-    d_kernel = np.zeros_like(net.kernel)
-    np.add.at(d_kernel.T, f, windows * slope[:, None])
-    d_window = (net.kernel.T[f] * slope[:, None]).reshape(-1, WIDTH, EMBEDDING)
-    places = peak[h, f][:, None] * STRIDE + np.arange(WIDTH)
-    full = np.concatenate([codes, np.concatenate([b[1] for b in batch])], axis=1)
-    d_embed = np.zeros_like(net.embed)
-    np.add.at(d_embed, full[h[:, None], places].ravel(), d_window.reshape(-1, EMBEDDING))
+    d_kernel, d_embed = np.zeros_like(net.kernel), np.zeros_like(net.embed)
+    for lo in range(0, len(codes), TRAINING_SLICE):
+        part = slice(lo, lo + TRAINING_SLICE)
+        full = np.concatenate([codes[part], following[part]], axis=1)
+        for f in range(FILTERS):
+            h = np.flatnonzero(d_pooled[part, f])
+            slope = d_pooled[part][h, f].astype(np.float32)
+            at_peak = full[h[:, None], peak[part][h, f][:, None] * STRIDE + np.arange(WIDTH)]
+            d_kernel[:, f] += slope @ net.embed[at_peak].reshape(len(h), WIDTH * EMBEDDING)
+            # The slopes of each byte at each place of the window, times the filter's weights there.
+            of = np.bincount((at_peak.astype(np.int64) * WIDTH + np.arange(WIDTH)).ravel(), np.repeat(slope, WIDTH), 257 * WIDTH).reshape(257, WIDTH)
+            d_embed += (of @ net.kernel[:, f].reshape(WIDTH, EMBEDDING)).astype(np.float32)
     return [d_embed, d_kernel, d_pooled.sum(0).astype(np.float32), d_combine + 1e-4 * net.combine, np.array([d_offset])]
 
 

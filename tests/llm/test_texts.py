@@ -146,6 +146,19 @@ def coder():
     return bpe.encoder(tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def test_classifier_learns_from_whole_texts(monkeypatch):
+    """Every half of a training text is learned from, as scoring reads it, in slices of any length."""
+    seen, gradients = [], byte_cnn._gradients
+    monkeypatch.setattr(byte_cnn, "_gradients", lambda net, offset, batch, y, weight: seen.extend(batch) or gradients(net, offset, batch, y, weight))
+    texts = [bytes(np.random.default_rng(i).integers(97, 110, n).tolist()) for i, n in enumerate((30_000, 90))]
+    nets = []
+    for length in (256, 7):
+        monkeypatch.setattr(byte_cnn, "TRAINING_SLICE", length, raising=False)
+        nets.append(byte_cnn.train(texts, [0, 1], 0.5, epochs=1))
+    assert sorted(len(codes) for codes, _ in seen) == [1, 1, 118, 118]
+    assert np.allclose(nets[0].kernel, nets[1].kernel, atol=1e-4) and np.allclose(nets[0].embed, nets[1].embed, atol=1e-4)
+
+
 def test_byte_bpe_equals_the_library(coder):
     import public_tokenizers
     import tiktoken
