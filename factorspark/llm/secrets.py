@@ -95,7 +95,10 @@ def labelled(found: DataFrame) -> DataFrame:
     address = F.regexp_like(before, F.lit(r"(@|://\S*)$")) | F.regexp_like(after, F.lit(r"^(@|://)"))
     plain = F.regexp_like(value, F.lit(r"^[0-9.+/-]+$|^[a-z]{2,}[./-][a-z]{2,}|\.(?:com|org|net|html?|js|css|png|jpg)\b|^/|^[A-Za-z]+[0-9]{0,4}[.]?$"))
     label = F.when(secret, 1.0).when(~named & (address | plain), 0.0)
-    return found.select("value", "before", "after", label.alias("label")).where("label is not null")
+    rows = found.select("value", "before", "after", label.alias("label")).where("label is not null")
+    # Each secret once more without its credential word and quotes, so that its own form is learned and not the assignment alone.
+    bare = rows.where("label = 1").withColumn("before", F.regexp_replace("before", rf"(?i){CREDENTIAL}[\"']?\s*[:=]\s*[\"']?$", "")).withColumn("after", F.regexp_replace("after", "^[\"']", ""))
+    return rows.unionByName(bare)
 
 
 def dictionary_of(texts: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = 4) -> list[str]:

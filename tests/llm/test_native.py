@@ -41,6 +41,13 @@ def test_forest_removes_false_positives(texts, forest):
     assert not out[2, "mail7.example.com"] and not out[2, "192.168.100.200"]
 
 
+def test_bare_keys_are_secrets(spark, texts, forest):
+    more = spark.createDataFrame([(20, f"the key is {KEY} as agreed"), (21, f"| host | {KEY[::-1]} |"), (22, "mail a@mail7.example.com or call 10.20.30.400 now")], "doc_id long, text string")
+    out = {(r["doc_id"], r["value"]): r["secret"] for r in secrets.judged(secrets.candidates(texts.select("doc_id", "text").unionByName(more)), forest).collect()}
+    assert out[2, f"{KEY[:38]}aa"] and out[20, KEY] and out[21, KEY[::-1]]
+    assert not any(secret for (i, _), secret in out.items() if i == 22) and not out[2, "mail7.example.com"]
+
+
 def test_redaction(texts, forest):
     rows = secrets.redacted(texts, forest)
     assert rows.columns == texts.columns
