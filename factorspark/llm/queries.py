@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, dedup, neighbours, ngram_lm, packing, quality_rules, quotation, url_filter
+from . import balanced_mix, bpe, byte_cnn, dedup, merkle, neighbours, ngram_lm, packing, quality_rules, quotation, spelling, url_filter
 from . import secrets as secret_scan
 from .common import durable, read_table
 
@@ -140,3 +140,64 @@ def _op10_sql() -> str:
 
 
 SQL["op10_url_filter"] = _op10_sql()
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audited(read_table(spark, folder, "documents"))
+
+
+def _op11_sql() -> str:
+    """Lists of nodes, level by level; siblings by position; the leaf folded with them in a recursion."""
+
+    def leaf(text: str) -> str:
+        fields = [f"COALESCE(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    digits = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))"
+    bits = f"list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: {step})"
+    crc = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda crc, byte: {bits})"
+    parents = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"
+    return f"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, source, {leaf('text')} AS leaf, {leaf("replace(text, chr(10), '')")} AS altered, {crc} % 2 = 1 AS tampered FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+    levels(source, level, nodes) AS (
+      SELECT source, 0, list(leaf ORDER BY place) FROM placed GROUP BY source
+      UNION ALL SELECT source, level + 1, {parents} FROM levels WHERE len(nodes) > 1),
+    tops AS (SELECT source, max(level) AS height, arg_max(nodes, level)[1] AS subroot FROM levels GROUP BY source),
+    sources AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS source_place FROM tops),
+    upper_levels(level, nodes) AS (
+      SELECT 0, list(subroot ORDER BY source_place) FROM sources
+      UNION ALL SELECT level + 1, {parents} FROM upper_levels WHERE len(nodes) > 1),
+    top AS (SELECT max(level) AS top_height, arg_max(nodes, level)[1] AS root FROM upper_levels),
+    runs AS (
+      SELECT p.doc_id, p.leaf, p.place, p.source, l.level, CAST(p.place // CAST(pow(3, l.level) AS BIGINT) AS BIGINT) AS pos, l.nodes
+      FROM placed p JOIN levels l ON p.source IS NOT DISTINCT FROM l.source AND len(l.nodes) > 1
+      UNION ALL
+      SELECT p.doc_id, p.leaf, p.place, p.source, s.height + l.level, CAST(s.source_place // CAST(pow(3, l.level) AS BIGINT) AS BIGINT), l.nodes
+      FROM placed p JOIN sources s ON p.source IS NOT DISTINCT FROM s.source JOIN upper_levels l ON len(l.nodes) > 1),
+    sides AS (
+      SELECT source, place, level, array_to_string(nodes[pos - pos % 3 + 1:pos], '') AS before, array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '') AS after FROM runs),
+    fold(source, place, level, node, proof) AS (
+      SELECT source, place, 0, CASE WHEN tampered THEN altered ELSE leaf END, '' FROM placed
+      UNION ALL
+      SELECT f.source, f.place, f.level + 1, sha256(s.before || f.node || s.after), f.proof || s.before || s.after
+      FROM fold f JOIN sides s ON f.source IS NOT DISTINCT FROM s.source AND f.place = s.place AND f.level = s.level),
+    ends AS (SELECT source, place, arg_max(node, level) AS folded_root, arg_max(proof, level) AS proof FROM fold GROUP BY source, place)
+    SELECT p.doc_id, p.leaf, s.subroot, t.root, sha256(e.proof) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
+    FROM placed p JOIN sources s ON p.source IS NOT DISTINCT FROM s.source JOIN ends e ON p.source IS NOT DISTINCT FROM e.source AND p.place = e.place JOIN top t ON true"""
+
+
+SQL["op11_merkle_manifest"] = _op11_sql()
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read_table(spark, folder, "documents"))
+
+
+@query
+def op13_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_mix.mixed(read_table(spark, folder, "documents"))
