@@ -8,7 +8,7 @@ constraints of a source, its number of documents and its words, until one of the
   At most two documents of a block stay open; those of 256 blocks fly together in the next round, so rounds grow with
   the logarithm of the table, and one source's share of the rows does not matter.
 * In the last round each source keeps LANDING documents back; with the (at most two) others still open they are the landing
-  problem, decided by trying all choices for the words nearest to the open total, within two documents of the open count.
+  problem, decided by trying all choices for the words nearest to the open total, and then the nearest count.
 
 Sources share 150 % of all words by their weights; what a source's target exceeds twice its size is shared again among the others.
 
@@ -36,8 +36,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Places of a block, and blocks whose open documents fly together in the next round.
 BLOCK, JOINED = 1024, 256
-#: Documents kept back for the landing, and by how many the count may then be off.
-LANDING, COUNT_OFF = 14, 2
+#: Documents of a source kept back for the landing; their count may then be off by as many at most.
+LANDING = 14
 CLOSE = 1e-9
 
 _SPACE = np.zeros(256, bool)
@@ -121,11 +121,11 @@ def fly(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """0 or 1 for each open document: the words nearest to the open total, within COUNT_OFF documents of the open count."""
+    """0 or 1 for each open document: the words nearest to the open total, then the count nearest to the open count."""
     options = np.arange(1 << len(size))[:, None] >> np.arange(len(size)) & 1
     off = np.abs(options @ size - chance @ size)
     count = np.abs(options.sum(1) - chance.sum())
-    return options[np.lexsort((count, np.where(count <= COUNT_OFF, off, np.inf)))[0]]
+    return options[np.lexsort((count, off.round(6)))[0]]
 
 
 def settled(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
