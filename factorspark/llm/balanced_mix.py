@@ -5,10 +5,10 @@ probability. Which ones is decided by the cube method: three open probabilities
 constraints of a source, its number of documents and its words, until one of them is 0 or 1; both totals stay as they are.
 
 * Documents are placed by (source, size, id), largest first, and fly in blocks of neighbouring places, each a task's group of bounded size.
-  At most two documents of a block stay open; those of 256 blocks fly together in the next round, so rounds grow with
-  the logarithm of the table, and one source's share of the rows does not matter.
-* In the last round each source keeps LANDING documents back; with the (at most two) others still open they are the landing
-  problem, decided by trying all choices for the words nearest to the open total, and then the nearest count.
+  The largest few of a block and at most two others stay open; those of 64 blocks fly together in the next round, so rounds grow
+  with the logarithm of the table, and one source's share of the rows does not matter.
+* In the last round each source also keeps a few documents of all sizes back; with the (at most two) others still open they are the
+  landing problem, decided by trying all choices for the words nearest to the open total, and then the nearest count.
 
 Sources share 150 % of all words by their weights; what a source's target exceeds twice its size is shared again among the others.
 
@@ -35,9 +35,9 @@ from .ranges import dense_positions
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Places of a block, and blocks whose open documents fly together in the next round.
-BLOCK, JOINED = 1024, 256
-#: Documents of a source kept back for the landing; their count may then be off by as many at most.
-LANDING = 14
+BLOCK, JOINED = 1024, 64
+#: The largest documents of a block or source that wait for the landing, and more of all sizes that wait in the last round.
+LARGEST, SPREAD = 7, 7
 CLOSE = 1e-9
 
 _SPACE = np.zeros(256, bool)
@@ -128,17 +128,17 @@ def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return options[np.lexsort((count, off.round(6)))[0]]
 
 
-def settled(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight of all but LANDING documents, half of them the largest and half of all sizes, then the landing.
+def thinned(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of a block but for its LARGEST documents: large ones stay open longest, and only their kind can make up for one."""
+    return np.concatenate([chance[:LARGEST], fly(size[LARGEST:], chance[LARGEST:], rng)])
 
-    Sizes descend. Large documents stay open longest, and only documents of their kind can make up for one.
-    """
+
+def settled(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of all but the LARGEST and SPREAD more of all sizes (which descend), then the landing."""
     p = chance.copy()
-    is_open = np.flatnonzero((p > CLOSE) & (p < 1 - CLOSE))
-    half = LANDING // 2
-    spread = np.linspace(half, len(is_open) - 1, LANDING - half).round().astype(int)
-    kept = is_open[np.unique([*range(half), *spread])] if len(is_open) > LANDING else is_open
-    others = np.setdiff1d(is_open, kept)
+    spread = np.linspace(LARGEST, len(p) - 1, SPREAD).round().astype(int)
+    kept = np.unique([*range(LARGEST), *spread]) if len(p) > LARGEST + SPREAD else np.arange(len(p))
+    others = np.setdiff1d(np.arange(len(p)), kept)
     p[others] = fly(size[others], p[others], rng)
     rest = np.flatnonzero((p > CLOSE) & (p < 1 - CLOSE))
     p[rest] = land(size[rest].astype(float), p[rest])
@@ -151,7 +151,7 @@ def _flight(width: int, final: bool) -> Callable[[tuple, pa.Table], pa.Table]:
     def flown(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("position").drop_columns(["block"])
         rng = np.random.default_rng(zlib.crc32(f"{width}:{key[1].as_py()}:{key[0].as_py()}".encode()))
-        moved = (settled if final else fly)(table["size"].to_numpy(), table["chance"].to_numpy(), rng)
+        moved = (settled if final else thinned)(table["size"].to_numpy(), table["chance"].to_numpy(), rng)
         return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(moved, pa.float64()))
 
     return flown
