@@ -6,12 +6,13 @@ their maximum into one probability. The weights are some ten thousand numbers, t
 
 Defined cases: a null or empty text is one chunk of padding and gets a score like any other. A text of any length is read
 whole, in bounded slices. Repeated rows are scored each by itself. Without labels of both classes, scores are the share of
-label 1 (0.5 without any). Ids with contradicting labels are not learned from. An empty table gives an empty result.
+label 1 (0.5 without any), and ``filtered`` keeps every row. Ids with contradicting labels are not learned from. An empty table gives an empty result.
 Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, remainder, text_bytes
+from .common import arrow_map, chunks, durable, remainder, text_bytes
 
 #: Labelled texts of each class used for training: the bound of the sample, whatever the number of labels.
 SAMPLE_PER_CLASS = 1500
+#: Bytes of all texts of the sample; a text that would pass it is left out of training.
+SAMPLE_BYTES = 64 << 20
 EMBEDDING, FILTERS, WIDTH, STRIDE = 8, 32, 8, 4
 #: Bytes of half a chunk: a chunk is two neighbouring halves.
 HALF = 256
@@ -181,16 +184,21 @@ def _gradients(net: Network, offset: np.ndarray, batch: list[tuple[np.ndarray, n
     return [d_embed, d_kernel, d_pooled.sum(0).astype(np.float32), d_combine + 1e-4 * net.combine, np.array([d_offset])]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = SAMPLE_PER_CLASS) -> Network:
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = SAMPLE_PER_CLASS, judged: DataFrame | None = None) -> Network:
     """The network trained on at most ``per_class`` labelled texts of each class among the ids where ``learn`` holds.
 
-    The sample is taken by the order of a hash of the id, so it does not depend on partitions. Labels are counted in full, those
-    of the ids of ``docs``: documents that are gone neither fill the sample nor move the share.
+    The sample is taken by the order of a hash of the id, so it does not depend on partitions, until it holds SAMPLE_BYTES. Labels are
+    those of the ids of ``docs``, counted in full for the share of label 1; if ``judged`` (rows that the network is meant for) has labels
+    of both classes, the share is theirs.
     """
     labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     known = labels.where("doc_id is not null and quality in (0, 1)").where(F.lit(True) if learn is None else learn)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality")
-    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        return {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    counts = counted(known)
     if not counts:
         return train([], [], 0.5)
     place = F.xxhash64(F.col("doc_id").cast("string"))
@@ -198,9 +206,18 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_
     for value in sorted(counts):
         part = known.where(F.col("quality") == value).orderBy(place, "doc_id").limit(per_class).select("doc_id", "quality")
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class ids and labels are sent, and as many texts come back.
+    # At most 2 * per_class ids and labels are sent, and as many texts come back, of SAMPLE_BYTES in all.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    sample = sorted(rows.collect(), key=lambda r: str(r["doc_id"]))
+    rows = durable(rows.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)), "place": place}), "cnn-sample")
+    held, kept = 0, []
+    for r in sorted(rows.select("place", "doc_id", "size").collect(), key=lambda r: (r["place"], str(r["doc_id"]))):
+        if held + r["size"] <= SAMPLE_BYTES:
+            held += r["size"]
+            kept.append(r["doc_id"])
+    sample = sorted(rows.where(F.col("doc_id").isin(kept)).collect(), key=lambda r: str(r["doc_id"]))
+    if judged is not None and len(counts) == 2:
+        own = counted(known.join(judged.select("doc_id"), "doc_id", "left_semi"))
+        counts = own if len(own) == 2 else counts
     share = counts.get(1, 0) / sum(counts.values())
     return train([r["text"].encode() if r["text"] else None for r in sample], [r["quality"] for r in sample], share)
 
@@ -218,7 +235,13 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
 
 def filtered(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns, in one pass over the texts.
+
+    A network that has not seen both classes cannot tell them apart: all rows stay, with a warning.
+    """
+    if net.constant is not None:
+        warnings.warn("labels of one class or none: the quality classifier keeps every document", stacklevel=2)
+        return docs
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator, Mapping
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ CAPACITY = 2048
 END = 0
 #: Parts in which the documents of one length are counted.
 SALTS = 256
-#: Cached words of one Python worker; the cache is emptied beyond.
+#: Cached words of one Python worker, in two generations: those met since the last turn and those met before it.
 CACHE_WORDS = 400_000
 #: Words encoded in one call.
 ENCODED = 4096
@@ -40,9 +40,9 @@ _TAILS = b".,!?:;"
 class WordIds:
     """Ids of a tokenizer that drops white space, word by word through a cache.
 
-    White space always splits such a tokenizer's input, so a text's ids are its words' ids in order. Only words not
-    seen before reach the tokenizer: ASCII letters are looked up in lower case and without a trailing mark, which
-    the tokenizer splits off by itself.
+    White space always splits such a tokenizer's input, so a text's ids are its words' ids in order. Only words not seen lately reach
+    the tokenizer, those of a whole batch of texts together: ASCII letters are looked up in lower case and without a trailing mark,
+    which the tokenizer splits off by itself. Words met again move to the new generation, so frequent words stay when the old one goes.
     """
 
     def __init__(self, path: str):
@@ -50,8 +50,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
         # In slices: the library's encodings are far larger than the ids kept of them.
@@ -59,14 +59,16 @@ class WordIds:
             part = words[at:at + ENCODED]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for word, encoding in zip(part, found, strict=True):
-                self.words[word] = np.array(encoding.ids, "<u4").tobytes()
+                self.words[word] = array("I", encoding.ids).tobytes()
 
     def add(self, words: set[bytes]) -> None:
-        known, cut, plain = self.words, [], set()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in words:
-            if word in known:
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.before = {}, self.words
+        known, before = self.words, self.before
+        cut, plain = [], set()
+        for word in words - known.keys():
+            if word in before:
+                known[word] = before[word]
                 continue
             stem, tail = (word[:-1], word[-1:]) if word[-1] in _TAILS else (word, b"")
             lower = stem.lower()
@@ -75,19 +77,17 @@ class WordIds:
                 plain.update((lower, tail) if tail else (lower,))
             else:
                 plain.add(word)
-        self._encode([w for w in plain if w not in known])
+        known.update((w, before[w]) for w in plain & before.keys())
+        self._encode(list(plain - known.keys()))
         for word, lower, tail in cut:
             known[word] = known[lower] + known[tail] if tail else known[lower]
 
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.add(set(words))
-            return b"".join(map(known.__getitem__, words))
+    def batch(self, texts: Sequence[bytes | None]) -> Iterator[bytes]:
+        """Unsigned 32-bit ids of each text, in the machine's (little-endian) order."""
+        words = [(text or b"").split() for text in texts]
+        self.add(set().union(*words))
+        find = self.words.__getitem__
+        return (b"".join(map(find, own)) for own in words)
 
 
 def word_ids(path: str) -> WordIds:
@@ -103,11 +103,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     end = END.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
+        tokenizer_ids = word_ids(tokenizer)
         for batch in chunks(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(text_bytes(batch)):
-                ids = encode(text) + end if text else end
+            for i, own in enumerate(tokenizer_ids.batch(text_bytes(batch))):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

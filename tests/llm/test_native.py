@@ -1,5 +1,7 @@
 """Secret scan, quotation linking, URL filter and the pipeline."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,49 @@ def test_pipeline(spark, tmp_path):
     assert {101, 102, 103, 100} & ids == set() and {3, 5} <= ids
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == ids and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def _tables(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, "plain words")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_classifier_rejects_what_the_rules_let_pass(spark, tmp_path):
+    """Documents like those of label 0 that no rule rejects go; clean ones stay, though no survivor of the rules has label 0."""
+    rng = random.Random(4)
+
+    def text(good, n=60):
+        return " ".join("".join(rng.choice("abcdefgh" if good else "qxzjkvw") for _ in range(5)) for _ in range(n))
+
+    good = [(i, text(True), "en", "s", 0) for i in range(80)]
+    poor = [(200 + i, text(False), "en", "s", 0) for i in range(20)]
+    # The labelled ones of label 0 break the rules as well.
+    bad = [(400 + i, text(False) + " % # & |" * 80, "en", "s", 0) for i in range(80)]
+    docs = _tables(spark, tmp_path, [*good, *poor, *bad], [(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad])
+    passed = corpus_pipeline.quality_rules_stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in passed.collect()} == {r[0] for r in [*good, *poor]}
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_classifier_stage(spark, passed, str(tmp_path)).collect()}
+    assert len(kept & {r[0] for r in good}) >= 78 and len(kept & {r[0] for r in poor}) <= 2
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, labels of one class, repeated and null ids, a very long text and columns whose names the stages use."""
+    empty = tmp_path / "empty"
+    _tables(spark, empty, [], [])
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, " ".join(words[:50]), "en", "s", 0), (1, " ".join(words[50:100]), "en", "s", 0), (None, " ".join(words[100:150]), None, None, None), (2, long, "en", "s", 0), (3, "", "en", "s", 0)]
+    odd = tmp_path / "odd"
+    docs = _tables(spark, odd, rows, [(1, 1, 0), (2, 1, 0)])
+    with pytest.warns(UserWarning, match="keeps every document"):
+        out = corpus_pipeline.run(spark, str(odd)).collect()
+    assert {r["doc_id"] for r in out} >= {1, 2, None} and sum(r["length"] for r in out if r["doc_id"] == 2) > 60_000
+    wide = docs.withColumns({"row": F.lit(1), "score": F.lit("x"), "parts": F.lit(2), "length": F.lit(3)})
+    with pytest.warns(UserWarning):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            wide = stage(spark, wide, str(odd))
+            assert set(docs.columns) <= set(wide.columns), name

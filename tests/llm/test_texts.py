@@ -98,17 +98,42 @@ def test_classifier_learns_and_covers_the_whole_text(spark):
     one = byte_cnn.scores(net, [t.encode() for _, t in rows[:20]])
     assert np.allclose(one, [byte_cnn.scores(net, [t.encode()])[0] for _, t in rows[:20]])
     assert byte_cnn.fitted(docs, labels.limit(0)).constant == 0.5
+    with pytest.warns(UserWarning, match="keeps every document"):
+        assert byte_cnn.filtered(docs, byte_cnn.fitted(docs, labels.where("quality = 0"))).count() == docs.count()
     assert byte_cnn.filtered(docs, net).columns == docs.columns and byte_cnn.scored(docs.limit(0), net).count() == 0
 
 
-def test_classifier_learns_from_its_own_documents(spark, monkeypatch):
-    """Labels of documents that an earlier stage removed neither fill the sample nor count in the share."""
+def test_classifier_sample_and_share(spark, monkeypatch):
+    """Labels without a document do not count; the share is that of the judged documents where they have both classes."""
     seen = []
     monkeypatch.setattr(byte_cnn, "train", lambda texts, labels, share: seen.append((sorted(labels), share)))
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 20 and i % 2)) for i in range(600)], "doc_id long, quality int")
     byte_cnn.fitted(docs, labels, per_class=10)
-    assert seen == [([0] * 10 + [1] * 10, 0.5)]
+    byte_cnn.fitted(docs, labels, per_class=3, judged=docs.where("doc_id < 3"))
+    byte_cnn.fitted(docs, labels, per_class=3, judged=docs.where("doc_id % 2 = 1"))
+    monkeypatch.setattr(byte_cnn, "SAMPLE_BYTES", 30)
+    byte_cnn.fitted(docs, labels, per_class=10)
+    assert seen[:3] == [([0] * 10 + [1] * 10, 0.5), ([0] * 3 + [1] * 3, 1 / 3), ([0] * 3 + [1] * 3, 0.5)]
+    assert len(seen[3][0]) == 4
+
+
+def convolved(net, text):
+    """The score by plain loops over every window of every chunk of the padded text."""
+    codes = byte_cnn.halves(text).ravel()
+    x = net.embed[np.concatenate([codes, np.zeros(byte_cnn.WIDTH, int)])]
+    windows = [x[i:i + byte_cnn.WIDTH].ravel() @ net.kernel + net.bias for i in range(0, len(codes), byte_cnn.STRIDE)]
+    steps = byte_cnn.HALF // byte_cnn.STRIDE
+    starts = range(0, max(1, len(windows) - steps), steps)
+    features = np.array([np.maximum(np.max(windows[i:i + 2 * steps], axis=0), 0) for i in starts])
+    return 1 / (1 + np.exp(-(np.concatenate([features.mean(0), features.max(0)]) @ net.combine + net.offset + net.shift)))
+
+
+def test_classifier_forward_pass_is_a_plain_convolution():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (0, 1, 5, 255, 256, 257, 511, 512, 513, 3000)]
+    net = byte_cnn.train(texts, [0, 1] * 5, 0.4, epochs=2)
+    assert np.allclose(byte_cnn.scores(net, texts), [convolved(net, t) for t in texts], atol=1e-5)
 
 
 def test_classifier_gradients():
@@ -246,7 +271,6 @@ def test_packing_rows(odd):
 
     path = tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.packed(odd, path, capacity=512).collect()
     want = []
     for i, t in ODD:
@@ -261,3 +285,17 @@ def test_packing_rows(odd):
         assert [o for o, _ in sorted(spots)] == np.cumsum([0, *(n for _, n in sorted(spots))])[:-1].tolist()
     assert len(bins) == best_fit_decreasing([r["length"] for r in rows], 512)
     assert packing.packed(odd.limit(0), path).count() == 0
+
+
+def test_word_cache_turns_over(monkeypatch):
+    """With a cache of a few words the ids stay those of the untouched tokenizer, marks of special tokens included."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 8)
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "The the THE, the. The, Straße don't 12th \x1c \u00a0z", "one two three four five six seven eight nine ten", "", None, "the a ten, One. <|endoftext|>"]
+    for _ in range(3):
+        found = [list(np.frombuffer(ids, "<u4")) for ids in words.batch([t.encode() if t is not None else None for t in texts])]
+        assert found == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(words.before) <= 60
