@@ -20,8 +20,12 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, learned from the labels that are not held out, takes for label 1."""
-    net = byte_cnn.fitted(docs, read_table(spark, sf_dir, "labels"), ~byte_cnn.held_out())
+    """Documents that the network takes for label 1.
+
+    It learns from the labelled texts of the whole source table that are not held out: the rules before it reject most of label 0.
+    """
+    source = read_table(spark, sf_dir, "documents")
+    net = byte_cnn.fitted(source, read_table(spark, sf_dir, "labels"), ~byte_cnn.held_out(), judged=docs)
     return byte_cnn.filtered(docs, net)
 
 
