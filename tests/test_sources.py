@@ -8,9 +8,10 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from factorspark.functions.quality import DataQualityError
+from factorspark.operators import intraday
 from factorspark.sources import csv_sink, extracts, loading, tables, views
 from factorspark.sources.schemas import DATASETS, dataset
-from factorspark.streaming.intraday import stream_daily_volatility
+from factorspark.streaming import intraday as stream
 
 
 def test_the_thirteen_datasets_declare_keys_and_required_columns():
@@ -177,31 +178,76 @@ def test_csv_sink_refuses_to_replace(spark, tmp_path):
         csv_sink.save_output(df, f"{tmp_path}/out.xlsx")
 
 
-def test_stream_emits_finished_days_once(spark, tmp_path):
-    schema = "symbol string, datetime timestamp_ntz, close double"
-    source = f"{tmp_path}/in"
-
-    def put(items):
-        spark.createDataFrame([(s, dt.datetime.fromisoformat(t), c) for s, t, c in items], schema).coalesce(1).write.mode("append").parquet(source)
-
-    put([("A", "2024-01-02 09:33:00", 10.0), ("A", "2024-01-02 09:31:00", 10.0), ("A", "2024-01-02 09:32:00", 11.0), ("A", "2024-01-02 09:32:00", 11.0), ("B", "2024-01-02 09:31:00", 5.0)])
-    stream = spark.readStream.schema(schema).parquet(source)
-    query = (
-        stream_daily_volatility(stream).writeStream.format("memory").queryName("finished_days").outputMode("append")
-        .option("checkpointLocation", f"{tmp_path}/state").start())
-    try:
-        query.processAllAvailable()
-        assert spark.table("finished_days").count() == 0
-        put([("A", "2024-01-04 09:31:00", 1.0)])
-        query.processAllAvailable()
-        put([("A", "2024-01-02 09:40:00", 99.0), ("A", "2024-01-04 09:32:00", 1.0)])
-        query.processAllAvailable()
-        got = {r["symbol"]: r for r in spark.table("finished_days").collect()}
-    finally:
-        query.stop()
-    assert set(got) == {"A", "B"}
-    assert got["A"]["volatility"] == pytest.approx(statistics.stdev([0.1, -1 / 11])) and got["A"]["bar_count"] == 3
-    assert got["A"]["status"] == 1 and got["B"]["status"] == 3 and got["B"]["volatility"] is None
+def rows(df, *order):
+    return [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+STREAMED = "symbol string, datetime timestamp_ntz, close double, volume double"
+
+
+class Feed:
+    """A folder of minute bars that a stream reads, and the tables that it writes."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.source, self.table, self.state = spark, f"{folder}/in", f"{folder}/out", f"{folder}/state"
+
+    def put(self, *bars):
+        rows_ = [(s, dt.datetime.fromisoformat(t), c, 1.0) for s, t, c in bars]
+        self.spark.createDataFrame(rows_, STREAMED).coalesce(1).write.mode("append").parquet(self.source)
+
+    def run(self, expected=None):
+        """Reads what has come since the last run, from the checkpoint on."""
+        bars = self.spark.readStream.schema(STREAMED).parquet(self.source)
+        rows_ = stream.stream_daily_volatility(bars, expected=expected, min_bars=2)
+        stream.start_tables(rows_, self.table, self.state, availableNow=True).awaitTermination()
+
+    def days(self):
+        return {(r["symbol"], r["trade_date"].day): r for r in stream.stored_days(self.spark, self.table).collect()}
+
+
+def test_stream_finishes_days_across_restarts(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    asked = spark.createDataFrame([(s, day(d)) for s in "AC" for d in ("2024-01-01", "2024-01-02", "2024-01-04")], "symbol string, trade_date date")
+    feed.put(("A", "2024-01-02 09:33:00", 10.0), ("A", "2024-01-02 09:31:00", 10.0), ("B", "2024-01-02 09:31:00", 5.0))
+    feed.run(asked)
+    # The first of January is over, without bars; the second is open, and the stream has stopped in its middle.
+    assert set(feed.days()) == {("A", 1), ("C", 1)} and {r["status"] for r in feed.days().values()} == {2}
+    feed.put(("A", "2024-01-02 09:32:00", 11.0), ("A", "2024-01-02 09:32:00", 11.0), ("B", "2024-01-02 09:30:00", 4.0))
+    feed.run(asked)
+    feed.put(("A", "2024-01-04 09:31:00", 1.0))
+    feed.run(asked)
+    found = feed.days()
+    assert set(found) == {("A", 1), ("C", 1), ("A", 2), ("B", 2), ("C", 2)}
+    assert found["A", 2]["volatility"] == pytest.approx(statistics.stdev([0.1, -1 / 11])) and (found["A", 2]["bar_count"], found["A", 2]["status"]) == (3, 1)
+    assert (found["B", 2]["bar_count"], found["B", 2]["return_count"], found["B", 2]["status"], found["B", 2]["volatility"]) == (2, 1, 3, None)
+    assert (found["C", 2]["bar_count"], found["C", 2]["status"]) == (0, 2)
+    assert [(r["symbol"], r["trade_date"].day) for r in stream.stored_features(spark, feed.table).collect()] == [("A", 2)]
+    covered = {(r["symbol"], r["start"].day, r["end"].day) for r in stream.stored_coverage(spark, feed.table).collect()}
+    assert covered == {("A", 1, 2), ("C", 1, 2)}
+
+
+def test_stream_reports_conflicts_and_counts_late_bars(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.put(("A", "2024-01-02 09:31:00", 1.0), ("A", "2024-01-02 09:31:00", 2.0), ("A", "2024-01-02 09:32:00", 3.0), ("A", "2024-01-02 09:33:00", None), ("B", "2024-01-02 09:31:00", 1.0))
+    feed.run()
+    feed.put(("A", "2024-01-02 09:31:00", 1.0), ("A", "2024-01-02 09:33:00", 4.0), ("B", "2024-01-02 09:32:00", 2.0), ("B", "2024-01-02 09:33:00", 3.0), ("A", "2024-01-03 09:31:00", 1.0))
+    feed.run()
+    found = feed.days()
+    assert (found["A", 2]["status"], found["A", 2]["volatility"], found["A", 2]["bar_count"]) == (4, None, 3) and found["B", 2]["status"] == 1
+    conflicts = rows(stream.stored_conflicts(spark, feed.table), "datetime")
+    batch = rows(intraday.conflicting_minutes(spark.read.schema(STREAMED).parquet(feed.source)), "datetime")
+    assert [(c[1].minute, c[2]) for c in conflicts] == [(c[1].minute, c[2]) for c in batch] == [(31, 3), (33, 2)]
+    assert stream.stored_late(spark, feed.table).count() == 0
+    # Bars of the finished day are counted and change nothing, also when a batch is written again.
+    feed.put(("A", "2024-01-02 10:00:00", 9.0), ("A", "2024-01-02 10:01:00", 9.0), ("A", "2024-01-03 09:32:00", 1.0))
+    feed.run()
+    before = sorted(map(tuple, spark.read.parquet(feed.table).collect()), key=str)
+    assert [(r["symbol"], r["trade_date"].day, r["late_bars"]) for r in stream.stored_late(spark, feed.table).collect()] == [("A", 2, 2)]
+    assert feed.days() == found
+    for number in {r["batch"] for r in spark.read.parquet(feed.table).select("batch").distinct().collect()}:
+        held = spark.read.parquet(f"{feed.table}/batch={number}").select(*[c.split()[0] for c in stream.RESULT.split(", ")]).collect()
+        stream.write_batch(spark.createDataFrame(held, stream.RESULT), number, feed.table)
+    assert sorted(map(tuple, spark.read.parquet(feed.table).collect()), key=str) == before
 
 
 def test_allowed_symbols_hold_for_frames_and_columns_are_required(spark, tmp_path):

@@ -9,7 +9,7 @@ from factorspark.functions import calendar as cal
 from factorspark.operators import cross_section, intraday, series
 from factorspark.session import scratch_path
 from factorspark.plans import adjustment, features, groups, index, performance, portfolio, selection, timing, universe
-from factorspark.streaming.intraday import stream_daily_volatility
+from factorspark.streaming import intraday as stream
 
 from .frames import END, INTRADAY, SELECTION, START, TIMING, UNIVERSE, shown
 from .registry import query
@@ -504,18 +504,38 @@ def rebase_curves(m):
     return shown(performance.rebase_curves(a.unionByName(b)), value=6)
 
 
-@query("stream_intraday_vol", """
-    SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, round(stddev_samp(r), 4) + 0.0 AS volatility, count(*) AS bar_count,
-           count(r) AS return_count, CASE WHEN stddev_samp(r) IS NULL THEN 3 ELSE 1 END::BIGINT AS status
-    FROM (SELECT *, value / lag(value) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) - 1.0 AS r FROM events WHERE value > 0)
-    WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events WHERE value > 0) - INTERVAL 1 HOUR GROUP BY 1, 2""".replace("1, 2", "event_type, CAST(ts AS DATE)"))
-def stream_intraday_vol(m):
-    """Finished days of the events read as a stream; the last days stay in the state."""
+def _streamed(m, bars, expected=None):
+    """The folder that the stream's rows were written to, once all of ``bars`` has been read."""
     out = scratch_path(m.spark, "stream")
-    events = m.table("events").schema
-    bars = m.spark.readStream.schema(events).parquet(f"{m.folder}/events*.parquet").filter("value > 0").select(
-        F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"))
-    running = stream_daily_volatility(bars, delay="1 hour").writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    running.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start().awaitTermination()
-    days = m.spark.read.schema("symbol string, trade_date date, volatility double, bar_count int, return_count int, status int").parquet(f"{out}/rows")
-    return shown(days, volatility=4)
+    rows = stream.stream_daily_volatility(bars, delay="1 hour", expected=expected)
+    stream.start_tables(rows, f"{out}/rows", f"{out}/state", availableNow=True).awaitTermination()
+    return f"{out}/rows"
+
+
+def _event_stream(m):
+    return m.spark.readStream.schema(m.table("events").schema).parquet(f"{m.folder}/events*.parquet")
+
+
+@query("stream_intraday_vol", parts("""
+    SELECT d.symbol, CAST(d.trade_date AS VARCHAR) AS trade_date, round(v, 4) + 0.0 AS volatility, coalesce(n, 0) AS bar_count, coalesce(k, 0) AS return_count,
+           CASE WHEN n IS NULL THEN 2 WHEN v IS NULL THEN 3 ELSE 1 END::BIGINT AS status
+    FROM minute_days d LEFT JOIN (
+      SELECT event_type AS symbol, CAST(ts AS DATE) AS trade_date, stddev_samp(r) AS v, count(*) AS n, count(r) AS k
+      FROM (SELECT *, value / lag(value) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) - 1.0 AS r FROM events) GROUP BY event_type, CAST(ts AS DATE)) x
+      ON x.symbol = d.symbol AND x.trade_date = d.trade_date
+    WHERE d.trade_date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""))
+def stream_intraday_vol(m):
+    """Finished days of the events read as a stream, with the days without bars; the last days stay in the state."""
+    bars = _event_stream(m).select(F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"))
+    return shown(stream.stored_days(m.spark, _streamed(m, bars, m.minute_days())), volatility=4)
+
+
+@query("stream_minute_conflicts", parts("""
+    SELECT symbol, CAST(datetime AS VARCHAR) AS datetime, count(*) AS row_count FROM minute_raw
+    WHERE CAST(datetime AS DATE) + 1 <= (SELECT max(datetime) FROM minute_raw) - INTERVAL 1 HOUR
+    GROUP BY 1, 2 HAVING count(*) > 1 AND min(close) <> max(close)"""))
+def stream_minute_conflicts(m):
+    """Minutes that the stream has met with different values, of its finished days."""
+    bars = _event_stream(m).select(
+        F.col("event_type").alias("symbol"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("datetime"), F.col("value").alias("close"))
+    return shown(stream.stored_conflicts(m.spark, _streamed(m, bars)))
