@@ -1,20 +1,23 @@
-"""Spelling variants: words one edit apart, grouped under their most frequent form, found on a relational trie.
+"""Spelling variants: words one edit apart, grouped under their most frequent form, found on relational tries.
 
 The vocabulary's trie is a table with a row for each node where words part or end (the root included), and in each row the edges to
-the next such nodes: letters in between are part of the edge's label. States ``(word, pos, node, edits)`` start at the root and are joined
-with the table round by round. A state without an edit follows its word's own edge; at the same node it also tries
+the next such nodes: letters in between are part of the edge's label. Frontier states are ``(word, pos, node, edits)``. Those without an edit
+are the nodes on the word's own path. There a state tries
 
 * a replaced code point: the other edges whose label, but for its first code point, continues the word. Only larger code points are
   tried, since the pair is met once from each side;
 * a deleted code point: the edge that continues the word after it. Only the last of equal neighbours is deleted, so a pair is met once.
 
-Where labels part from the word no other word can follow, so edits happen at nodes alone. A state with its edit must match to the end;
-there, at the end of a word, the two words are neighbours, taken in both directions (an insertion is a deletion from the other side).
-The rounds are as many as nodes lie on one word's path, whatever its length.
+Where labels part from the word no other word can follow, so edits happen at nodes alone. A state with its edit is joined with the trie
+level by level and must match to the end; there, at the end of a word, the two words are neighbours, taken in both directions (an
+insertion is a deletion from the other side). The rounds are as many as nodes lie behind the edit, whatever the word's length.
+
+Near the root a trie branches into everything. So edits of a word's second half are looked for on the trie of the words, those of its
+first half on the trie of the reversed words, and both only where branches are few.
 
 The keys of nodes are 64-bit hashes of their prefixes: prefixes that collided would be one node and only add pairs, and every pair is
-compared exactly before it counts. The root's row goes to all tasks in the first round (one row, an edge a letter at most); from then
-on nodes are met by a shuffled join, and a node that many words pass is split by adaptive execution, as its own side is one row.
+compared exactly before it counts. Nodes are met by a shuffled join; one that many words pass is split by adaptive execution, as its
+own side is one row, with an edge a letter at most.
 
 Defined cases: a null or empty text and an empty table have no words. A null id is hashed as an empty text. Repeated rows count
 each. Only A-Z are lower-cased. A tie of the largest near words goes to the smallest in code-point order. Extra columns are not read.
@@ -107,10 +110,11 @@ def _prefixes(words: DataFrame) -> DataFrame:
     return arrow_map(words.select("id", "word"), cut, "id long, depth int, key long, next string")
 
 
-def trie(words: DataFrame) -> DataFrame:
+def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``depth, key, end, edges``: a row for each node; ``end`` is the word that ends there, ``edges`` are (label, child's key) by label.
 
-    A node has at most one edge for each letter. Prefixes are combined within each task, so the root is no hot key.
+    With it each word's own nodes, ``word, n, path``. A node has at most one edge for each letter. Prefixes are combined within each
+    task, so the root is no hot key.
     """
     prefixes = durable(_prefixes(words), "spelling-prefixes")
     ends = F.max(F.when(F.col("next") == "", F.col("id")))
@@ -118,13 +122,18 @@ def trie(words: DataFrame) -> DataFrame:
     nodes = durable(nodes.where("low != high or low = '' or depth = 0").select("depth", "key", "end"), "spelling-nodes")
     passed = prefixes.join(nodes.select("depth", "key"), ["depth", "key"], "left_semi")
     paths = passed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "key"))).alias("path"))  # as many as nodes on a word's path
-    steps = words.join(paths, "id").select("word", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as a, path[i] as b))")).alias("step"))
+    paths = durable(words.join(paths, "id").select("word", "n", "path"), "spelling-paths")
+    steps = paths.select("word", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as a, path[i] as b))")).alias("step"))
     label = F.substring("word", F.col("step.a.depth") + 1, F.col("step.b.depth") - F.col("step.a.depth"))
     edges = steps.select(F.col("step.a.depth").alias("depth"), F.col("step.a.key").alias("key"), F.struct(label.alias("label"), F.col("step.b.key").alias("child")).alias("edge"))
     edges = edges.groupBy("depth", "key").agg(F.array_sort(F.collect_set("edge")).alias("edges"))  # one a letter
     ended = words.select(F.col("id").alias("end"), F.struct("word", "n").alias("ended"))
     nodes = nodes.join(edges, ["depth", "key"], "left").join(ended, "end", "left")
-    return durable(nodes.select("depth", "key", F.col("ended").alias("end"), F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)).alias("edges")), "spelling-trie")
+    table = nodes.select("depth", "key", F.col("ended").alias("end"), F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)).alias("edges"))
+    return durable(table, "spelling-trie"), paths
+
+
+STATE = "struct<pos:int,key:bigint,depth:int,near:string,near_n:bigint>"
 
 
 def _rest(start: Column | int) -> Column:
@@ -132,59 +141,81 @@ def _rest(start: Column | int) -> Column:
     return F.substring(F.col("word"), start + F.lit(1), F.length("word"))
 
 
-def _along(edges: Column, start: Column) -> Column:
-    """The edges whose label continues the word at ``start``: one at most."""
+def _moved(start: Column) -> Callable[[Column], Column]:
+    """To the end of an edge whose label matches the word from ``start`` on."""
+    return lambda e: F.struct(
+        (start + F.length(e["label"])).cast("int").alias("pos"), e["child"].alias("key"), (F.col("depth") + F.length(e["label"])).cast("int").alias("depth"),
+        F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n")).cast(STATE)
+
+
+def _only(condition: Column, rows: Column) -> Column:
+    return F.when(condition, rows).otherwise(F.array().cast(f"array<{STATE}>"))
+
+
+def _along(start: Column) -> Column:
+    """The states past the edges whose label continues the word at ``start``: one at most."""
     rest = _rest(start)
-    return F.filter(edges, lambda e: F.startswith(rest, e["label"]))
+    return F.transform(F.filter("edges", lambda e: F.startswith(rest, e["label"])), _moved(start))
+
 
+def _ended(over: Column) -> Column:
+    """The pair of the state's word and the word that ends at its node."""
+    return _only(over & F.col("end").isNotNull(), F.array(F.struct("pos", "key", "depth", F.col("end.word"), F.col("end.n")).cast(STATE)))
 
-def advance(states: DataFrame, table: DataFrame, first: bool = False) -> DataFrame:
-    """One round: states at the children of their nodes and, with ``near``, the pairs of words that ended.
 
-    States: ``word, n, pos, key, edits, depth`` (the depth of the node, which with the hash is its key).
+def edited(states: DataFrame, table: DataFrame, apart: Column) -> DataFrame:
+    """The states with one edit that the states without one, ``word, n, pos, key, depth``, make at their nodes.
+
+    ``apart`` says where a deletion is left to the other trie, which finds it as well.
     """
-    met = states.join(F.broadcast(table) if first else table, ["depth", "key"])
-    pos, edges = F.col("pos"), F.col("edges")
+    met = states.join(table, ["depth", "key"])
+    pos = F.col("pos")
     letter, following = F.substring("word", pos + 1, F.lit(1)), F.substring("word", pos + 2, F.lit(1))
-    kind = "struct<pos:int,key:bigint,edits:int,depth:int,near:string,near_n:bigint>"
-
-    def moved(start: Column, edits: int) -> Callable[[Column], Column]:
-        return lambda e: F.struct(
-            (start + F.length(e["label"])).cast("int").alias("pos"), e["child"].alias("key"), F.lit(edits).alias("edits"),
-            (F.col("depth") + F.length(e["label"])).cast("int").alias("depth"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n")).cast(kind)
 
     def replaced(e: Column) -> Column:
         rest = F.substring(e["label"], F.lit(2), F.length(e["label"]))
         return (F.substring(e["label"], F.lit(1), F.lit(1)) > letter) & F.startswith(_rest(pos + 1), rest)
 
-    def only(condition: Column, rows: Column) -> Column:
-        return F.when(condition, rows).otherwise(F.array().cast(f"array<{kind}>"))
-
-    unedited, open_word = F.col("edits") == 0, pos < F.length("word")
-    deletes = open_word & (letter != following)
-    own = F.when(unedited, F.transform(_along(edges, pos), moved(pos, 0))).otherwise(F.transform(_along(edges, pos), moved(pos, 1)))
-    swaps = only(unedited & open_word, F.transform(F.filter(edges, replaced), moved(pos, 1)))
-    drops = only(unedited & deletes & (following != ""), F.transform(_along(edges, pos + 1), moved(pos + 1, 1)))
-    # With its edit made, the word must be over; without, its last code point is the one deleted.
-    over = F.col("end").isNotNull() & F.when(unedited, deletes & (following == "")).otherwise(~open_word)
-    ended = only(over, F.array(F.struct(pos, "key", "edits", "depth", F.col("end.word"), F.col("end.n")).cast(kind)))
-    return met.select("word", "n", F.explode(F.concat(own, swaps, drops, ended)).alias("to")).select("word", "n", "to.*")
+    swaps = F.transform(F.filter("edges", replaced), _moved(pos))
+    deletes = (letter != following) & ~apart
+    drops = _only(deletes & (following != ""), _along(pos + 1))
+    # The last code point is deleted where the rest is a word.
+    return met.select("word", "n", F.explode(F.concat(swaps, drops, _ended(deletes & (following == "")))).alias("to")).select("word", "n", "to.*")
+
+
+def advance(states: DataFrame, table: DataFrame) -> DataFrame:
+    """One round: states with their edit at the children of their nodes and, with ``near``, the pairs of words that ended."""
+    met = states.join(table, ["depth", "key"])
+    onward = F.concat(_along(F.col("pos")), _ended(F.col("pos") == F.length("word")))
+    return met.select("word", "n", F.explode(onward).alias("to")).select("word", "n", "to.*")
+
+
+def _half(words: DataFrame, least: Column, apart: Column) -> DataFrame:
+    """``word, n, near, near_n`` of the pairs whose edit lies at ``least`` or later, each once."""
+    table, paths = trie(words)
+    states = paths.select("word", "n", F.explode("path").alias("at")).select("word", "n", F.col("at.depth").alias("pos"), F.col("at.key").alias("key"), F.col("at.depth").alias("depth"))
+    after = durable(edited(states.where((F.col("pos") >= least) & (F.col("pos") < F.length("word"))), table, apart), "spelling-states")
+    found = None
+    while True:
+        ended = after.where("near is not null").select("word", "n", "near", "near_n")
+        found = ended if found is None else found.unionByName(ended)
+        states = after.where("near is null").drop("near", "near_n")
+        if states.isEmpty():
+            return found
+        after = durable(advance(states, table), "spelling-states")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: all pairs one edit apart, in both directions."""
-    table = trie(words)
-    root = xxhash.xxh3_64().intdigest() - (1 << 63)
-    states = words.select("word", "n", F.lit(0).alias("pos"), F.lit(root).alias("key"), F.lit(0).alias("edits"), F.lit(0).alias("depth"))
-    # The root is one row, with an edge a letter at most.
-    after = durable(advance(states, table.where("depth = 0"), first=True), "spelling-states")
-    found = after.where("near is not null")
-    states = after.where("near is null").drop("near", "near_n")
-    while not states.isEmpty():
-        after = durable(advance(states, table), "spelling-states")
-        found = found.unionByName(after.where("near is not null"))
-        states = after.where("near is null").drop("near", "near_n")
-    pairs = found.select("word", "n", "near", "near_n").where(F.levenshtein("word", "near") == 1)
+    middle = F.floor(F.length("word") / 2).cast("int")
+    pairs = _half(words, middle, F.lit(False))
+    # On the reversed words a run's last letter is its first; where the run reaches the middle, the deletion has been found forwards.
+    least = F.length("word") - middle
+    run = F.substring("word", least, F.col("pos") - least + 2)
+    whole = F.replace(run, F.substring("word", F.col("pos") + 1, F.lit(1)), F.lit("")) == ""
+    backward = _half(words.withColumn("word", F.reverse("word")), least, whole)
+    pairs = pairs.unionByName(backward.withColumns({"word": F.reverse("word"), "near": F.reverse("near")}))
+    pairs = pairs.where(F.levenshtein("word", "near") == 1)
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 
 
