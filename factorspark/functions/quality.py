@@ -6,9 +6,12 @@ in one pass; key checks are one pre-aggregated shuffle on the key.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as NotYet
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -43,6 +46,68 @@ def require_rules(df: DataFrame, rules: Mapping[str, Column], name: str) -> None
         raise DataQualityError(f"{name}: {detail}")
 
 
+class Watch:
+    """Checks that ride along with a job that runs anyway.
+
+    ``watch`` attaches conditional counts to a frame; once the frame has been written (or read in any other way), ``require`` raises
+    for all rules that were broken. Where the metrics do not arrive, as when the optimizer has removed an empty branch,
+    and to give examples of what is wrong, the rule's own query runs.
+    """
+
+    SECONDS = 20
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation, dict[str, Column], DataFrame, Callable[[], DataFrame] | None]] = []
+
+    def watch(self, df: DataFrame, rules: Mapping[str, Column], name: str, examples: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """``df`` as it is, counted by the conditions that must never be true; ``examples`` makes the frame of what breaks them."""
+        seen = Observation(f"{name} {uuid4().hex}")
+        numbered = {f"rule_{i}": F.count_if(F.coalesce(c, F.lit(False))).alias(f"rule_{i}") for i, c in enumerate(rules.values())}
+        self._seen.append((name, seen, dict(rules), df, examples))
+        return df.observe(seen, *numbered.values())
+
+    def _counts(self, seen: Observation, rules: dict[str, Column], df: DataFrame) -> dict[str, int]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            metrics = pool.submit(lambda: seen.get).result(timeout=self.SECONDS)
+            return {rule: int(metrics[f"rule_{i}"]) for i, rule in enumerate(rules)}
+        except (NotYet, KeyError):
+            return {r["rule"]: r["violations"] for r in count_violations(df, rules).collect()}
+        finally:
+            pool.shutdown(wait=False)
+
+    def require(self) -> None:
+        """Raise once with every broken rule of all watched frames."""
+        found = []
+        for name, seen, rules, df, examples in self._seen:
+            broken = {rule: n for rule, n in self._counts(seen, rules, df).items() if n}
+            if broken:
+                shown = f"; examples: {[tuple(r) for r in examples().limit(5).collect()]}" if examples is not None else ""
+                found.append(f"{name}: " + "; ".join(f"{rule} ({n} rows)" for rule, n in broken.items()) + shown)
+        self._seen.clear()
+        if found:
+            raise DataQualityError(" | ".join(found))
+
+
+def counted(violations: DataFrame, rule: str) -> DataFrame:
+    """``(rule, violations, examples)`` of a frame that lists what breaks a rule, with its first and last row as text."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in violations.columns]))
+    return violations.select(row.alias("_row")).agg(
+        F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations"), F.concat_ws(", ", F.min("_row"), F.max("_row")).alias("examples"))
+
+
+def require_all(name: str, *counts: DataFrame) -> None:
+    """Raise once for all broken rules; the frames are ``(rule, violations)`` and more, and are counted in one job."""
+    every = None
+    for part in counts:
+        part = part.select("rule", "violations", F.col("examples") if "examples" in part.columns else F.lit(None).cast("string").alias("examples"))
+        every = part if every is None else every.unionByName(part)
+    broken = every.filter("violations > 0").collect()
+    if broken:
+        detail = "; ".join(f"{r['rule']} ({r['violations']} rows{'; such as ' + r['examples'] if r['examples'] else ''})" for r in broken)
+        raise DataQualityError(f"{name}: {detail}")
+
+
 def require_unique(df: DataFrame, keys: list[str], name: str) -> None:
     example = duplicate_keys(df, keys).limit(5).collect()
     if example:

@@ -7,18 +7,22 @@ assumed to fit one task. Three rules hold here, at every size:
   aggregations, combined before the shuffle, and joined back from one row per date;
 * top-N with a fixed N filters on ``row_number() <= N``, which Spark limits on the
   map side before the shuffle;
-* exact positions of every row (ratios, quintiles, trims, ranks, medians) come from
-  one range partitioning of all rows over the whole cluster; positions within a
-  range are shifted by the counts of the earlier ranges.
+* cuts (ratios, quintiles, trims, medians) are order statistics, found by refining
+  histograms of the values, and rows are compared with them where they are;
+* positions and ranks of every row come from one range partitioning over the whole
+  cluster; positions within a range are shifted by the counts of the earlier ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import is_finite
 from ..session import durable
+from .order_statistics import kth_rows, kth_values
 
 
 def _offsets(cut: DataFrame, keys: list[str], rows: Column) -> DataFrame:
@@ -62,27 +66,39 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], *, position:
     return placed.withColumn(position, F.col("_before") + F.col("_local")).withColumn(size, F.col("_total")).select(*df.columns, position, size)
 
 
-def topk_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, *, symbol: str = "symbol") -> DataFrame:
-    """Top ``floor(n * ratio)`` by metric descending, n counting non-null metrics only."""
-    ranked = positions(df.filter(F.col(metric).isNotNull()), keys, [F.col(metric).desc(), F.col(symbol).asc()], position="_p", size="_n")
-    return ranked.filter(F.col("_p") <= F.floor(F.col("_n") * F.lit(float(ratio)))).drop("_p", "_n")
-
-
 def flag_top_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, name: str, *,
                    symbol: str = "symbol") -> DataFrame:
-    """All rows, with whether each is in the top ratio of its non-null metrics.
+    """All rows, with whether each is in the top ratio of its group's non-null metrics (ties by symbol)."""
+    return flag_top_ratios(df, keys, {name: (metric, ratio)}, symbol=symbol)
+
 
-    Null metrics sort after all others in descending order and are not counted, so
-    the positions of the rest are unaffected.
+def flag_top_ratios(df: DataFrame, keys: list[str], flags: Mapping[str, tuple[str, float]], *, symbol: str = "symbol") -> DataFrame:
+    """All rows with one flag for each ``name: (metric, ratio)``.
+
+    The last row of every top ratio is found in common passes over (keys, metric, symbol), and the rows are flagged where they
+    are, from one row a group; ``df`` is read some times (see ``order_statistics``).
     """
-    counted = F.col(metric).isNotNull()
-    ranked = positions(
-        df.withColumn("_null", ~counted), [*keys, "_null"], [F.col(metric).desc_nulls_last(), F.col(symbol).asc()],
-        position="_p", size="_n",
-    )
-    return ranked.withColumn(
-        name, counted & (F.col("_p") <= F.floor(F.col("_n") * F.lit(float(ratio))))
-    ).drop("_p", "_n", "_null")
+    stacked = df.select(*keys, symbol, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("of"), F.col(metric).cast("double").alias("metric")) for name, (metric, _) in flags.items()])).alias("_m"))
+    stacked = stacked.select(*keys, symbol, F.col("_m.of").alias("_of"), F.col("_m.metric").alias("_metric"))
+    ratio = F.lit(None).cast("double")
+    for name, (_, share) in flags.items():
+        ratio = F.when(F.col("_of") == name, F.lit(float(share))).otherwise(ratio)
+    cuts = kth_rows(stacked, [*keys, "_of"], "_metric", symbol, {"last": F.floor(F.col("n") * ratio)}, descending=True)
+    last = [F.max(F.when(F.col("_of") == name, F.struct("value", "symbol"))).alias(f"_{name}_last") for name in flags]
+    cuts = cuts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*last)
+    same = [df[k].eqNullSafe(cuts[f"_k{i}"]) for i, k in enumerate(keys)]
+    out = df.join(cuts, same, "left")
+    for name, (metric, _) in flags.items():
+        value, cut = F.col(metric).cast("double"), F.col(f"_{name}_last")
+        inside = (value > cut["value"]) | ((value == cut["value"]) & (F.col(symbol) <= cut["symbol"]))
+        out = out.withColumn(name, F.coalesce(inside, F.lit(False)))
+    return out.select(*df.columns, *flags)
+
+
+def topk_ratio(df: DataFrame, keys: list[str], metric: str, ratio: float, *, symbol: str = "symbol") -> DataFrame:
+    """Top ``floor(n * ratio)`` by metric descending, n counting non-null metrics only."""
+    return flag_top_ratio(df, keys, metric, ratio, "_top", symbol=symbol).filter("_top").drop("_top")
 
 
 def topk_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -95,12 +111,17 @@ def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int
     """Balanced groups ``floor(i * groups / n) + 1`` by ascending (factor, symbol).
 
     Rows without a finite factor are left out. Dates with fewer names than groups
-    are kept, with some groups empty; ``too_small`` lists them.
+    are kept, with some groups empty; ``too_small`` lists them. A row's group is one more than the number of
+    groups whose last row it follows, so rows stay where they are; ``df`` is read some times.
     """
-    ranked = positions(df.filter(is_finite(factor)), keys, [F.col(factor).asc(), F.col(symbol).asc()], position="_p", size="_n")
-    return ranked.withColumn(
-        "group", (F.floor((F.col("_p") - 1) * groups / F.col("_n")) + 1).cast("int")
-    ).drop("_p", "_n")
+    usable = df.filter(is_finite(factor))
+    last = {str(g): F.ceil(F.col("n") * g / groups) for g in range(1, groups)}
+    ends = kth_rows(usable, keys, factor, symbol, last)
+    ends = ends.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.collect_list(F.struct("value", "symbol")).alias("_ends"))
+    same = [usable[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)]
+    own = F.struct(F.col(factor).cast("double").alias("value"), F.col(symbol).alias("symbol"))
+    passed = F.size(F.filter("_ends", lambda end: own > end))
+    return usable.join(ends, same, "left").withColumn("group", (F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0)) + 1).cast("int")).select(*df.columns, "group")
 
 
 def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = None) -> DataFrame:
@@ -110,18 +131,39 @@ def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = No
 
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, ratio: float, *, symbol: str = "symbol") -> DataFrame:
-    """Mean after dropping ``floor(n * ratio)`` rows on each side, with both counts."""
+    """Mean after dropping ``floor(n * ratio)`` rows on each side, with both counts.
+
+    Equal values count alike, so only the values at the two cuts are needed, with how many of their ties stay.
+    """
     if not 0 <= ratio < 0.5:
         raise ValueError("ratio must be in [0, 0.5)")
-    ranked = positions(
-        df, keys, [F.col(value).asc(), F.col(symbol).asc()], position="_p", size="_n"
-    ).withColumn("_t", F.floor(F.col("_n") * F.lit(float(ratio))))
-    inside = (F.col("_p") > F.col("_t")) & (F.col("_p") <= F.col("_n") - F.col("_t"))
-    return ranked.groupBy(*keys).agg(
-        F.avg(F.when(inside, F.col(value))).alias("trimmed_mean"),
-        F.count_if(inside).alias("trimmed_count"),
-        F.count(F.lit(1)).alias("row_count"),
-    )
+    n = F.col("n")
+    dropped = F.floor(n * F.lit(float(ratio)))
+    cuts = kth_values(df, keys, value, {"first": dropped + 1, "last": n - dropped})
+    at = {c: F.max(F.when(F.col("name") == c, F.struct("value", "below", "ties", "n", "k"))).alias(f"_{c}") for c in ("first", "last")}
+    ends = cuts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*at.values())
+    same = [df[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)]
+    inside = (F.col(value) > F.col("_first.value")) & (F.col(value) < F.col("_last.value"))
+    sums = df.join(ends, same, "left").groupBy(*keys).agg(
+        F.sum(F.when(inside, F.col(value).cast("double"))).alias("_inner"), F.count(F.lit(1)).alias("row_count"),
+        F.any_value("_first").alias("_first"), F.any_value("_last").alias("_last"))
+    first, last = F.col("_first"), F.col("_last")
+    kept = last["k"] - first["k"] + 1
+    low = first["value"] * (first["below"] + first["ties"] - first["k"] + 1)
+    high = last["value"] * (last["k"] - last["below"])
+    total = F.when(first["value"] == last["value"], first["value"] * kept).otherwise(F.coalesce("_inner", F.lit(0.0)) + low + high)
+    return sums.select(*keys, F.try_divide(total, kept).alias("trimmed_mean"), F.coalesce(kept, F.lit(0)).alias("trimmed_count"), "row_count")
+
+
+def cumulated(counts: DataFrame, keys: list[str], value: str, n: str, name: str) -> DataFrame:
+    """``counts``, one row for each value of a group, with how many rows (column ``n``) the smaller values have.
+
+    Groups of any size: the values are range-partitioned and the ranges' sums shift each other.
+    """
+    cut = _ranged(counts, keys, [F.col(value).asc()])
+    local = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _with_offsets(cut.withColumn("_local", F.coalesce(F.sum(n).over(local), F.lit(0))), keys, F.sum(n))
+    return placed.withColumn(name, F.col("_before") + F.col("_local")).select(*counts.columns, name)
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -130,25 +172,31 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     Equal values are counted before ranking, so a value held by many rows is one
     row there. Null values rank first, null keys are groups, and no row is lost.
     """
-    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cut = _ranged(distinct, keys, [F.col(value).asc()])
-    local = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = _with_offsets(cut.withColumn("_local", F.coalesce(F.sum("_c").over(local), F.lit(0))), keys, F.sum("_c"))
-    ranks = placed.select(
-        *[F.col(k).alias(f"_g{i}") for i, k in enumerate([*keys, value])],
-        (F.col("_before") + F.col("_local") + (F.col("_c") + 1) / 2).alias(name),
-    )
-    same = [df[k].eqNullSafe(ranks[f"_g{i}"]) for i, k in enumerate([*keys, value])]
-    return df.join(ranks, same).select(*[df[c] for c in df.columns], name)
+    return average_ranks(df, keys, {value: name})
+
+
+def average_ranks(df: DataFrame, keys: list[str], names: Mapping[str, str]) -> DataFrame:
+    """Average ranks of several columns, each under its name; the distinct values of all of them are ordered in one pass."""
+    values = None
+    for value in names:
+        part = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_of", F.lit(value))
+        values = part if values is None else values.unionByName(part)
+    placed = durable(cumulated(values, [*keys, "_of"], "_v", "_c", "_below"), "ranks")
+    out = df
+    for value, name in names.items():
+        own = placed.filter(F.col("_of") == value).select(
+            *[F.col(k).alias(f"_g{i}") for i, k in enumerate([*keys, "_v"])], (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
+        same = [df[k].eqNullSafe(own[f"_g{i}"]) for i, k in enumerate(keys)]
+        same.append(df[value].cast("double").eqNullSafe(own[f"_g{len(keys)}"]))
+        out = out.join(own, same).select(*out.columns, name)
+    return out
 
 
 def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median of non-null values, one row per group."""
-    ranked = positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value).asc()], position="_p", size="_n")
-    middle = ranked.filter(
-        (F.col("_p") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_p") == F.ceil((F.col("_n") + 1) / 2))
-    )
-    return middle.groupBy(*keys).agg(F.avg(value).alias(name))
+    n = F.col("n")
+    middle = kth_values(df, keys, value, {"low": F.floor((n + 1) / 2), "high": F.ceil((n + 1) / 2)})
+    return middle.groupBy(*keys).agg(F.avg("value").alias(name))
 
 
 def winsor_zscore(df: DataFrame, value: str = "factor", keys: list[str] | None = None, *, winsor_n: float | None = 3.0,
@@ -210,7 +258,9 @@ def information_coefficients(pairs: DataFrame, keys: list[str], factor: str = "f
     Groups that keep no complete pair still get a row with null correlations.
     """
     complete = pairs.filter(F.col(factor).isNotNull() & F.col(forward).isNotNull())
-    ranked = average_rank(average_rank(complete, keys, factor, "_rf"), keys, forward, "_rr")
+    # The pairs are read for their values and for their ranks.
+    complete = durable(complete.select(*keys, factor, forward), "pairs")
+    ranked = average_ranks(complete, keys, {factor: "_rf", forward: "_rr"})
     values = ranked.groupBy(*keys).agg(
         safe_correlation(factor, forward).alias("ic"), safe_correlation("_rf", "_rr").alias("rank_ic")
     )

@@ -16,41 +16,38 @@ def uncovered_price_ranges(price: DataFrame, coverage: DataFrame) -> DataFrame:
     return ranges_cover(spans, coverage, ["symbol"]).filter("NOT covered")
 
 
-def check_adjustment(price: DataFrame, factors: DataFrame, coverage: DataFrame) -> None:
-    """Raise for duplicate, missing or impossible inputs and uncovered price ranges."""
+def check_adjustment(price: DataFrame, factors: DataFrame, coverage: DataFrame, *, price_checked: bool = False) -> None:
+    """Raise for duplicate, missing or impossible inputs and uncovered price ranges, counted in one job.
+
+    ``price_checked`` says that the keys of the price table are known to be unique, as after a selection from it.
+    """
     quality.require_columns(price, ["date", "symbol", "close"], "price")
     quality.require_columns(factors, ["symbol", "operate_date", "back_adjust_factor"], "factors")
     quality.require_columns(coverage, ["symbol", "start", "end"], "coverage")
     factor = F.col("back_adjust_factor")
-    quality.require_rules(
-        price, {"date is missing": F.col("date").isNull(), "close is missing": F.col("close").isNull()}, "price"
-    )
-    quality.require_rules(
-        factors,
-        {
-            "operate_date is missing": F.col("operate_date").isNull(),
-            "factor is not positive and finite": factor.isNull() | (factor <= 0) | F.isnan(factor) | (factor == F.lit(float("inf"))),
-        },
-        "factors",
-    )
-    quality.require_rules(
-        coverage,
-        {
-            "range is missing": F.col("start").isNull() | F.col("end").isNull(),
-            "start is after end": F.col("start") > F.col("end"),
-        },
-        "coverage",
-    )
-    quality.require_unique(price.select("date", "symbol"), ["date", "symbol"], "price")
-    quality.require_unique(factors, ["symbol", "operate_date"], "factors")
-    quality.require_unique(coverage, ["symbol", "start", "end"], "coverage")
-    quality.require_empty(uncovered_price_ranges(price, coverage), "adjustment-factor coverage does not contain the price range")
-
-
-def back_adjusted_close(price: DataFrame, factors: DataFrame, coverage: DataFrame, *, validate: bool = True) -> DataFrame:
+    counts = [
+        quality.count_violations(price, {"price: date is missing": F.col("date").isNull(), "price: close is missing": F.col("close").isNull()}),
+        quality.count_violations(factors, {
+            "factors: operate_date is missing": F.col("operate_date").isNull(),
+            "factors: factor is not positive and finite": factor.isNull() | (factor <= 0) | F.isnan(factor) | (factor == F.lit(float("inf"))),
+        }),
+        quality.count_violations(coverage, {
+            "coverage: range is missing": F.col("start").isNull() | F.col("end").isNull(),
+            "coverage: start is after end": F.col("start") > F.col("end"),
+        }),
+        quality.counted(quality.duplicate_keys(factors, ["symbol", "operate_date"]), "factors contains duplicate keys ['symbol', 'operate_date']"),
+        quality.counted(quality.duplicate_keys(coverage, ["symbol", "start", "end"]), "coverage contains duplicate keys ['symbol', 'start', 'end']"),
+        quality.counted(uncovered_price_ranges(price, coverage), "adjustment-factor coverage does not contain the price range"),
+    ]
+    if not price_checked:
+        counts.append(quality.counted(quality.duplicate_keys(price, ["date", "symbol"]), "price contains duplicate keys ['date', 'symbol']"))
+    quality.require_all("adjustment", *counts)
+
+
+def back_adjusted_close(price: DataFrame, factors: DataFrame, coverage: DataFrame, *, validate: bool = True, price_checked: bool = False) -> DataFrame:
     """Price rows with ``adjusted_close = close * factor`` in force on the date."""
     if validate:
-        check_adjustment(price, factors, coverage)
+        check_adjustment(price, factors, coverage, price_checked=price_checked)
     return asof_adjust_factor(price, factors).withColumn(
         "adjusted_close", F.col("close").cast("double") * F.col("back_adjust_factor")
     ).drop("back_adjust_factor")

@@ -64,6 +64,7 @@ def quote_features(
     volatility_lookback: int | None = None,
     factors: DataFrame | None = None,
     calendar: DataFrame | None = None,
+    watch: quality.Watch | None = None,
 ) -> DataFrame:
     """One row per valid quote with everything selection needs at that date.
 
@@ -72,10 +73,18 @@ def quote_features(
     cash and yield; the yield's mean over the last quotes; after-tax cash of this
     year so far and of each of the ``dividend_years`` years before; and the return
     volatility over the last quotes, on adjusted closes when ``factors`` is given.
+
+    With ``watch``, repeated (date, symbol) rows of the price table, valid or not, are counted where they meet anyway.
     """
     quotes = valid_price(price)
     calendar = market_calendar(quotes) if calendar is None else calendar
-    numbered = quotes.join(F.broadcast(calendar.select("date", "market_index")), "date")
+    days = F.broadcast(calendar.select("date", "market_index"))
+    numbered = quotes.join(days, "date")
+    if watch is not None:
+        # Rows without a usable close come along for their keys, and are dropped by their market number below.
+        rest = price.filter(F.coalesce(finite("close"), F.lit(0.0)) <= 0).select(
+            "date", "symbol", *[F.lit(None).cast("double").alias(c) for c in ("close", "amount", "pe_ttm")], F.lit(None).cast("int").alias("market_index"))
+        numbered = numbered.select("date", "symbol", "close", "amount", "pe_ttm", "market_index").unionByName(rest)
     parts = [
         _event(valid_shares(shares), "publish_date", 0, publish_date=F.col("publish_date"), total_shares=F.col("total_shares")),
         _event(daily_cash(dividends), "announce_date", 1, cash=F.col("cash")),
@@ -101,13 +110,19 @@ def quote_features(
         F.last(F.when(F.col("kind") == 0, published), ignorenulls=True).over(seen).alias("_shares"),
         F.coalesce(F.last("factor", ignorenulls=True).over(seen), F.lit(1.0)).alias("_factor"),
     )
+    if watch is not None:
+        ordered = Window.partitionBy("symbol").orderBy("day", "kind")
+        again = (F.col("kind") == 3) & (F.lag("kind").over(ordered) == 3) & (F.lag("day").over(ordered) == F.col("day"))
+        key = ["date", "symbol"]
+        known = watch.watch(known.withColumn("_again", again), {"duplicate keys ['date', 'symbol']": F.col("_again")}, "price",
+                            lambda: quality.duplicate_keys(price, key).select(*key)).drop("_again")
     known = known.withColumn("_ttm", trailing_sum(F.col("cash"), by_day, 365, by_range=True))
     known = known.withColumn("cash_year_0", F.coalesce(F.sum("cash").over(this_year), F.lit(0.0)) * tax)
     for back in range(1, dividend_years + 1):
         frame = years.rangeBetween(-back, -back)
         known = known.withColumn(f"cash_year_{back}", F.coalesce(F.sum("cash").over(frame), F.lit(0.0)) * tax)
 
-    rows = known.filter("kind = 3").select(
+    rows = known.filter("kind = 3 AND market_index IS NOT NULL").select(
         "symbol", "date", "market_index", "close", "amount", "pe_ttm",
         F.col("_shares.publish_date").alias("publish_date"), F.col("_shares.total_shares").alias("total_shares"),
         (F.col("close") * F.col("_shares.total_shares")).alias("total_market_cap"),

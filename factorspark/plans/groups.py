@@ -18,9 +18,9 @@ from .universe import dividend_universe
 
 
 def equal_weights(members: DataFrame) -> DataFrame:
-    """Equal weights within each (portfolio, date); the sizes are one row per group and date."""
+    """Equal weights within each (portfolio, date), from one row per group and date."""
     sizes = members.groupBy("portfolio", "date").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return members.select("portfolio", "date", "symbol").join(F.broadcast(sizes), ["portfolio", "date"])
+    return members.select("portfolio", "date", "symbol").join(sizes, ["portfolio", "date"])
 
 
 def group_navs(prices: DataFrame, grouped: DataFrame, *, groups: int = 5, validate: bool = True) -> DataFrame:
@@ -74,12 +74,13 @@ def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries:
     """
     at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
     # Both pools read the as-of rows only, so these are written once.
-    features = durable(selection_features(price, dividends, shares, rules, factors).join(at, "date"), "features")
+    watch = quality.Watch() if validate else None
+    features = durable(selection_features(price, dividends, shares, rules, factors, watch).join(at, "date"), "features")
     columns = ["date", "symbol", F.col("volatility_240d").alias("factor")]
     everything = features.select(F.lit("all_a").alias("pool"), *columns)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        features=features, validate=validate,
+        rows=features, watch=watch, validate=validate,
     ).select(F.lit("dividend_pool").alias("pool"), *columns)
     return _grouped(everything.unionByName(universe), as_of, ["all_a", "dividend_pool"], validate)
 
@@ -106,7 +107,7 @@ def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_q
     grouped = durable(traditional_groups(
         price, dividends, dividend_queries, shares, as_of, rules, factors, validate=validate
     ), "groups")
-    prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
+    prices = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=True).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
     return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)
@@ -134,7 +135,7 @@ def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_quer
     grouped = durable(intraday_groups(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     ), "groups")
-    prices = back_adjusted_close(price, factors, coverage, validate=validate).select(
+    prices = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=True).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
     return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)

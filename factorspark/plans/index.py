@@ -173,12 +173,12 @@ def month_end_as_of(price: DataFrame, start, end) -> DataFrame:
 
 
 def monthly_portfolio(price: DataFrame, constituents: DataFrame, cost_rate: float, factors: DataFrame, coverage: DataFrame, *,
-                      validate: bool = True) -> DataFrame:
+                      validate: bool = True, price_checked: bool = False) -> DataFrame:
     """Portfolio held from each selection date to the next on adjusted closes.
 
-    Half the cost rate is charged per side, the first date is free.
+    Half the cost rate is charged per side, the first date is free. ``price_checked``: the selection has checked the price keys.
     """
-    adjusted = back_adjusted_close(price, factors, coverage, validate=validate).select(
+    adjusted = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=price_checked).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
     weights = constituents.select(F.lit("monthly").alias("portfolio"), F.col("as_of_date").alias("date"), "symbol", "weight")
@@ -195,7 +195,7 @@ def monthly_index(price: DataFrame, dividends: DataFrame, dividend_queries: Data
     constituents = _once(select_constituents(
         price, dividends, dividend_queries, shares, as_of, rules, factors=factors, validate=validate
     ), validate)
-    nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
+    nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate, price_checked=True)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 
 
@@ -207,7 +207,7 @@ def intraday_monthly_index(price: DataFrame, dividends: DataFrame, dividend_quer
     constituents = _once(select_intraday_constituents(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     ), validate)
-    nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate)
+    nav = monthly_portfolio(price, constituents, rules.transaction_cost_rate, factors, coverage, validate=validate, price_checked=True)
     return nav, constituents.withColumn("effective_date", F.col("as_of_date"))
 
 

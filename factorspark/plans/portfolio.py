@@ -17,6 +17,7 @@ from ..functions import quality
 from ..functions.calendar import market_calendar
 from ..operators.asof import asof_join
 from ..session import durable
+from .rules import lies_in
 
 
 def holdings_by_date(weights: DataFrame, dates: DataFrame) -> DataFrame:
@@ -54,14 +55,19 @@ def with_marks(holdings: DataFrame, prices: DataFrame, column: str = "close") ->
     return holdings.join(now, ["symbol", "date"], "left").join(after, ["symbol", "next_date"], "left")
 
 
-def check_weights(weights: DataFrame, prices: DataFrame) -> None:
-    quality.require_rules(weights, {"weight is negative": F.col("weight") < 0}, "target weights")
-    quality.require_unique(weights, ["portfolio", "date", "symbol"], "target weights")
+def check_weights(weights: DataFrame, prices: DataFrame, valuation: DataFrame) -> None:
+    """Raise once for negative, repeated or incomplete weights and for unknown symbols and dates, counted in one job."""
     totals = weights.groupBy("portfolio", "date").agg(F.sum("weight").alias("total"))
-    quality.require_empty(totals.filter(F.abs(F.col("total") - 1.0) > 1e-10), "Each target weight set must sum to 1")
-    symbols = weights.select("symbol").distinct().join(prices.select("symbol").distinct(), "symbol", "left_anti")
-    quality.require_empty(symbols, "target weight symbols missing from prices")
-    quality.require_rules(prices, {"price is not positive": F.col("close") <= 0}, "prices")
+    unknown = weights.select("symbol").distinct().join(prices.select("symbol").distinct(), "symbol", "left_anti")
+    off = weights.select("date").distinct().join(valuation, "date", "left_anti")
+    quality.require_all(
+        "target weights",
+        quality.count_violations(weights, {"weight is negative": F.col("weight") < 0}),
+        quality.counted(quality.duplicate_keys(weights, ["portfolio", "date", "symbol"]), "repeated (portfolio, date, symbol)"),
+        quality.counted(totals.filter(F.abs(F.col("total") - 1.0) > 1e-10), "weights of a portfolio and date that do not sum to 1"),
+        quality.counted(unknown, "symbols without a price"),
+        quality.counted(off, "dates that are not valuation dates"),
+    )
 
 
 def portfolio_nav(
@@ -83,22 +89,21 @@ def portfolio_nav(
     valuation date; a fee table is (date, symbol, fee) and must cover every trade.
     ``execution_price`` is (date, symbol, price).
     """
-    if slippage < 0:
-        raise ValueError("slippage must not be negative")
-    if init_cash <= 0:
-        raise ValueError("init_cash must be positive")
-    if not isinstance(fees, DataFrame) and fees < 0:
-        raise ValueError("fees must not be negative")
+    numbers = {"slippage": (slippage, "[0, 1)"), "init_cash": (init_cash, "(0, inf)")}
+    if not isinstance(fees, DataFrame):
+        numbers["fees"] = (fees, "[0, 1)")
+    for name, (value, interval) in numbers.items():
+        if not lies_in(value, interval):
+            raise ValueError(f"{name} is {value}, allowed: {interval}")
     if "portfolio" not in weights.columns:
         weights = weights.withColumn("portfolio", F.lit("portfolio"))
     # Both feed several branches below.
     weights = durable(weights, "weights")
     valuation = durable(market_calendar(prices if dates is None else dates), "dates")
+    watch = quality.Watch()
     if validate:
-        check_weights(weights, prices)
-    if validate:
-        off = weights.select("date").distinct().join(valuation, "date", "left_anti")
-        quality.require_empty(off, "target weight dates must be valuation dates")
+        check_weights(weights, prices, valuation)
+        prices = watch.watch(prices, {"price is not positive": F.col("close") <= 0}, "prices")
 
     holdings = holdings_by_date(weights, valuation)
     if execution_price is None:
@@ -107,9 +112,10 @@ def portfolio_nav(
         marked = with_marks(holdings, execution_price, "price")
         closes = with_marks(holdings, prices).select("portfolio", "date", "symbol", F.col("price").alias("_close"))
         marked = marked.join(closes, ["portfolio", "date", "symbol"]).withColumn("_close_ratio", F.col("_close") / F.col("price"))
-    marked = durable(marked, "marked")
     if validate:
-        quality.require_rules(marked, {"price is missing while held": F.col("price").isNull()}, "portfolio")
+        marked = watch.watch(marked, {"price is missing while held": F.col("price").isNull()}, "portfolio")
+    marked = durable(marked, "marked")
+    watch.require()
     grown = F.when(F.col("next_date").isNotNull(), F.col("weight") * F.col("next_price") / F.col("price"))
 
     free = not isinstance(fees, DataFrame) and fees == 0.0 and slippage == 0.0

@@ -28,13 +28,13 @@ INTRADAY_CONSTITUENT_COLUMNS = [
 ]
 
 
-def selection_features(price: DataFrame, dividends: DataFrame, shares: DataFrame,
-                       rules: SelectionRules | IntradaySelectionRules, factors: DataFrame | None = None) -> DataFrame:
+def selection_features(price: DataFrame, dividends: DataFrame, shares: DataFrame, rules: SelectionRules | IntradaySelectionRules,
+                       factors: DataFrame | None = None, watch: quality.Watch | None = None) -> DataFrame:
     """Quote features with the windows the rules need; volatility on adjusted closes if given factors."""
     return quote_features(
         price, dividends, shares, cap_lookback=rules.universe.lookback_days, dividend_years=rules.universe.dividend_years,
         yield_lookback=rules.dividend_yield_lookback_days,
-        volatility_lookback=getattr(rules, "volatility_lookback_days", None), factors=factors,
+        volatility_lookback=getattr(rules, "volatility_lookback_days", None), factors=factors, watch=watch,
     )
 
 
@@ -49,12 +49,14 @@ def rank_candidates(universe: DataFrame, rules: SelectionRules | IntradaySelecti
 
 def select_candidates(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                       as_of: DataFrame, rules: SelectionRules | IntradaySelectionRules, *, features: DataFrame | None = None,
-                      validate: bool = True) -> DataFrame:
+                      watch: quality.Watch | None = None, validate: bool = True) -> DataFrame:
     """Dividend-ranked candidates of every as-of date, with every feature column."""
-    features = selection_features(price, dividends, shares, rules) if features is None else features
+    if features is None:
+        watch = quality.Watch() if validate else None
+        features = selection_features(price, dividends, shares, rules, watch=watch)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        features=features, validate=validate,
+        features=features, watch=watch, validate=validate,
     )
     return rank_candidates(universe, rules)
 
@@ -83,9 +85,12 @@ def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries
     With ``validate``, as-of dates that cannot be filled raise; otherwise they are
     absent and listed by ``shortfalls``.
     """
-    features = selection_features(price, dividends, shares, rules, factors) if features is None else features
+    watch = None
+    if features is None:
+        watch = quality.Watch() if validate else None
+        features = selection_features(price, dividends, shares, rules, factors, watch)
     candidates = select_candidates(
-        price, dividends, dividend_queries, shares, as_of, rules, features=features, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, features=features, watch=watch, validate=validate
     )
     chosen = weigh(candidates, "volatility_240d", rules.final_n).select(*CONSTITUENT_COLUMNS)
     if validate:

@@ -10,6 +10,7 @@ from ..functions.calendar import period_end_dates
 from ..functions.values import finite
 from ..operators import cross_section, series
 from ..operators.asof import asof_snapshot_date
+from ..session import durable
 from .rules import TimingRules
 
 
@@ -57,7 +58,8 @@ def bp_spread(price: DataFrame, constituents: DataFrame, rules: TimingRules, *,
     """
     if validate:
         check_spread_inputs(price, constituents, rules)
-    cells = month_end_members(price, constituents, rules)
+    # One row a month and symbol, read some times.
+    cells = durable(month_end_members(price, constituents, rules), "valuation-cells")
     sides = cross_section.trimmed_mean(
         cells, ["date", "effective_date", "is_member"], "bp", rules.trim_ratio
     )

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
+from ..functions.calendar import market_calendar
 from ..operators import cross_section
 from ..operators.asof import calendar_date_on_or_after
 from ..operators.intervals import missing_years
 from ..session import durable
-from .features import check_price, quote_features, shifted_year, with_dividend_quality
+from .features import check_price, quote_features, shifted_year, valid_price, with_dividend_quality
 from .rules import UniverseRules
 
 
@@ -55,25 +56,29 @@ def history_counts(price: DataFrame, as_of: DataFrame, minimum: int) -> DataFram
     return spread.join(F.broadcast(dates), "_i").select("as_of_date", "symbol")
 
 
+def snapshot(features: DataFrame, as_of: DataFrame) -> DataFrame:
+    """The feature rows of the as-of dates, written once: selection reads them several times and all features run once."""
+    at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
+    return durable(features.join(at, "date"), "market-snapshot")
+
+
 def market_filter(features: DataFrame, as_of: DataFrame, rules: UniverseRules, history: int) -> DataFrame:
     """Quotes on as-of dates in the top cap and amount shares with enough history.
 
     As-of dates before the full market window yield nothing; ``unfit_as_of`` lists them.
     """
-    at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
-    snapshot = features.join(at, "date").filter(F.col("market_index") >= rules.lookback_days)
-    flagged = cross_section.flag_top_ratio(
-        snapshot, ["date"], "avg_market_cap_240d", rules.market_cap_keep_ratio, "_cap"
-    )
-    flagged = cross_section.flag_top_ratio(
-        flagged, ["date"], "avg_amount_240d", rules.amount_keep_ratio, "_amount"
-    )
+    return _market_filter(snapshot(features, as_of), rules, history)
+
+
+def _market_filter(rows: DataFrame, rules: UniverseRules, history: int) -> DataFrame:
+    flagged = cross_section.flag_top_ratios(rows.filter(F.col("market_index") >= rules.lookback_days), ["date"], {
+        "_cap": ("avg_market_cap_240d", rules.market_cap_keep_ratio), "_amount": ("avg_amount_240d", rules.amount_keep_ratio)})
     return flagged.filter(F.col("_cap") & F.col("_amount") & (F.col("observation_count") >= history)).drop("_cap", "_amount")
 
 
-def unfit_as_of(features: DataFrame, as_of: DataFrame, rules: UniverseRules) -> DataFrame:
-    """``(as_of_date, reason)`` of the as-of dates that no universe can be built for."""
-    quoted = features.groupBy(F.col("date").alias("as_of_date")).agg(F.max("market_index").alias("_i"))
+def unfit_as_of(calendar: DataFrame, as_of: DataFrame, rules: UniverseRules) -> DataFrame:
+    """``(as_of_date, reason)`` of the as-of dates that no universe can be built for, from the numbered market dates."""
+    quoted = calendar.select(F.col("date").alias("as_of_date"), F.col("market_index").alias("_i"))
     reason = F.when(F.col("_i").isNull(), F.lit("no quotes")).when(F.col("_i") < rules.lookback_days, F.lit("market window is not full"))
     return (
         as_of.select("as_of_date").distinct().join(quoted, "as_of_date", "left")
@@ -115,25 +120,34 @@ def dividend_universe(
     history: int,
     *,
     features: DataFrame | None = None,
+    rows: DataFrame | None = None,
+    watch: quality.Watch | None = None,
     validate: bool = True,
 ) -> DataFrame:
     """Universe rows of every as-of date.
 
-    ``features`` may be passed when already computed (``quote_features``). With
-    ``validate``, duplicate prices, unfit as-of dates and missing dividend coverage raise.
+    ``features`` may be passed when already computed (``quote_features``, with their ``watch``), or stored ``rows`` of the as-of
+    dates. With ``validate``, duplicate prices, unfit as-of dates and missing dividend coverage raise; prices are checked while
+    the features are computed where they have a watch.
     """
     if validate:
-        check_price(price)
-    if features is None:
-        features = quote_features(
-            price, dividends, shares, cap_lookback=rules.lookback_days, dividend_years=rules.dividend_years,
-            yield_lookback=history,
-        )
-    if validate:
-        quality.require_empty(unfit_as_of(features, as_of, rules), "no universe on some as-of dates")
-    passed = market_filter(features, as_of, rules, history)
+        calendar = market_calendar(valid_price(price))
+        quality.require_empty(unfit_as_of(calendar, as_of, rules), "no universe on some as-of dates")
+    if rows is None:
+        if features is None:
+            watch = quality.Watch() if validate else None
+            features = quote_features(
+                price, dividends, shares, cap_lookback=rules.lookback_days, dividend_years=rules.dividend_years,
+                yield_lookback=history, watch=watch,
+            )
+        elif validate and watch is None:
+            check_price(price)
+        rows = snapshot(features, as_of)
+    if watch is not None:
+        watch.require()
+    passed = _market_filter(rows, rules, history)
     if validate:
-        # The check and the rest read the as-of rows; the features run once.
+        # The check and the rest read the same rows.
         passed = durable(passed, "market-filter")
         quality.require_empty(
             coverage_gaps(passed, dividend_queries, rules.dividend_years), "years without a dividend query"

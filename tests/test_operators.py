@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import calendar as cal
 from factorspark.functions import quality, values
-from factorspark.operators import asof, cross_section, intervals, intraday, series
+from factorspark.operators import asof, cross_section, intervals, intraday, order_statistics, series
 from factorspark.plans.features import index_price, valid_price
 
 
@@ -177,6 +177,50 @@ def test_cross_sections_equal_plain_python(spark):
             assert ranks[(name, s)] == plain.index(v) + (plain.count(v) + 1) / 2
 
 
+@pytest.mark.parametrize("leaf, bins, passes", [(4096, 1024, 8), (3, 4, 8), (3, 4, 1)])
+def test_order_statistics_equal_sorting(spark, monkeypatch, leaf, bins, passes):
+    """Few or many passes, and the range partitioning for what the bins leave, give the same rows."""
+    for name, number in (("LEAF", leaf), ("BINS", bins), ("PASSES", passes)):
+        monkeypatch.setattr(order_statistics, name, number)
+    rng = random.Random(13)
+    spread = [0.0, -0.0, 1e300, -1e300, 1e-300, 5e-324, float("inf"), -float("inf"), float("nan"), None]
+    data = [("even", f"{i:03d}", rng.random()) for i in range(60)] + [("ties", f"{i:03d}", float(rng.randrange(3))) for i in range(60)]
+    data += [("odd", f"{i:03d}", v) for i, v in enumerate(spread * 2)] + [(None, "a", 2.0), ("one", "a", 7.0), ("none", "a", None)]
+    data += [("steps", f"{i:03d}", 2.0 ** (i % 40 - 20)) for i in range(50)]
+    df = spark.createDataFrame(data, "g string, s string, v double").repartition(3)
+    n = F.col("n")
+    ranks = {"first": F.lit(1), "third": F.ceil(n / 3), "half": F.floor((n + 1) / 2), "last": n, "beyond": n + 1, "zero": F.lit(0)}
+    up = {(r["g"], r["name"]): r for r in order_statistics.kth_rows(df, ["g"], "v", "s", ranks).collect()}
+    down = {(r["g"], r["name"]): r for r in order_statistics.kth_rows(df, ["g"], "v", "s", ranks, descending=True).collect()}
+    values = {(r["g"], r["name"]): r for r in order_statistics.kth_values(df, ["g"], "v", ranks).collect()}
+    key = {True: lambda v: (1, 0.0) if v != v else (0, v), False: lambda v: (-1, 0.0) if v != v else (0, -v)}
+    wanted = 0
+    for g in {d[0] for d in data}:
+        own = [(v, s) for k, s, v in data if k == g and v is not None]
+        for ascending, found in ((True, up), (False, down)):
+            ordered = sorted(own, key=lambda x: (key[ascending](x[0]), x[1]))
+            for name, k in (("first", 1), ("third", math.ceil(len(own) / 3)), ("half", (len(own) + 1) // 2), ("last", len(own))):
+                if own:
+                    wanted += 1
+                    got = found[g, name]
+                    assert (repr(got["value"] + 0.0), got["symbol"], got["k"], got["n"]) == (repr(ordered[k - 1][0] + 0.0), ordered[k - 1][1], k, len(own))
+                    if ascending:
+                        place = key[True](ordered[k - 1][0])
+                        assert values[g, name]["below"] == sum(key[True](v) < place for v, _ in own) and values[g, name]["ties"] == sum(key[True](v) == place for v, _ in own)
+    assert len(up) + len(down) == wanted
+
+
+def test_selection_leaves_its_input_in_place(spark, tmp_path):
+    """Flags, groups and medians neither write the input nor shuffle its wide rows."""
+    spark.range(2000).selectExpr("id % 4 AS d", "cast(id AS string) AS symbol", "cast(hash(id) AS double) AS v", "repeat('x', 50) AS wide").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for out in (cross_section.flag_top_ratio(df, ["d"], "v", 0.3, "top"), cross_section.quintile_groups(df, ["d"], "v")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[-1]
+        shuffled = [line for line in final.splitlines() if "Exchange hashpartitioning" in line]
+        assert "wide" not in "".join(shuffled) and out.count() == 2000
+
+
 def test_quintiles_are_balanced_like_floor_not_ntile(spark):
     df = spark.createDataFrame([("d", f"S{i:02d}", float(i)) for i in range(12)] + [("e", "A", 1.0)], "date string, symbol string, f double")
     got = cross_section.quintile_groups(df, ["date"], "f")

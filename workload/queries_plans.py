@@ -83,12 +83,10 @@ def selection_shortfalls(m):
 
 @query("unfit_dates", parts("""
     SELECT CAST(d AS VARCHAR) AS as_of_date, CASE WHEN market_index IS NULL THEN 'no quotes' ELSE 'market window is not full' END AS reason
-    FROM (SELECT day AS d FROM ord WHERE month(day) = 1 GROUP BY 1) LEFT JOIN calendar ON date = d WHERE market_index IS NULL OR market_index < 26"""))
+    FROM (SELECT day AS d FROM ord GROUP BY 1) LEFT JOIN calendar ON date = d WHERE market_index IS NULL OR market_index < 26"""))
 def unfit_dates(m):
-    """Order days of January as as-of dates that no universe can be built for."""
-    rows = features.quote_features(m.price(), m.dividends(), m.shares(), cap_lookback=26, dividend_years=3, yield_lookback=52)
-    asked = m.order_symbols().filter("month(day) = 1").select(F.col("day").alias("as_of_date"))
-    return shown(universe.unfit_as_of(rows, asked, UNIVERSE))
+    """Order days, as as-of dates, that no universe can be built for."""
+    return shown(universe.unfit_as_of(m.calendar(), m.order_symbols().select(F.col("day").alias("as_of_date")), UNIVERSE))
 
 
 _FACTOR_COLUMNS = """CAST(as_of_date AS VARCHAR) AS as_of_date, symbol, round(intraday_volatility_cv, 8) + 0.0 AS intraday_volatility_cv,
