@@ -1,4 +1,4 @@
-"""Date-range operators: merging, gaps, coverage and work planning.
+"""Date-range operators: merging, sweeps over endpoints, gaps, coverage and work planning.
 
 Ranges are first reduced to one row per (key, start) with the latest end, so the
 rows of a key are bounded by the days of the calendar however many copies of a
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
-
+from ..session import durable
 from .asof import asof_join
 
 
@@ -33,35 +33,63 @@ def merge_intervals(ranges: DataFrame, keys: list[str], start: str = "start", en
     )
 
 
+def swept(ends: DataFrame, keys: list[str], at: str, **deltas: str) -> DataFrame:
+    """``keys, at, until`` and a running sum for each named delta: what holds from ``at`` up to the next endpoint, ``until`` exclusive.
+
+    ``ends`` has a row for each endpoint of an interval, +1 where it starts and -1 just behind its end. Endpoints that coincide
+    are added up before the shuffle, so a key has one row for each place where something changes.
+    """
+    summed = ends.groupBy(*keys, at).agg(*[F.sum(delta).alias(name) for name, delta in deltas.items()])
+    order = Window.partitionBy(*keys).orderBy(at)
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select(*keys, at, F.lead(at).over(order).alias("until"), *[F.sum(name).over(running).alias(name) for name in deltas])
+
+
+def gaps_between(completed: DataFrame, requests: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``keys, _from, _to``: what no completed range of a requested key covers between its first and last endpoint of any kind."""
+
+    def ends(ranges: DataFrame, weight: int) -> DataFrame:
+        return ranges.select(*keys, F.inline(F.array(
+            F.struct(F.col(start).alias("_at"), F.lit(weight).alias("_d")), F.struct(F.date_add(end, 1).alias("_at"), F.lit(-weight).alias("_d")))))
+
+    held = completed.filter(F.col(start) <= F.col(end)).join(requests.select(*keys).distinct(), keys, "left_semi")
+    # Requests only mark where gaps may begin and end.
+    return swept(ends(held, 1).unionByName(ends(requests, 0)), keys, "_at", _held="_d").filter("_held = 0 AND until IS NOT NULL").select(
+        *keys, F.col("_at").alias("_from"), F.date_sub("until", 1).alias("_to"))
+
+
 def missing_ranges(requests: DataFrame, completed: DataFrame, keys: list[str],
                    start: str = "start", end: str = "end") -> DataFrame:
     """Parts of each requested range that no completed range covers.
 
-    The gaps of a key are what lies between its merged ranges, one before each and
-    one after the last. Requests and gaps are cut into calendar years, so they meet on
-    (key, year) only where both reach; a year holds at most 183 gaps of a key.
+    The gaps of a key come from a sweep over the endpoints of its completed ranges. They are numbered in order; running counts
+    over the gaps' and the requests' ends tell each request its first and last gap, so that requests and gaps meet by
+    number, once for each missing part. Nothing is spread over days or years.
     """
-    wanted = requests.filter(F.col(start) <= F.col(end)).select(
-        *keys, F.col(start).alias("request_start"), F.col(end).alias("request_end")
-    ).distinct()
-    islands = merge_intervals(completed, keys, start, end).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    # Gaps are bounded by the requests of their key.
-    spans = wanted.groupBy(*keys).agg(F.min("request_start").alias("_low"), F.max("request_end").alias("_high"))
-    edges = islands.join(spans, keys).filter((F.col("_e") >= F.col("_low")) & (F.col("_s") <= F.col("_high"))).select(*keys, "_s", "_e")
-    closing = spans.select(*keys, F.date_add("_high", 1).alias("_s"), F.lit(None).cast("date").alias("_e"))
-    walk = Window.partitionBy(*keys).orderBy("_s")
-    gaps = edges.unionByName(closing).join(spans.select(*keys, "_low"), keys).select(
-        *keys,
-        F.coalesce(F.date_add(F.lag("_e").over(walk), 1), F.col("_low")).alias("_from"),
-        F.date_sub("_s", 1).alias("_to"),
-    ).filter(F.col("_from") <= F.col("_to"))
-    by_year = gaps.withColumn("_year", F.explode(F.sequence(F.year("_from"), F.year("_to"))))
-    asked = wanted.withColumn("_year", F.explode(F.sequence(F.year("request_start"), F.year("request_end"))))
-    met = asked.join(by_year, [*keys, "_year"]).filter((F.col("_from") <= F.col("request_end")) & (F.col("_to") >= F.col("request_start")))
-    return met.select(
+    asked = requests.filter(F.col(start) <= F.col(end)).select(*keys, F.col(start), F.col(end))
+    pieces = gaps_between(completed, asked, keys, start, end)
+    # Neighbouring pieces, cut where a request begins or ends, are one gap again.
+    gaps = merge_intervals(pieces, keys, "_from", "_to")
+    gaps = durable(gaps.withColumn("_gap", F.row_number().over(Window.partitionBy(*keys).orderBy("_from"))), "gaps")
+
+    def mark(frame: DataFrame, at: str, side: int, request=None) -> DataFrame:
+        request = F.struct(F.col(start).alias("s"), F.col(end).alias("e")) if request is None else request
+        return frame.select(*keys, F.col(at).alias("_at"), F.lit(side).alias("_side"), request.alias("_r"))
+
+    # On one day: a gap begins, a request begins, a gap ends, a request ends.
+    nothing = F.lit(None).cast("struct<s:date,e:date>")
+    marks = mark(gaps, "_from", 0, nothing).unionByName(mark(asked, start, 1)).unionByName(mark(gaps, "_to", 2, nothing)).unionByName(mark(asked, end, 3))
+    order = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.select("*", F.count_if(F.col("_side") == 0).over(order).alias("_begun"), F.count_if(F.col("_side") == 2).over(order).alias("_passed"))
+    met = counted.filter("_r IS NOT NULL").groupBy(*keys, "_r").agg(
+        F.max(F.when(F.col("_side") == 1, F.col("_passed"))).alias("_first"), F.max(F.when(F.col("_side") == 3, F.col("_begun"))).alias("_last"))
+    met = met.filter("_first < _last").select(
+        *keys, F.col("_r.s").alias("request_start"), F.col("_r.e").alias("request_end"),
+        F.explode(F.sequence((F.col("_first") + 1).cast("int"), F.col("_last").cast("int"))).alias("_gap"))
+    return met.join(gaps, [*keys, "_gap"]).select(
         *keys, "request_start", "request_end",
         F.greatest("_from", "request_start").alias("missing_start"), F.least("_to", "request_end").alias("missing_end"),
-    ).distinct()
+    )
 
 
 def ranges_cover(requests: DataFrame, completed: DataFrame, keys: list[str],
@@ -138,27 +166,53 @@ def completed_minute_days(status: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def calendar_places(calendar: DataFrame) -> DataFrame:
+    """``(_day, _place)`` for every day from the one before the first market date to the last: the market dates up to that day.
+
+    One row a day of the calendar's span, and so bounded by it.
+    """
+    days = calendar.select("date", "market_index", F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.col("date")).alias("_until"))
+    spread = days.select(F.explode(F.sequence("date", "_until")).alias("_day"), F.col("market_index").alias("_place"))
+    return spread.unionByName(calendar.agg(F.date_sub(F.min("date"), 1).alias("_day"), F.lit(0).alias("_place")).filter("_day IS NOT NULL"))
+
+
 def plan_minute_days(requests: DataFrame, calendar: DataFrame, completed: DataFrame) -> DataFrame:
     """Requested minus completed trading days, merged into calendar-adjacent runs.
 
-    ``retain_raw`` is OR-ed per day; runs are split where the flag changes.
+    ``retain_raw`` is OR-ed per day; runs are split where the flag changes. Requests and completed days are intervals in places of
+    the market calendar, and a sweep over their endpoints finds where something is asked for and not done: a request is
+    two rows, however long it is.
     """
-    merged = merge_intervals(requests, ["symbol", "retain_raw"], "start_date", "end_date")
-    days = calendar.select(F.col("date").alias("trade_date"), "market_index")
-    needed = (
-        merged.select("symbol", "retain_raw", F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
-        .join(F.broadcast(days), "trade_date")
-        .groupBy("symbol", "trade_date", "market_index")
-        .agg(F.bool_or("retain_raw").alias("retain_raw"))
-        .join(completed.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
-    )
-    run = F.col("market_index") - F.row_number().over(
-        Window.partitionBy("symbol", "retain_raw").orderBy("market_index")
-    )
+    bounds = calendar.agg(F.date_sub(F.min("date"), 1).alias("_first"), F.max("date").alias("_last"))
+    places = calendar_places(calendar)
+    clipped = requests.join(F.broadcast(bounds), F.lit(True)).filter(F.col("start_date") <= F.col("end_date"))  # one row of bounds
+    clipped = clipped.select("symbol", "retain_raw", *[
+        F.least(F.greatest(day, F.col("_first")), F.col("_last")).alias(name)
+        for name, day in (("_a", F.date_sub("start_date", 1)), ("_b", F.col("end_date")))])
+    low = places.select(F.col("_day").alias("_a"), (F.col("_place") + 1).alias("_low"))
+    high = places.select(F.col("_day").alias("_b"), F.col("_place").alias("_high"))
+    asked = clipped.join(F.broadcast(low), "_a").join(F.broadcast(high), "_b").filter("_low <= _high")
+    kept = F.when(F.col("retain_raw"), 1).otherwise(0)
+    numbered = calendar.select(F.col("date").alias("trade_date"), F.col("market_index").alias("_at"))
+    done = completed.select("symbol", "trade_date").join(asked.select("symbol").distinct(), "symbol", "left_semi").join(F.broadcast(numbered), "trade_date")
+
+    def ends(frame: DataFrame, first, last, asked_, kept_, done_) -> DataFrame:
+        return frame.select("symbol", F.inline(F.array(*[
+            F.struct(at.cast("int").alias("_at"), (sign * asked_).alias("_asked"), (sign * kept_).alias("_kept"), (sign * done_).alias("_done"))
+            for sign, at in ((F.lit(1), first), (F.lit(-1), last + 1))])))
+
+    zero, one = F.lit(0), F.lit(1)
+    every = ends(asked, F.col("_low"), F.col("_high"), one, kept, zero).unionByName(ends(done, F.col("_at"), F.col("_at"), zero, zero, one))
+    wanted = swept(every, ["symbol"], "_at", _asked="_asked", _kept="_kept", _done="_done").filter("_asked > 0 AND _done = 0")
+    wanted = wanted.select("symbol", F.col("_kept").cast("int").cast("boolean").alias("retain_raw"), "_at", "until")
+    order = Window.partitionBy("symbol", "retain_raw").orderBy("_at")
+    fresh = F.coalesce(F.lag("until").over(order) < F.col("_at"), F.lit(True))
+    runs = wanted.withColumn("_run", F.sum(F.when(fresh, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("symbol", "retain_raw", "_run").agg(F.min("_at").alias("_low"), (F.max("until") - 1).alias("_high"))
+    dates = calendar.select("market_index", "date")
     return (
-        needed.withColumn("_run", run)
-        .groupBy("symbol", "retain_raw", "_run")
-        .agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))
+        runs.join(F.broadcast(dates.withColumnsRenamed({"market_index": "_low", "date": "start_date"})), "_low")
+        .join(F.broadcast(dates.withColumnsRenamed({"market_index": "_high", "date": "end_date"})), "_high")
         .select("symbol", "start_date", "end_date", "retain_raw")
     )
 

@@ -108,6 +108,44 @@ def test_month_splits_follow_the_previous_chunk(spark):
         ("A", day("2024-02-29"), day("2024-04-28")), ("A", day("2024-04-29"), day("2024-05-10")), ("B", day("2024-01-15"), day("2024-01-20"))]
 
 
+def test_minute_plan_equals_day_sets(spark):
+    """Long, overlapping, inverted and off-calendar requests against plain sets of days."""
+    rng = random.Random(17)
+    market = business_days("2023-12-20", 60)
+    market.remove(day("2024-01-01"))
+    span = [market[0] + dt.timedelta(days=i) for i in range(-20, 110)]
+    asks = [(f"S{rng.randrange(4)}", (a := rng.choice(span)), a + dt.timedelta(days=rng.randrange(-3, 25)), rng.random() < 0.5) for _ in range(40)] + [("S9", day("1990-01-01"), day("2090-01-01"), False)]
+    done = [(f"S{rng.randrange(5)}", d) for d in rng.choices(market, k=60)] * 2 + [("S9", market[3])]
+    frames = spark.createDataFrame(asks, "symbol string, start_date date, end_date date, retain_raw boolean"), spark.createDataFrame([(d,) for d in market], "date date"), spark.createDataFrame(done, "symbol string, trade_date date")
+    got = rows(intervals.plan_minute_days(frames[0], cal.market_calendar(frames[1]), frames[2]))
+    flags = {}
+    for s, a, b, keep in asks:
+        for d in market:
+            if a <= d <= b and (s, d) not in done:
+                flags[s, d] = flags.get((s, d), False) or keep
+    want, before = [], None
+    for s in sorted({s for s, _ in flags}):
+        for d in market:
+            flag = flags.get((s, d))
+            if flag is not None and before == (s, flag):
+                want[-1][2] = d
+            elif flag is not None:
+                want.append([s, d, d, flag])
+            before = (s, flag) if flag is not None else None
+    assert sorted(got) == sorted(map(tuple, want)) and len(want) > 15
+
+
+def test_planning_rows_grow_with_requests_not_with_days(spark):
+    market = spark.sql("SELECT explode(sequence(date'2000-01-01', date'2009-12-31')) AS date")
+    long = spark.createDataFrame([(f"S{i:03d}", day("2000-01-01"), day("2009-12-31"), True) for i in range(300)], "symbol string, start_date date, end_date date, retain_raw boolean")
+    none = spark.createDataFrame([], "symbol string, trade_date date")
+    for out in (intervals.plan_minute_days(long, cal.market_calendar(market), none),
+                intervals.missing_ranges(long.toDF("symbol", "start", "end", "r"), spark.createDataFrame([], "symbol string, start date, end date"), ["symbol"])):
+        observed = out._jdf.queryExecution().optimizedPlan().toString()
+        made = [line for line in observed.splitlines() if "Generate explode(sequence(" in line]
+        assert out.count() == 300 and not [line for line in made if "symbol" in line and "start_date" in line]
+
+
 def test_minute_plan_subtracts_days_and_joins_calendar_neighbours(spark):
     requests = spark.createDataFrame([
         ("600000.SH", day("2024-01-05"), day("2024-01-09"), True), ("600000.SH", day("2024-01-08"), day("2024-01-10"), True)],
