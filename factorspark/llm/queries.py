@@ -75,11 +75,17 @@ def _op8_sql() -> str:
     levels, attribution = quotation.LEVELS, quotation.ATTRIBUTION
     own = f"list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{levels}') AND NOT regexp_matches(x, '{attribution}'))"
     return f"""
-    WITH RECURSIVE lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-    cut AS (
-      SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '{levels}', 1), '[^>]', '', 'g')) AS level,
+    WITH RECURSIVE messages AS (SELECT row_number() OVER () AS message, conv_id, turn, string_split(text, chr(10)) AS cut FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+    lines AS (SELECT message, conv_id, turn, unnest(cut) AS line, unnest(range(len(cut))) AS pos FROM messages),
+    levels AS (
+      SELECT message, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '{levels}', 1), '[^>]', '', 'g')) AS level,
              trim(regexp_replace(lower(regexp_replace(line, '{levels}', '')), '[ \t\r\f\v]+', ' ', 'g')) AS passage FROM lines),
-    passages AS (SELECT * FROM cut WHERE length(passage) >= {quotation.LEAST}),
+    runs AS (
+      SELECT conv_id, turn, level, string_agg(passage, ' ' ORDER BY pos) AS passage, count(*) AS n FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY message, level ORDER BY pos) AS run FROM levels WHERE passage <> '') GROUP BY message, conv_id, turn, level, run),
+    passages AS (
+      SELECT conv_id, turn, level, passage FROM levels WHERE length(passage) >= {quotation.LEAST}
+      UNION ALL SELECT conv_id, turn, level, passage FROM runs WHERE n > 1 OR length(passage) < {quotation.LEAST}),
     said AS (SELECT conv_id, passage, min(turn) AS source FROM passages WHERE level = 0 GROUP BY 1, 2),
     votes AS (
       SELECT q.conv_id, q.turn, q.level, s.source, sum(length(q.passage)) AS votes

@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking, in DataFrame functions.
 
-Every line of a message has a quote level, the number of its leading ``>``. Quoted passages (lines) are normalised and hashed
-and joined to the earliest earlier message of the conversation that says the same in its own words. The message whose passages
-a message quotes most at the lowest level is the one it replies to. Depths and thread roots come from pointer doubling, and
+Every line of a message has a quote level, the number of its leading ``>``. Passages are lines of some length, and paragraphs of any
+length: neighbouring lines of one level without an empty one between, put together, so that short answers and quotations wrapped
+anew are found as well. Quoted passages are normalised and hashed and joined to the earliest earlier message of the conversation that
+says the same in its own words. The message whose passages a message quotes most at the lowest level is the one it replies to. Depths and thread roots come from pointer doubling, and
 each conversation is put in reply order: by the first message of the thread, then the depth, then the turn. Texts come out
 without quotes and attribution lines, and as formatted chat turns.
 
@@ -26,8 +27,10 @@ from .common import durable
 
 LEVELS = r"^[ \t]*((?:>[ \t]?)+)"
 ATTRIBUTION = r"^(?:On\b.{0,200}\bwrote|.{0,80} schrieb am .{0,80}|Le\b.{0,200} a écrit ?|El\b.{0,200} escribió):[ \t]*$"
-#: Characters that a normalised passage must have to be linked.
+#: Characters that a line must have to be a passage without the rest of its paragraph.
 LEAST = 12
+#: A paragraph among lines written as level, bar, text. The possessive repetitions neither backtrack nor recurse.
+PARAGRAPH = r"(?m)^(\d+)\|[^\n]++(?:\n\1\|[^\n]++)*+"
 #: Parts of the quoting rows of one passage.
 SALTS = 8
 DOUBLINGS = 64
@@ -53,10 +56,19 @@ def formatted(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>"))
 
 
+def passages(text: Column) -> Column:
+    """Array of ``level, passage`` of a text: its long lines, and its paragraphs that are more than one of them."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(level(x).alias("level"), normalised(x).alias("passage")))
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(x["level"].cast("string"), F.lit("|"), x["passage"])), "\n")
+    runs = F.transform(F.regexp_extract_all(marked, F.lit(PARAGRAPH), F.lit(0)), lambda x: F.struct(
+        F.substring_index(x, "|", 1).cast("int").alias("level"), F.trim(F.regexp_replace(x, r"(?:^|\n)\d+\|", " ")).alias("passage"), F.contains(x, F.lit("\n")).alias("wrapped")))
+    runs = F.filter(runs, lambda x: x["wrapped"] | (F.length(x["passage"]) < LEAST))
+    return F.concat(F.filter(lines, lambda x: F.length(x["passage"]) >= LEAST), F.transform(runs, lambda x: F.struct(x["level"].alias("level"), x["passage"].alias("passage"))))
+
+
 def _passages(messages: DataFrame) -> DataFrame:
-    lines = messages.select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.select("conv_id", "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("passage"))
-    return lines.where(F.length("passage") >= LEAST).select("conv_id", "turn", "level", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
+    found = messages.select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).select("conv_id", "turn", "p.level", "p.passage")
+    return found.select("conv_id", "turn", "level", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
 
 
 def links(messages: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Characters of keys, and what is taken for a candidate.
 KEY = "A-Za-z0-9_+/.-"
 CREDENTIAL = r"(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(?:orization)?|credentials?|bearer)"
-RUN = rf"(?<![{KEY}])(?=[A-Za-z_+/.-]{{0,64}}[0-9])[{KEY}]{{12,}}={{0,2}}"
+RUN = rf"(?<![{KEY}])(?=[A-Za-z_+/.-]*+[0-9])[{KEY}]{{12,}}+={{0,2}}"
 ASSIGNED = rf"(?<=[:=][ \t]?[\"']?)(?<={CREDENTIAL}[\"']?[ \t]?[:=][ \t]?[\"']?)[^\s\"']{{6,}}"
 PATTERN = f"(?i:{ASSIGNED})|{RUN}"
 PLACEHOLDER = "[secret]"

@@ -1,6 +1,7 @@
 """Secret scan, quotation linking, URL filter and the pipeline."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -31,6 +32,41 @@ def test_candidates_are_at_their_places(texts):
     assert secrets.candidates(texts.limit(0)).count() == 0
 
 
+def scanned(text):
+    """Candidates by walking the text: runs of key characters with a digit, and what is assigned to a credential word."""
+    key, out, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.-"), [], 0
+    assigned = re.compile(rf"(?i)(?:{secrets.CREDENTIAL})[\"']?[ \t]?[:=][ \t]?[\"']?$")
+    while at < len(text):
+        if assigned.search(text[max(0, at - 60):at]):
+            end = at + len(re.match("[^\\s\"']*", text[at:])[0])
+            if end - at >= 6:
+                out.append((at, end))
+                at = end
+                continue
+        if (at and text[at - 1] in key) or text[at] not in key:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in key:
+            end += 1
+        if end - at >= 12 and any(c.isdigit() for c in text[at:end]):
+            end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+            out.append((at, end))
+            at = end
+        else:
+            at += 1
+    return out
+
+
+def test_candidates_are_complete(spark):
+    rng = random.Random(21)
+    pieces = ["token", "api_key", "Password", "=", ": ", " ", "'", '"', "\n", "/", ".", KEY, "a" * 70 + "1" + "b" * 20, "word", "a1", "9" * 11, "9" * 12, "x" * 200, "=="]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(400)] + ["b" * 20_000 + "7" + "c" * 20_000, "d" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["end"]) for r in secrets.candidates(docs).collect()}
+    assert found == {(i, a, b) for i, t in enumerate(texts) for a, b in scanned(t)}
+
+
 @pytest.fixture(scope="module")
 def forest(spark, texts):
     many = [(i, f'word other token = "{i:040x}" end') for i in range(40, 90)] + [(i, f"mail x.{i}@mail{i}.example.com or 10.20.{i}.100 now") for i in range(100, 150)]
@@ -119,6 +155,27 @@ SAID = [
 ]
 
 
+SHORT = [
+    (20, 0, "u", "Yes."), (20, 1, "v", "> Yes.\nReally?"), (20, 2, "u", "> Really?\n\nYes, really."),
+    (21, 0, "u", "A sentence that was written on one line\nand goes on over another.\n\nNext."), (21, 1, "v", "> A sentence that\n> was written on one line and goes\n> on over another.\nFine"),
+    (21, 2, "u", "> > A sentence that was\n> > written on one line and goes on over another.\n> Fine\nok"), (21, 3, "v", ">ok\n>\n> Fine\nboth"),
+    (22, 0, "u", "1|2\n3|4"), (22, 1, "v", "> 1|2 3|4\nx"), (22, 2, "v", "> " + "\n> ".join(["word"] * 4000) + "\ny"), (22, 1, "u", "\n".join(["word"] * 2000 + ["word word"] * 1000)),
+]
+
+
+def test_short_and_rewrapped_quotations(spark):
+    rows = spark.createDataFrame(SHORT, "conv_id long, turn long, role string, text string")
+    found = quotation.conversations(rows)
+    db = duckdb.connect()
+    db.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", SHORT)
+    want = db.sql(queries.SQL["op8_quotation_linking"])
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(str(_row(want.columns, r)) for r in want.fetchall())
+    parents = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in found.collect()}
+    assert [parents[20, i] for i in range(3)] == [None, 0, 1] and [parents[21, i] for i in range(4)] == [None, 0, 1, 2]
+    assert parents[22, 1] == 0 and parents[22, 2] == 1
+
+
 def test_quotations_equal_the_sql(spark):
     rows = spark.createDataFrame([(*r, 1, "x") for r in SAID], "conv_id long, turn long, role string, text string, place int, level string")
     out = quotation.conversations(rows)
