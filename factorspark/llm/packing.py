@@ -12,12 +12,17 @@ null. An empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,20 +34,24 @@ END = 0
 #: Parts in which the documents of one length are counted.
 SALTS = 256
 #: Cached words of one Python worker, in two generations: those met since the last turn and those met before it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Words encoded in one call.
 ENCODED = 4096
 
 _TOKENIZERS: dict[str, WordIds] = {}
+#: Marks that the tokenizer splits off at a word's end, and words of letters that have one lower case and need no normalisation.
 _TAILS = b".,!?:;"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordIds:
     """Ids of a tokenizer that drops white space, word by word through a cache.
 
     White space always splits such a tokenizer's input, so a text's ids are its words' ids in order. Only words not seen lately reach
-    the tokenizer, those of a whole batch of texts together: ASCII letters are looked up in lower case and without a trailing mark,
-    which the tokenizer splits off by itself. Words met again move to the new generation, so frequent words stay when the old one goes.
+    the tokenizer, those of a whole batch of texts together. Words of Latin letters are one piece for the tokenizer, whatever their
+    case, and a trailing mark is another: they are encoded in lower case, many in one string, by the same model without its
+    normalisation, and told apart by the ids that end a word. All other words are encoded each by itself. Words met again move to
+    the new generation, so frequent words stay when the old one goes.
     """
 
     def __init__(self, path: str):
@@ -52,6 +61,14 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        rules = json.loads(Path(path).read_text())
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.plain = None
+        if suffix:
+            pieces = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
+            self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": pieces}}))
+            self.ends = np.zeros(1 + max(rules["model"]["vocab"].values()), bool)
+            self.ends[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     def _encode(self, words: list[bytes]) -> None:
         # In slices: the library's encodings are far larger than the ids kept of them.
@@ -61,26 +78,50 @@ class WordIds:
             for word, encoding in zip(part, found, strict=True):
                 self.words[word] = array("I", encoding.ids).tobytes()
 
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of lower-case Latin letters."""
+        if self.plain is None:
+            return self._encode(words)
+        for at in range(0, len(words), ENCODED):
+            part = words[at:at + ENCODED]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end every word with its suffix")
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.words.update((word, raw[a:b]) for word, a, b in zip(part, cuts, cuts[1:], strict=False))
+
     def add(self, words: set[bytes]) -> None:
         if len(self.words) > CACHE_WORDS // 2:
             self.words, self.before = {}, self.words
         known, before = self.words, self.before
-        cut, plain = [], set()
-        for word in words - known.keys():
-            if word in before:
-                known[word] = before[word]
-                continue
+        unknown = words - known.keys()
+        again = unknown & before.keys()
+        known.update((w, before[w]) for w in again)
+        unknown -= again
+        letters = {w for w in unknown if w.isalpha() and w.islower()}  # bytes.isalpha: ASCII letters only
+        cut, others = [], set()
+        for word in unknown - letters:
             stem, tail = (word[:-1], word[-1:]) if word[-1] in _TAILS else (word, b"")
-            lower = stem.lower()
-            if stem.isalpha() and (tail or lower != stem):  # bytes.isalpha: ASCII letters only
-                cut.append((word, lower, tail))
-                plain.update((lower, tail) if tail else (lower,))
+            if not stem.isalpha():
+                found = _LATIN.fullmatch(stem.decode())
+                if not found:
+                    others.add(word)
+                    continue
+                stem = found[0].lower().encode()
             else:
-                plain.add(word)
-        known.update((w, before[w]) for w in plain & before.keys())
-        self._encode(list(plain - known.keys()))
-        for word, lower, tail in cut:
-            known[word] = known[lower] + known[tail] if tail else known[lower]
+                stem = stem.lower()
+            letters.add(stem)
+            cut.append((word, stem, tail))
+            if tail:
+                others.add(tail)
+        for kind in (letters, others):
+            held = kind & before.keys() - known.keys()
+            known.update((w, before[w]) for w in held)
+        self._encode_letters(list(letters - known.keys()))
+        self._encode(list(others - known.keys()))
+        for word, stem, tail in cut:
+            known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def batch(self, texts: Sequence[bytes | None]) -> Iterator[bytes]:
         """Unsigned 32-bit ids of each text, in the machine's (little-endian) order."""
@@ -104,6 +145,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer_ids = word_ids(tokenizer)
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            yield from pieces_of(tokenizer_ids, batches)
+        finally:
+            gc.enable()
+
+    def pieces_of(tokenizer_ids: WordIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, own in enumerate(tokenizer_ids.batch(text_bytes(batch))):
