@@ -5,11 +5,13 @@ import statistics
 
 import pytest
 from conftest import day
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factorspark.functions.quality import DataQualityError
 from factorspark.operators import intraday
-from factorspark.sources import csv_sink, extracts, loading, tables, views
+from factorspark.sources import csv_sink, extracts, loading, partitioned, tables, views
 from factorspark.sources.schemas import DATASETS, dataset
 from factorspark.streaming import intraday as stream
 
@@ -299,3 +301,99 @@ def test_minute_write_replaces_per_request(spark):
     assert sorted((r["symbol"], r["datetime"].day, r["close"]) for r in raw.collect()) == [("A", 2, 10.0), ("A", 2, 10.5), ("A", 2, 11.0), ("A", 4, 9.0), ("B", 2, 9.0)]
     assert sorted((r["symbol"], r["trade_date"].day) for r in found.collect()) == [("A", 2), ("A", 5), ("B", 2)]
     assert sorted((r["symbol"], r["trade_date"].day, r["status"], r["raw_saved"]) for r in days.collect()) == [("A", 2, 1, True), ("A", 3, 2, True), ("B", 2, 1, False)]
+
+
+def monthly_table(spark, path):
+    """Three symbols on every day of 2023, stored by month."""
+    df = spark.sql("SELECT explode(sequence(date'2023-01-01', date'2023-12-31')) AS date").selectExpr("date", "explode(array('A', 'B', 'C')) AS symbol", "1.0D AS close", "2L AS volume")
+    partitioned.store_by_month(df, path, "date", ["symbol", "date"])
+    return df
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def changed_months(before, after):
+    return {name.split("/")[0].split("=")[1][5:7] for name in before.keys() ^ after.keys() | {n for n in before.keys() & after.keys() if before[n] != after[n]}}
+
+
+def test_updates_touch_their_months_only(spark, tmp_path, monkeypatch):
+    path, read = tmp_path / "t", []
+    monthly_table(spark, str(path))
+    schema = StructType.fromDDL("date date, symbol string, close double, volume long")
+    whole = partitioned.read_partitions
+    monkeypatch.setattr(partitioned, "read_partitions", lambda *a: read.append([r[0] for r in whole(*a).select(F.input_file_name()).distinct().collect()]) or whole(*a))
+    table = lambda: whole(spark, str(path), schema, partitioned.MONTH)
+
+    def read_months():
+        return {f.split("month=")[1][5:7] for files in read for f in files}
+
+    def frame(*items):
+        return spark.createDataFrame([(day(d), s, c, v) for d, s, c, v in items], schema)
+
+    before, old = files_of(path), table().collect()
+    incoming = frame(("2023-03-05", "A", 9.0, 1), ("2023-03-06", "D", 8.0, None), ("2023-11-30", "B", 7.0, 3))
+    want = tables.replace_by_dates(spark.createDataFrame(old, schema), incoming, ["symbol", "date"])
+    partitioned.replace_dates_at(str(path), schema, incoming, ["symbol", "date"])
+    assert sorted(map(tuple, table().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert changed_months(before, files_of(path)) == read_months() == {"03", "11"}
+
+    # A range that empties a month leaves an empty partition; months that the table lacks are not invented.
+    before, old, read[:] = files_of(path), table().collect(), []
+    asked = spark.createDataFrame([(s, day("2023-06-01"), day("2023-06-30")) for s in "ABC"] + [("A", day("2023-12-20"), day("2024-02-10"))], "symbol string, start date, end date")
+    fresh = frame(("2024-01-05", "A", 5.0, 5))
+    want = tables.replace_by_range(spark.createDataFrame(old, schema), fresh, asked, ["symbol"], "date")
+    partitioned.replace_range_at(str(path), schema, fresh, asked, ["symbol"])
+    assert sorted(map(tuple, table().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert changed_months(before, files_of(path)) == {"06", "12", "01"} and table().filter("month(date) = 6").count() == 0
+    assert read_months() == {"06", "12"}
+
+    before, old, read[:] = files_of(path), table().collect(), []
+    closes = frame(("2023-06-02", "A", 3.0, None), ("2023-09-09", "B", 4.0, None))
+    want = tables.upsert_close(spark.createDataFrame(old, schema), closes, ["symbol", "date"])
+    partitioned.upsert_close_at(str(path), schema, closes, ["symbol", "date"])
+    assert sorted(map(tuple, table().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert changed_months(before, files_of(path)) == {"06", "09"}
+    with pytest.raises(DataQualityError, match="differ"):
+        partitioned.replace_dates_at(str(path), schema, frame(("2023-01-05", "A", 1.0, 1), ("2023-01-05", "A", 2.0, 1)), ["symbol", "date"])
+
+
+def test_replacing_a_key_reads_nothing(spark, tmp_path, monkeypatch):
+    schema = "effective_date date, index_code string, symbol string"
+    old = spark.createDataFrame([(day("2023-01-02"), i, s) for i in ("X", "Y") for s in "AB"], schema)
+    path = tmp_path / "t"
+    partitioned.write_partitions(old, str(path), "index_code")
+    before = files_of(path)
+    monkeypatch.setattr(partitioned, "read_partitions", lambda *a: pytest.fail("read"))
+    new = spark.createDataFrame([(day("2023-02-02"), "Y", "C")] * 2, schema)
+    partitioned.replace_key_at(str(path), old.schema, new, "index_code", ["effective_date", "index_code", "symbol"])
+    monkeypatch.undo()
+    got = rows(partitioned.read_partitions(spark, str(path), old.schema, "index_code"), "index_code", "symbol")
+    assert got == [(day("2023-01-02"), "X", "A"), (day("2023-01-02"), "X", "B"), (day("2023-02-02"), "Y", "C")]
+    assert {n.split("/")[0] for n in before.keys() & files_of(path).keys()} == {"index_code=X"}
+
+
+def test_bucketed_tables_are_read_by_month_and_bucket(spark, tmp_path):
+    items = [(day(f"2024-{m:02d}-{d:02d}"), f"60000{k}.SH", 1.0 + d, 1.0, 1.0) for m in range(1, 7) for d in (1, 2, 3, 30 if m != 2 else 28) for k in range(6)]
+    partitioned.save_bucketed(bars(spark, items), "bucketed_bars", buckets=8, path=f"{tmp_path}/t")
+    try:
+        out = partitioned.load_bucketed(spark, "stock_daily", "bucketed_bars", start="2024-02-02", end="2024-03-30", symbols=["600001.SH"])
+        assert [r["date"].isoformat() for r in out.orderBy("date").collect()] == ["2024-02-02", "2024-02-03", "2024-02-28", "2024-03-01", "2024-03-02", "2024-03-03", "2024-03-30"]
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan does not tell
+        detail = spark._jvm.PythonSQLUtils.explainString(
+            partitioned.load_bucketed(spark, "stock_daily", "bucketed_bars", start="2024-02-02", end="2024-03-30", symbols=["600001.SH"])._jdf.queryExecution(), "formatted")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        assert "SelectedBucketsCount: 1 out of 8" in detail and "2024-02-01" in detail.split("PartitionFilters")[1].split("\n")[0]
+        assert all("month=2024-02" in f or "month=2024-03" in f for r in out.select(F.input_file_name()).distinct().collect() for f in r)
+        every = partitioned.load_bucketed(spark, "stock_daily", "bucketed_bars", start="2024-01-01", end="2024-06-30", symbols=spark.createDataFrame([("600001.SH",), ("600004.SH",)], "symbol string"))
+        following = every.withColumn("before", F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))
+        assert following.count() == 48
+        lines = following._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        for i in moved:  # what is below an exchange: the asked symbols alone
+            below = lines[i + 1:next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(lines[i])), len(lines))]
+            assert not [line for line in below if "parquet" in line]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS bucketed_bars")

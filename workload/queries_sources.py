@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from factorspark.functions import values
 from factorspark.operators import intraday
 from factorspark.session import scratch_path
-from factorspark.sources import csv_sink, extracts, loading, tables, views
+from factorspark.sources import csv_sink, extracts, loading, partitioned, tables, views
 from factorspark.sources.schemas import PB_FACTORS, Dataset, dataset, struct
 
 from .frames import shown
-from .registry import query
+from .registry import SQL, query
 from .sqlframes import parts
 
 # ---- scans and sinks -------------------------------------------------------------
@@ -493,6 +493,29 @@ def replace_by_range(m):
     return shown(tables.replace_by_range(_old(m), _new(m).filter("date <= '1999-12-31'"), requests, ["symbol"], "date"), close=6)
 
 
+def _kept(m, old):
+    """``old`` stored by month below a new path."""
+    path = scratch_path(m.spark, "by-month")
+    partitioned.store_by_month(old, path, "date", ["symbol"])
+    return path
+
+
+@query("replace_by_dates_in_place")
+def replace_by_dates_in_place(m):
+    """The stored table after an update of its touched months."""
+    path, old = _kept(m, _old(m)), _old(m)
+    partitioned.replace_dates_at(path, old.schema, _new(m), ["symbol", "date"])
+    return shown(partitioned.read_partitions(m.spark, path, old.schema, partitioned.MONTH), close=6)
+
+
+@query("replace_by_range_in_place")
+def replace_by_range_in_place(m):
+    path, old = _kept(m, _old(m)), _old(m)
+    requests = m.securities().select("symbol", F.lit("1998-03-01").cast("date").alias("start"), F.lit("1999-12-31").cast("date").alias("end"))
+    partitioned.replace_range_at(path, old.schema, _new(m).filter("date <= '1999-12-31'"), requests, ["symbol"])
+    return shown(partitioned.read_partitions(m.spark, path, old.schema, partitioned.MONTH), close=6)
+
+
 @query("replace_by_key", parts("""
     SELECT CAST(effective_date AS VARCHAR) AS effective_date, index_code, symbol FROM constituents
     UNION ALL SELECT CAST(effective_date AS VARCHAR), 'H20269', symbol FROM constituents WHERE year(effective_date) < 1997"""))
@@ -509,6 +532,22 @@ def update_or_insert_close(m):
     return shown(tables.upsert_close(_old(m), _new(m), ["symbol", "date"]), close=6)
 
 
+@query("update_or_insert_close_in_place")
+def update_or_insert_close_in_place(m):
+    path, old = _kept(m, _old(m)), _old(m)
+    partitioned.upsert_close_at(path, old.schema, _new(m), ["symbol", "date"])
+    return shown(partitioned.read_partitions(m.spark, path, old.schema, partitioned.MONTH), close=6)
+
+
+@query("replace_by_key_in_place")
+def replace_by_key_in_place(m):
+    current, path = m.constituents(), scratch_path(m.spark, "by-index")
+    old = current.filter("year(effective_date) < 1997").select("effective_date", F.explode(F.array(F.lit("H30269"), F.lit("H20269"))).alias("index_code"), "symbol")
+    partitioned.write_partitions(old, path, "index_code")
+    partitioned.replace_key_at(path, old.schema, current.unionByName(current), "index_code", ["effective_date", "index_code", "symbol"])
+    return shown(partitioned.read_partitions(m.spark, path, old.schema, "index_code"))
+
+
 _EVENTS = {"events_old": "SELECT symbol, announce_date, CASE WHEN year % 2 = 0 THEN record_date END AS record_date, cash_dividend_before_tax AS cash FROM dividends WHERE year < 1998",
            "events_new": "SELECT symbol, announce_date, CASE WHEN year % 2 = 0 THEN record_date END AS record_date, CASE WHEN month(announce_date) <> 1 OR year < 1998 THEN cash_dividend_before_tax END AS cash FROM dividends WHERE year >= 1996"}
 
@@ -578,3 +617,7 @@ def write_intraday_features(m):
     bars, features, status = tables.intraday_writes(m.minute(), m.minute_days())
     joined = status.join(features, ["symbol", "trade_date"], "left")
     return shown(joined.select("symbol", "trade_date", "bar_count", "status", "feature_saved", "volatility"), volatility=3)
+
+# The same tables as those whose next content is computed as a whole.
+for _name in ("replace_by_dates", "replace_by_range", "update_or_insert_close", "replace_by_key"):
+    SQL[f"{_name}_in_place"] = SQL[_name]
