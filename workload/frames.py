@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.calendar import market_calendar, period_end_dates
+from factorspark.operators.intraday import daily_volatility
 from factorspark.plans.rules import IntradaySelectionRules, SelectionRules, TimingRules, UniverseRules
 from factorspark.session import scratch_path
 
@@ -96,6 +97,21 @@ class Market:
             ((F.col("mix") + 1).cast("double") / 1000.0).alias("volatility"),
         )
 
+    @cache
+    def intraday_volatility(self) -> DataFrame:
+        """Volatility of every symbol's events of a day, each market week taking the days of the events in turn."""
+        return self.derived("intraday-volatility", self._intraday_volatility)
+
+    def _intraday_volatility(self) -> DataFrame:
+        bars = self.table("events").groupBy(
+            symbol_of(F.col("user_id") % self.securities_count).alias("symbol"), F.col("ts").alias("datetime")).agg(F.max("value").alias("close"))
+        daily = daily_volatility(bars).select("symbol", "trade_date", "volatility")
+        span = self.table("events").agg(F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")).first()
+        days = (span["last"] - span["first"]).days + 1
+        numbered = daily.select("symbol", "volatility", F.date_diff("trade_date", F.lit(span["first"])).alias("_k"))
+        weeks = self.calendar().select(F.col("date").alias("trade_date"), (F.col("market_index") % days).alias("_k"))
+        return numbered.join(F.broadcast(weeks), "_k").select("symbol", "trade_date", "volatility")
+
     def pb(self) -> DataFrame:
         return self.weekly().select(
             "date", symbol_of(F.col("security_id")).alias("symbol"),

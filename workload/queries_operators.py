@@ -351,6 +351,12 @@ def ic(m):
     return shown(cross_section.information_coefficients(pairs, ["date"]), ic=8, rank_ic=8)
 
 
+@query("rank_ic", f"SELECT date, rank_ic FROM ({_IC_SQL})")
+def rank_ic(m):
+    pairs = _pairs(m).filter("forward_return IS NOT NULL")
+    return shown(cross_section.information_coefficients(pairs, ["date"]).select("date", "rank_ic"), rank_ic=8)
+
+
 @query("average_rank", parts("SELECT CAST(date AS VARCHAR) AS date, symbol, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS r FROM price"))
 def average_rank(m):
     out = cross_section.average_rank(m.price().select("date", "symbol", "volume"), ["date"], "volume", "r")

@@ -98,7 +98,7 @@ _FACTOR_COLUMNS = """CAST(as_of_date AS VARCHAR) AS as_of_date, symbol, round(in
       FROM sized f JOIN (SELECT as_of_date, regr_slope(cv, log_market_cap) AS b, avg(cv) AS my, avg(log_market_cap) AS mx FROM sized GROUP BY 1 HAVING count(*) >= 2) g USING (as_of_date))""", {
     "cvs": """
       SELECT as_of_date, v.symbol, stddev_samp(volatility) / avg(volatility) AS cv FROM as_of JOIN calendar e ON e.date = as_of_date
-      JOIN calendar c ON c.market_index BETWEEN e.market_index - 11 AND e.market_index JOIN daily_vol v ON v.trade_date = c.date GROUP BY 1, 2 HAVING count(*) >= 4""",
+      JOIN calendar c ON c.market_index BETWEEN e.market_index - 11 AND e.market_index JOIN event_vol v ON v.trade_date = c.date WHERE v.volatility > 0 GROUP BY 1, 2 HAVING count(*) >= 4""",
     "sized": """
       SELECT v.*, ln(k.total_market_cap) AS log_market_cap FROM cvs v
       ASOF JOIN (SELECT symbol, date, total_market_cap FROM caps WHERE total_market_cap > 0) k ON k.symbol = v.symbol AND v.as_of_date >= k.date"""}))
@@ -106,12 +106,12 @@ def hf_factor(m):
     from factorspark.operators.asof import asof_shares
 
     caps = asof_shares(m.price().select("symbol", "date", "close"), m.shares()).select("symbol", F.col("date").alias("trade_date"), "total_market_cap")
-    return shown(intraday.volatility_factor(m.daily_volatility(), caps, m.as_of(), lookback=12, min_valid=4), **SEL)
+    return shown(intraday.volatility_factor(m.intraday_volatility(), caps, m.as_of(), lookback=12, min_valid=4), **SEL)
 
 
 @query("hf_candidate_factor", parts(f"SELECT {_FACTOR_COLUMNS.replace('as_of_date AS VARCHAR', 'date AS VARCHAR')} FROM hf_candidates"))
 def hf_candidate_factor(m):
-    out = selection.select_intraday_candidates(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY)
+    out = selection.select_intraday_candidates(*_inputs(m), m.intraday_volatility(), m.as_of(), INTRADAY)
     return shown(out.select("as_of_date", "symbol", "intraday_volatility_cv", "log_market_cap", "minute_return_volatility"), **SEL)
 
 
@@ -120,7 +120,7 @@ def hf_candidate_factor(m):
            round(log_market_cap, 8) + 0.0 AS log_market_cap, round(minute_return_volatility, 8) + 0.0 AS minute_return_volatility, volatility_rank,
            round(weight, 8) + 0.0 AS weight FROM hf_chosen"""))
 def select_hf_constituents(m):
-    out = selection.select_intraday_constituents(*_inputs(m), m.daily_volatility(), m.as_of(), INTRADAY)
+    out = selection.select_intraday_constituents(*_inputs(m), m.intraday_volatility(), m.as_of(), INTRADAY)
     return shown(_scaled(out), **SEL)
 
 
@@ -173,8 +173,8 @@ _COST_PARTS = {**_LOWVOL_PARTS, "flows": """
 
 
 @query("portfolio_nav_with_costs", parts("""
-    SELECT CAST(date AS VARCHAR) AS date, round(coalesce(g, 1.0) * (1.0 - CASE WHEN g IS NULL THEN 0.0 ELSE turnover * (1.0 - (1.0 - 0.001::DOUBLE) * (1.0 - 0.002::DOUBLE) / ((1.0 + 0.001::DOUBLE) * (1.0 + 0.002::DOUBLE))) END) - 1.0, 8) + 0.0 AS total_return
-    FROM costs WHERE g IS NOT NULL""", _COST_PARTS))
+    SELECT CAST(date AS VARCHAR) AS date, round(coalesce(g, 1.0) * (1.0 - CASE WHEN g IS NULL THEN 1.0 - 1.0 / (1.0 + 0.002::DOUBLE) ELSE turnover * (1.0 - (1.0 - 0.001::DOUBLE) * (1.0 - 0.002::DOUBLE) / ((1.0 + 0.001::DOUBLE) * (1.0 + 0.002::DOUBLE))) END) - 1.0, 8) + 0.0 AS total_return
+    FROM costs""", _COST_PARTS))
 def portfolio_nav_with_costs(m):
     prices = features.valid_price(m.price())
     at = m.as_of().select(F.col("as_of_date").alias("date"))
@@ -182,9 +182,7 @@ def portfolio_nav_with_costs(m):
     picked = cross_section.topk_n(vols.filter("volatility IS NOT NULL"), ["date"], [F.col("volatility").asc(), F.col("symbol").asc()], 5)
     weights = groups.equal_weights(picked.select(F.lit("low").alias("portfolio"), "date", "symbol"))
     nav = portfolio.portfolio_nav(prices, weights, dates=weights.select("date").distinct(), fees=0.001, slippage=0.002)
-    first = nav.agg(F.min("date").alias("d"))
-    later = nav.join(F.broadcast(first), nav["date"] == first["d"], "left_anti")
-    return shown(later.select("date", "total_return"), total_return=8)
+    return shown(nav.select("date", "total_return"), total_return=8)
 
 
 _SEGMENTS = {
@@ -298,9 +296,23 @@ def monthly_index(m):
     return shown(_logged(nav), **_NAV_ROUND)
 
 
+@query("monthly_index_with_selector", parts(_NAV_SQL, nav_parts(_LOWVOL_SQL)))
+def monthly_index_with_selector(m):
+    """A monthly index of a selector of its own: the five least volatile symbols of each date, asked for all dates at once."""
+    vols = series.rolling_volatility(features.valid_price(m.price()).select("symbol", "date", "close"), 12).filter("volatility IS NOT NULL")
+
+    def least_volatile(as_of):
+        here = vols.join(F.broadcast(as_of), F.col("date") == F.col("as_of_date"))
+        picked = cross_section.topk_n(here, ["as_of_date"], [F.col("volatility").asc(), F.col("symbol").asc()], 5)
+        return picked.select("as_of_date", "symbol", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("as_of_date"))).alias("weight"))
+
+    nav, _ = index.monthly_index_with_selector(m.price(), least_volatile, m.as_of(), 0.0, m.factors(), m.factor_coverage())
+    return shown(_logged(nav), **_NAV_ROUND)
+
+
 @query("hf_monthly_index", parts(_NAV_SQL, nav_parts("SELECT 'm' AS portfolio, date, symbol, weight FROM hf_chosen")))
 def hf_monthly_index(m):
-    nav, _ = index.intraday_monthly_index(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
+    nav, _ = index.intraday_monthly_index(*_inputs(m), m.intraday_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
     return shown(_logged(nav), **_NAV_ROUND)
 
 
@@ -345,7 +357,7 @@ def _traditional(m):
 
 
 def _intraday_groups(m):
-    return groups.intraday_group_indices(*_inputs(m), m.daily_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
+    return groups.intraday_group_indices(*_inputs(m), m.intraday_volatility(), START, END, INTRADAY, m.factors(), m.factor_coverage())
 
 
 @query("traditional_group_indices", parts(_GROUP_SQL, _TRADITIONAL))

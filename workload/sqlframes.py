@@ -17,6 +17,13 @@ PARTS: dict[str, str] = {
         FROM weekly w JOIN supplier s ON s.s_suppkey = w.security_id""",
     "daily_vol": """
         SELECT printf('%06d.SH', security_id) AS symbol, date AS trade_date, CAST(mix + 1 AS DOUBLE) / 1000.0 AS volatility FROM weekly""",
+    "event_days": """
+        SELECT symbol, CAST(ts AS DATE) AS day, stddev_samp(r) AS volatility FROM (
+          SELECT *, close / lag(close) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) - 1.0 AS r FROM (
+            SELECT printf('%06d.SH', user_id % (SELECT count(*) FROM supplier)) AS symbol, ts, max(value) AS close FROM events GROUP BY 1, 2)) GROUP BY symbol, CAST(ts AS DATE)""",
+    "event_vol": """
+        SELECT d.symbol, c.date AS trade_date, d.volatility FROM event_days d
+        JOIN calendar c ON c.market_index % (SELECT CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1 FROM events) = d.day - (SELECT CAST(min(ts) AS DATE) FROM events)""",
     "pb": """
         SELECT date, printf('%06d.SH', security_id) AS symbol, CAST(qty AS DOUBLE) / CAST(lines AS DOUBLE) / 10.0 AS pb_ratio_lf FROM weekly""",
     "ord": """
@@ -133,7 +140,7 @@ PARTS: dict[str, str] = {
           JOIN (SELECT DISTINCT date FROM price) p ON p.date = c.d) WHERE n <= 12""",
     "member_cv": """
         SELECT c.date AS as_of_date, c.symbol, stddev_samp(v.volatility) / avg(v.volatility) AS cv
-        FROM candidates c JOIN member_dates m ON m.as_of_date = c.date JOIN daily_vol v ON v.symbol = c.symbol AND v.trade_date = m.trade_date
+        FROM candidates c JOIN member_dates m ON m.as_of_date = c.date JOIN event_vol v ON v.symbol = c.symbol AND v.trade_date = m.trade_date
         WHERE v.volatility > 0 GROUP BY 1, 2 HAVING count(*) >= 4""",
     "member_size": """
         SELECT m.*, ln(k.total_market_cap) AS log_market_cap FROM member_cv m
