@@ -34,7 +34,7 @@ END = 0
 #: Parts in which the documents of one length are counted.
 SALTS = 256
 #: Cached words of one Python worker, in two generations: those met since the last turn and those met before it.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: Words encoded in one call.
 ENCODED = 4096
 
@@ -65,8 +65,12 @@ class WordIds:
         suffix = rules["model"].get("end_of_word_suffix")
         self.plain = None
         if suffix:
-            pieces = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
-            self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": pieces}}))
+            bare = rules | {"normalizer": None, "added_tokens": [], "post_processor": None}
+            split, to_bytes = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+            self.plain = {
+                True: Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": split})),  # ASCII letters stand for themselves
+                False: Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, to_bytes]}})),
+            }
             self.ends = np.zeros(1 + max(rules["model"]["vocab"].values()), bool)
             self.ends[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
@@ -78,13 +82,13 @@ class WordIds:
             for word, encoding in zip(part, found, strict=True):
                 self.words[word] = array("I", encoding.ids).tobytes()
 
-    def _encode_letters(self, words: list[bytes]) -> None:
+    def _encode_letters(self, words: list[bytes], ascii_only: bool) -> None:
         """Words of lower-case Latin letters."""
         if self.plain is None:
             return self._encode(words)
         for at in range(0, len(words), ENCODED):
             part = words[at:at + ENCODED]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain[ascii_only].encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer does not end every word with its suffix")
@@ -118,7 +122,9 @@ class WordIds:
         for kind in (letters, others):
             held = kind & before.keys() - known.keys()
             known.update((w, before[w]) for w in held)
-        self._encode_letters(list(letters - known.keys()))
+        fresh = letters - known.keys()
+        for ascii_only in (True, False):
+            self._encode_letters([w for w in fresh if w.isascii() is ascii_only], ascii_only)
         self._encode(list(others - known.keys()))
         for word, stem, tail in cut:
             known[word] = known[stem] + known[tail] if tail else known[stem]
