@@ -34,7 +34,7 @@ END = 0
 #: Parts in which the documents of one length are counted.
 SALTS = 256
 #: Cached words of one Python worker, in two generations: those met since the last turn and those met before it.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Words encoded in one call.
 ENCODED = 4096
 
@@ -99,8 +99,9 @@ class WordIds:
         if len(self.words) > CACHE_WORDS // 2:
             self.words, self.before = {}, self.words
         known, before = self.words, self.before
-        unknown = words - known.keys()
-        again = unknown & before.keys()
+        # difference() with the dict itself looks up the set's words; its keys view would be walked as a whole.
+        unknown = words.difference(known)
+        again = {w for w in unknown if w in before}
         known.update((w, before[w]) for w in again)
         unknown -= again
         letters = {w for w in unknown if w.isalpha() and w.islower()}  # bytes.isalpha: ASCII letters only
@@ -120,12 +121,11 @@ class WordIds:
             if tail:
                 others.add(tail)
         for kind in (letters, others):
-            held = kind & before.keys() - known.keys()
-            known.update((w, before[w]) for w in held)
-        fresh = letters - known.keys()
+            known.update((w, before[w]) for w in kind.difference(known) if w in before)
+        fresh = letters.difference(known)
         for ascii_only in (True, False):
             self._encode_letters([w for w in fresh if w.isascii() is ascii_only], ascii_only)
-        self._encode(list(others - known.keys()))
+        self._encode(list(others.difference(known)))
         for word, stem, tail in cut:
             known[word] = known[stem] + known[tail] if tail else known[stem]
 
