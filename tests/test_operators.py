@@ -450,3 +450,32 @@ def test_bars_of_other_days_raise(spark):
 def test_last_quotes(spark):
     df = spark.createDataFrame([(s, day(f"2024-01-0{i}")) for s in "AB" for i in range(1, 6)], "symbol string, date date")
     assert rows(series.last_quotes(df, 2), "symbol", "date") == [(s, day(f"2024-01-0{i}")) for s in "AB" for i in (4, 5)]
+
+
+def test_watched_checks_count_during_the_write(spark, tmp_path):
+    df = spark.range(100).withColumn("v", F.col("id") % 10)
+    watch = quality.Watch()
+    kept = watch.watch(df, {"v is seven": F.col("v") == 7, "v is null": F.col("v").isNull()}, "numbers", lambda: df.filter("v = 7").select("id")).filter("id < 5")
+    kept.write.parquet(f"{tmp_path}/t")
+    with pytest.raises(quality.DataQualityError, match=r"numbers: v is seven \(10 rows\); examples: \[\(7,\)"):
+        watch.require()
+    watch.require()  # nothing is watched any more
+    fine = watch.watch(df, {"v is negative": F.col("v") < 0}, "numbers")
+    fine.write.parquet(f"{tmp_path}/u")
+    watch.require()
+
+
+def test_watched_checks_count_by_themselves_where_nothing_ran(spark, monkeypatch):
+    monkeypatch.setattr(quality.Watch, "SECONDS", 1)
+    watch = quality.Watch()
+    watch.watch(spark.range(3), {"id is two": F.col("id") == 2}, "numbers")
+    with pytest.raises(quality.DataQualityError, match="id is two .1 rows"):
+        watch.require()
+
+
+def test_rules_of_several_frames_are_counted_together(spark):
+    df = spark.createDataFrame([("A", 1.0), ("A", -2.0), ("B", 3.0)], "s string, v double")
+    counts = quality.count_violations(df, {"v is negative": F.col("v") < 0, "s is missing": F.col("s").isNull()}), quality.counted(quality.duplicate_keys(df, ["s"]), "repeated s")
+    with pytest.raises(quality.DataQualityError, match=r"frame: v is negative \(1 rows\); repeated s \(1 rows; such as .*A"):
+        quality.require_all("frame", *counts)
+    quality.require_all("frame", quality.counted(df.filter("v > 9"), "v is large"))
