@@ -49,29 +49,32 @@ def payout_ratio(dividend_yield: Column | str, pe: Column | str) -> Column:
     return as_column(dividend_yield) * as_column(pe)
 
 
-def _parts(value: Column | str) -> tuple[Column, Column, Column]:
+def _parts(value: Column | str, digits: str) -> tuple[Column, Column, Column]:
     text = F.trim(as_column(value).cast("string"))
-    prefixed = text.rlike(r"(?i)^(sh|sz|bj)\.[0-9]{6}$")
-    suffixed = text.rlike(r"(?i)^[0-9]{6}\.(sh|sz|bj)$")
+    prefixed = text.rlike(rf"(?i)^(sh|sz|bj)\.[0-9]{digits}$")
+    suffixed = text.rlike(rf"(?i)^[0-9]{digits}\.(sh|sz|bj)$")
     return text, prefixed, suffixed
 
 
-def security_symbol(value: Column | str) -> Column:
-    """``sh.600000`` or ``600000.SH`` to ``600000.SH``; null when unsupported."""
-    text, prefixed, suffixed = _parts(value)
+def security_symbol(value: Column | str, *, long_keys: bool = False) -> Column:
+    """``sh.600000`` or ``600000.SH`` to ``600000.SH``; null when unsupported. ``long_keys`` allows more than six digits."""
+    text, prefixed, suffixed = _parts(value, "{6,}" if long_keys else "{6}")
     return (
-        F.when(prefixed, F.concat(F.substring(text, 4, 6), F.lit("."), F.upper(F.substring(text, 1, 2))))
+        F.when(prefixed, F.concat(F.substring_index(text, ".", -1), F.lit("."), F.upper(F.substring(text, 1, 2))))
         .when(suffixed, F.upper(text))
     )
 
 
-def index_code(value: Column | str) -> Column:
-    """``h30269`` to ``H30269``; exchange codes to ``sh.000300``; null otherwise."""
-    text, prefixed, suffixed = _parts(value)
+def index_code(value: Column | str, *, long_keys: bool = False) -> Column:
+    """``h30269`` to ``H30269``; exchange codes to ``sh.000300``; null otherwise.
+
+    ``long_keys`` allows more digits, for codes made of keys that outgrow five or six.
+    """
+    text, prefixed, suffixed = _parts(value, "{6,}" if long_keys else "{6}")
     return (
-        F.when(text.rlike(r"^[hH][0-9]{5}$"), F.upper(text))
-        .when(prefixed, F.concat(F.lower(F.substring(text, 1, 2)), F.substring(text, 3, 7)))
-        .when(suffixed, F.concat(F.lower(F.substring(text, 8, 2)), F.lit("."), F.substring(text, 1, 6)))
+        F.when(text.rlike("^[hH][0-9]{5,}$" if long_keys else "^[hH][0-9]{5}$"), F.upper(text))
+        .when(prefixed, F.concat(F.lower(F.substring(text, 1, 2)), F.lit("."), F.substring_index(text, ".", -1)))
+        .when(suffixed, F.concat(F.lower(F.right(text, F.lit(2))), F.lit("."), F.substring_index(text, ".", 1)))
     )
 
 
@@ -79,22 +82,22 @@ def _suffix_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])
 
 
-def symbol_from_source(value: Column | str) -> Column:
-    """``600000.XSHG`` to ``600000.SH``; null when unsupported."""
+def symbol_from_source(value: Column | str, *, long_keys: bool = False) -> Column:
+    """``600000.XSHG`` to ``600000.SH``; null when unsupported. ``long_keys`` allows more than six digits."""
     text = as_column(value).cast("string")
     code, suffix = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
     exchange = F.try_element_at(_suffix_map(SOURCE_SUFFIX_TO_EXCHANGE), suffix)
     return F.when(
-        text.rlike(r"^[0-9]{6}\.[A-Z]+$") & exchange.isNotNull(), F.concat(code, F.lit("."), exchange)
+        text.rlike(r"^[0-9]{6,}\.[A-Z]+$" if long_keys else r"^[0-9]{6}\.[A-Z]+$") & exchange.isNotNull(), F.concat(code, F.lit("."), exchange)
     )
 
 
-def symbol_to_source(value: Column | str) -> Column:
-    """``600000.SH`` to ``600000.XSHG``; null when unsupported."""
+def symbol_to_source(value: Column | str, *, long_keys: bool = False) -> Column:
+    """``600000.SH`` to ``600000.XSHG``; null when unsupported. ``long_keys`` allows more than six digits."""
     text = as_column(value).cast("string")
     code, exchange = F.substring_index(text, ".", 1), F.upper(F.substring_index(text, ".", -1))
     reverse = {exchange: suffix for suffix, exchange in SOURCE_SUFFIX_TO_EXCHANGE.items()}
     suffix = F.try_element_at(_suffix_map(reverse), exchange)
     return F.when(
-        text.rlike(r"^[0-9]{6}\.[A-Za-z]+$") & suffix.isNotNull(), F.concat(code, F.lit("."), suffix)
+        text.rlike(r"^[0-9]{6,}\.[A-Za-z]+$" if long_keys else r"^[0-9]{6}\.[A-Za-z]+$") & suffix.isNotNull(), F.concat(code, F.lit("."), suffix)
     )

@@ -375,6 +375,13 @@ def test_equal_minutes_collapse_and_conflicts_are_listed(spark):
     assert [r["symbol"] for r in intraday.days_off_calendar(bars, asked).collect()] == ["B"]
 
 
+def test_codes_of_long_keys_keep_all_digits(spark):
+    df = spark.createDataFrame([("h123456",), ("SH.1234567",), ("1234567.sz",), ("h1234",)], "raw string")
+    assert [r[0] for r in df.select(values.index_code("raw", long_keys=True)).collect()] == ["H123456", "sh.1234567", "sz.1234567", None]
+    assert [r[0] for r in df.select(values.security_symbol("raw", long_keys=True)).collect()] == [None, "1234567.SH", "1234567.SZ", None]
+    assert [r[0] for r in df.select(values.index_code("raw")).collect()] == [None] * 4
+
+
 def test_minutes_of_close_zero_stay_where_they_are_allowed(spark):
     bars = minutes(spark, [("A", "2024-01-02 09:31:00", 0.0), ("A", "2024-01-02 09:31:00", 0.0), ("A", "2024-01-02 09:32:00", 2.0)])
     assert rows(intraday.normalize_minute_bars(bars, zero_closes=True).select("close")) == [(0.0,), (2.0,)]
