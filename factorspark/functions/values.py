@@ -30,6 +30,13 @@ def is_finite(value: Column | str) -> Column:
     return finite(value).isNotNull()
 
 
+def ieee_ratio(above: Column, below: Column) -> Column:
+    """Quotient of two doubles; over zero it is infinite, and NaN for zero or NaN over zero."""
+    infinite = F.lit(float("inf"))
+    over_zero = F.when(F.isnan(above) | (above == 0), F.lit(float("nan"))).when(above > 0, infinite).when(above < 0, -infinite)
+    return F.when(below == 0, over_zero).otherwise(F.try_divide(above, below))
+
+
 def number(value: Column | str) -> Column:
     """Coerce to double; what cannot be read, and NaN, become null."""
     parsed = as_column(value).try_cast("double")

@@ -137,11 +137,11 @@ def record_ranges(target: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
 
 
 def intraday_writes(bars: DataFrame, expected: DataFrame, *, min_bars: int | None = None,
-                    retain_raw: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw bars to keep, features of valid days, and the status of every day."""
+                    retain_raw: bool = True, finite_only: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw bars to keep, features of valid days, and the status of every day (see ``daily_volatility`` for ``finite_only``)."""
     if validate:
         quality.require_empty(intraday.days_off_calendar(bars, expected), "minute bars on days that were not asked for")
-    daily = intraday.daily_volatility(bars, expected, min_bars=min_bars, validate=False)
+    daily = intraday.daily_volatility(bars, expected, min_bars=min_bars, finite_only=finite_only, validate=False)
     features = daily.filter(F.col("status") == intraday.VALID).select(
         "symbol", "trade_date", F.col("volatility").cast("float").alias("volatility")
     )
