@@ -34,11 +34,13 @@ def _row(kind: str, key: tuple, **values) -> Row:
 
 
 def sample_deviation(closes: list[float | None]) -> tuple[float | None, int]:
-    """Sample deviation of the returns between neighbours, and how many returns there are."""
-    pairs = zip(closes[1:], closes, strict=False)
-    returns = [later / earlier - 1.0 for later, earlier in pairs if later is not None and earlier]
-    if len(returns) < 2:
-        return None, len(returns)
+    """Sample deviation of the returns between neighbours, and how many returns there are; NaN with a return from zero."""
+    pairs = [(later, earlier) for later, earlier in zip(closes[1:], closes, strict=False) if later is not None and earlier is not None]
+    if len(pairs) < 2:
+        return None, len(pairs)
+    returns = [later / earlier - 1.0 if earlier else math.nan for later, earlier in pairs]
+    if not all(map(math.isfinite, returns)):
+        return math.nan, len(returns)
     mean = math.fsum(returns) / len(returns)
     return math.sqrt(math.fsum((r - mean) ** 2 for r in returns) / (len(returns) - 1)), len(returns)
 
@@ -46,8 +48,8 @@ def sample_deviation(closes: list[float | None]) -> tuple[float | None, int]:
 class DayProcessor(StatefulProcessor):
     """Bars of one (symbol, day) until the watermark passes its end."""
 
-    def __init__(self, columns: list[str], zone: str, min_bars: int | None):
-        self.columns, self.zone, self.min_bars = columns, zone, min_bars
+    def __init__(self, columns: list[str], zone: str, min_bars: int | None, finite_only: bool):
+        self.columns, self.zone, self.min_bars, self.finite_only = columns, zone, min_bars, finite_only
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -91,19 +93,21 @@ class DayProcessor(StatefulProcessor):
         elif not minutes:
             status = NO_DATA
         else:
-            unusable = volatility is None or not math.isfinite(volatility) or len(minutes) < (self.min_bars or 1)
+            unusable = volatility is None or (self.finite_only and not math.isfinite(volatility)) or len(minutes) < (self.min_bars or 1)
             status = INCOMPLETE if unusable else VALID
         yield _row(DAY, key, volatility=volatility, bar_count=len(minutes), return_count=returns, status=status)
         self.bars.clear()
         self.end.clear()
 
 
-def stream_daily_volatility(bars: DataFrame, *, delay: str = "1 hour", min_bars: int | None = None, expected: DataFrame | None = None) -> DataFrame:
+def stream_daily_volatility(bars: DataFrame, *, delay: str = "1 hour", min_bars: int | None = None, expected: DataFrame | None = None,
+                            finite_only: bool = True) -> DataFrame:
     """Rows of ``RESULT`` from a stream of minute bars, in append mode.
 
     * ``day``: one row for each (symbol, day) once the watermark has passed its end; ``expected`` (symbol, trade_date; a table as
       it is when the stream first starts) adds the days without bars, with the no-data status. A day with conflicting
-      minutes has the failed status and no volatility. Equal bars of a minute are one bar, and returns never cross a day.
+      minutes has the failed status and no volatility. A day with a close of zero before another has the volatility NaN and is
+      incomplete; without ``finite_only`` it is valid if it has bars enough. Equal bars of a minute are one bar, and returns never cross a day.
     * ``conflict``: each minute held with different values, with its number of rows, as ``conflicting_minutes`` lists them.
     * ``late``: how many bars of a day came in one batch after the day was finished. They change nothing else.
 
@@ -119,7 +123,7 @@ def stream_daily_volatility(bars: DataFrame, *, delay: str = "1 hour", min_bars:
     copied = timed.select("symbol", F.timestamp_micros(F.unix_micros("event_time")).alias("datetime"), *columns)
     keyed = copied.withColumn("trade_date", F.to_date("datetime")).groupBy("symbol", "trade_date")
     start = None if expected is None else expected.select("symbol", F.col("trade_date").cast("date").alias("trade_date")).distinct().groupBy("symbol", "trade_date")
-    processor = DayProcessor(columns, spark.conf.get("spark.sql.session.timeZone"), min_bars)
+    processor = DayProcessor(columns, spark.conf.get("spark.sql.session.timeZone"), min_bars, finite_only)
     schema = StructType.fromDDL(RESULT)
     return keyed.transformWithState(processor, schema, "Append", "EventTime", initialState=start)
 
