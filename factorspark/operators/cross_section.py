@@ -107,14 +107,15 @@ def topk_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: st
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int = 5, symbol: str = "symbol") -> DataFrame:
+def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int = 5, symbol: str = "symbol",
+                    finite_only: bool = True) -> DataFrame:
     """Balanced groups ``floor(i * groups / n) + 1`` by ascending (factor, symbol).
 
-    Rows without a finite factor are left out. Dates with fewer names than groups
+    Rows without a finite factor (or, without ``finite_only``, without a factor; NaN is the largest) are left out. Dates with fewer names than groups
     are kept, with some groups empty; ``too_small`` lists them. A row's group is one more than the number of
     groups whose last row it follows, so rows stay where they are; ``df`` is read some times.
     """
-    usable = df.filter(is_finite(factor))
+    usable = df.filter(is_finite(factor) if finite_only else F.col(factor).isNotNull())
     last = {str(g): F.ceil(F.col("n") * g / groups) for g in range(1, groups)}
     ends = kth_rows(usable, keys, factor, symbol, last)
     ends = ends.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.collect_list(F.struct("value", "symbol")).alias("_ends"))
@@ -124,9 +125,9 @@ def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int
     return usable.join(ends, same, "left").withColumn("group", (F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0)) + 1).cast("int")).select(*df.columns, "group")
 
 
-def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = None) -> DataFrame:
-    """Groups with fewer than ``least`` rows (with a finite ``value``, if given), with their counts."""
-    usable = F.count(F.lit(1)) if value is None else F.count_if(is_finite(value))
+def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = None, *, finite_only: bool = True) -> DataFrame:
+    """Groups with fewer than ``least`` rows (with a finite ``value``, or one at all, if given), with their counts."""
+    usable = F.count(F.lit(1)) if value is None else F.count_if(is_finite(value)) if finite_only else F.count(value)
     return df.groupBy(*keys).agg(usable.alias("names")).filter(F.col("names") < least)
 
 
@@ -242,17 +243,17 @@ def neutralize(df: DataFrame, keys: list[str], y: str, x: str, name: str) -> Dat
     return df.join(fit, keys).withColumn(name, F.col(y) - fitted).drop("_slope", "_my", "_mx")
 
 
-def safe_correlation(left: str, right: str) -> Column:
-    """Pearson correlation; null below two rows or when a side is constant."""
+def safe_correlation(left: str, right: str, *, finite_only: bool = True) -> Column:
+    """Pearson correlation; null below two rows or when a side is constant (NaN for the latter without ``finite_only``)."""
     spread = F.stddev_samp(left) * F.stddev_samp(right)
     return F.when(
         (F.count(F.lit(1)) >= 2) & (F.stddev_samp(left) != 0) & (F.stddev_samp(right) != 0),
         F.try_divide(F.covar_samp(left, right), spread),
-    )
+    ).when((F.count(F.lit(1)) >= 2) & F.lit(not finite_only), F.lit(float("nan")))
 
 
 def information_coefficients(pairs: DataFrame, keys: list[str], factor: str = "factor",
-                             forward: str = "forward_return") -> DataFrame:
+                             forward: str = "forward_return", *, finite_only: bool = True) -> DataFrame:
     """Pearson and rank correlation of factor and next-period return per group.
 
     Groups that keep no complete pair still get a row with null correlations.
@@ -262,7 +263,8 @@ def information_coefficients(pairs: DataFrame, keys: list[str], factor: str = "f
     complete = durable(complete.select(*keys, factor, forward), "pairs")
     ranked = average_ranks(complete, keys, {factor: "_rf", forward: "_rr"})
     values = ranked.groupBy(*keys).agg(
-        safe_correlation(factor, forward).alias("ic"), safe_correlation("_rf", "_rr").alias("rank_ic")
+        safe_correlation(factor, forward, finite_only=finite_only).alias("ic"),
+        safe_correlation("_rf", "_rr", finite_only=finite_only).alias("rank_ic"),
     )
     return pairs.select(*keys).distinct().join(values, keys, "left")
 

@@ -53,7 +53,7 @@ def long_short(returns: DataFrame, groups: int = 5) -> DataFrame:
     )
 
 
-def factor_ic(prices: DataFrame, grouped: DataFrame) -> DataFrame:
+def factor_ic(prices: DataFrame, grouped: DataFrame, *, finite_only: bool = True) -> DataFrame:
     """``(pool, date, ic, rank_ic)`` of the factor against the return to the next date.
 
     The last date has no next return and is left out.
@@ -62,7 +62,7 @@ def factor_ic(prices: DataFrame, grouped: DataFrame) -> DataFrame:
     held = grouped.select("pool", "date", "symbol", "factor").join(F.broadcast(dates.select("date", "next_date")), "date")
     marked = with_marks(held.filter("next_date IS NOT NULL"), prices)
     pairs = marked.select("pool", "date", "factor", (F.col("next_price") / F.col("price") - 1.0).alias("forward_return"))
-    return information_coefficients(pairs, ["pool", "date"])
+    return information_coefficients(pairs, ["pool", "date"], finite_only=finite_only)
 
 
 def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, as_of: DataFrame,
@@ -85,18 +85,18 @@ def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries:
     return _grouped(everything.unionByName(universe), as_of, ["all_a", "dividend_pool"], validate)
 
 
-def unfit_pools(rows: DataFrame, as_of: DataFrame, pools: list[str], groups: int = 5) -> DataFrame:
-    """``(pool, date, names)`` of the dates on which a pool has fewer finite factors than groups, or no row."""
+def unfit_pools(rows: DataFrame, as_of: DataFrame, pools: list[str], groups: int = 5, *, finite_only: bool = True) -> DataFrame:
+    """``(pool, date, names)`` of the dates on which a pool has fewer finite factors (or factors at all) than groups, or no row."""
     wanted = as_of.select(F.col("as_of_date").alias("date")).distinct().withColumn("pool", F.explode(F.array(*map(F.lit, pools))))
     counted = wanted.join(rows.select("pool", "date", "factor"), ["pool", "date"], "left")
-    return too_small(counted, ["pool", "date"], groups, "factor")
+    return too_small(counted, ["pool", "date"], groups, "factor", finite_only=finite_only)
 
 
-def _grouped(rows: DataFrame, as_of: DataFrame, pools: list[str], validate: bool) -> DataFrame:
+def _grouped(rows: DataFrame, as_of: DataFrame, pools: list[str], validate: bool, finite_only: bool = True) -> DataFrame:
     if validate:
         rows = durable(rows, "pools")
-        quality.require_empty(unfit_pools(rows, as_of, pools), "pools with fewer names than groups")
-    return quintile_groups(rows, ["pool", "date"], "factor")
+        quality.require_empty(unfit_pools(rows, as_of, pools, finite_only=finite_only), "pools with fewer names than groups")
+    return quintile_groups(rows, ["pool", "date"], "factor", finite_only=finite_only)
 
 
 def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
@@ -124,7 +124,7 @@ def intraday_groups(price: DataFrame, dividends: DataFrame, dividend_queries: Da
         F.lit("candidates").alias("pool"), F.col("as_of_date").alias("date"), "symbol",
         F.col("minute_return_volatility").alias("factor"),
     )
-    return _grouped(rows, as_of, ["candidates"], validate)
+    return _grouped(rows, as_of, ["candidates"], validate, rules.finite_only)
 
 
 def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
@@ -138,4 +138,4 @@ def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_quer
     prices = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=True).select(
         "date", "symbol", F.col("adjusted_close").alias("close")
     )
-    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)
+    return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped, finite_only=rules.finite_only)

@@ -62,6 +62,8 @@ class IntradaySelectionRules(Checked):
     min_valid_days: int = bounded(20, "[1, inf)")
     transaction_cost_rate: float = bounded(0.0, "[0, 1)")
     universe: UniverseRules = field(default_factory=UniverseRules)
+    #: Without it, infinite and NaN volatilities stay, and the factors they make NaN are ranked last.
+    finite_only: bool = True
 
     def relations(self) -> dict[str, bool]:
         return {"final_n <= dividend_top_n": self.final_n <= self.dividend_top_n,

@@ -117,7 +117,7 @@ def select_intraday_candidates(price: DataFrame, dividends: DataFrame, dividend_
     )
     factor = durable(intraday.volatility_factor(
         daily_volatility, caps, as_of, lookback=rules.lookback_trading_days, min_valid=rules.min_valid_days, members=members,
-        validate=validate,
+        finite_only=rules.finite_only, validate=validate,
     ), "intraday-factor")
     joined = candidates.join(factor, ["as_of_date", "symbol"])
     if validate:

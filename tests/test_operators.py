@@ -391,6 +391,26 @@ def test_minutes_of_close_zero_stay_where_they_are_allowed(spark):
         intraday.normalize_minute_bars(minutes(spark, [("A", "2024-01-02 09:31:00", -1.0)]), zero_closes=True)
 
 
+def test_returns_from_a_close_of_zero_count_and_make_the_day_nan(spark):
+    from factorspark.streaming.intraday import sample_deviation
+
+    closes = [2.0, 0.0, 0.0, 3.0]
+    bars = minutes(spark, [("A", f"2024-01-02 09:3{i}:00", c) for i, c in enumerate(closes)])
+    for finite_only, status in ((True, 3), (False, 1)):
+        got = intraday.daily_volatility(bars, finite_only=finite_only).first()
+        assert got["volatility"] != got["volatility"] and (got["return_count"], got["status"]) == (3, status)
+    streamed = sample_deviation(closes)
+    assert streamed[0] != streamed[0] and streamed[1] == 3
+    days = [day(f"2024-01-0{i}") for i in range(1, 4)]
+    daily = spark.createDataFrame([("A", d, v) for d, v in zip(days, (1.0, 2.0, float("nan")))], "symbol string, trade_date date, volatility double")
+    windows = spark.createDataFrame([(days[-1], d) for d in days], "as_of_date date, trade_date date")
+    assert intraday.volatility_cv(daily, windows, min_valid=2).first()["intraday_volatility_cv"] == pytest.approx(2**-0.5 / 1.5)
+    kept = intraday.volatility_cv(daily, windows, min_valid=3, finite_only=False).first()["intraday_volatility_cv"]
+    assert kept != kept
+    ranked = spark.createDataFrame([("d", s, float("nan")) for s in "edcba"], "date string, symbol string, factor double")
+    assert rows(cross_section.quintile_groups(ranked, ["date"], "factor", finite_only=False).select("symbol", "group"), "symbol") == list(zip("abcde", range(1, 6)))
+
+
 def test_intraday_factor_is_orthogonal_to_size_and_needs_all_days(spark):
     days = business_days("2024-01-01", 20)
     parts = [("A", 0.01, 0.0001, 100.0), ("B", 0.02, 0.0004, 200.0), ("C", 0.03, 0.0009, 500.0), ("D", 0.03, 0.0005, 300.0)]
