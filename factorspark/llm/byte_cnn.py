@@ -32,7 +32,7 @@ EMBEDDING, FILTERS, WIDTH, STRIDE = 8, 32, 8, 4
 HALF = 256
 _STEPS = HALF // STRIDE
 #: Halves convolved at once in scoring, and in training, whose windows are larger.
-SLICE, TRAINING_SLICE = 2048, 256
+SLICE, TRAINING_SLICE = 256, 256
 
 
 @dataclass

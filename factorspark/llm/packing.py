@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, durable, text_bytes
+from .common import arrow_map, chunks, durable, keeps, text_bytes
 
 CAPACITY = 2048
 END = 0
@@ -140,6 +140,7 @@ class WordIds:
 def word_ids(path: str) -> WordIds:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordIds(path)
+        keeps(__name__, _TOKENIZERS.clear)
     return _TOKENIZERS[path]
 
 

@@ -252,3 +252,14 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             wide = stage(spark, wide, str(odd))
             assert set(docs.columns) <= set(wide.columns), name
+
+
+def test_caches_of_other_operators_end_with_the_next_operators_task():
+    from factorspark.llm import common, packing
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    list(packing.word_ids(path).batch([b"some words"]))
+    common.release_others(packing.__name__)
+    assert path in packing._TOKENIZERS
+    common.release_others("factorspark.llm.byte_cnn")
+    assert not packing._TOKENIZERS
