@@ -2,23 +2,24 @@
 
 Quotes, share publications, dividend announcements and adjustment events of a
 symbol are put in one frame and answered by windows over it, instead of joining
-each event table. Every source is first reduced to one row per (symbol, date), so
+each event table; trailing means and deviations follow from the sorted quotes in numpy. Every source is first reduced to one row per (symbol, date), so
 a symbol's rows are bounded by a few times the days of the calendar.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import quality
 from ..functions.calendar import market_calendar
 from ..functions.values import DIVIDEND_AFTER_TAX_RATIO, finite, is_finite
 from ..operators.asof import valid_shares
-from ..operators.series import trailing_avg, trailing_sum
 
 #: Quotes of one task of the feature windows, about: a task that held 485,000 quotes with their events took 512 MB before.
 ROWS_PER_TASK = 500_000
@@ -48,36 +49,16 @@ def daily_cash(dividends: DataFrame) -> DataFrame:
     return known.groupBy("symbol", "announce_date").agg(F.sum(F.col("cash_dividend_before_tax").cast("double")).alias("cash"))
 
 
-def yearly_cash(daily: DataFrame, dividend_years: int) -> DataFrame:
-    """``daily_cash`` with ``paid``: the year of each announcement and the before-tax cash ``c0`` of that year so far and ``c1``, ... of the years before it."""
-    so_far = Window.partitionBy("symbol", "year").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    years = Window.partitionBy("symbol").orderBy("year")
-    dated = daily.withColumns({"day": F.unix_date("announce_date"), "year": F.year("announce_date")})
-    cash = [F.sum("cash").over(so_far).alias("c0")]
-    cash += [F.coalesce(F.sum("cash").over(years.rangeBetween(-back, -back)), F.lit(0.0)).alias(f"c{back}") for back in range(1, dividend_years + 1)]
-    held = dated.select("symbol", "announce_date", "cash", "year", *cash)
-    return held.select("symbol", "announce_date", "cash", F.struct("year", *[f"c{back}" for back in range(dividend_years + 1)]).alias("paid"))
-
-
-def _year_cash(paid: Column, year: Column, back: int, dividend_years: int) -> Column:
-    """Cash of the year ``back`` years before ``year``, from the last announcement by then: years after it have none."""
-    gap = year - paid["year"]
-    value = F.lit(0.0)
-    for k in range(min(back, dividend_years) + 1):
-        value = F.when(gap == back - k, paid[f"c{k}"]).otherwise(value)
-    return F.coalesce(value, F.lit(0.0))
-
-
 def tasks_for(rows: int, least: int) -> int | None:
     """Tasks for a shuffle of ``rows`` rows, so that none gets more than about ROWS_PER_TASK; None where ``least`` tasks do."""
     tasks = -(-rows // ROWS_PER_TASK)
     return tasks if tasks > least else None
 
 
-def _event(df: DataFrame, date: str, kind: int, paid_type: StructType, **values: Column) -> DataFrame:
+def _event(df: DataFrame, date: str, kind: int, **values: Column) -> DataFrame:
     columns = {
         "close": "double", "amount": "double", "pe_ttm": "double", "market_index": "int", "publish_date": "date",
-        "total_shares": "double", "factor": "double", "cash": "double", "paid": paid_type,
+        "total_shares": "double", "factor": "double", "cash": "double", "wanted": "boolean",
     }
     return df.select(
         "symbol", F.col(date).alias("date"), F.lit(kind).alias("kind"),
@@ -85,6 +66,149 @@ def _event(df: DataFrame, date: str, kind: int, paid_type: StructType, **values:
     )
 
 
+def _sums(values: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Sum of the values of each window ``first:after`` from its own values alone; zero for an empty one."""
+    if not len(first):
+        return values[:0]
+    ends = np.stack([first, np.maximum(first, after)], axis=1).ravel()
+    return np.where(first < after, np.add.reduceat(np.append(values, values.dtype.type(0)), ends)[::2], values.dtype.type(0))
+
+
+def _doubles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of doubles, zero for null, and which are not null."""
+    known = np.asarray(column.is_valid())
+    return np.where(known, column.to_numpy(zero_copy_only=False), 0.0), known
+
+
+def _means(values: np.ndarray, known: np.ndarray, first: np.ndarray, after: np.ndarray) -> pa.Array:
+    """Mean of the non-null values of each window, null without one."""
+    n = _sums(known.astype(np.int64), first, after)
+    return pa.array(_sums(np.where(known, values, 0.0), first, after) / np.maximum(n, 1), mask=n == 0)
+
+
+def _deviations(values: np.ndarray, known: np.ndarray, last: np.ndarray, length: int, full: np.ndarray) -> pa.Array:
+    """Sample deviation of the non-null values of the ``length`` rows up to each ``last``, where it is ``full``; null below two values."""
+    out, empty = np.zeros(len(last)), np.ones(len(last), bool)
+    if full.any():
+        rows = last[full, None] + np.arange(1 - length, 1)
+        known, values = known[rows], values[rows]
+        # From the first value on, so that equal values deviate by exactly zero.
+        away = np.where(known, values - np.take_along_axis(values, known.argmax(axis=1)[:, None], 1), 0.0)
+        n = known.sum(axis=1)
+        away = np.where(known, away - (away.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+        out[full], empty[full] = np.sqrt((away * away).sum(axis=1) / np.maximum(n - 1, 1)), n < 2
+    return pa.array(out, mask=empty)
+
+
+def _begins(symbols: pa.Array) -> np.ndarray:
+    """Whether each symbol differs from the one before; the first does."""
+    differ = pc.not_equal(symbols.slice(1), symbols.slice(0, len(symbols) - 1)).fill_null(True)
+    both = pc.and_(symbols.slice(1).is_null(), symbols.slice(0, len(symbols) - 1).is_null())
+    return np.concatenate([[True], np.asarray(pc.and_not(differ, both))])
+
+
+def _whole_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by symbol in batches that are cut where a symbol begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.flatnonzero(_begins(batch["symbol"]))
+        if held and held[-1]["symbol"][-1].as_py() == batch["symbol"][0].as_py():
+            starts = starts[1:]
+        if held and len(starts):
+            yield pa.concat_batches([*held, batch.slice(0, starts[-1])])
+            held, batch = [], batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _january(years: np.ndarray) -> np.ndarray:
+    return (years - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+
+
+def _answers(cap_lookback: int, dividend_years: int, yield_lookback: int, volatility_lookback: int | None,
+             columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (symbol, day, kind) the wanted quotes with their features, and quotes that repeat a day as ``_again``."""
+
+    def seen(marked: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Place of the last marked row of the symbol up to each row, -1 without one."""
+        place = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+        return np.where(place >= start, place, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_symbols(batches):
+            begins = _begins(batch["symbol"])
+            kind, dated = np.asarray(batch["kind"]), np.asarray(batch["date"].is_valid())
+            day = np.asarray(batch["date"].cast(pa.int32()).fill_null(-(1 << 31))).astype(np.int64)
+            group = np.cumsum(begins)
+            start = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
+            again = np.zeros(len(kind), bool)
+            again[1:] = (kind[1:] == 3) & (kind[:-1] == 3) & (day[1:] == day[:-1]) & dated[1:] & ~begins[1:]
+
+            # From here on the valid quotes, in order of symbol and market date.
+            quote = np.flatnonzero((kind == 3) & np.asarray(batch["market_index"].is_valid()))
+            close = _doubles(batch["close"])[0][quote]
+            held = seen(kind == 0, start)[quote]
+            shares = _doubles(batch["total_shares"])[0][held]
+            factor, known = _doubles(batch["factor"])
+            at = seen((kind == 2) & known, start)[quote]
+            adjusted = close * np.where(at >= 0, factor[at], 1.0)
+            cap = close * shares
+
+            paid = np.flatnonzero(kind == 1)
+            cash, paid_key = _doubles(batch["cash"])[0][paid], group[paid] * (1 << 34) + day[paid]
+            def announced(of, low, high):
+                """After-tax cash of the symbols from the day ``low`` up to ``high`` inclusive."""
+                return DIVIDEND_AFTER_TAX_RATIO * _sums(cash, np.searchsorted(paid_key, of + low), np.searchsorted(paid_key, of + high, "right"))
+
+            base = group[quote] * (1 << 34)
+            ttm = announced(base, day[quote] - 364, day[quote])
+            yielded = ttm / close
+            number = group[quote]
+            new = np.concatenate([[True], number[1:] != number[:-1]]) if len(quote) else np.zeros(0, bool)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(quote)), 0)) if len(quote) else np.zeros(0, np.int64)
+            before = np.where(new, 0.0, np.roll(adjusted, 1))
+            returned = ~new & (before != 0)
+            change = np.where(returned, adjusted / np.where(returned, before, 1.0) - 1.0, 0.0)
+
+            last = np.flatnonzero(np.asarray(batch["wanted"].fill_null(False))[quote])
+            place = last - first[last]
+            key = number * (1 << 34) + np.asarray(batch["market_index"].fill_null(0)).astype(np.int64)[quote]
+            low, high = np.searchsorted(key, key[last] - (cap_lookback - 1)), np.searchsorted(key, key[last], "right")
+            rows = np.maximum(last - (yield_lookback - 1), first[last])
+            amount, amounts = (v[quote] for v in _doubles(batch["amount"]))
+            mean = _means(yielded, np.ones(len(quote), bool), rows, last + 1)
+
+            source = quote[last]
+            own, of = batch.take(pa.array(source)), base[last]
+            none = held[last] < 0
+            publication = pa.array(held[last], mask=none)
+            year = day[source].astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+            made = {name: own[name] for name in ("symbol", "date", "market_index", "close", "amount", "pe_ttm")} | {
+                "publish_date": batch["publish_date"].take(publication), "total_shares": batch["total_shares"].take(publication),
+                "total_market_cap": pa.array(cap[last], mask=none), "adjusted_close": pa.array(adjusted[last]),
+                "dividend_cash_ttm": pa.array(ttm[last]), "dividend_yield_ttm": pa.array(yielded[last]),
+                "observation_count": pa.array((place + 1).astype(np.int32)),
+                "avg_market_cap_240d": _means(cap, held >= 0, low, high), "avg_amount_240d": _means(amount, amounts, low, high),
+                "avg_dividend_yield_3y": pa.array(np.asarray(mean.fill_null(0.0)), mask=place + 1 < yield_lookback),
+                "_again": pa.array(again[source]), "_wanted": pa.array(np.ones(len(last), bool)),
+            }
+            for back in range(dividend_years + 1):
+                made[f"cash_year_{back}"] = pa.array(announced(of, _january(year - back), np.minimum(_january(year - back + 1) - 1, day[source])))
+            if volatility_lookback is not None:
+                made["volatility_240d"] = _deviations(change, returned, last, volatility_lookback - 1, place + 1 >= volatility_lookback)
+            yield pa.RecordBatch.from_arrays([made[c] for c in columns], names=columns)
+            again[source] = False
+            if again.any():
+                left = batch.filter(pa.array(again))
+                more = {"symbol": left["symbol"], "date": left["date"], "_again": pa.array(np.ones(len(left), bool)), "_wanted": pa.array(np.zeros(len(left), bool))}
+                yield pa.RecordBatch.from_arrays([more[c] if c in more else pa.nulls(len(left), made[c].type) for c in columns], names=columns)
+
+    return run
+
+
 def quote_features(
     price: DataFrame,
     dividends: DataFrame,
@@ -97,8 +221,9 @@ def quote_features(
     factors: DataFrame | None = None,
     calendar: DataFrame | None = None,
     watch: quality.Watch | None = None,
+    as_of: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per valid quote with everything selection needs at that date.
+    """One row per valid quote, or valid quote on one of the ``as_of`` dates if given, with everything selection needs at that date.
 
     Columns: market cap from the latest published shares; quote number and market
     date number; mean cap and amount over the last market dates; trailing-year
@@ -110,80 +235,54 @@ def quote_features(
     """
     quotes = valid_price(price)
     calendar = market_calendar(quotes) if calendar is None else calendar
-    dividend = yearly_cash(daily_cash(dividends), dividend_years)
-    event = partial(_event, paid_type=dividend.schema["paid"].dataType)
-    days = F.broadcast(calendar.select("date", "market_index"))
-    numbered = quotes.join(days, "date")
     if watch is not None:
         # Rows without a usable close come along for their keys, and are dropped by their market number below.
-        rest = price.filter(F.coalesce(finite("close"), F.lit(0.0)) <= 0).select(
-            "date", "symbol", *[F.lit(None).cast("double").alias(c) for c in ("close", "amount", "pe_ttm")], F.lit(None).cast("int").alias("market_index"))
-        numbered = numbered.select("date", "symbol", "close", "amount", "pe_ttm", "market_index").unionByName(rest)
+        usable = finite("close") > 0
+        amount = finite("amount")
+        quotes = price.select("date", "symbol", F.when(usable, F.col("close").cast("double")).alias("close"),
+                              F.when(usable & (amount >= 0), amount).alias("amount"), F.when(usable, finite("pe_ttm")).alias("pe_ttm"))
+    days = F.broadcast(calendar.select("date", "market_index"))
+    numbered = quotes.join(days, "date", "left" if watch is not None else "inner")
+    if as_of is None:
+        numbered = numbered.withColumn("wanted", F.lit(True))
+    else:
+        at = as_of.select(F.col("as_of_date").alias("date")).distinct().withColumn("wanted", F.lit(True))
+        numbered = numbered.join(F.broadcast(at), "date", "left")
     parts = [
-        event(valid_shares(shares), "publish_date", 0, publish_date=F.col("publish_date"), total_shares=F.col("total_shares")),
-        event(dividend, "announce_date", 1, cash=F.col("cash"), paid=F.col("paid")),
-        event(numbered, "date", 3, close=F.col("close"), amount=F.col("amount"), pe_ttm=F.col("pe_ttm"),
-              market_index=F.col("market_index")),
+        _event(valid_shares(shares), "publish_date", 0, publish_date=F.col("publish_date"), total_shares=F.col("total_shares")),
+        _event(daily_cash(dividends), "announce_date", 1, cash=F.col("cash")),
+        _event(numbered, "date", 3, close=F.col("close"), amount=F.col("amount"), pe_ttm=F.col("pe_ttm"),
+              market_index=F.when(F.col("close").isNotNull(), F.col("market_index")), wanted=F.col("wanted")),
     ]
     if factors is not None:
-        parts.append(event(factors, "operate_date", 2, factor=F.col("back_adjust_factor")))
+        parts.append(_event(factors, "operate_date", 2, factor=F.col("back_adjust_factor")))
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    # Windows hold a task's rows sorted, so tasks follow the number of quotes, not the session's number of partitions.
-    tasks = tasks_for(price.count(), int(price.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if tasks is not None:
-        both = both.repartition(tasks, "symbol")
-    both = both.withColumn("day", F.unix_date("date"))
-
-    # One sort serves the first windows, also the trailing-year range.
-    seen = Window.partitionBy("symbol").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    by_day = Window.partitionBy("symbol").orderBy("day")
-    tax = F.lit(DIVIDEND_AFTER_TAX_RATIO)
-    published = F.struct("publish_date", "total_shares")
-    known = both.select(
-        "*",
-        F.last(F.when(F.col("kind") == 0, published), ignorenulls=True).over(seen).alias("_shares"),
-        F.coalesce(F.last("factor", ignorenulls=True).over(seen), F.lit(1.0)).alias("_factor"),
-        F.last("paid", ignorenulls=True).over(seen).alias("_paid"),
-    )
+    # Windows hold a task's rows sorted, so tasks follow the number of quotes, not the session's number of partitions. Where that
+    # would do, adaptive execution must not merge it into fewer and larger tasks.
+    count, least = price.count(), int(price.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(count, least)
+    if tasks is None and count > ROWS_PER_TASK:
+        tasks = least
+    both = both.repartition("symbol") if tasks is None else both.repartition(tasks, "symbol")
+
+    # A symbol's rows lie behind each other in order, so arrays answer for all quotes of many symbols at once; frames of the window
+    # operator add up all of their rows again for every row, wanted or not.
+    kinds = {"symbol": "string", "date": "date", "market_index": "int", **dict.fromkeys(["close", "amount", "pe_ttm"], "double"), "publish_date": "date",
+             **dict.fromkeys(["total_shares", "total_market_cap", "adjusted_close", "dividend_cash_ttm"], "double"),
+             **{f"cash_year_{back}": "double" for back in range(dividend_years + 1)}, "dividend_yield_ttm": "double", "observation_count": "int",
+             **dict.fromkeys(["avg_market_cap_240d", "avg_amount_240d", "avg_dividend_yield_3y"], "double")}
+    if volatility_lookback is not None:
+        kinds["volatility_240d"] = "double"
+    kinds |= {"_again": "boolean", "_wanted": "boolean"}
+    out = both.sortWithinPartitions("symbol", "date", "kind").mapInArrow(
+        _answers(cap_lookback, dividend_years, yield_lookback, volatility_lookback, list(kinds)), ", ".join(f"{c} {k}" for c, k in kinds.items()))
     if watch is not None:
-        ordered = Window.partitionBy("symbol").orderBy("day", "kind")
-        again = (F.col("kind") == 3) & (F.lag("kind").over(ordered) == 3) & (F.lag("day").over(ordered) == F.col("day"))
         key = ["date", "symbol"]
-        known = watch.watch(known.withColumn("_again", again), {"duplicate keys ['date', 'symbol']": F.col("_again")}, "price",
-                            lambda: quality.duplicate_keys(price, key).select(*key)).drop("_again")
-    known = known.withColumn("_ttm", trailing_sum(F.col("cash"), by_day, 365, by_range=True))
-
-    rows = known.filter("kind = 3 AND market_index IS NOT NULL").select(
-        "symbol", "date", "market_index", "close", "amount", "pe_ttm",
-        F.col("_shares.publish_date").alias("publish_date"), F.col("_shares.total_shares").alias("total_shares"),
-        (F.col("close") * F.col("_shares.total_shares")).alias("total_market_cap"),
-        (F.col("close") * F.col("_factor")).alias("adjusted_close"),
-        (F.col("_ttm") * tax).alias("dividend_cash_ttm"),
-        *[(_year_cash(F.col("_paid"), F.year("date"), back, dividend_years) * tax).alias(f"cash_year_{back}") for back in range(dividend_years + 1)],
-    ).withColumn("dividend_yield_ttm", F.col("dividend_cash_ttm") / F.col("close"))
-
-    # All quote windows share the order (symbol, market date).
-    order = Window.partitionBy("symbol").orderBy("market_index")
-    out = rows.select(
-        "*",
-        F.row_number().over(order).alias("observation_count"),
-        trailing_avg(F.col("total_market_cap"), order, cap_lookback, by_range=True).alias("avg_market_cap_240d"),
-        trailing_avg(F.col("amount"), order, cap_lookback, by_range=True).alias("avg_amount_240d"),
-        trailing_avg(F.col("dividend_yield_ttm"), order, yield_lookback).alias("_yield"),
-        (F.try_divide(F.col("adjusted_close"), F.lag("adjusted_close").over(order)) - 1.0).alias("_return"),
-    )
-    out = out.withColumn(
-        "avg_dividend_yield_3y", F.when(F.col("observation_count") >= yield_lookback, F.col("_yield"))
-    )
-    if volatility_lookback is not None:
-        last_returns = order.rowsBetween(-(volatility_lookback - 2), 0)
-        out = out.withColumn(
-            "volatility_240d",
-            F.when(F.col("observation_count") >= volatility_lookback, F.stddev_samp("_return").over(last_returns)),
-        )
-    return out.drop("_yield", "_return")
+        out = watch.watch(out, {"duplicate keys ['date', 'symbol']": F.col("_again")}, "price",
+                          lambda: quality.duplicate_keys(price, key).select(*key))
+    return out.filter("_wanted").drop("_again", "_wanted")
 
 
 def shifted_year(date: Column) -> Column:

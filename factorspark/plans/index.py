@@ -11,7 +11,7 @@ from ..functions.values import DIVIDEND_AFTER_TAX_RATIO
 from ..operators.asof import asof_join
 from ..operators.intervals import missing_years
 from ..session import durable
-from .adjustment import back_adjusted_close
+from .adjustment import adjusted_marks
 from .features import check_price, index_price
 from .portfolio import portfolio_nav
 from .rules import IntradaySelectionRules, SelectionRules
@@ -178,11 +178,9 @@ def monthly_portfolio(price: DataFrame, constituents: DataFrame, cost_rate: floa
 
     Half the cost rate is charged per side, the first date is free. ``price_checked``: the selection has checked the price keys.
     """
-    adjusted = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=price_checked).select(
-        "date", "symbol", F.col("adjusted_close").alias("close")
-    )
     weights = constituents.select(F.lit("monthly").alias("portfolio"), F.col("as_of_date").alias("date"), "symbol", "weight")
     dates = constituents.select(F.col("as_of_date").alias("date")).distinct()
+    adjusted = adjusted_marks(price, factors, coverage, dates, symbols=constituents, validate=validate, price_checked=price_checked)
     return portfolio_nav(adjusted, weights, dates=dates, fees=cost_rate / 2.0, validate=validate).select(
         "date", "total_return", "total_return_index"
     )

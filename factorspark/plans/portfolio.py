@@ -37,7 +37,8 @@ def holdings_by_date(weights: DataFrame, dates: DataFrame) -> DataFrame:
         "portfolio", F.col("date").alias("set_date"), F.explode(F.sequence("market_index", "_until")).alias("market_index")
     ).join(F.broadcast(numbered.select("date", "market_index", "next_date")), "market_index").drop("market_index")
     held = weights.filter(F.col("weight") > 0).select("portfolio", F.col("date").alias("set_date"), "symbol", "weight")
-    return held.join(spans, ["portfolio", "set_date"]).drop("set_date")
+    # One row for each portfolio and valuation date.
+    return held.join(F.broadcast(spans), ["portfolio", "set_date"]).drop("set_date")
 
 
 def with_marks(holdings: DataFrame, prices: DataFrame, column: str = "close") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
+from ..functions.calendar import market_calendar
 from ..operators import cross_section, intraday
 from ..operators.asof import asof_shares
 from ..session import durable
@@ -29,12 +30,13 @@ INTRADAY_CONSTITUENT_COLUMNS = [
 
 
 def selection_features(price: DataFrame, dividends: DataFrame, shares: DataFrame, rules: SelectionRules | IntradaySelectionRules,
-                       factors: DataFrame | None = None, watch: quality.Watch | None = None) -> DataFrame:
-    """Quote features with the windows the rules need; volatility on adjusted closes if given factors."""
+                       factors: DataFrame | None = None, watch: quality.Watch | None = None, as_of: DataFrame | None = None,
+                       calendar: DataFrame | None = None) -> DataFrame:
+    """Quote features with the windows the rules need, on the ``as_of`` dates if given; volatility on adjusted closes if given factors."""
     return quote_features(
         price, dividends, shares, cap_lookback=rules.universe.lookback_days, dividend_years=rules.universe.dividend_years,
         yield_lookback=rules.dividend_yield_lookback_days,
-        volatility_lookback=getattr(rules, "volatility_lookback_days", None), factors=factors, watch=watch,
+        volatility_lookback=getattr(rules, "volatility_lookback_days", None), factors=factors, watch=watch, as_of=as_of, calendar=calendar,
     )
 
 
@@ -49,14 +51,14 @@ def rank_candidates(universe: DataFrame, rules: SelectionRules | IntradaySelecti
 
 def select_candidates(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                       as_of: DataFrame, rules: SelectionRules | IntradaySelectionRules, *, features: DataFrame | None = None,
-                      watch: quality.Watch | None = None, validate: bool = True) -> DataFrame:
+                      watch: quality.Watch | None = None, calendar: DataFrame | None = None, validate: bool = True) -> DataFrame:
     """Dividend-ranked candidates of every as-of date, with every feature column."""
     if features is None:
         watch = quality.Watch() if validate else None
-        features = selection_features(price, dividends, shares, rules, watch=watch)
+        features = selection_features(price, dividends, shares, rules, watch=watch, as_of=as_of)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        features=features, watch=watch, validate=validate,
+        features=features, watch=watch, calendar=calendar, validate=validate,
     )
     return rank_candidates(universe, rules)
 
@@ -85,12 +87,13 @@ def select_constituents(price: DataFrame, dividends: DataFrame, dividend_queries
     With ``validate``, as-of dates that cannot be filled raise; otherwise they are
     absent and listed by ``shortfalls``.
     """
-    watch = None
+    watch = calendar = None
     if features is None:
         watch = quality.Watch() if validate else None
-        features = selection_features(price, dividends, shares, rules, factors, watch)
+        calendar = durable(market_calendar(valid_price(price)), "calendar")
+        features = selection_features(price, dividends, shares, rules, factors, watch, as_of, calendar)
     candidates = select_candidates(
-        price, dividends, dividend_queries, shares, as_of, rules, features=features, watch=watch, validate=validate
+        price, dividends, dividend_queries, shares, as_of, rules, features=features, watch=watch, calendar=calendar, validate=validate
     )
     chosen = weigh(candidates, "volatility_240d", rules.final_n).select(*CONSTITUENT_COLUMNS)
     if validate:

@@ -122,6 +122,7 @@ def dividend_universe(
     features: DataFrame | None = None,
     rows: DataFrame | None = None,
     watch: quality.Watch | None = None,
+    calendar: DataFrame | None = None,
     validate: bool = True,
 ) -> DataFrame:
     """Universe rows of every as-of date.
@@ -131,14 +132,14 @@ def dividend_universe(
     the features are computed where they have a watch.
     """
     if validate:
-        calendar = market_calendar(valid_price(price))
+        calendar = market_calendar(valid_price(price)) if calendar is None else calendar
         quality.require_empty(unfit_as_of(calendar, as_of, rules), "no universe on some as-of dates")
     if rows is None:
         if features is None:
             watch = quality.Watch() if validate else None
             features = quote_features(
                 price, dividends, shares, cap_lookback=rules.lookback_days, dividend_years=rules.dividend_years,
-                yield_lookback=history, watch=watch,
+                yield_lookback=history, watch=watch, as_of=as_of,
             )
         elif validate and watch is None:
             check_price(price)
