@@ -88,7 +88,7 @@ def flag_top_ratios(df: DataFrame, keys: list[str], flags: Mapping[str, tuple[st
     last = [F.max(F.when(F.col("_of") == name, F.struct("value", "symbol"))).alias(f"_{name}_last") for name in flags]
     cuts = cuts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*last)
     same = [df[k].eqNullSafe(cuts[f"_k{i}"]) for i, k in enumerate(keys)]
-    out = df.join(cuts, same, "left")
+    out = df.join(F.broadcast(cuts), same, "left")
     for name, (metric, _) in flags.items():
         value, cut = F.col(metric).cast("double"), F.col(f"_{name}_last")
         inside = (value > cut["value"]) | ((value == cut["value"]) & (F.col(symbol) <= cut["symbol"]))
@@ -122,7 +122,7 @@ def quintile_groups(df: DataFrame, keys: list[str], factor: str, *, groups: int
     same = [usable[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)]
     own = F.struct(F.col(factor).cast("double").alias("value"), F.col(symbol).alias("symbol"))
     passed = F.size(F.filter("_ends", lambda end: own > end))
-    return usable.join(ends, same, "left").withColumn("group", (F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0)) + 1).cast("int")).select(*df.columns, "group")
+    return usable.join(F.broadcast(ends), same, "left").withColumn("group", (F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0)) + 1).cast("int")).select(*df.columns, "group")
 
 
 def too_small(df: DataFrame, keys: list[str], least: int, value: str | None = None, *, finite_only: bool = True) -> DataFrame:

@@ -9,7 +9,8 @@ from ..functions.calendar import market_calendar
 from ..functions import quality
 from ..operators.cross_section import information_coefficients, quintile_groups, too_small
 from ..session import durable
-from .adjustment import back_adjusted_close
+from .adjustment import adjusted_marks
+from .features import valid_price
 from .index import month_end_as_of
 from .portfolio import portfolio_nav, with_marks
 from .rules import IntradaySelectionRules, SelectionRules
@@ -20,7 +21,7 @@ from .universe import dividend_universe
 def equal_weights(members: DataFrame) -> DataFrame:
     """Equal weights within each (portfolio, date), from one row per group and date."""
     sizes = members.groupBy("portfolio", "date").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return members.select("portfolio", "date", "symbol").join(sizes, ["portfolio", "date"])
+    return members.select("portfolio", "date", "symbol").join(F.broadcast(sizes), ["portfolio", "date"])
 
 
 def group_navs(prices: DataFrame, grouped: DataFrame, *, groups: int = 5, validate: bool = True) -> DataFrame:
@@ -72,15 +73,15 @@ def traditional_groups(price: DataFrame, dividends: DataFrame, dividend_queries:
     Pool ``all_a`` holds every symbol quoted on the date with a full lookback; pool
     ``dividend_pool`` the dividend universe without yield ranking.
     """
-    at = F.broadcast(as_of.select(F.col("as_of_date").alias("date")).distinct())
+    calendar = durable(market_calendar(valid_price(price)), "calendar")
     # Both pools read the as-of rows only, so these are written once.
     watch = quality.Watch() if validate else None
-    features = durable(selection_features(price, dividends, shares, rules, factors, watch).join(at, "date"), "features")
+    features = durable(selection_features(price, dividends, shares, rules, factors, watch, as_of, calendar), "features")
     columns = ["date", "symbol", F.col("volatility_240d").alias("factor")]
     everything = features.select(F.lit("all_a").alias("pool"), *columns)
     universe = dividend_universe(
         price, dividends, dividend_queries, shares, as_of, rules.universe, rules.dividend_yield_lookback_days,
-        rows=features, watch=watch, validate=validate,
+        rows=features, watch=watch, calendar=calendar, validate=validate,
     ).select(F.lit("dividend_pool").alias("pool"), *columns)
     return _grouped(everything.unionByName(universe), as_of, ["all_a", "dividend_pool"], validate)
 
@@ -99,17 +100,23 @@ def _grouped(rows: DataFrame, as_of: DataFrame, pools: list[str], validate: bool
     return quintile_groups(rows, ["pool", "date"], "factor", finite_only=finite_only)
 
 
-def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
+def traditional_marked_groups(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
                               rules: SelectionRules, factors: DataFrame, coverage: DataFrame, *,
                               validate: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Group values and coefficients of the volatility factor in both pools."""
+    """Adjusted closes that mark the groups of the volatility factor in both pools, and the groups: what their values and coefficients are made of."""
     as_of = month_end_as_of(price, start, end)
     grouped = durable(traditional_groups(
         price, dividends, dividend_queries, shares, as_of, rules, factors, validate=validate
     ), "groups")
-    prices = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=True).select(
-        "date", "symbol", F.col("adjusted_close").alias("close")
-    )
+    return adjusted_marks(price, factors, coverage, grouped.select("date").distinct(), validate=validate, price_checked=True), grouped
+
+
+def traditional_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame, start, end,
+                              rules: SelectionRules, factors: DataFrame, coverage: DataFrame, *,
+                              validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Group values and coefficients of the volatility factor in both pools."""
+    prices, grouped = traditional_marked_groups(
+        price, dividends, dividend_queries, shares, start, end, rules, factors, coverage, validate=validate)
     return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped)
 
 
@@ -127,15 +134,21 @@ def intraday_groups(price: DataFrame, dividends: DataFrame, dividend_queries: Da
     return _grouped(rows, as_of, ["candidates"], validate, rules.finite_only)
 
 
-def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
+def intraday_marked_groups(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
                            daily_volatility: DataFrame, start, end, rules: IntradaySelectionRules, factors: DataFrame,
                            coverage: DataFrame, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Group values and coefficients of the intraday factor inside the candidates."""
+    """Adjusted closes that mark the groups of the intraday factor inside the candidates, and the groups."""
     as_of = month_end_as_of(price, start, end)
     grouped = durable(intraday_groups(
         price, dividends, dividend_queries, shares, daily_volatility, as_of, rules, validate=validate
     ), "groups")
-    prices = back_adjusted_close(price, factors, coverage, validate=validate, price_checked=True).select(
-        "date", "symbol", F.col("adjusted_close").alias("close")
-    )
+    return adjusted_marks(price, factors, coverage, grouped.select("date").distinct(), symbols=grouped, validate=validate, price_checked=True), grouped
+
+
+def intraday_group_indices(price: DataFrame, dividends: DataFrame, dividend_queries: DataFrame, shares: DataFrame,
+                           daily_volatility: DataFrame, start, end, rules: IntradaySelectionRules, factors: DataFrame,
+                           coverage: DataFrame, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Group values and coefficients of the intraday factor inside the candidates."""
+    prices, grouped = intraday_marked_groups(
+        price, dividends, dividend_queries, shares, daily_volatility, start, end, rules, factors, coverage, validate=validate)
     return group_navs(prices, grouped, validate=validate), factor_ic(prices, grouped, finite_only=rules.finite_only)
